@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module of this package that has a function of that name.
 MODULES = {
     "op3_simhash_near_dedup": "simhash",
+    "op5_token_length_histogram": "tokens",
+    "op6_png_media": "media",
+    "op7_pack_powers_of_two": "packing",
 }
 
 
