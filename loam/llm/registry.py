@@ -13,6 +13,8 @@ MODULES = {
     "op5_token_length_histogram": "tokens",
     "op6_png_media": "media",
     "op7_pack_powers_of_two": "packing",
+    "op8_sampled_splitters": "sharding",
+    "op10_mix_curriculum": "mixing",
 }
 
 
