@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name -> module of this package that has a function of that name.
 MODULES = {
+    "op1_weighted_fingerprints": "weighted",
     "op2_secret_scan": "secrets",
     "op3_simhash_near_dedup": "simhash",
     "op5_token_length_histogram": "tokens",
