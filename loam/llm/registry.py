@@ -12,10 +12,12 @@ MODULES = {
     "op1_weighted_fingerprints": "weighted",
     "op2_secret_scan": "secrets",
     "op3_simhash_near_dedup": "simhash",
+    "op4_cotrained_quality": "quality",
     "op5_token_length_histogram": "tokens",
     "op6_png_media": "media",
     "op7_pack_powers_of_two": "packing",
     "op8_sampled_splitters": "sharding",
+    "op9_noisy_channel_toxicity": "toxicity",
     "op10_mix_curriculum": "mixing",
 }
 
