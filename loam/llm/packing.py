@@ -1,17 +1,17 @@
 """Packing by powers of two: every document is cut into pieces of 2048 tokens and then of the binary lengths of the rest.
 
 A piece is a sequence of its own: its length is a power of two, so it needs no padding, and no sequence crosses
-documents. Sequences of equal length are numbered in one run, so a reader takes batches of one length.
+documents. Sequences of equal length form a bucket, so a reader takes batches of one length.
 """
 
 from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import cut, partitions, table
+from loam.llm.common import table
 from loam.llm.tokens import encoder, map_texts, vocabulary_path
 
 CONTEXT = 2048
@@ -47,19 +47,20 @@ def pieces(docs: DataFrame, context: int = CONTEXT, path: str | None = None, wit
 
 
 def pack(docs: DataFrame, context: int = CONTEXT, path: str | None = None, with_ids: bool = True) -> DataFrame:
-    """``pieces`` with sequence_id (gapless from 0, longest sequences first) and offset (0: one piece a sequence).
+    """``pieces`` with sequence_id and offset (0: one piece a sequence).
 
-    Rows are numbered within (length, hash part) and shifted by the counts of the parts before; only those counts,
-    a few for each shuffle partition, are summed in one place. An empty table gives an empty table.
+    The top bits of sequence_id are the bucket, longest sequences first, the others are unique within it, so an order
+    by sequence_id goes bucket by bucket. Nothing is shuffled. An empty table gives an empty table.
     """
-    made = cut(pieces(docs, context, path, with_ids).withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(partitions(docs)))))
-    counts = made.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    own = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
-    numbered = made.withColumn("at", F.row_number().over(own)).join(shifts, ["length", "part"])
-    ids = ["ids"] if with_ids else []
-    return numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("shift") + F.col("at") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *ids)
+    bucket = F.lit(context.bit_length() - 1) - F.log2("length").cast("long")
+    number = F.shiftleft(bucket, 58).bitwiseOR(F.monotonically_increasing_id())
+    made = pieces(docs, context, path, with_ids)
+    return made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Writes a packed table with a folder for each sequence length, for readers that take batches of one length."""
+    packed.write.partitionBy("length").parquet(path)
 
 
 def op7_pack_powers_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
