@@ -32,7 +32,7 @@ def _unit(column: Column, shift: int, bits: int) -> Column:
 
 
 def _sample(weight: Column) -> Column:
-    """ln a as an ordered integer with 8 bits of (term, t) below it; null where the weight is zero.
+    """ln a as an ordered integer with 8 bits of (term, t) below it, never all 0; null where the weight is zero.
 
     Two uniforms multiplied make a Gamma(2, 1) draw: minus the logarithm of their product.
     """
@@ -40,7 +40,7 @@ def _sample(weight: Column) -> Column:
     t = F.floor(F.ln(weight.cast("double")) / r + b)
     ln_a = F.ln(c) - r * (t.cast("double") - b + F.lit(1.0))
     place = ((F.greatest(ln_a, F.lit(-100.0)) + F.lit(SHIFT)) * F.lit(SCALE)).cast("long")
-    mark = F.shiftrightunsigned(F.xxhash64("chunk", t), 56)
+    mark = F.pmod(F.xxhash64("chunk", t), F.lit(255)) + F.lit(1)
     return F.when(weight > 0, F.shiftleft(place, 8).bitwiseOR(mark))
 
 
@@ -62,33 +62,38 @@ def samples(words: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _packed(column: str) -> Column:
-    """The filled bins in order, two bytes each: the bin and the sample's low 8 bits."""
+    """A byte for each bin: the sample's low 8 bits, which are never 0, or 0 where the bin is empty."""
     entry = F.when(F.col(column).isNotNull(), F.shiftleft(F.col("bin"), 8) + F.col(column).bitwiseAND(F.lit(255).cast("long")).cast("int"))
-    return F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.lpad(F.hex(x), 4, "0")), ""))
+    entries = F.array_sort(F.collect_list(entry))
+    byte = lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")
+    bins = F.transform(entries, lambda x: F.shiftright(x, 8))
+    # each entry brings the zeros of the empty bins before it
+    before = F.concat(F.array(F.lit(-1)), bins)
+    padded = F.zip_with(F.slice(before, 1, F.size(bins)), entries, lambda p, x: F.concat(F.repeat(F.lit("00"), F.shiftright(x, 8) - p - 1), byte(x)))
+    return F.unhex(F.rpad(F.array_join(padded, ""), 2 * BINS, "0"))
 
 
 def _share(equal: Column, filled: Column) -> Column:
     """Share of equal samples without chance hits; two fingerprints without samples are alike."""
     rate = equal.cast("double") / filled.cast("double")
-    return F.when(filled == 0, F.lit(1.0)).otherwise(F.greatest((rate * 256 - 1) / 255, F.lit(0.0)))
+    return F.when(filled == 0, F.lit(1.0)).otherwise(F.greatest((rate * 255 - 1) / 254, F.lit(0.0)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Likeness (0 to 1) of two fingerprints in their hex form."""
-    one, two = F.regexp_extract_all(a, F.lit("(.{4})")), F.regexp_extract_all(b, F.lit("(.{4})"))
-    bins = lambda entries: F.transform(entries, lambda x: F.substring(x, 1, 2))
-    both = F.size(F.array_intersect(bins(one), bins(two)))
-    return _share(F.size(F.array_intersect(one, two)), F.size(one) + F.size(two) - both)
+    one, two = F.regexp_extract_all(a, F.lit("(..)")), F.regexp_extract_all(b, F.lit("(..)"))
+    both = F.zip_with(one, two, lambda x, y: F.when(x != y, 1).when(x != "00", 2))
+    return _share(F.size(F.filter(both, lambda x: x == 2)), F.size(F.filter(both, lambda x: x.isNotNull())))
 
 
 def order(docs: DataFrame) -> DataFrame:
     """The circle of documents by descending doc_id (null last; then by the text's hash), one row for each (d, h).
 
-    (d, h, next_d, next_h, prev_d, prev_h, prev_n): d is doc_id, or the least long for null; h the text's hash, n its
+    (d, h, copies, next_d, next_h, prev_d, prev_h, prev_n): d is doc_id, or the least long for null; h the text's hash, n its
     code points. Rows are range-partitioned; leads and lags go within a range, and only the ranges' ends, one row a
     range, are put in order in one place.
     """
-    rows = docs.select("d", "h", F.char_length("text").alias("n")).dropDuplicates(["d", "h"])
+    rows = docs.groupBy("d", "h").agg(F.count("*").alias("copies"), F.max(F.char_length("text")).alias("n"))
     ranged = cut(rows.repartitionByRange(partitions(docs), F.desc("d"), "h").withColumn("range", F.spark_partition_id()))
     inside = Window.partitionBy("range").orderBy(F.desc("d"), "h")
     me = F.struct("d", "h", "n")
@@ -101,23 +106,28 @@ def order(docs: DataFrame) -> DataFrame:
     ends = ends.select("range", after.alias("after"), before.alias("before"))
     full = led.join(F.broadcast(ends), "range").withColumn("next", F.coalesce("next", "after")).withColumn("prev", F.coalesce("prev", "before"))
     at = lambda side, c: F.col(f"{side}.{c}").alias(f"{side}_{c}")
-    return full.select("d", "h", at("next", "d"), at("next", "h"), at("prev", "d"), at("prev", "h"), at("prev", "n"))
+    return full.select("d", "h", "copies", at("next", "d"), at("next", "h"), at("prev", "d"), at("prev", "h"), at("prev", "n"))
+
+
+#: Stands for a null doc_id: the least long, so last in descending order.
+NULL_ID = -(2**63)
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """(d, h, doc_id, copies, text, edited, next_d, next_h): each text and its edited form, one row for each (d, h).
+    """(d, h, copies, text, edited, next_d, next_h): each text and its edited form, one row for each (d, h).
 
     Of the edited form the last floor(n / 3) code points are those that the next document begins with. A text is
-    shuffled once, and once more the part of it that the document before needs.
+    shuffled once, and once more the part of it that the document before needs. Partitions are small: what follows
+    counts the words of each document in them.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(text_of()).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("string").alias("text"))
-    whole = rows.groupBy("d", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(text_of()).alias("h"), text_of().cast("string").alias("text"))
+    whole = rows.repartition(4 * partitions(docs), "d", "h").groupBy("d", "h").agg(F.first("text").alias("text"))
     known = whole.join(order(rows), ["d", "h"])
     third = lambda n: F.floor(n / F.lit(3)).cast("int")
     lent = known.select(F.col("prev_d").alias("d"), F.col("prev_h").alias("h"), F.substring("text", F.lit(1), third(F.col("prev_n"))).alias("lent"))
     n = F.char_length("text")
     made = F.concat(F.substring("text", F.lit(1), n - third(n)), "lent")
-    return known.join(lent, ["d", "h"]).select("d", "h", "doc_id", "copies", "text", made.alias("edited"), "next_d", "next_h")
+    return known.join(lent, ["d", "h"]).select("d", "h", "copies", "text", made.alias("edited"), "next_d", "next_h")
 
 
 def bag(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,7 +141,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next.
 
-    A null text counts as empty; a text without words has the empty fingerprint, and two such are alike (1). Repeated
+    A null text counts as empty; a text without words has a fingerprint of zeros, and two such are alike (1). Repeated
     rows (same doc_id and text) count once in the order of documents and come out as often as they go in. A single
     document is its own next one. An empty table gives an empty table.
     """
@@ -142,16 +152,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         _packed("one").alias("one"), _packed("two").alias("two"), F.count("*").alias("filled"),
         F.count_if(F.col("one").bitwiseAND(F.lit(255).cast("long")) == F.col("two").bitwiseAND(F.lit(255).cast("long"))).alias("equal"),
     )
-    facts = texts.select(*keys, "doc_id", "copies", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("sha"), "next_d", "next_h")
-    none = F.unhex(F.lit(""))
+    facts = texts.select(*keys, "copies", F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)).alias("sha"), "next_d", "next_h")
+    none = F.unhex(F.lit("00" * BINS))
     whole = cut(facts.join(signed, keys, "left").select(
-        *keys, "doc_id", "copies", "n_chars", "sha", "next_d", "next_h", F.coalesce("one", none).alias("one"), F.coalesce("two", none).alias("two"),
+        *keys, "copies", "n_chars", "sha", "next_d", "next_h", F.coalesce("one", none).alias("one"), F.coalesce("two", none).alias("two"),
         _share(F.coalesce("equal", F.lit(0)), F.coalesce("filled", F.lit(0))).alias("near_edited"),
     ))
     after = whole.select(F.col("d").alias("next_d"), F.col("h").alias("next_h"), F.col("one").alias("after"))
     hexed = lambda c: F.lower(F.hex(c))
     out = whole.join(after, ["next_d", "next_h"]).select(
-        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), hexed("one").alias("fingerprint"), hexed("two").alias("edited_fingerprint"), "near_edited",
+        F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id"), "n_chars", hexed("sha").alias("edited_sha256"), hexed("one").alias("fingerprint"), hexed("two").alias("edited_fingerprint"), "near_edited",
         likeness(hexed("one"), hexed("after")).alias("near_next"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     )
     return out.drop("_copy")
