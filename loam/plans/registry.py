@@ -12,7 +12,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-FAMILIES = ("telemetry", "catalog", "text", "dedupe", "retrieval", "talk", "access", "governance", "graph", "streams")
+FAMILIES = ("telemetry", "text", "dedupe")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
