@@ -12,7 +12,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-FAMILIES = ("telemetry", "text", "dedupe", "retrieval")
+FAMILIES = ("telemetry", "text", "dedupe", "retrieval", "talk", "access", "catalog", "governance", "graph", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
