@@ -41,6 +41,18 @@ def source_formats(sources: DataFrame) -> DataFrame:
     return named.groupBy("format").agg(F.count("*").alias("n"), F.sum(F.greatest(F.coalesce("pages", F.lit(0)), F.lit(0))).alias("pages"))
 
 
+def evidence_kinds(evidence: DataFrame) -> DataFrame:
+    """(kind, n, articles) of evidence (article_id, kind)."""
+    return evidence.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("article_id").alias("articles"))
+
+
+def recent_documents(articles: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
+    """The newest articles (article_id, created_at) with the pages of all their sources (article_id, pages); 0 without any."""
+    newest = articles.orderBy(F.desc("created_at"), "article_id").limit(most)
+    pages = sources.groupBy("article_id").agg(F.sum(F.greatest(F.coalesce("pages", F.lit(0)), F.lit(0))).alias("pages"))
+    return newest.join(pages, "article_id", "left").select("article_id", "created_at", F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
 def browse_tree(articles: DataFrame, tags: DataFrame) -> DataFrame:
     """(level, key, n): articles by department, distinct articles by topic, and the untagged rest as General knowledge."""
     departments = articles.groupBy(F.col("dept").cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit("department").alias("level"), "key", "n")
@@ -103,6 +115,19 @@ def source_breakdown(documents: DataFrame, drafts: DataFrame, states: tuple[str,
     return d.join(p, "connector_id", "left").fillna(0, list(states))
 
 
+def source_health(requests: DataFrame, notifications: DataFrame, now: Column) -> DataFrame:
+    """(connector_id, active_requests, notifications): open sync requests and notifications of the last 24 hours."""
+    open_ = requests.where(F.col("status").isin("queued", "running")).groupBy("connector_id").agg(F.count("*").alias("active_requests"))
+    day = notifications.where((F.col("received_at") >= now - F.expr("INTERVAL 24 HOURS")) & (F.col("received_at") <= now)).groupBy("connector_id").agg(F.count("*").alias("notifications"))
+    return open_.join(day, "connector_id", "full").fillna(0, ["active_requests", "notifications"])
+
+
+def item_errors(errors: DataFrame, documents: DataFrame, most: int = 25) -> DataFrame:
+    """The newest errors of a source's items (error_id, external_id, at, message) with the documents' names where known."""
+    newest = errors.orderBy(F.desc("at"), "error_id").limit(most)
+    return newest.join(documents.select("external_id", "name"), "external_id", "left")
+
+
 def index_status(articles: DataFrame, allowed: DataFrame) -> DataFrame:
     """(index_status, n) over articles a user may see."""
     return articles.join(allowed.select("article_id").distinct(), "article_id", "left_semi").groupBy("index_status").agg(F.count("*").alias("n"))

@@ -178,3 +178,32 @@ def g18_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 == 2, "a").alias("filter_value"), F.when(key % 3 == 1, 0).alias("left_row"), F.when(key % 3 == 1, 1).alias("right_row"),
     )
     return c.table_plans(plans, tables).withColumn("result", F.round("result", 2))
+
+
+@query("g3_evidence_kinds", "SELECT CASE WHEN l_quantity > 25 THEN 'table' WHEN l_quantity > 10 THEN 'figure' ELSE 'page_visual' END AS kind, count(*) AS n, count(DISTINCT l_orderkey) AS articles FROM lineitem GROUP BY 1")
+def g3_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_quantity") > 25, "table").when(F.col("l_quantity") > 10, "figure").otherwise("page_visual")
+    return c.evidence_kinds(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_id"), kind.alias("kind")))
+
+
+@query("g3_recent_documents", """
+WITH n AS (SELECT o_orderkey AS article_id, o_orderdate AS created_at FROM orders ORDER BY 2 DESC, 1 LIMIT 10)
+SELECT article_id, created_at, CAST(coalesce((SELECT sum(l_linenumber) FROM lineitem WHERE l_orderkey = article_id), 0) AS BIGINT) AS pages FROM n""")
+def g3_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").alias("pages"))
+    return c.recent_documents(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_id"), F.col("o_orderdate").alias("created_at")), sources)
+
+
+@query("g9_source_health", """
+WITH r AS (SELECT o_custkey % 50 AS connector_id, count(*) AS active_requests FROM orders WHERE o_orderstatus IN ('P', 'O') GROUP BY 1), n AS (SELECT user_id % 60 AS connector_id, count(*) AS notifications FROM events WHERE ts >= TIMESTAMP '2024-01-19' AND ts <= TIMESTAMP '2024-01-20' GROUP BY 1)
+SELECT coalesce(r.connector_id, n.connector_id) AS connector_id, coalesce(active_requests, 0) AS active_requests, coalesce(notifications, 0) AS notifications FROM r FULL JOIN n ON r.connector_id = n.connector_id""")
+def g9_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("connector_id"), F.when(F.col("o_orderstatus") == "P", "queued").when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("status"))
+    notes = table(spark, sf_dir, "events").select((F.col("user_id") % 60).alias("connector_id"), F.col("ts").alias("received_at"))
+    return c.source_health(asked, notes, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+
+
+@query("g9_item_errors", "SELECT event_id AS error_id, user_id AS external_id, p_name AS name FROM events LEFT JOIN part ON p_partkey = user_id WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 25")
+def g9_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("user_id").alias("external_id"), F.col("ts").alias("at"), F.col("props").alias("message"))
+    return c.item_errors(errors, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("external_id"), F.col("p_name").alias("name"))).select("error_id", "external_id", "name")

@@ -384,3 +384,20 @@ def f18(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.substring("text", 1, 80)
     marked = F.concat(F.substring("text", 1, 40), F.lit(" [C1] [C2: now]"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_follow_up(head).alias("follow_up"), tx.without_markers(marked).alias("plain"))
+
+
+@query("f3_clean_tags", """
+WITH t AS (SELECT l_orderkey AS article_id, 'tag ' || CAST(l_suppkey % 12 AS VARCHAR) AS tag, min(l_linenumber * 1000000 + l_partkey) AS pos FROM lineitem WHERE l_suppkey % 12 <> 5 GROUP BY 1, 2)
+SELECT article_id, 'Tag ' || substr(tag, 5) AS tag, CAST(row_number() OVER (PARTITION BY article_id ORDER BY pos, tag) AS INTEGER) AS rank FROM t QUALIFY rank <= 3""")
+def f3_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    tags = line.select(F.col("l_orderkey").alias("article_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("position"), F.concat(F.lit(" TÀG  "), (F.col("l_suppkey") % 12).cast("string")).alias("tag"))
+    catalogue = line.select((F.col("l_suppkey") % 12).alias("k")).distinct().where("k <> 5").select(F.concat(F.lit("Tag "), F.col("k").cast("string")).alias("tag"))
+    return p.clean_tags(tags, catalogue, 3)
+
+
+@query("f3_tag_proposal", """
+SELECT o_orderkey AS article_id, CASE WHEN o_custkey % 3 = 0 THEN ['Alpha', 'Beta'] ELSE ['Alpha', 'Beta', 'Gamma ' || CAST(o_custkey % 9 AS VARCHAR)] END AS proposal, CASE WHEN o_custkey % 3 = 0 THEN [] ELSE ['Gamma ' || CAST(o_custkey % 9 AS VARCHAR)] END AS added FROM orders""")
+def f3_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = F.when(F.col("o_custkey") % 3 == 0, F.array(F.lit("alpha"), F.lit("BETA "))).otherwise(F.array(F.lit("béta"), F.concat(F.lit("Gamma "), (F.col("o_custkey") % 9).cast("string"))))
+    return p.tag_proposal(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_id"), F.array(F.lit("Alpha"), F.lit("Beta")).alias("current"), new.alias("new")))

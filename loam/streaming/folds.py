@@ -58,6 +58,16 @@ def fold_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def released(state: DataFrame, release: DataFrame) -> DataFrame:
+    """State in which the quarantined documents of ``release`` (connector_id, corpus_id, external_id) are free of their
+    mark, so that the same revision is tried again."""
+    keys = ["connector_id", "corpus_id", "external_id"]
+    joined = state.join(release.select(*keys, F.lit(1).alias("_free")).distinct(), keys, "left")
+    free = (F.col("_free") == 1) & (F.col("state") == "quarantined")
+    cleared = {"failed_revision": F.when(~F.coalesce(free, F.lit(False)), F.col("failed_revision")), "failures": F.when(free, 0).otherwise(F.col("failures")), "state": F.when(free, "pending").otherwise(F.col("state"))}
+    return joined.withColumns(cleared).drop("_free")
+
+
 def full_walk(state: DataFrame, walked: DataFrame) -> DataFrame:
     """State after an authoritative walk: documents it doesn't show are deleted; an empty walk changes nothing."""
     keys = ["connector_id", "corpus_id", "external_id"]

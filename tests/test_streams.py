@@ -138,6 +138,12 @@ def test_change_fold(spark):
     }
 
 
+def test_release_lets_a_revision_be_tried_again(spark):
+    state = spark.createDataFrame([(1, 1, 1, "quarantined", "a", 3, "b"), (1, 1, 2, "quarantined", "a", 3, "b")], f.STATE)
+    free = f.released(state, spark.createDataFrame([(1, 1, 1)], "connector_id long, corpus_id long, external_id long"))
+    assert sorted((r.external_id, r.state, r.failures, r.failed_revision) for r in free.collect()) == [(1, "pending", 0, None), (2, "quarantined", 3, "b")]
+
+
 def test_full_walk(spark):
     state = spark.createDataFrame([(1, 1, i, "active", "a", 0, None) for i in range(3)], f.STATE)
     states = lambda walked: [r.state for r in f.full_walk(state, walked).orderBy("external_id").collect()]
