@@ -148,8 +148,8 @@ def _top(scored: DataFrame, most: int, *order: Column) -> DataFrame:
 
 
 def asked_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term): distinct folded words of more than one character, for the keyword leg."""
-    return queries.select("query_id", F.explode(F.array_distinct(F.filter(tokens(F.col("text")), lambda t: F.char_length(t) > 1))).alias("term"))
+    """(query_id, term): a query's distinct terms, for the keyword leg; words without signal meet in every passage and stay out."""
+    return queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("text")))).alias("term"))
 
 
 def keyword_leg(terms: DataFrame, index: DataFrame, most: int = POOL) -> DataFrame:

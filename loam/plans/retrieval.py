@@ -36,7 +36,7 @@ queries AS (SELECT item_id AS query_id, 'what is the ' || array_to_string(w[1:3]
 PASSAGES = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 passages AS (SELECT doc_id * 100000 + pos AS chunk_id, doc_id AS article_id, line AS text FROM lines WHERE trim(line) <> ''),
 toks AS (SELECT chunk_id, article_id, unnest({TOKENS('text')}) AS term FROM passages), idx AS (SELECT term, chunk_id, count(*) AS tf FROM toks GROUP BY 1, 2)"""
-TERMS = f"""qt AS (SELECT query_id, unnest({TOKENS('text')}) AS term FROM queries), terms AS (SELECT DISTINCT query_id, term FROM qt WHERE length(term) > 1)"""
+TERMS = f"""qt AS (SELECT query_id, unnest({TOKENS('text')}) AS term FROM queries), terms AS (SELECT DISTINCT query_id, term FROM qt WHERE length(term) > 1 AND term NOT IN ({STOP}))"""
 #: Names: the queries hold capitals only where one was put in, and numbers nowhere.
 NAMES = """names AS (SELECT query_id, unnest(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: length(w) > 1 AND w = upper(w) AND regexp_matches(w, '[A-Z]'))) AS w FROM queries)"""
 KEYWORD = f"""{QUERIES}, {PASSAGES}, {TERMS},
