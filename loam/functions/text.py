@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: A token of the ranking functions, and the word class that Python's \w means.
+# A token of the ranking functions, a number in free text, a number that a claim can be checked by.
 TOKEN = r"[\p{L}\p{N}_'-]+"
 NUMBER = r"(?<![\p{L}\p{N}_.,/-])-?(?:[0-9]{1,3}(?:[.,][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?)%?(?![\p{L}\p{N}_/-])"
 CLAIM = r"(?<![0-9])[0-9]+(?:[.,][0-9]+)*(?:\s?[%％])?(?![0-9])"
@@ -144,6 +144,7 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)\b(bearer\s+)[A-Za-z0-9._~+/=-]{8,}", "$1***")
 
 
+# Fixed value: what a citation marker may stand in.
 BRACKET = r"\[([^\[\]]{1,240})\]"
 
 

@@ -74,9 +74,12 @@ def routing(queries: DataFrame) -> DataFrame:
 
 
 # --- index and vocabulary --------------------------------------------------------------------------------------------
-def token_index(passages: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf) of folded passages; counted in the tasks first."""
-    return passages.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+def token_index(passages: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf) of folded passages; counted in the tasks first. For one batch of queries ``only`` (term) keeps
+    other words from being counted and shuffled at all; an index to store has all."""
+    each = passages.select("chunk_id", F.explode(tokens(F.col("text"))).alias("term"))
+    each = each if only is None else each.join(only.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(passages: DataFrame) -> DataFrame:
@@ -85,6 +88,7 @@ def vocabulary(passages: DataFrame) -> DataFrame:
     return names.groupBy("name").agg(F.count("*").alias("uses"))
 
 
+# Words that no spelled-out name holds.
 _SKIPPED = frozenset("the a an of for is are was were what which how do does to in on and or i me my that this with by at from be can it its as if not no".split())
 
 
@@ -275,8 +279,8 @@ def promoted(ranked: DataFrame, second: DataFrame, vector: DataFrame, lexical: i
 def search(queries: DataFrame, passages: DataFrame, titles: DataFrame, limit: int = 10, vector: DataFrame | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, gaps): keyword, title, identifier and vector legs fused, reranked, cut at 0.12 and at ``limit``; queries
     without a result are gaps. results (query_id, chunk_id, score, place)."""
-    index = token_index(passages) if index is None else index
     terms = asked_terms(queries)
+    index = token_index(passages, terms) if index is None else index
     keyword = keyword_leg(terms, index)
     legs = [keyword.unionByName(title_leg(terms, titles, passages, keyword)), identifier_leg(queries, index)]
     if vector is not None:

@@ -126,7 +126,8 @@ def r6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r7_keyword_leg", f"WITH {KEYWORD} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM kw")
 def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.keyword_leg(r.asked_terms(questions(spark, sf_dir)), r.token_index(passages(spark, sf_dir)))
+    terms = r.asked_terms(questions(spark, sf_dir))
+    return r.keyword_leg(terms, r.token_index(passages(spark, sf_dir), terms))
 
 
 @query("r8_title_leg", f"WITH {TITLE.replace('WHERE length(term) > 1', 'WHERE length(term) > 6')} SELECT query_id, chunk_id, rank FROM tl")
@@ -137,7 +138,8 @@ def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r9_identifier_leg", f"WITH {KEYWORD}, {IDENT} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM il")
 def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.identifier_leg(questions(spark, sf_dir), r.token_index(passages(spark, sf_dir)))
+    asked = questions(spark, sf_dir)
+    return r.identifier_leg(asked, r.token_index(passages(spark, sf_dir), r.asked_terms(asked)))
 
 
 @query("r10_graph_leg", """
@@ -160,7 +162,8 @@ def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r11_fused", f"WITH {FUSED} SELECT query_id, chunk_id, round(rrf, 12) AS rrf, CAST(rank AS INTEGER) AS rank FROM fr")
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, chunks = questions(spark, sf_dir), passages(spark, sf_dir)
-    index, terms = r.token_index(chunks), r.asked_terms(asked)
+    terms = r.asked_terms(asked)
+    index = r.token_index(chunks, terms)
     keyword = r.keyword_leg(terms, index)
     found = r.fused(keyword, r.title_leg(terms, titles(spark, sf_dir), chunks, keyword), r.identifier_leg(asked, index))
     return found.withColumn("rrf", F.round("rrf", 12))
@@ -182,7 +185,8 @@ def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     asked, chunks = questions(spark, sf_dir), passages(spark, sf_dir)
-    index, terms = r.token_index(chunks), r.asked_terms(asked)
+    terms = r.asked_terms(asked)
+    index = r.token_index(chunks, terms)
     keyword = r.keyword_leg(terms, index)
     pool = r.fused(keyword, r.title_leg(terms, titles(spark, sf_dir), chunks, keyword), r.identifier_leg(asked, index)).join(chunks.select("chunk_id", "text"), "chunk_id")
     near = pool.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("chunk_id"))).alias("rank"))
