@@ -55,7 +55,7 @@ def deciding_rule(drafts: DataFrame, rules: DataFrame) -> DataFrame:
 
     An unset filter of a rule means any; a set one on something unknown of the draft means no match. drafts (draft_id,
     dept, extension, connector_id, similarity, risk_tier), rules (rule_id, active, priority, dept, extensions array, connector_id,
-    max_similarity, risk_tiers array). Rules are few and checked as such: they are joined on the department or its absence.
+    max_similarity, risk_tiers array).
     """
     r = rules.where("active").select("rule_id", "priority", F.col("dept").alias("_dept"), F.col("extensions"), F.col("connector_id").alias("_connector"), "max_similarity", "risk_tiers")
     fits = (
@@ -64,11 +64,10 @@ def deciding_rule(drafts: DataFrame, rules: DataFrame) -> DataFrame:
         & (F.col("max_similarity").isNull() | F.coalesce(F.col("similarity") <= F.col("max_similarity"), F.lit(False)))
         & (F.col("risk_tiers").isNull() | F.coalesce(F.array_contains("risk_tiers", F.col("risk_tier")), F.lit(False)))
     )
-    own = drafts.join(r.where("_dept is not null"), F.col("dept") == F.col("_dept")).where(fits)
-    common = drafts.withColumn("_one", F.lit(1)).join(r.where("_dept is null").withColumn("_one", F.lit(1)), "_one").where(fits)
-    best = F.min(F.struct("priority", "rule_id")).alias("b")
-    every = own.select("draft_id", "priority", "rule_id").union(common.select("draft_id", "priority", "rule_id"))
-    return every.groupBy("draft_id").agg(best).select("draft_id", "b.rule_id")
+    # a draft is looked up under its department and under "any": one equal join, and only the least match is kept
+    keyed = r.withColumn("_key", F.coalesce("_dept", F.lit("*any*")))
+    asked = drafts.withColumn("_key", F.explode(F.array_compact(F.array(F.col("dept"), F.lit("*any*")))))
+    return asked.join(keyed, "_key").where(fits).groupBy("draft_id").agg(F.min(F.struct("priority", "rule_id")).alias("b")).select("draft_id", "b.rule_id")
 
 
 def suggest_owner(sections: DataFrame, departments: DataFrame, top: int = 3) -> DataFrame:

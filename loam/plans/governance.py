@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.operators import governance as g
 from loam.plans.registry import query
-from loam.sources.tables import table
+from loam.sources.tables import spread, table
 
 NOW = "1998-06-01 00:00:00"
 
@@ -109,7 +109,7 @@ def g25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g26_line_diff")
 def g26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.col("text").alias("old"), F.regexp_replace("text", r"(?m)^(\S+) (\S+)", "$2 $1").alias("new"))
+    pairs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("article_id"), F.col("text").alias("old"), F.regexp_replace("text", r"(?m)^(\S+) (\S+)", "$2 $1").alias("new"))
     return g.line_diff(pairs)
 
 
@@ -219,10 +219,10 @@ def g39(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("g40_reclassified", """
-WITH a AS (SELECT o_orderkey AS article_id, o_orderpriority AS dept, o_orderstatus AS sensitivity FROM orders), l AS (SELECT l_orderkey AS article_id, arg_max(CASE WHEN l_linenumber % 2 = 0 THEN '5-LOW' ELSE '?' END, (l_linenumber, l_partkey, l_suppkey)) AS d, arg_max(l_linestatus, (l_linenumber, l_partkey, l_suppkey)) AS s FROM lineitem GROUP BY 1),
+WITH a AS (SELECT o_orderkey AS article_id, o_orderpriority AS dept, o_orderstatus AS sensitivity FROM orders), l AS (SELECT l_orderkey AS article_id, arg_max(CASE WHEN l_linenumber % 2 = 0 THEN '5-LOW' ELSE '?' END, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS d, arg_max(l_linestatus, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS s FROM lineitem GROUP BY 1),
 j AS (SELECT a.article_id, CASE WHEN d = '?' THEN dept ELSE d END AS dept, s AS sensitivity, list_filter([CASE WHEN d <> '?' AND d <> dept THEN 'dept' END, CASE WHEN s <> sensitivity THEN 'sensitivity' END], lambda x: x IS NOT NULL) AS changed FROM a JOIN l USING (article_id))
 SELECT *, list_contains(changed, 'dept') AS access_changed FROM j WHERE len(changed) > 0""")
 def g40(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = orders(spark, sf_dir).select(F.col("o_orderkey").alias("article_id"), F.col("o_orderpriority").alias("dept"), F.col("o_orderstatus").alias("sensitivity"))
-    changes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("position"), F.when(F.col("l_linenumber") % 2 == 0, "5-LOW").alias("dept"), F.col("l_linestatus").alias("sensitivity"))
+    changes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("position"), F.when(F.col("l_linenumber") % 2 == 0, "5-LOW").alias("dept"), F.col("l_linestatus").alias("sensitivity"))
     return g.reclassified(articles, changes, ("dept", "sensitivity"), ("dept",))

@@ -25,7 +25,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 30).alias("title"), F.col("source").alias("dept"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 120).alias("title"), F.col("source").alias("dept"))
 
 
 FOLD = lambda x: f"replace(strip_accents(lower({x})), 'đ', 'd')"
@@ -41,7 +41,7 @@ TERMS = f"""qt AS (SELECT query_id, unnest({TOKENS('text')}) AS term FROM querie
 NAMES = """names AS (SELECT query_id, unnest(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: length(w) > 1 AND w = upper(w) AND regexp_matches(w, '[A-Z]'))) AS w FROM queries)"""
 KEYWORD = f"""{QUERIES}, {PASSAGES}, {TERMS},
 kw AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, chunk_id) - 1 AS rank FROM terms JOIN idx USING (term) GROUP BY 1, 2 QUALIFY rank < 240)"""
-TITLE = f"""{KEYWORD}, tt AS (SELECT DISTINCT query_id, doc_id AS article_id FROM documents JOIN terms ON contains({FOLD('substr(text, 1, 30)')}, term)),
+TITLE = f"""{KEYWORD}, tt AS (SELECT DISTINCT query_id, doc_id AS article_id FROM documents JOIN terms ON contains({FOLD('substr(text, 1, 120)')}, term)),
 tn AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) - 1 AS rank FROM tt JOIN passages USING (article_id) WHERE (query_id, chunk_id) NOT IN (SELECT query_id, chunk_id FROM kw) QUALIFY rank < 240),
 tl AS (SELECT tn.query_id, tn.chunk_id, rank + coalesce(n, 0) AS rank FROM tn LEFT JOIN (SELECT query_id, count(*) AS n FROM kw GROUP BY 1) USING (query_id) WHERE rank + coalesce(n, 0) < 240)"""
 IDENT = f"""{NAMES}, nd AS (SELECT DISTINCT query_id, lower(w) AS term FROM names WHERE lower(w) NOT IN ({STOP})), ns AS (SELECT query_id, ceil(48 / count(*)) AS share FROM nd GROUP BY 1),

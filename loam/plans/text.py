@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loam.functions import text as tx
 from loam.operators import prepare as p
 from loam.plans.registry import query
-from loam.sources.tables import table
+from loam.sources.tables import spread, table
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def made_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.passages(p.sections(docs(spark, sf_dir).select("doc_id", F.col("text").alias("body"))))
+    return p.passages(p.sections(spread(docs(spark, sf_dir)).select("doc_id", F.col("text").alias("body"))))
 
 
 @query("t5_t6_passages")
@@ -96,13 +96,13 @@ def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t9_index_build")
 def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    articles = docs(spark, sf_dir).select("doc_id", F.col("text").alias("body"), F.lit("published").alias("status"), F.col("source").alias("dept"), F.lit("internal").alias("sensitivity"), F.lit("company").alias("visibility"))
+    articles = spread(docs(spark, sf_dir)).select("doc_id", F.col("text").alias("body"), F.lit("published").alias("status"), F.col("source").alias("dept"), F.lit("internal").alias("sensitivity"), F.lit("company").alias("visibility"))
     return p.index_build(articles)
 
 
 @query("t10_review_ranges")
 def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = docs(spark, sf_dir).select("doc_id", F.col("source").alias("title"), F.col("text").alias("body"))
+    bodies = spread(docs(spark, sf_dir)).select("doc_id", F.col("source").alias("title"), F.col("text").alias("body"))
     return p.range_pages(p.review_ranges(bodies, 4000), pages(spark, sf_dir))
 
 
@@ -163,12 +163,12 @@ def t13_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t14_reading_view")
 def t14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.reading_view(docs(spark, sf_dir).select("doc_id", F.col("text").alias("body")))
+    return p.reading_view(spread(docs(spark, sf_dir)).select("doc_id", F.col("text").alias("body")))
 
 
 @query("t15_oversized_parts")
 def t15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.oversized_parts(docs(spark, sf_dir).select("doc_id", F.col("text").alias("body")), 1000)
+    return p.oversized_parts(spread(docs(spark, sf_dir)).select("doc_id", F.col("text").alias("body")), 1000)
 
 
 @query("t16_digest_input", r"""

@@ -15,6 +15,15 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from a few small files, dealt over all cores, so that Python work isn't left to one task.
+
+    A table with as many splits as there are cores stays as it is: nothing is shuffled where the input is large.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def jdbc_table(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A relational table read in ``parts`` ranges of a numeric key, each its own task."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
