@@ -8,6 +8,10 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.sources.tables import spread
+
+__all__ = ["WORD", "cut", "partitions", "spread", "table", "text_of"]
+
 #: A word: a run without ASCII white space (space and U+0009 to U+000D).
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import table
+from loam.llm.common import spread, table
 from loam.llm.tokens import map_texts
 
 WIDTH = 64
@@ -196,4 +196,4 @@ def read_back(media: DataFrame) -> DataFrame:
 
 
 def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(table(spark, sf_dir, "documents"))
+    return features(spread(table(spark, sf_dir, "documents")))

@@ -11,7 +11,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import table
+from loam.llm.common import spread, table
 from loam.llm.tokens import encoder, map_texts, vocabulary_path
 
 CONTEXT = 2048
@@ -64,4 +64,4 @@ def write_buckets(packed: DataFrame, path: str) -> None:
 
 
 def op7_pack_powers_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return pack(spread(table(spark, sf_dir, "documents")), with_ids=False)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import table
+from loam.llm.common import spread, table
 from loam.llm.learning import Logistic, folds, sigmoid
 
 #: Bound on the labelled and on the unlabelled rows that the classifiers are fitted on.
@@ -200,5 +200,5 @@ def kept(docs: DataFrame, model: CoTrained, threshold: float = KEEP) -> DataFram
 
 
 def op4_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return scored(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import cut, table, text_of
+from loam.llm.common import cut, spread, table, text_of
 
 SCOPE = 256
 #: In the order in which spans with one start are listed.
@@ -178,4 +178,4 @@ def redacted(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(table(spark, sf_dir, "documents")).drop("h")
+    return secrets(spread(table(spark, sf_dir, "documents"))).drop("h")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loam.llm.common import cut, table
+from loam.llm.common import cut, spread, table
 
 #: The ranks of byte_bpe_50k.json: the same ids, made several times faster.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -116,4 +116,4 @@ def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def op5_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return length_histogram(token_counts(table(spark, sf_dir, "documents")))
+    return length_histogram(token_counts(spread(table(spark, sf_dir, "documents"))))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import table
+from loam.llm.common import spread, table
 from loam.llm.learning import Logistic, sigmoid
 
 #: Bounds on the labelled rows that are fitted on, on the features chosen, and on the words that a worker remembers.
@@ -250,5 +250,5 @@ def restored_texts(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
