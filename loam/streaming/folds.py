@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FAILURES = 3
@@ -107,18 +107,16 @@ def sync_summary(folded: DataFrame, actions: tuple[str, ...] = ("imported", "upd
     return folded.where("action is not null").groupBy("connector_id").pivot("action", list(actions)).count().fillna(0, list(actions))
 
 
-def keep_state(spark: SparkSession, path: str, schema: str, step: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def keep_state(path: str, schema: str, step: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps a state table in ``path``, a snapshot for each batch id.
 
-    Batch n reads the snapshot of the last batch before it and writes its own, so running it again after a loss writes
-    the same. The first batch starts from an empty state.
+    Batch n reads the snapshot of batch n - 1 and writes its own, so running it again after a loss writes the same.
+    Batch 0, the first of a query's checkpoint, starts from an empty state.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        hadoop = session.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id - 1}")
-        there = hadoop.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-        state = session.read.parquet(f"{path}/batch={batch_id - 1}") if there else session.createDataFrame([], schema)
+        state = session.read.parquet(f"{path}/batch={batch_id - 1}") if batch_id else session.createDataFrame([], schema)
         step(state, batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return run

@@ -112,7 +112,7 @@ def test_gaps_kept_by_foreach_batch(spark, tmp_path):
     path, state = str(tmp_path / "in"), str(tmp_path / "state")
     for k in range(3):
         spark.createDataFrame(rows[4 * k : 4 * k + 4], schema).coalesce(1).write.mode("append").parquet(path)
-    step = f.keep_state(spark, state, GAP_STATE, f.merge_gaps)
+    step = f.keep_state(state, GAP_STATE, f.merge_gaps)
     query = source(spark, path, schema).writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     found = {r["query"]: (r["count"], r.status, r.last_at) for r in spark.read.parquet(f"{state}/batch=2").collect()}
