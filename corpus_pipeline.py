@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import mixing, packing, quality, secrets, simhash
-from loam.llm.common import table, text_of
+from loam.llm.common import table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +22,16 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each component the row with the smallest doc_id stays, one row of repeated ones.
+    """SimHash near-dedup: of each component exactly one row stays, the one with the smallest doc_id.
 
-    Rows without an id stay unless a document with an id is in their component.
+    Rows without an id come last, rows of one doc_id go by a hash of the whole row; of equal rows one stays. So a row
+    goes only if another row of its own component stays.
     """
-    found = simhash.near_duplicates(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc_id")).distinct()
-    kept = docs.withColumn("_h", F.xxhash64(text_of())).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    no_id, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    row = F.xxhash64(*docs.columns)
+    first = simhash.first_rows(docs, row).select(F.col("key").alias("_row"), number.alias("_id"), no_id.alias("_no_id"))
+    kept = docs.withColumns({"_row": row, "_id": number, "_no_id": no_id}).join(first, ["_row", "_id", "_no_id"], "left_semi")
+    return kept.dropDuplicates(["_row", "_id", "_no_id"]).select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,16 +52,23 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp long) for every row of ``docs``; a null text counts as empty. Bits are read as a signed long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, key: Column | None = None) -> DataFrame:
+    """(doc_id, fp long) for every row of ``docs``; a null text counts as empty. Bits are read as a signed long.
+
+    With ``key`` (a long column) its value follows as a third column of that name.
+    """
+
+    rest = [] if key is None else ["key"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *map(batch.column, rest)], names=["doc_id", "fp", *rest])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    keys = [] if key is None else [key.alias("key")]
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keys)
+    return read.mapInArrow(work, "doc_id long, fp long" + ", key long" * len(keys))
 
 
 def _turned(fp: Column, by: int) -> Column:
@@ -144,6 +151,12 @@ def links(distinct: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_forests, "u long, v long").distinct()
 
 
+def _classes(distinct: DataFrame) -> DataFrame:
+    """(fp, low, label) of distinct fingerprints (fp, low): equal labels within a component."""
+    labels = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    return distinct.join(labels, "fp", "left").select("fp", "low", F.coalesce("label", F.xxhash64("fp")).alias("label"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the smallest doc_id reachable over links of at most 3 differing bits.
 
@@ -152,13 +165,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     empty table gives an empty table; other columns are left out.
     """
     rows = cut(fingerprints(docs, words))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    labels = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    classes = distinct.join(labels, "fp", "left").select("fp", "low", F.coalesce("label", F.xxhash64("fp")).alias("label"))
+    classes = _classes(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
     return rows.join(classes.join(lowest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def first_rows(docs: DataFrame, key: Column, words: int = WORDS) -> DataFrame:
+    """(doc_id, key) of exactly one row of each component: the smallest doc_id, rows without one last, then the
+    smallest ``key``, a long that tells the rows of one doc_id apart."""
+    rows = cut(fingerprints(docs, words, key))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    classes = _classes(rows.groupBy("fp").agg(F.min(rank).alias("low")))
+    return classes.groupBy("label").agg(F.min("low").alias("low")).select("low.doc_id", "low.key")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

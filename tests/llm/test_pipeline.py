@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from loam.llm import mixing, quality
-from tests.llm.data import awkward
+from tests.llm.data import SCHEMA, awkward
 from tests.llm.test_mixing import WORD, shared
 from tests.llm.test_secrets import near
 from tests.llm.test_simhash import lowest, plain
@@ -48,6 +48,23 @@ def test_one_of_each_component_stays(stages):
     assert sorted(stages[2]) == sorted(r for r, c in zip(rows, low, strict=True) if r.doc_id == c)
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    fox = "the quick brown fox jumps over the lazy dog near the old mill by the river " * 20
+    texts = {"fox": fox, "near": fox + "end", "rain": "rain falls on seven hills while nobody is looking up " * 9, "bread": "she bakes bread with rye and caraway every other morning " * 9}
+    texts |= {"tide": "low tide uncovers a field of stones, ropes and shells " * 9 + "again", "tide2": "low tide uncovers a field of stones, ropes and shells " * 9}
+    assert all((plain(texts[a]) ^ plain(texts[b])).bit_count() <= 3 for a, b in (("fox", "near"), ("tide", "tide2")))
+    # a row without id is a near copy of 1, one is clean, two are near copies of each other; 5 has a near copy of 1 and
+    # a clean text, which comes twice with different sources; 6 has near copies under one id
+    rows = [(1, "fox"), (None, "near"), (None, "rain"), (None, "tide"), (None, "tide2"), (5, "near"), (5, "bread")]
+    docs = spark.createDataFrame([(i, texts[t], "en", "a", len(texts[t])) for i, t in rows] + [(5, texts["bread"], "en", "b", 1)], SCHEMA)
+    found = corpus_pipeline.without_near_copies(spark, docs, DATA).collect()
+    named = sorted((str(r.doc_id), next(k for k, t in texts.items() if t == r.text)) for r in found)
+    assert [x for x in named if not x[1].startswith("tide")] == [("1", "fox"), ("5", "bread"), ("None", "rain")]
+    assert len([x for x in named if x[1].startswith("tide")]) == 1
+    same = docs.select("doc_id", "text", "lang", "source", "n_chars").where("text like 'low tide%'").withColumn("doc_id", corpus_pipeline.F.lit(6).cast("long"))
+    assert len(corpus_pipeline.without_near_copies(spark, same, DATA).collect()) == 1
+
+
 def test_secrets_are_masked(stages):
     def masked(text: str) -> str:
         out, at = "", 0
