@@ -29,13 +29,14 @@ SAMPLE, FEATURES, REMEMBERED = 12_000, 600, 300_000
 #: A feature is looked at if it stands in so many of the sample's documents.
 LEAST = 5
 THRESHOLD = 0.3
+#: Longer words are worked out each time they are met, so that what a worker remembers stays small.
+REMEMBERED_LENGTH = 100
 
 # What a mark may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 #: Natural logarithms of the channel: a look-alike, a mark between letters, a letter of three or more in a row or of
 #: two dropped, a look-alike dropped.
 SUBSTITUTED, SEPARATED, REPEATED, DOUBLED, DROPPED = -0.7, -0.3, -1.0, -5.0, -3.0
-LONGEST = 40
 
 #: Classes of the character model: 0 for what is no letter, 1 to 26 for a to z, 27 for other letters.
 CLASSES = 28
@@ -45,9 +46,18 @@ _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:] = 27
 
 _EDGES = ".,;:?\"'()[]{}<>*#%&~^|/\\=_-"
-_TAIL = re.compile(r"([^\w\s])\1+$")
-_TRACE = re.compile(r"[a-z].*[0-9@$!|+(€]|[0-9@$!|+(€].*[a-z]|(\w)\1\1|[a-z][.*_\-~'][a-z]")
-_SPACED = re.compile(r"(?<!\S)\w(?:[ .*_\-]\w){3,}(?!\S)")
+_ENDS = "".join(c for c in _EDGES if c not in LEET)
+_MARKS = re.escape("".join(c for c in LEET if not c.isdigit()))
+_PLAIN, _LOOKALIKE = re.compile("[a-z]"), re.compile(f"[0-9{_MARKS}]")
+#: Repeats beyond what decides: a letter more than three times, a look-alike more than twice.
+_LETTERS, _SAME = re.compile(r"([^\W\d_])\1{3,}"), re.compile(rf"([0-9{_MARKS}])\1{{2,}}")
+_THRICE = re.compile(r"(\S)\1\1")
+_TRACE = re.compile(r"(\w)\1\1|[a-z][.*_\-~']+[a-z]")
+#: Amounts and signed numbers: no words, though every character of theirs is a look-alike.
+_NUMBER = re.compile(r"[$€+(|!]*\d[\d.,:]*[)!+|€$]*")
+#: Three or more single letters or look-alikes with separators between them, up to white space or marks before it.
+_SPACED = re.compile(rf"""(?<![^\s"'(\[{{<])(?!_)[\w{_MARKS}](?:[ \t.*_~\-]++[\w{_MARKS}]){{2,}}(?=[^\w\s]*(?!\S))""")
+_BETWEEN = re.compile(r"[ \t.*_~\-]+")
 
 
 def char_counts(docs: DataFrame) -> DataFrame:
@@ -82,8 +92,8 @@ def _class(c: str) -> int:
 
 
 def decode(token: str, model: list) -> str:
-    """The likeliest letters behind a lower-case token; model: ``char_model`` as nested lists."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest letters behind a lower-case token; model: ``char_model`` as nested lists. Linear in its length."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # made: (letter, made before it)
     for i, c in enumerate(token):
         if c.isalpha():
             ways = [(c, 0.0)]
@@ -93,32 +103,63 @@ def decode(token: str, model: list) -> str:
             ways = [(x, SUBSTITUTED) for x in LEET.get(c, "")]
             if c not in LEET or not c.isdigit():  # a look-alike digit always stands for a letter
                 ways.append(("", DROPPED if c in LEET else SEPARATED))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, made) in best.items():
             for letter, way in ways:
                 if letter:
                     k = _class(letter)
-                    state, total, word = (b, k), cost + way + model[a][b][k], made + letter
+                    state, total = (b, k), cost + way + model[a][b][k]
                 else:
-                    state, total, word = (a, b), cost + way, made
+                    state, total = (a, b), cost + way
                 if state not in new or new[state][0] < total:
-                    new[state] = (total, word)
+                    new[state] = (total, (letter, made) if letter else made)
         best = new
-    return max((cost + model[a][b][0], word) for (a, b), (cost, word) in best.items())[1]
+    ends = [(cost + model[a][b][0], made) for (a, b), (cost, made) in best.items()]
+    top = max(cost for cost, _ in ends)
+    return max(_word(made) for cost, made in ends if cost == top)
+
+
+def _word(made: tuple | None) -> str:
+    letters = []
+    while made is not None:
+        letters.append(made[0])
+        made = made[1]
+    return "".join(reversed(letters))
+
+
+def _hidden(word: str) -> bool:
+    """Whether a token shows traces of hiding; codes of mostly digits don't."""
+    if _TRACE.search(word) or (_LOOKALIKE.search(word) and (_PLAIN.search(word) or _marks_alone(word))):
+        return 3 * sum(map(str.isdigit, word)) <= 2 * len(word)
+    return False
+
+
+def _marks_alone(word: str) -> bool:
+    marks = _LOOKALIKE.findall(word)
+    return len(marks) >= 3 and len(set(marks)) >= 2 and not any(map(str.isalpha, word)) and not _NUMBER.fullmatch(word)
 
 
 def restored(word: str, model: list) -> str:
-    """A token without marks at its edges, decoded if it shows traces of hiding; codes of mostly digits stay."""
-    word = _TAIL.sub("", word).strip(_EDGES)
-    if len(word) <= LONGEST and _TRACE.search(word) and 3 * sum(c.isdigit() for c in word) <= 2 * len(word):
-        return decode(word, model)
-    return word.rstrip("!+")
+    """A token without marks at its edges, decoded if it shows traces of hiding.
+
+    Marks at its end that may stand for a letter are left to the decoder.
+    """
+    last = word[-1:]
+    if last * 2 == word[-2:] and last not in LEET and not last.isalnum():
+        word = word.rstrip(last)
+    word = word.rstrip(_ENDS).lstrip(_EDGES)
+    if _THRICE.search(word):
+        short = _SAME.sub(r"\1\1", _LETTERS.sub(r"\1\1\1", word))
+    elif word.isalpha():
+        return word
+    else:
+        short = word
+    return decode(short, model) if _hidden(short) else word.rstrip("!+")
 
 
 def restore(text: str, model: list) -> str:
     """The whole text in lower case with every token restored and spaced words joined."""
-    lowered = text.lower()
-    joined = _SPACED.sub(lambda m: re.sub(r"[ .*_\-]", "", m[0]), lowered)
+    joined = _SPACED.sub(lambda m: _BETWEEN.sub("", m[0]), text.lower())
     return re.sub(r"\S+", lambda m: restored(m[0], model) or m[0], joined)
 
 
@@ -142,13 +183,14 @@ class Words:
             own = tuple(self.only[f] for f in own if f in self.only)
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        self.known[word] = own
+        if len(word) <= REMEMBERED_LENGTH:
+            self.known[word] = own
         return own
 
     def of(self, text: str) -> set[int]:
         lowered = text.lower()
         words = set(lowered.split())
-        words.update(re.sub(r"[ .*_\-]", "", m[0]) for m in _SPACED.finditer(lowered))
+        words.update(_BETWEEN.sub("", m[0]) for m in _SPACED.finditer(lowered))
         found: set[int] = set()
         for word in words:
             own = self.known.get(word)

@@ -102,6 +102,34 @@ def test_hidden_words_are_restored(made):
     assert toxicity.restore("The i d i o t said", model) == "the idiot said"
 
 
+def test_words_hidden_at_any_length_and_by_any_mark(spark, made):
+    model = made[2].chars.tolist()
+    for hidden, word in (
+        ("st" + "u" * 60 + "pid", "stupid"), ("...".join("pathetic" * 6), "pathetic" * 6), (".".join("stupid" * 8), "stupid" * 8),
+        ("i..d..i..o..t", "idiot"), ("1d10t!!", "idiot"), ("meadow!", "meadow"), ("river...", "river"),
+    ):
+        assert toxicity.restored(hidden, model) == word
+    for text, word in (("i d i o t!", "idiot"), ("i d i o t", "idiot"), ("m o r o n.", "moron"), ("(i  d - i  o  t)", "idiot"), ("s*t*u*p*i*d?!", "stupid"), ("1 d 1 0 t", "idiot")):
+        assert word in toxicity.restore(f"the {text}", model)
+        plain = {f for f in toxicity.word_features(word)}
+        assert plain <= toxicity.Words(model).of(f"the {text} said")
+    rows = [(1, "grass is as class, assets pass; an ass, pissing, piss and shit, a miss, this ship " * 50, "en", "s", 0)]
+    marks = toxicity.char_model((r.code, r.n) for r in toxicity.char_counts(spark.createDataFrame(rows, SCHEMA)).collect()).tolist()
+    for hidden, word in (("pi$$", "piss"), ("pi$$$$$$$$", "piss"), ("a$$", "ass"), ("@$$", "ass"), ("@55", "ass"), ("$hit", "shit")):
+        assert toxicity.restored(hidden, marks) == word
+    for text, word in (("a s s", "ass"), ("$ h i t", "shit"), ("@ $ $", "ass")):
+        assert toxicity.restore(f"an {text} here", marks) == f"an {word} here"
+    for plain in ("$50", "+1", "$$$", "1234", "3.5", "привет"):
+        assert toxicity.restored(plain, marks) == plain
+
+
+def test_long_tokens_take_linear_time(made):
+    model = made[2].chars.tolist()
+    for token in ("ab" * 50_000, "a1" * 20_000, "." * 100_000 + "x", "_ " * 50_000, "a." * 50_000 + "zz", "a " * 50_000 + "zz", "!" * 50_000):
+        toxicity.restore(token, model)
+        toxicity.Words(model).of(token)
+
+
 def test_held_out_documents_are_ranked(made):
     docs, marks, scorer = made
     labels = {r.doc_id: r.toxic for r in marks.collect()}
