@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, context: int = CONTEXT, path: str | None = None, wit
     path = path or vocabulary_path()
 
     def row(doc_id: object, text: str) -> list[tuple]:
-        ids = memoryview(encoder(path).ids(text) + END)
+        ids = memoryview(encoder(path).document(text) + END)
         n = len(ids) // 4
         parts = ((at, size, ids[4 * at : 4 * (at + size)]) for at, size in cuts(n, context))
         return [(doc_id, at, size, zlib.crc32(own), n, *([bytes(own)] if with_ids else [])) for at, size, own in parts]

@@ -4,6 +4,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import cut, spread, table
 
-#: The ranks of byte_bpe_50k.json: the same ids, made several times faster.
+#: The ranks of byte_bpe_50k.json: the same ids, made several times faster. The tokens added to them stand in that file.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: How such a vocabulary splits a text before it merges bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,18 +29,34 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that the vocabulary's JSON file, beside its ranks, adds to them; a vocabulary of ranks alone has none."""
+    described = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(described):
+        return {}
+    with open(described, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
 class Encoder:
-    """ids(text): the text's token ids as unsigned 32-bit bytes, lowest byte first. Special strings are ordinary text."""
+    """Token ids of a text as unsigned 32-bit bytes, lowest byte first.
+
+    ids(text) takes added tokens such as <|endoftext|> as ordinary text. document(text) gives what the vocabulary's JSON
+    file gives as loaded: the text is split at added tokens, and each becomes its one id.
+    """
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+
+    def document(self, text: str) -> bytes:
+        return np.array(self.encoding.encode(text, allowed_special="all", disallowed_special=()), "<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -69,7 +87,7 @@ def map_texts(docs: DataFrame, row: Callable[[object, str], list[tuple]], schema
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) for every row; null and empty texts have 0 tokens."""
     path = path or vocabulary_path()
-    return map_texts(docs, lambda i, text: [(i, len(encoder(path).ids(text)) // 4)], "doc_id long, n_tokens long")
+    return map_texts(docs, lambda i, text: [(i, len(encoder(path).document(text)) // 4)], "doc_id long, n_tokens long")
 
 
 def length_histogram(counts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from loam.llm import packing, tokens
-from tests.llm.data import awkward, empty
+from tests.llm.data import SCHEMA, awkward, empty
 
 ALPHABET = " \n\t\r\x0b\x1c\x85\xa0　aB1'sé漢\U0001f600!.|<|endoftext|>"
 
@@ -30,6 +30,23 @@ def test_ids_are_those_of_the_vocabulary_file(reference):
         assert np.frombuffer(tokens.encoder(tokens.vocabulary_path()).ids(text), "<u4").tolist() == reference(text)
 
 
+def test_added_tokens_are_those_of_the_vocabulary_file_as_loaded(spark):
+    as_loaded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    parts = [*ALPHABET, "<|endoftext|>", "<|endoftext", "  ", "\n\n", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a  <|endoftext|>  \n b", "a" * 5000, ""]
+    want = [as_loaded.encode(t, add_special_tokens=False).ids for t in texts]
+    own = tokens.encoder(tokens.vocabulary_path())
+    assert [np.frombuffer(own.document(t), "<u4").tolist() for t in texts] == want
+    few = range(2990, len(texts))
+    docs = spark.createDataFrame([(i, texts[i], "en", "a", len(texts[i])) for i in few], SCHEMA)
+    assert {r.doc_id: r.n_tokens for r in tokens.token_counts(docs).collect()} == {i: len(want[i]) for i in few}
+    pieces = sorted((r.doc_id, r.start, r.ids, r.doc_tokens) for r in packing.pack(docs).collect())
+    assert {i: np.frombuffer(b"".join(p[2] for p in pieces if p[0] == i), "<u4").tolist() for i in few} == {i: [*want[i], 1] for i in few}
+    assert all(n == len(want[i]) + 1 for i, _, _, n in pieces)
+
+
 def test_histogram_against_brute_force(spark, reference):
     lengths = [len(reference(r.text or "")) for r in awkward(spark).collect()]
     found = {r.length: r for r in tokens.length_histogram(tokens.token_counts(awkward(spark))).collect()}
