@@ -157,12 +157,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CoTrained:
     """Co-trains on ``docs`` with ``labels`` (doc_id, quality 0 or 1; null labels count as none, repeated ones by mean)."""
     docs = docs.select("doc_id", *(c for c in _COLUMNS if c in docs.columns))
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).alias("y"))
-    marked = marks.count()
+    marked = docs.select("doc_id").join(marks, "doc_id").count()  # labels of documents elsewhere don't count
     unmarked = max(docs.count() - marked, 1)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    known = docs.join(marks.where(drawn < F.lit(sample / max(marked, 1))), "doc_id")
+    drawn = lambda *by: F.pmod(F.xxhash64(*by, F.lit("quality")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    known = docs.join(marks.where(drawn("doc_id") < F.lit(sample / max(marked, 1))), "doc_id")
     rows = sorted(((r.y, *r.features) for r in _vectors(known).collect()))
-    some = docs.where(drawn < F.lit(sample / unmarked))
+    by_id = F.when(F.col("doc_id").isNull(), drawn("text")).otherwise(drawn("doc_id"))  # rows without an id not all at once
+    some = docs.where(by_id < F.lit(sample / unmarked))
     free = some.join(marks, "doc_id", "left_anti").withColumn("y", F.lit(0.0))
     pool = sorted(tuple(r.features) for r in _vectors(free).collect())
     width = len(text_view("")) + len(meta_view("", None, None, None))
@@ -174,7 +175,8 @@ def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
     """(doc_id, text_score, meta_score, score, keep) for every row of ``docs``.
 
     Scores lie between 0 and 1, higher is better; keep is 1 from ``KEEP`` on. A null text counts as empty; null or
-    missing metadata are values of their own. An empty table gives an empty table. Equal rows get equal scores.
+    missing metadata are values of their own. An empty table gives an empty table. Equal rows get equal scores. Where no
+    classifier could be fitted the score is the labels' mean and every row is kept.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +185,13 @@ def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (a, b, both))], names=["doc_id", "text_score", "meta_score", "score"])
 
     found = docs.select(F.col("doc_id").cast("long"), *_inputs(docs)).mapInArrow(work, "doc_id long, text_score double, meta_score double, score double")
-    return found.withColumn("keep", (F.col("score") >= KEEP).cast("int"))
+    return found.withColumn("keep", F.lit(1) if model.both is None else (F.col("score") >= KEEP).cast("int"))
 
 
 def kept(docs: DataFrame, model: CoTrained, threshold: float = KEEP) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose score reaches the threshold."""
+    """The rows of ``docs``, all columns as they are, whose score reaches the threshold; all rows where no classifier could be fitted."""
+    if model.both is None:
+        return docs
 
     @F.pandas_udf("double")
     def score(text, lang, source, n_chars):  # noqa: ANN001

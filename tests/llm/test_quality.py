@@ -58,3 +58,20 @@ def test_awkward_rows_one_class_and_empty_tables(spark):
     scores = quality.scored(awkward(spark), full).collect()
     assert all(0 <= r.score <= 1 for r in scores)
     assert quality.scored(docs.select("doc_id", "text"), full).count() == docs.count()
+
+
+def test_pool_is_bounded_when_labels_cover_more_than_the_documents(spark, monkeypatch):
+    pools = []
+    monkeypatch.setattr(quality, "co_train", lambda x, y, pool: pools.append((len(x), len(pool))))
+    docs = spark.range(4000).selectExpr("if(id % 4 = 1, null, id) doc_id", "concat('text ', id) text", "'en' lang", "'s' source", "9L n_chars")
+    labels = spark.range(0, 40_000, 2).selectExpr("id doc_id", "cast(id % 4 = 0 as int) quality")  # 20 000, of which 2000 of docs
+    quality.fit(docs, labels, 200)
+    (known, pool), = pools
+    assert 130 < known < 280 and 130 < pool < 280
+
+
+def test_without_a_classifier_all_rows_stay(spark):
+    bad = spark.createDataFrame([(1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(awkward(spark), bad)
+    assert quality.kept(awkward(spark), model).count() == 10
+    assert {r.keep for r in quality.scored(awkward(spark), model).collect()} == {1}
