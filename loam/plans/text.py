@@ -289,7 +289,7 @@ def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f7_readings", r"""
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN [CAST(o_orderkey % 900 + 100 AS DOUBLE) / 1000 + 1, CAST(1000 + o_orderkey % 900 + 100 AS DOUBLE)]
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN [CAST('1.' || CAST(o_orderkey % 900 + 100 AS VARCHAR) AS DOUBLE), CAST(1000 + o_orderkey % 900 + 100 AS DOUBLE)]
   WHEN o_orderkey % 3 = 1 THEN [CAST(o_orderkey AS DOUBLE), CAST(o_orderkey AS DOUBLE) / 100] ELSE [CAST(o_orderkey AS DOUBLE)] END AS readings FROM orders WHERE o_orderkey > 0""")
 def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")

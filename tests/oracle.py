@@ -18,7 +18,7 @@ def views(base: str) -> duckdb.DuckDBPyConnection:
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else float(f"{value:.9g}")
+        return None if math.isnan(value) else value
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     if isinstance(value, dict):
@@ -26,7 +26,7 @@ def plain(value):
     if hasattr(value, "asDict"):
         return tuple(plain(v) for v in value)
     if hasattr(value, "as_tuple"):
-        return float(f"{float(value):.9g}")
+        return float(value)
     return value
 
 
