@@ -5,11 +5,13 @@ Gamma(2, 1) and b from the unit interval, all by hash of the term alone, and tak
 ln a = ln c - r (t - b + 1); of all terms the one with the least a, with its t, is the sample. Two texts get the same
 sample with a chance equal to their generalised Jaccard similarity, the sum of lesser weights over that of greater.
 
-One sample is drawn in each of ``BINS`` bins, and a term goes to one bin by hash (bin-wise sampling), so a word costs one
-draw and not one for every sample. To keep the bins even, a term heavier than ``CHUNK`` is first split into chunks of
-that weight and a rest, terms of their own: the sums of lesser and of greater weights, and so the similarity, stay.
-The likeness of two fingerprints is the share of equal samples among the bins that are filled in either; as samples are
-kept as 8 bits, chance hits are taken off.
+There are ``BINS`` samples. Drawing each over all terms would cost a draw a term and sample, so terms visit the samples in
+turns: every term goes through all of them, one a turn, in an order of its own by hash, and a sample is taken of the terms
+that came first, which in a long text is the first turn already. A short text takes as many turns as fill its samples, a
+text of one word all ``BINS``, so its samples are as many and as independent as a long one's. To keep them even, a term
+heavier than ``CHUNK`` is first split into chunks of that weight and a rest, terms of their own: the sums of lesser and of
+greater weights, and so the similarity, stay. The likeness of two fingerprints is the share of equal samples among those
+that are filled in either; as samples are kept as 8 bits, chance hits are taken off.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from loam.llm.common import cut, partitions, table, text_of
 
 BINS, CHUNK = 128, 2
+#: Terms that have to visit the samples, over all turns, so that about 2 in 100 stay empty.
+VISITS = 500
 SPACE = r"[\x20\x09-\x0D]+"
 #: Places after the point that ln a keeps, and how far it is shifted to be positive.
 SCALE, SHIFT = 2.0**32, 128.0
@@ -31,8 +35,13 @@ def _unit(column: Column, shift: int, bits: int) -> Column:
     return (cut_out.cast("double") + F.lit(0.5)) / F.lit(float(1 << bits))
 
 
+def turns(words: Column) -> Column:
+    """How many turns a text of so many words (an array) takes. It has half as many terms or more, as a term weighs at most 2."""
+    return F.least(F.lit(BINS), F.ceil(F.lit(VISITS) / F.greatest(F.floor((F.size(words) - 1) / CHUNK), F.lit(1)))).cast("int")
+
+
 def _sample(weight: Column) -> Column:
-    """ln a as an ordered integer with 8 bits of (term, t) below it, never all 0; null where the weight is zero.
+    """Turn and ln a as one ordered integer with 8 bits of (term, t) below, never all 0; null where the weight is zero.
 
     Two uniforms multiplied make a Gamma(2, 1) draw: minus the logarithm of their product.
     """
@@ -41,19 +50,25 @@ def _sample(weight: Column) -> Column:
     ln_a = F.ln(c) - r * (t.cast("double") - b + F.lit(1.0))
     place = ((F.greatest(ln_a, F.lit(-100.0)) + F.lit(SHIFT)) * F.lit(SCALE)).cast("long")
     mark = F.pmod(F.xxhash64("chunk", t), F.lit(255)) + F.lit(1)
-    return F.when(weight > 0, F.shiftleft(place, 8).bitwiseOR(mark))
+    turn = F.shiftleft(F.col("turn").cast("long"), 48)
+    return F.when(weight > 0, F.shiftleft(place, 8).bitwiseOR(mark).bitwiseOR(turn))
 
 
 def samples(words: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bin, one, two) from (keys, term long, n_one, n_two): a sample in each bin for two bags of words at once."""
+    """(keys, bin, one, two) from (keys, turns_one, turns_two, term long, n_one, n_two): the samples of two bags of words at once."""
     heavy = F.greatest("n_one", "n_two")
     split = words.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((heavy - 1) / CHUNK))))
     rest = lambda c: F.least(F.greatest(F.col(c) - F.col("part") * CHUNK, F.lit(0)), F.lit(CHUNK))
-    chunk = split.select(*keys, F.when(F.col("part") == 0, F.col("term")).otherwise(F.xxhash64("term", "part")).alias("chunk"), rest("n_one").alias("w1"), rest("n_two").alias("w2"))
-    first, second = F.xxhash64("chunk", F.lit(1)), F.xxhash64("chunk", F.lit(2))
+    named = F.when(F.col("part") == 0, F.col("term")).otherwise(F.xxhash64("term", "part"))
+    most = F.greatest(F.when(F.col("n_one") > 0, F.col("turns_one")), F.when(F.col("n_two") > 0, F.col("turns_two")))
+    chunk = split.select(*keys, "turns_one", "turns_two", named.alias("chunk"), rest("n_one").alias("w1"), rest("n_two").alias("w2"), F.explode(F.sequence(F.lit(0), most - 1)).alias("turn"))
+    first, second = F.xxhash64("chunk", F.lit(1), "turn"), F.xxhash64("chunk", F.lit(2), "turn")
+    # the order of a term's visits: a start and an odd step, so that it meets every bin once
+    way = F.xxhash64("chunk", F.lit(3))
+    step = F.shiftrightunsigned(way, 7).bitwiseAND(F.lit(BINS - 1).cast("long")).bitwiseOR(F.lit(1).cast("long"))
     drawn = chunk.withColumn("g1", first).withColumn("g2", second).select(
-        *keys, "chunk", "w1", "w2",
-        F.shiftrightunsigned("g1", 57).cast("int").alias("bin"),
+        *keys, "chunk", "turn", F.when(F.col("turn") < F.col("turns_one"), F.col("w1")).otherwise(0).alias("w1"), F.when(F.col("turn") < F.col("turns_two"), F.col("w2")).otherwise(0).alias("w2"),
+        (way + step * F.col("turn")).bitwiseAND(F.lit(BINS - 1).cast("long")).cast("int").alias("bin"),
         (-F.ln(_unit(F.col("g1"), 0, 28) * _unit(F.col("g1"), 28, 28))).alias("r"),
         (-F.ln(_unit(F.col("g2"), 0, 21) * _unit(F.col("g2"), 21, 21))).alias("c"),
         _unit(F.col("g2"), 42, 22).alias("b"),
@@ -122,18 +137,21 @@ def edited(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(text_of()).alias("h"), text_of().cast("string").alias("text"))
     whole = rows.repartition(4 * partitions(docs), "d", "h").groupBy("d", "h").agg(F.first("text").alias("text"))
-    known = whole.join(order(rows), ["d", "h"])
+    known = whole.join(order(rows).hint("merge"), ["d", "h"])  # both grow with the table: never broadcast
     third = lambda n: F.floor(n / F.lit(3)).cast("int")
     lent = known.select(F.col("prev_d").alias("d"), F.col("prev_h").alias("h"), F.substring("text", F.lit(1), third(F.col("prev_n"))).alias("lent"))
     n = F.char_length("text")
     made = F.concat(F.substring("text", F.lit(1), n - third(n)), "lent")
-    return known.join(lent, ["d", "h"]).select("d", "h", "copies", "text", made.alias("edited"), "next_d", "next_h")
+    return known.join(lent.hint("merge"), ["d", "h"]).select("d", "h", "copies", "text", made.alias("edited"), "next_d", "next_h")
 
 
 def bag(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, term, n_one, n_two) from (keys, text, edited): how often each word stands in either."""
-    sides = F.array(F.struct(F.lit(True).alias("first"), F.split("text", SPACE).alias("words")), F.struct(F.lit(False).alias("first"), F.split("edited", SPACE).alias("words")))
-    each = texts.select(*keys, F.inline(sides)).select(*keys, "first", F.explode("words").alias("word")).where("word <> ''")
+    """(keys, turns_one, turns_two, term, n_one, n_two) from (keys, text, edited): how often each word stands in either."""
+    split = texts.select(*keys, F.split("text", SPACE).alias("one"), F.split("edited", SPACE).alias("two"))
+    split = split.select(*keys, turns(F.col("one")).alias("turns_one"), turns(F.col("two")).alias("turns_two"), "one", "two")
+    keys = [*keys, "turns_one", "turns_two"]
+    sides = F.array(F.struct(F.lit(True).alias("first"), F.col("one").alias("words")), F.struct(F.lit(False).alias("first"), F.col("two").alias("words")))
+    each = split.select(*keys, F.inline(sides)).select(*keys, "first", F.explode("words").alias("word")).where("word <> ''")
     return each.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count_if("first").alias("n_one"), F.count_if(~F.col("first")).alias("n_two"))
 
 
@@ -154,13 +172,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     facts = texts.select(*keys, "copies", F.char_length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)).alias("sha"), "next_d", "next_h")
     none = F.unhex(F.lit("00" * BINS))
-    whole = cut(facts.join(signed, keys, "left").select(
+    whole = cut(facts.join(signed.hint("merge"), keys, "left").select(
         *keys, "copies", "n_chars", "sha", "next_d", "next_h", F.coalesce("one", none).alias("one"), F.coalesce("two", none).alias("two"),
         _share(F.coalesce("equal", F.lit(0)), F.coalesce("filled", F.lit(0))).alias("near_edited"),
     ))
     after = whole.select(F.col("d").alias("next_d"), F.col("h").alias("next_h"), F.col("one").alias("after"))
     hexed = lambda c: F.lower(F.hex(c))
-    out = whole.join(after, ["next_d", "next_h"]).select(
+    out = whole.join(after.hint("merge"), ["next_d", "next_h"]).select(
         F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id"), "n_chars", hexed("sha").alias("edited_sha256"), hexed("one").alias("fingerprint"), hexed("two").alias("edited_fingerprint"), "near_edited",
         likeness(hexed("one"), hexed("after")).alias("near_next"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     )

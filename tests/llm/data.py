@@ -26,3 +26,13 @@ def awkward(spark):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+CLASHING = ("target", "weight", "tilt", "source_size", "taken", "_size", "_source", "_order", "row", "round", "rounds", "h", "_h", "spans", "clean", "mark", "id", "no_id", "_place", "y", "sid", "sig", "n", "u", "v")
+
+
+def clashing(df):
+    """``df`` with extra columns under names that the operators use inside."""
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHING})

@@ -65,3 +65,20 @@ def test_collision_rate_is_the_generalised_jaccard(spark, parts):
     for each in zip(*errors, strict=True):
         assert abs(sum(each) / len(each)) < 0.03
         assert (sum(x * x for x in each) / len(each)) ** 0.5 < 0.08
+
+
+def test_short_texts(spark):
+    """As many samples for one word as for a thousand."""
+    rows = [(2 * i + j, " ".join([f"q{i}"] * (2 - j)), "en", "s", 0) for i in range(12) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    errors = [r.near_next - n for r, _, n in check(docs.collect(), weighted.fingerprints(docs).collect())]
+    assert all(abs(e) <= 0.15 for e in errors) and abs(sum(errors) / len(errors)) < 0.02
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 20))]
+        rows += [(2000 - 2 * i, " ".join(base), "en", "s", 0), (1999 - 2 * i, " ".join(w if rng.random() < 0.7 else "other" for w in base), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    errors = [e for r, a, n in check(docs.collect(), weighted.fingerprints(docs).collect()) for e in (r.near_edited - a, r.near_next - n)]
+    assert abs(sum(errors) / len(errors)) < 0.01
+    assert (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.05
