@@ -20,6 +20,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_ID = re.compile(r"(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{16,32}")
-_KEY = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9+/_-]{20,128}={0,2}")
+_ID = re.compile(r"(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{16,}")
+_KEY = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20\"'<>|]+")
 
 
@@ -153,28 +154,39 @@ def secrets(docs: DataFrame) -> DataFrame:
     return joined.select("f.doc_id", "f.h", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("all", "base").alias("spans"), F.coalesce("weak", F.lit(0)).alias("n_linked"))
 
 
+def masked(text: str, spans: list, mask: str) -> str:
+    """``text`` with the spans (start, end), sorted, replaced; overlapping ones share one mask. Linear in both."""
+    out, at = [], 0
+    for span in spans:
+        if span["start"] >= at:
+            out += [text[at : span["start"]], mask]
+        at = max(at, span["end"])
+    return "".join([*out, text[at:]])
+
+
 def redacted(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
     """``docs`` with every reported span's text replaced by ``mask``; all rows and columns stay, n_chars is counted anew
-    where a text changed. Overlapping spans share one mask."""
+    where a text changed. Overlapping spans share one mask.
+
+    A null text stays null and an empty one empty; repeated rows are masked alike; a null doc_id is an id; other columns
+    may have any names; an empty table gives an empty table.
+    """
     found = cut(parts(docs))
-    per = linked(found).groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")).alias("p")
-    rows = docs.withColumn("_h", F.xxhash64(text_of())).alias("d")
-    joined = rows.join(per, F.col("d.doc_id").cast("long").eqNullSafe(F.col("p.doc_id")) & (F.col("d._h") == F.col("p.h")), "left")
-    text = F.col("d.text")
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(s: Column, span: Column) -> Column:
-        gap = F.substring(text, (s["at"] + 1).cast("int"), F.greatest(span["start"] - s["at"], F.lit(0)).cast("int"))
-        more = F.when(span["start"] >= s["at"], F.concat(s["out"], gap, F.lit(mask))).otherwise(s["out"])
-        return F.struct(more.alias("out"), F.greatest(s["at"], span["end"]).alias("at"))
-
-    cleaned = F.aggregate("_spans", state, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text))))
-    new = F.when(F.col("_spans").isNull(), text).otherwise(cleaned)
-    columns = [F.col(f"d.{c}") for c in docs.columns if c not in ("text", "n_chars")]
-    made = joined.select(*columns, new.alias("text"), *([F.col("d.n_chars").alias("_n"), F.col("_spans").isNotNull().alias("_changed")] if "n_chars" in docs.columns else []))
+    per = linked(found).groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")).alias("p")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of()).alias("h")).alias("d")
+    joined = rows.join(per, F.col("d.id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.h") == F.col("p.h")), "left")
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else masked(t, list(s), mask) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    # only texts with a span go to Python
+    changed = F.col("spans").isNotNull()
+    made = joined.select("row", "spans", cleaned(F.when(changed, F.col("row.text").cast("string")), F.col("spans")).alias("clean"))
+    new = {"text": F.when(changed, F.col("clean")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(F.col("_changed"), F.char_length("text").cast("long")).otherwise(F.col("_n")))
-    return made.select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.char_length("clean").cast("long")).otherwise(F.col("row.n_chars"))
+    return made.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

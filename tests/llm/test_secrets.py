@@ -5,7 +5,7 @@ import random
 import re
 
 from loam.llm import secrets
-from tests.llm.data import SCHEMA, awkward, empty
+from tests.llm.data import CLASHING, SCHEMA, awkward, clashing, empty
 
 ASSIGN = r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -91,3 +91,25 @@ def test_redaction(spark):
 def test_redaction_of_overlapping_spans(spark):
     docs = spark.createDataFrame([(1, "token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" x", "en", "s", 0)], SCHEMA)
     assert [r.text for r in secrets.redacted(docs).collect()] == ['<secret>" x']
+
+
+def test_long_parts_are_linked_and_masked(spark):
+    body = "aB3dE6gH9jK2mN5pQ8rS" * 20  # 400 characters
+    code = "ABCD1234EFGH5678" * 5
+    docs = spark.createDataFrame([(1, f"x {code} {body} y", "en", "s", 0), (2, f"x {body} y", "en", "s", 0), (3, f"{code} http://h.example.com/p", "en", "s", 0)], SCHEMA)
+    assert {r.doc_id: r.spans for r in secrets.secrets(docs).collect()} == {1: "id:2:82,key:83:483", 2: "", 3: ""}
+    assert {r.doc_id: r.text for r in secrets.redacted(docs).collect()}[1] == "x <secret> <secret> y"
+
+
+def test_columns_may_have_any_names(spark):
+    docs = clashing(awkward(spark).union(awkward(spark).limit(1).selectExpr("100L", "'a token=abcdefgh b'", "lang", "source", "1L", "fp", "key", "size", "label", "kind", "position")))
+    found = secrets.redacted(docs)
+    assert found.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in found.collect()) == sorted((str(r.doc_id), "a <secret> b" if r.doc_id == 100 else r.text) for r in docs.collect())
+    assert all(r[c] == f"own {c}" for r in found.collect() for c in CLASHING)
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    text = "password=hunter22 " * 50_000
+    spans = [{"start": s, "end": e} for s, e, _ in secrets.base_spans(text)]
+    assert secrets.masked(text, spans, "*") == "* " * 50_000
