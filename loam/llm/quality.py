@@ -3,10 +3,11 @@
 Both views are small numeric vectors. Starting from the labelled sample, each view is fitted; in every round each marks
 the unlabelled documents it is surest of, good and bad in the labels' proportion, and these pseudo-labels join the
 other view's training rows. At last both views are calibrated on held-out folds of the labelled rows and combined by a
-logistic regression over the two; every document gets the combined score.
+logistic regression over the two; every document gets the combined score. The views share no evidence: one sees the text
+alone, the other language, source and stated length alone.
 
-Fitting takes place on the driver over a bounded sample: at most about ``SAMPLE`` labelled and as many unlabelled rows'
-vectors, chosen by hash. Scoring runs over all documents in Arrow batches.
+Fitting takes place on the driver over a bounded sample: at most ``SAMPLE`` labelled and as many unlabelled rows' vectors,
+chosen by hash of id and text. Scoring runs over all documents in Arrow batches.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import spread, table
+from loam.llm.common import cut, place, spread, table, text_of
 from loam.llm.learning import Logistic, folds, sigmoid
 
 #: Bound on the labelled and on the unlabelled rows that the classifiers are fitted on.
 SAMPLE = 12_000
 ROUNDS, SHARE = 5, 0.04
+#: Log odds from which a view is sure enough to teach the other.
+SURE = 2.0
 #: A document is kept from this score on.
 KEEP = 0.5
 LANGS, SOURCES = 8, 32
@@ -57,15 +60,13 @@ def text_view(text: str) -> list[float]:
     ]
 
 
-def meta_view(text: str, lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
-    """Language, source, stated and real length, and the layout in lines."""
-    lines = text.count("\n") + 1
+def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
+    """Language, source and stated length; nothing of the text itself."""
     marks = [0.0] * (LANGS + SOURCES)
     marks[zlib.crc32((lang or "").encode()) % LANGS] = 1.0
     marks[LANGS + zlib.crc32((source or "").encode()) % SOURCES] = 1.0
-    longest = max(map(len, text.split("\n")))
-    stated = n_chars if n_chars is not None else -1
-    return [*marks, float(lang is None), float(source is None), np.log1p(max(stated, 0)), float(stated == len(text)), np.log1p(lines), np.log1p(len(text) / lines), np.log1p(longest), longest / max(len(text), 1)]
+    stated = np.log1p(max(n_chars or 0, 0))
+    return [*marks, float(lang is None), float(source is None), float(n_chars is None), stated, stated**2]
 
 
 N_TEXT = len(text_view(""))
@@ -112,7 +113,7 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray) -> CoTrained:
             order = free[np.argsort(logits[v][free], kind="stable")]
             most = max(1, int(SHARE * len(pool)))
             bad, good = order[: max(1, round(most * (1 - prior)))], order[::-1][: max(1, round(most * prior))]
-            bad, good = bad[logits[v][bad] < -1], good[logits[v][good] > 1]  # only if it is sure
+            bad, good = bad[logits[v][bad] < -SURE], good[logits[v][good] > SURE]
             at, marks = pseudo[1 - v]
             pseudo[1 - v] = (np.concatenate([at, bad, good]), np.concatenate([marks, np.zeros(len(bad)), np.ones(len(good))]))
     fold, held = folds(len(y)), np.zeros((len(y), 2))
@@ -138,37 +139,43 @@ def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
     rows = []
     for i in range(batch.num_rows):
         own = text[i].as_py() or ""
-        rows.append(text_view(own) + meta_view(own, lang[i].as_py(), source[i].as_py(), n[i].as_py()))
+        rows.append(text_view(own) + meta_view(lang[i].as_py(), source[i].as_py(), n[i].as_py()))
     return np.array(rows, float).reshape(batch.num_rows, -1)
 
 
 def _vectors(docs: DataFrame) -> DataFrame:
-    """(y, features) of rows that have a column y."""
+    """(y, place, features) of rows that have columns y and _place."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "features"])
+            x = _matrix(batch, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "place", "features"])
 
-    return docs.select(F.col("y").cast("double"), *_inputs(docs)).mapInArrow(work, "y double, features array<double>")
+    return docs.select(F.col("y").cast("double"), "_place", *_inputs(docs)).mapInArrow(work, "y double, place double, features array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CoTrained:
-    """Co-trains on ``docs`` with ``labels`` (doc_id, quality 0 or 1; null labels count as none, repeated ones by mean)."""
-    docs = docs.select("doc_id", *(c for c in _COLUMNS if c in docs.columns))
+    """Co-trains on ``docs`` with ``labels`` (doc_id, quality 0 or 1; null labels count as none, repeated ones by mean).
+
+    Labels of documents that aren't in ``docs`` count for nothing. Rows equal in id and text count once. At most ``sample``
+    labelled and ``sample`` unlabelled rows' vectors come to the driver, whatever the tables hold.
+    """
+    docs = docs.select("doc_id", *(c for c in _COLUMNS if c in docs.columns)).withColumn("_place", place("quality", "doc_id", text_of()))
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).alias("y"))
-    marked = docs.select("doc_id").join(marks, "doc_id").count()  # labels of documents elsewhere don't count
-    unmarked = max(docs.count() - marked, 1)
-    drawn = lambda *by: F.pmod(F.xxhash64(*by, F.lit("quality")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    known = docs.join(marks.where(drawn("doc_id") < F.lit(sample / max(marked, 1))), "doc_id")
-    rows = sorted(((r.y, *r.features) for r in _vectors(known).collect()))
-    by_id = F.when(F.col("doc_id").isNull(), drawn("text")).otherwise(drawn("doc_id"))  # rows without an id not all at once
-    some = docs.where(by_id < F.lit(sample / unmarked))
-    free = some.join(marks, "doc_id", "left_anti").withColumn("y", F.lit(0.0))
-    pool = sorted(tuple(r.features) for r in _vectors(free).collect())
-    width = len(text_view("")) + len(meta_view("", None, None, None))
-    known_rows = np.array(rows, float).reshape(-1, width + 1)
-    return co_train(known_rows[:, 1:], known_rows[:, 0], np.array(pool, float).reshape(-1, width))
+    marked = docs.select("doc_id").join(marks, "doc_id").count()
+    unmarked = docs.select("doc_id").count() - marked
+    known_share, free_share = (sample / max(n, 1) for n in (marked, unmarked))
+    drawn = docs.where(F.col("_place") < max(known_share, free_share)).dropDuplicates(["doc_id", "_place"])
+    both = drawn.join(marks, "doc_id", "left").where(F.col("_place") < F.when(F.col("y").isNotNull(), known_share).otherwise(free_share))
+    vectors = cut(_vectors(both))
+
+    def lowest(rows: DataFrame) -> list[tuple]:
+        return sorted((r.y or 0.0, *r.features) for r in rows.orderBy("place").limit(sample).collect())
+
+    width = N_TEXT + len(meta_view(None, None, None))
+    known = np.array(lowest(vectors.where("y is not null")), float).reshape(-1, width + 1)
+    pool = np.array(lowest(vectors.where("y is null")), float).reshape(-1, width + 1)
+    return co_train(known[:, 1:], known[:, 0], pool[:, 1:])
 
 
 def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
@@ -189,7 +196,9 @@ def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: CoTrained, threshold: float = KEEP) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose score reaches the threshold; all rows where no classifier could be fitted."""
+    """The rows of ``docs``, all columns as they are, whose score reaches the threshold; all rows where no classifier could be
+    fitted. A null text is judged as an empty one, repeated rows alike, other columns may have any names, and an empty
+    table gives an empty table."""
     if model.both is None:
         return docs
 

@@ -25,7 +25,7 @@ def test_held_out_labels_are_ranked(spark):
 def test_views_teach_each_other():
     """Few labels, two noisy views: with pseudo-labels from the pool, held-out ranking is no worse than without."""
     rng = np.random.default_rng(3)
-    width = quality.N_TEXT + 50
+    width = quality.N_TEXT + len(quality.meta_view(None, None, None))
 
     def draw(n):
         y = (rng.random(n) < 0.7).astype(float)
@@ -75,3 +75,44 @@ def test_without_a_classifier_all_rows_stay(spark):
     model = quality.fit(awkward(spark), bad)
     assert quality.kept(awkward(spark), model).count() == 10
     assert {r.keep for r in quality.scored(awkward(spark), model).collect()} == {1}
+
+
+def test_no_more_rows_than_the_bound_come_to_the_driver(spark, monkeypatch):
+    """One labelled id on very many rows, and labels of ids that aren't there."""
+    pools = []
+    monkeypatch.setattr(quality, "co_train", lambda x, y, pool: pools.append((len(x), len(pool))))
+    same = spark.range(3000).selectExpr("7L doc_id", "concat('text ', id) text")
+    copies = spark.range(3000).selectExpr("8L doc_id", "'one text' text")
+    docs = same.union(copies).union(spark.range(2000).selectExpr("id + 100 doc_id", "concat('other ', id) text"))
+    labels = spark.createDataFrame([(7, 1), (8, 0), *((-i, 1) for i in range(1, 9000))], "doc_id long, quality int")
+    quality.fit(docs, labels, 100)
+    (known, pool), = pools
+    assert 0 < known <= 100 and 50 < pool <= 100
+    quality.fit(docs.where("doc_id < 9"), labels, 10_000)
+    assert pools[1] == (3001, 0)
+
+
+def test_scores_against_plain_python(spark):
+    """Every document's scores from the fitted coefficients, one feature at a time."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 300"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.fit(docs, labels)
+    found = {r.doc_id: r for r in quality.scored(docs, model).collect()}
+    logistic = lambda fit, x: sum(b * (v - m) / s for b, v, m, s in zip(fit.beta, x, fit.mean, fit.scale, strict=False)) + fit.beta[-1]
+    chance = lambda z: 1 / (1 + np.exp(-min(max(z, -40), 40)))
+    for r in docs.collect():
+        a = logistic(model.text_fit, [logistic(model.text, quality.text_view(r.text or ""))])
+        b = logistic(model.meta_fit, [logistic(model.meta, quality.meta_view(r.lang, r.source, r.n_chars))])
+        score = chance(logistic(model.both, [a, b]))
+        got = found[r.doc_id]
+        assert np.allclose((got.text_score, got.meta_score, got.score), (chance(a), chance(b), score), atol=1e-9)
+        assert got.keep == int(got.score >= quality.KEEP)
+
+
+def test_text_features_against_their_definition():
+    text = "Ab 1!\nAb 1!\nzz | é."
+    data = text.encode()
+    found = quality.text_view(text)
+    share = lambda chars: sum(chr(c) in chars for c in data) / len(data)
+    assert np.allclose(found[:3], [share("abcdefghijklmnopqrstuvwxyz"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789")])
+    assert np.isclose(found[10], sum(c > 127 for c in data) / len(data))
+    assert np.isclose(found[12], np.log1p(7)) and np.isclose(found[13], 5 / 7) and np.isclose(found[16], 1 - 2 / 3)
