@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,8 +193,16 @@ def read_back(media: DataFrame) -> DataFrame:
             return None, None, str(e)
         return samples.tobytes()[:n], cosine_hash(samples), None
 
-    decode = F.udf(one, "payload binary, feature string, error string")
-    return media.withColumn("_read", decode("media", "n_bytes")).select("doc_id", "_read.*")
+    names = ["doc_id", "payload", "feature", "error"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [one(image, n) for image, n in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            columns = [pa.array([r[i] for r in read], kind) for i, kind in enumerate((pa.binary(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+
+    kind = media.schema["doc_id"].dataType.simpleString()
+    return media.select("doc_id", F.col("n_bytes").cast("long"), "media").mapInArrow(work, f"doc_id {kind}, payload binary, feature string, error string")
 
 
 def op6_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
