@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import spread, table
+from loam.llm.common import cut, place, spread, table, text_of
 from loam.llm.learning import Logistic, sigmoid
 
-#: Bounds on the labelled rows that are fitted on, on the features chosen, and on the words that a worker remembers.
+#: Bound on the labelled rows that are fitted on; a model's size; words that a worker remembers.
 SAMPLE, FEATURES, REMEMBERED = 12_000, 600, 300_000
 #: A feature is looked at if it stands in so many of the sample's documents.
 LEAST = 5
@@ -217,17 +217,23 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """Fits on the labelled documents that aren't held out: a bounded sample of them, about ``sample``, chosen by hash.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, least: int = LEAST) -> Scorer:
+    """Fits on the labelled documents that aren't held out: at most ``sample`` of them, chosen by hash of id and text.
 
-    The character model is counted over all documents. The driver gets that model's counts (a fixed number), at most
-    ``FEATURES`` features and the sample's rows of them.
+    The character model is counted over all documents. Labels of documents that aren't in ``docs`` count for nothing, and
+    rows equal in id and text count once. The regression is over the ``features`` words and beginnings of the sample that
+    tell the labels best, each in ``least`` of its documents or more. The driver gets the character model's counts (a fixed
+    number), those features and the sample's rows of them.
     """
     docs = docs.select("doc_id", "text")
     chars = char_model((r.code, r.n) for r in char_counts(docs).collect())
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.round(F.avg("toxic")).cast("int").alias("y")).where(~held_out(F.col("doc_id")))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    known = docs.join(marks.where(drawn < F.lit(sample / max(marks.count(), 1))), "doc_id").select("y", F.col("text").cast("string"))
+    marked = docs.select("doc_id").join(marks, "doc_id").count()
+    drawn = docs.withColumn("_place", place("toxic", "doc_id", text_of())).where(F.col("_place") < sample / max(marked, 1))
+    known = cut(drawn.dropDuplicates(["doc_id", "_place"]).join(marks, "doc_id").select("y", "_place", F.col("text").cast("string").alias("text")))
+    if known.count() > sample:
+        known = known.where(F.col("_place") <= known.orderBy("_place").select("_place").limit(sample).agg(F.max("_place")).first()[0])
+    known = known.select("y", "text")
     nested = chars.tolist()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,10 +248,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     prior = float(np.log((ones + 1) / (n - ones + 1)))
     if min(ones, n - ones) < 5:
         return Scorer(chars, [], np.empty(0), prior)
-    per = known.mapInArrow(spread, "y int, f long").groupBy("f").agg(F.count("*").alias("df"), F.sum("y").alias("hits")).where(F.col("df") >= LEAST)
+    per = known.mapInArrow(spread, "y int, f long").groupBy("f").agg(F.count("*").alias("df"), F.sum("y").alias("hits")).where(F.col("df") >= least)
     expected = F.col("df") * F.lit(ones / n)
     surprise = F.abs(F.col("hits") - expected) / F.sqrt(expected * F.lit(1 - ones / n))
-    chosen = [r.f for r in per.orderBy(F.desc(surprise), "f").limit(FEATURES).collect()]
+    chosen = [r.f for r in per.orderBy(F.desc(surprise), "f").limit(features).collect()]
     index = {f: i for i, f in enumerate(chosen)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

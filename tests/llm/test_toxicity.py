@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from loam.llm import toxicity
-from loam.llm.learning import ranked_well
+from loam.llm.learning import Logistic, ranked_well
 from tests.llm.data import SCHEMA, awkward, empty
 
 DATA = "/root/testdata/sf0.01"
@@ -164,3 +164,23 @@ def test_driver_table(spark):
     y = {r.doc_id: r.toxic for r in labels.collect()}
     found = [r for r in toxicity.scored(docs, toxicity.fit(docs, labels)).collect() if r.held_out and r.doc_id in y]
     assert ranked_well(np.array([r.score for r in found]), np.array([y[r.doc_id] for r in found])) > 0.9
+
+
+def test_no_more_rows_than_the_bound_are_fitted_on(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "Logistic", lambda x, y, ridge: seen.append(len(x)) or Logistic(x, y, ridge=ridge))
+    docs = spark.range(4000).selectExpr("if(id < 2000, 7L, id) doc_id", "concat(if(id % 2 = 0, 'bad ', 'good '), 'text ', id) text")
+    labels = spark.range(20_000).selectExpr("id doc_id", "cast(id % 2 = 0 as int) toxic")
+    toxicity.fit(docs, labels, 300)
+    assert 200 < seen[0] <= 300
+
+
+def test_scores_against_plain_python(spark, made):
+    """Every document's score from the chosen features and weights, over the words as the decoder restores them."""
+    docs, _, scorer = made
+    model, weight = scorer.chars.tolist(), dict(zip(scorer.features, scorer.weights, strict=True))
+    for r in toxicity.scored(docs, scorer).join(docs, "doc_id").limit(150).collect():
+        lowered = (r.text or "").lower()
+        words = set(lowered.split()) | {toxicity._BETWEEN.sub("", m[0]) for m in toxicity._SPACED.finditer(lowered)}
+        own = {f for w in words if (x := toxicity.restored(w, model)) for f in toxicity.word_features(x)}
+        assert abs(r.score - 1 / (1 + np.exp(-(scorer.bias + sum(weight.get(f, 0) for f in own))))) < 1e-9
