@@ -1,15 +1,16 @@
 """Mixing sources to target weights under a time-varying curriculum, in DataFrame operations only.
 
 Targets: the sources share a multiple of all words by weight, none above a cap; what is cut off is shared again by
-weight. Within a source documents stand in a fixed order (the md5 of doc_id); the mix takes the source's words in that
-order, over and over, up to the target, so whole documents are taken the same number of times but for one round's end.
+weight. Within a source documents stand in a fixed order (the md5 of doc_id and text); the mix takes the source's words in
+that order, over and over, up to the target, so whole documents are taken the same number of times but for one round's end.
 
 Curriculum: a source's weight at training time t in [0, 1] is in proportion to 1 + tilt (2 t - 1). Its integral is the
 source's cumulative demand; a document taken at some share u of the demand is due at the t where the integral reaches u,
 the root of tilt t^2 + (1 - tilt) t = u. Sorting by t interleaves the sources as their schedules say.
 
 Running sums go by (source, first three digits of the md5), so a source that holds a third of all rows is dealt over
-4096 groups; only the groups' sums are added up for each source.
+4096 groups, and so are rows that share an id or have none; only the groups' sums are added up for each source. Rows equal in
+id and text stand side by side. A document's own columns travel in one struct, so they may have any names.
 """
 
 from __future__ import annotations
@@ -27,16 +28,15 @@ SHARE_NUM, SHARE_DEN, CAP = 3, 2, 2
 DIGITS = 3
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``docs`` with _size (words; null: 0), _null, _source (null: empty), _order and _group."""
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def sizes(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(row, _size, _null, _source, _order): the columns ``keep`` as a struct, words (null: 0), source (null: empty) and place."""
+    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(text_of())))
     return docs.select(
-        "*",
+        F.struct(*keep).alias("row"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("_size"),
         F.col("source").isNull().alias("_null"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
         order.alias("_order"),
-        F.substring(order, 1, DIGITS).alias("_group"),
     )
 
 
@@ -71,13 +71,17 @@ def due(share: Column, tilt: Column) -> Column:
 
 
 def mixed(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all, unless told) with _size, source_size, target, taken, and positions: the due time of each round that takes words of it.
+    """(row, size, source_size, target, taken, rounds) for every row of ``docs``: row is a struct of the columns ``keep`` (all,
+    unless told), rounds has words and position (due time) of each round that takes words of it.
 
-    taken counts words, repeats included. A text without words is never taken. Repeated rows are documents of their own.
-    An empty table gives an empty table.
+    taken counts words, repeats included. A text without words, null ones among them, is never taken. Repeated rows are
+    documents of their own. A null source is a source. An empty table gives an empty table.
     """
-    kept = list(docs.columns if keep is None else keep)
-    sized = sizes(docs).select(*kept, "_size", "_null", "_source", "_order", "_group")
+    kept = tuple(docs.columns if keep is None else keep)
+    sized = sizes(docs, kept)
+    if "text" not in kept:
+        sized = cut(sized)  # short rows: words are counted once
+    sized = sized.withColumn("_group", F.substring("_order", 1, DIGITS))
     groups = cut(sized.groupBy("_null", "_source", "_group").agg(F.sum("_size").alias("_sum")))
     before = Window.partitionBy("_null", "_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
@@ -94,31 +98,33 @@ def mixed(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
         share = (at.cast("double") + words.cast("double") / F.lit(2.0)) / F.col("target")
         rounds.append(F.when(words > 0, F.struct(words.alias("words"), due(share, F.col("tilt")).alias("position"))))
     taken = F.filter(F.array(*rounds), lambda x: x.isNotNull())
-    out = placed.withColumn("_rounds", taken)
-    words = F.aggregate("_rounds", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return out.withColumn("taken", words).select(*kept, "_size", "source_size", "target", "taken", "_rounds")
+    out = placed.withColumn("rounds", taken)
+    words = F.aggregate("rounds", F.lit(0).cast("long"), lambda s, x: s + x["words"])
+    return out.select("row", F.col("_size").alias("size"), "source_size", "target", words.alias("taken"), "rounds")
 
 
 def training_order(docs: DataFrame) -> DataFrame:
-    """The mix itself: a row of ``docs`` for each time it is taken, in order of its position.
+    """The mix itself: a row of ``docs`` (its columns, whatever their names) for each time it is taken, in order of its position.
 
-    Where a target ends within a document, its text is cut after the words taken, single spaces between them.
+    Where a target ends within a document, its text is cut after the words taken, single spaces between them. Null and
+    empty texts are never taken; repeated rows are taken each on its own; an empty table gives an empty table.
     """
-    each = mixed(docs).select(*docs.columns, "_size", F.explode("_rounds").alias("_round"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("_round.words") < F.col("_size"), F.array_join(F.slice(words, 1, F.col("_round.words").cast("int")), " ")).otherwise(F.col("text"))
-    return each.withColumn("text", text).withColumn("_at", F.col("_round.position")).orderBy("_at", "doc_id")
+    each = mixed(docs).select("row", "size", F.explode("rounds").alias("round"))
+    words = F.filter(F.split("row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(F.col("round.words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("round.words").cast("int")), " ")).otherwise(F.col("row.text"))
+    columns = [(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return each.orderBy("round.position", "row.doc_id").select(*columns)
 
 
 def op10_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=("doc_id",))
-    at = lambda i: F.get("_rounds", F.lit(i))["position"]
-    return found.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", at(0).alias("position"), at(1).alias("position_again")).orderBy("position", "doc_id")
+    at = lambda i: F.get("rounds", F.lit(i))["position"]
+    return found.select("row.doc_id", "size", "source_size", "target", "taken", at(0).alias("position"), at(1).alias("position_again")).orderBy("position", "doc_id")
 
 
 ORACLE_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS o,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
   FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),

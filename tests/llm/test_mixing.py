@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 
 from loam.llm import mixing
-from tests.llm.data import SCHEMA, awkward, empty
+from tests.llm.data import CLASHING, SCHEMA, awkward, clashing, empty
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -29,6 +29,12 @@ def shared(sizes: dict) -> dict:
     return target
 
 
+def place(r) -> str:
+    """A document's place in its source."""
+    own = "" if r.doc_id is None else str(r.doc_id)
+    return hashlib.md5(f"{own} {hashlib.md5((r.text or '').encode()).hexdigest()}".encode()).hexdigest()
+
+
 def expected(rows) -> list[tuple]:
     words = [len(WORD.findall(r.text or "")) for r in rows]
     sizes: dict = {}
@@ -37,7 +43,7 @@ def expected(rows) -> list[tuple]:
     target, out = shared(sizes), []
     for s in sizes:
         goal, at = int(target[s]), 0
-        own = [(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest(), n, r.doc_id) for r, n in zip(rows, words, strict=True) if r.source == s]
+        own = [(place(r), n, r.doc_id) for r, n in zip(rows, words, strict=True) if r.source == s]
         for _, n, doc_id in sorted(own, key=lambda x: x[:2]):
             taken = sum(min(n, max(0, goal - at - i * sizes[s])) for i in range(2))
             out.append((str(doc_id), n, sizes[s], round(float(target[s]), 6), taken))
@@ -46,7 +52,7 @@ def expected(rows) -> list[tuple]:
 
 
 def rows_of(found) -> list[tuple]:
-    return sorted((str(r.doc_id), r._size, r.source_size, round(r.target, 6), r.taken) for r in found)
+    return sorted((str(r.row.doc_id), r["size"], r.source_size, round(r.target, 6), r.taken) for r in found)
 
 
 def test_awkward_rows(spark):
@@ -59,15 +65,15 @@ def test_many_sources(spark, seed):
     docs = spark.createDataFrame(rows, SCHEMA)
     found = mixing.mixed(docs).collect()
     assert rows_of(found) == expected(docs.collect())
-    assert all(r.taken <= 2 * r._size for r in found)
-    for source in {r.source for r in found}:
-        own = [r for r in found if r.source == source]
+    assert all(r.taken <= 2 * r["size"] for r in found)
+    for source in {r.row.source for r in found}:
+        own = [r for r in found if r.row.source == source]
         assert abs(sum(r.taken for r in own) - own[0].target) < 1
 
 
 def test_no_words_at_all_and_empty_table(spark):
     docs = spark.createDataFrame([(1, None, None, "a", 0), (2, " ", None, None, 1)], SCHEMA)
-    assert [(r.taken, r._rounds) for r in mixing.mixed(docs).collect()] == [(0, [])] * 2
+    assert [(r.taken, r.rounds) for r in mixing.mixed(docs).collect()] == [(0, [])] * 2
     assert mixing.training_order(docs).collect() == []
     assert mixing.mixed(empty(spark)).collect() == []
     assert mixing.training_order(empty(spark)).collect() == []
@@ -78,16 +84,29 @@ def test_schedules_hold_over_time(spark):
     rows = [(i, "w " * (1 + i % 5), "en", "abc"[i % 3], 0) for i in range(3000)]
     found = mixing.mixed(spark.createDataFrame(rows, SCHEMA)).collect()
     for j, source in enumerate("abc"):
-        own = [r for r in found if r.source == source]
+        own = [r for r in found if r.row.source == source]
         tilt, target = mixing.TILTS[j], own[0].target
         for t in (0.1, 0.5, 0.9):
-            words = sum(x.words for r in own for x in r._rounds if x.position <= t)
+            words = sum(x.words for r in own for x in r.rounds if x.position <= t)
             assert abs(words - target * (tilt * t * t + (1 - tilt) * t)) < 10
 
 
 def test_training_order(spark):
-    order = mixing.training_order(awkward(spark)).collect()
-    assert [r._at for r in order] == sorted(r._at for r in order)
-    taken = {(r.doc_id, r.text): r.taken for r in mixing.mixed(awkward(spark)).collect()}
-    assert sum(len(WORD.findall(r.text)) for r in order) == sum(r.taken for r in mixing.mixed(awkward(spark)).collect())
-    assert {r.doc_id for r in order} == {k[0] for k, n in taken.items() if n}
+    order, found = mixing.training_order(awkward(spark)).collect(), mixing.mixed(awkward(spark)).collect()
+    due = sorted((x.position, r.row.doc_id is not None, r.row.doc_id or 0, x.words) for r in found for x in r.rounds)
+    assert [(r.doc_id or 0, len(WORD.findall(r.text))) for r in order] == [x[2:] for x in due]
+
+
+def test_columns_may_have_any_names(spark):
+    docs = clashing(awkward(spark))
+    found = mixing.training_order(docs)
+    assert found.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in found.collect()) == sorted((r.doc_id or 0, r.text) for r in mixing.training_order(awkward(spark)).collect())
+    assert all(r[c] == f"own {c}" for r in found.collect() for c in CLASHING)
+
+
+def test_rows_of_one_id_are_dealt_over_groups(spark):
+    """Documents without an id, or with the same one, neither lose words nor stand in one group."""
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text number {i} " + "w " * (i % 5), "en", "a", 0) for i in range(300)], SCHEMA)
+    assert rows_of(mixing.mixed(docs).collect()) == expected(docs.collect())
+    assert mixing.sizes(docs, ("doc_id",)).selectExpr(f"substring(_order, 1, {mixing.DIGITS})").distinct().count() > 250
