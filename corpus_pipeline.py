@@ -5,15 +5,13 @@ Each stage's result is written as Parquet in the shared folder and read again as
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm import mixing, packing, quality, secrets, simhash
-from loam.llm.common import table
+from loam.llm.common import shared_folder, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,28 +23,35 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """SimHash near-dedup: of each component exactly one row stays, the one with the smallest doc_id.
 
     Rows without an id come last, rows of one doc_id go by a hash of the whole row; of equal rows one stays. So a row
-    goes only if another row of its own component stays.
+    goes only if another row of its own component stays. Null and empty texts are copies of each other; other columns may
+    have any names; an empty table gives an empty table.
     """
     no_id, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    row = F.xxhash64(*docs.columns)
-    first = simhash.first_rows(docs, row).select(F.col("key").alias("_row"), number.alias("_id"), no_id.alias("_no_id"))
-    kept = docs.withColumns({"_row": row, "_id": number, "_no_id": no_id}).join(first, ["_row", "_id", "_no_id"], "left_semi")
-    return kept.dropDuplicates(["_row", "_id", "_no_id"]).select(*docs.columns)
+    mark = F.xxhash64(*docs.columns)
+    first = simhash.first_rows(docs, mark).select(F.col("key").alias("mark"), number.alias("id"), no_id.alias("no_id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), mark.alias("mark"), number.alias("id"), no_id.alias("no_id"))
+    kept = rows.join(first, ["mark", "id", "no_id"], "left_semi").dropDuplicates(["mark", "id", "no_id"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scan: what it reports is masked in the texts."""
+    """Secret scan: what it reports is masked in the texts; all rows stay."""
     return secrets.redacted(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: each document as often as its source's target takes it, in the order of the curriculum."""
-    order = mixing.training_order(docs).select(*docs.columns)
+    """Mixing: each document as often as its source's target takes it, in the order of the curriculum.
+
+    Texts without words, null ones among them, are never taken; repeated rows are taken each on its own; other columns may
+    have any names; an empty table gives an empty table.
+    """
+    order = mixing.training_order(docs)
     return order.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing into sequences of at most 2048 tokens, with their ids."""
+    """Packing into sequences of at most 2048 tokens, with their ids. A null text counts as an empty one, whose only piece is
+    its end mark; repeated rows are packed each on its own; other columns are left out; an empty table gives an empty table."""
     return packing.pack(docs)
 
 
@@ -64,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loam-checkpoints")
+    base = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         path = f"{base}/pipeline-{uuid.uuid4().hex}-{i}"

@@ -21,19 +21,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm.common import cut, spread, table
+from loam.llm import resemblance
+from loam.llm.common import cut, partitions, spread, table
 from loam.llm.components import components
+from loam.llm.grouped import edge_batch, forest, groups
 
 WORDS = 3
 SEED = 42
 DISTANCE = 3
 SEGMENTS, BITS = 16, 4
 BLOCK = 1024
+#: Over how many groups the fingerprints of a key larger than a block are dealt when they meet its count.
+SALTS = 64
 
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     """Fingerprint of UTF-8 text: A-Z lowered, words split at ASCII white space, shingles with their repeats."""
-    found = (text or b"").lower().split()
+    return _print(words_of(text), words)
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def _print(found: list[bytes], words: int) -> int:
     if not found:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -55,20 +66,20 @@ def _majority(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, words: int = WORDS, key: Column | None = None) -> DataFrame:
     """(doc_id, fp long) for every row of ``docs``; a null text counts as empty. Bits are read as a signed long.
 
-    With ``key`` (a long column) its value follows as a third column of that name.
+    With ``key`` (a long column) its value, and the text's signature of ``resemblance``, follow as key and sig.
     """
-
     rest = [] if key is None else ["key"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            found = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *map(batch.column, rest)], names=["doc_id", "fp", *rest])
+            found = [words_of(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+            prints = np.fromiter((_print(f, words) for f in found), np.uint64, batch.num_rows)
+            more = [batch.column("key"), pa.array(map(resemblance.signature, found), pa.binary())] if rest else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64)), *more], names=["doc_id", "fp", *rest, "sig"][: 2 + len(more)])
 
     keys = [] if key is None else [key.alias("key")]
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keys)
-    return read.mapInArrow(work, "doc_id long, fp long" + ", key long" * len(keys))
+    return read.mapInArrow(work, "doc_id long, fp long" + ", key long, sig binary" * len(keys))
 
 
 def _turned(fp: Column, by: int) -> Column:
@@ -87,74 +98,45 @@ def ring_keys(fp: Column) -> Column:
     return F.array(*keys)
 
 
-def forest(values: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links (at most 3 differing bits) among distinct fingerprints."""
-    if len(values) == 2:
-        a, b = int(values[0]), int(values[1])
-        return [(a, b)] if (a ^ b).bit_count() <= DISTANCE else []
-    edges: list[tuple[int, int]] = []
-    rest, stack = values[1:], [values[0]]
-    while True:
-        if not stack:
-            if not len(rest):
-                return edges
-            stack, rest = [rest[-1]], rest[:-1]
-        one = stack.pop()
-        if not len(rest):
-            continue
-        hit = np.bitwise_count(rest ^ one) <= DISTANCE
-        if hit.any():
-            new = rest[hit]
-            edges += [(int(one), int(x)) for x in new]
-            stack.extend(new)
-            rest = rest[~hit]
+def _near(rest: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(rest ^ one) <= DISTANCE
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (key, b1, b2): one forest for each such group. A group may go on in the next batch."""
-
-    def made(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-        ends = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["u", "v"])
-
-    kept, kept_id = np.empty(0, np.uint64), None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
-        values = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
-        edges: list[tuple[int, int]] = []
-        for j, at in enumerate(starts):
-            own = values[at : starts[j + 1] if j + 1 < len(starts) else None]
-            this = tuple(ids[at])
-            if this == kept_id:
-                kept = np.concatenate([kept, own])
-            else:
-                if len(kept) > 1:
-                    edges += forest(kept)
-                kept, kept_id = own.copy(), this
-        yield made(edges)
-    yield made(forest(kept) if len(kept) > 1 else [])
+    """Rows (key, b1, b2, fp) come sorted: one forest for each group of the first three."""
+    for group in groups(batches, 3):
+        values = group.column(3).to_numpy()
+        edges = forest(values.view(np.uint64), _near)
+        yield edge_batch([(values[a], values[b]) for a, b in edges])
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Edges (u, v) among distinct fingerprints (fp): spanning forests whose union has the components of all links."""
-    filed = distinct.select("fp", F.explode(ring_keys(F.col("fp"))).alias("key"))
-    company = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    meet = filed.join(company, "key")
+    """Edges (u, v) among distinct fingerprints (fp): spanning forests whose union has the components of all links.
+
+    Fingerprints are few bytes, so they are dealt over all partitions before their keys are made. A key with two of them is
+    decided where it is counted. Those of a large key are dealt by a salt before they meet the key's count.
+    """
+    filed = distinct.repartition(partitions(distinct), "fp").select("fp", F.explode(ring_keys(F.col("fp"))).alias("key"))
+    company = cut(filed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"))
+    pairs = company.where((F.col("n") == 2) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE)).select("u", "v")
+    more = company.where("n > 2").select("key", "n")
+    meet = filed.join(more.where(F.col("n") <= BLOCK), "key")
+    large = more.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        salted = filed.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(SALTS)))
+        meet = meet.unionByName(salted.join(large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"]).drop("salt"))
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     dealt = meet.select("key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
     grouped = dealt.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     grouped = grouped.select("key", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "fp")
     ordered = grouped.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
-    return ordered.mapInArrow(_forests, "u long, v long").distinct()
+    return pairs.unionByName(ordered.mapInArrow(_forests, "u long, v long")).distinct()
 
 
-def _classes(distinct: DataFrame) -> DataFrame:
-    """(fp, low, label) of distinct fingerprints (fp, low): equal labels within a component."""
-    labels = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    return distinct.join(labels, "fp", "left").select("fp", "low", F.coalesce("label", F.xxhash64("fp")).alias("label"))
+def _labelled(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``distinct`` (fp, ...) with label, equal within a component of the edges."""
+    labels = components(edges).withColumnRenamed("node", "fp")
+    return distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", F.xxhash64("fp")))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -165,17 +147,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     empty table gives an empty table; other columns are left out.
     """
     rows = cut(fingerprints(docs, words))
-    classes = _classes(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    classes = _labelled(distinct, cut(links(distinct.select("fp"))))
     lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
     return rows.join(classes.join(lowest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def first_rows(docs: DataFrame, key: Column, words: int = WORDS) -> DataFrame:
     """(doc_id, key) of exactly one row of each component: the smallest doc_id, rows without one last, then the
-    smallest ``key``, a long that tells the rows of one doc_id apart."""
-    rows = cut(fingerprints(docs, words, key))
+    smallest ``key``, a long that tells the rows of one doc_id apart.
+
+    Components are those of ``near_duplicates``, joined where texts are alike by ``resemblance`` (five-word shingles, 0.8):
+    fingerprints within 3 bits are few among texts that are less than all but equal.
+    """
+    rows = cut(fingerprints(docs, words, key).withColumn("sid", F.xxhash64("sig")))
+    signed = cut(rows.groupBy("sid").agg(F.first("sig").alias("sig"), F.min("fp").alias("u"), F.max("fp").alias("v")))
+    alike = cut(resemblance.links(signed.select("sid", "sig")))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    classes = _classes(rows.groupBy("fp").agg(F.min(rank).alias("low")))
+    distinct = cut(rows.groupBy("fp").agg(F.min(rank).alias("low")))
+    # a signature ties its texts' fingerprints together where it has several of them or is alike to another
+    touched = alike.select(F.col("u").alias("sid")).union(alike.select("v")).union(signed.where("u <> v").select("sid")).distinct()
+    ties = rows.select("fp", "sid").distinct().join(touched, "sid").select(F.col("fp").alias("u"), F.col("sid").alias("v"))
+    classes = _labelled(distinct, cut(links(distinct.select("fp")).union(alike).union(ties)))
     return classes.groupBy("label").agg(F.min("low").alias("low")).select("low.doc_id", "low.key")
 
 

@@ -1,19 +1,20 @@
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from loam.llm import mixing, quality
-from tests.llm.data import SCHEMA, awkward
-from tests.llm.test_mixing import WORD, shared
+from tests.llm.data import CLASHING, SCHEMA, awkward, clashing
+from tests.llm.test_mixing import WORD, place, shared
+from tests.llm.test_resemblance import all_pairs, roots, signed
 from tests.llm.test_secrets import near
-from tests.llm.test_simhash import lowest, plain
+from tests.llm.test_simhash import plain
 
 DATA = "/root/testdata/sf0.01"
 
@@ -44,8 +45,21 @@ def test_quality_drops_what_it_rejects(spark, stages):
 
 def test_one_of_each_component_stays(stages):
     rows = stages[1]
-    low = lowest([r.doc_id for r in rows], [plain(r.text) for r in rows])
-    assert sorted(stages[2]) == sorted(r for r, c in zip(rows, low, strict=True) if r.doc_id == c)
+    prints, signatures = [plain(r.text) for r in rows], np.stack([signed(r.text) for r in rows])
+    ids = np.array(prints, np.uint64)
+    pairs = [(i, int(j)) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(ids[:i] ^ ids[i]) <= 3)]
+    of = roots(len(rows), [*pairs, *all_pairs(signatures)])
+    least: dict = {}
+    for r, c in zip(rows, of, strict=True):
+        least[c] = min(least.get(c, r.doc_id), r.doc_id)
+    assert sorted(stages[2]) == sorted(r for r, c in zip(rows, of, strict=True) if r.doc_id == least[c])
+
+
+def test_texts_of_four_fifths_the_same_shingles_are_near_copies(spark):
+    words = [f"word{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join("other" if i in (80, 200, 320) else w for i, w in enumerate(words))), (3, " ".join(words[:200] + [f"new{i}" for i in range(200)]))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    assert [r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, DATA).orderBy("doc_id").collect()] == [1, 3]
 
 
 def test_one_row_of_each_component_stays_whatever_the_ids(spark):
@@ -85,7 +99,7 @@ def test_mix_takes_the_targets(stages):
     target, want = shared(sizes), []
     for s in sizes:
         at, goal = 0, int(target[s])
-        for _, r in sorted((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r) for r in rows if r.source == s):
+        for _, r in sorted((place(r), r) for r in rows if r.source == s):
             words = WORD.findall(r.text)
             for i in range(mixing.CAP):
                 take = min(len(words), max(0, goal - at - i * sizes[s]))
@@ -98,7 +112,6 @@ def test_mix_takes_the_targets(stages):
 
 def test_packing_holds_every_token_once(stages):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = sum(len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in stages[4])
     assert sum(r.length for r in stages[5]) == want
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and r.length & (r.length - 1) == 0 for r in stages[5])
@@ -123,5 +136,19 @@ def test_awkward_rows_pass_every_stage(spark, i):
         assert all(re.search(r"\w", r.text) for r in found)
 
 
+@pytest.mark.parametrize("i", range(4))
+def test_columns_may_have_any_names(spark, i):
+    docs = clashing(awkward(spark))
+    found = corpus_pipeline.STAGES[i][1](spark, docs, DATA)
+    assert found.columns == docs.columns
+    rows = found.collect()
+    assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+
+
+def test_empty_table_passes_every_stage(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert all(stage(spark, docs, DATA).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
 def test_stages_are_named_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "simhash near-dedup", "secret scan", "mixing", "packing"]
