@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import BooleanType
 
-from loam.functions.text import TOKEN, compress, fold, tokens
+from loam.functions.text import TOKEN, compress, fold, passage_key, tokens
+from loam.operators.vectors import collapse_copies
+from loam.sources.tables import cut
 
 # Words without retrieval signal. English ones count as typed, Vietnamese ones also without marks.
 ENGLISH = (
@@ -161,9 +163,30 @@ def keyword_leg(terms: DataFrame, index: DataFrame, most: int = POOL) -> DataFra
     return _top(terms.join(index, "term").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("score")), most, F.desc("score"))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - n + 1)
+    return F.when(F.char_length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def titles_with(terms: DataFrame, titles: DataFrame) -> DataFrame:
+    """(term, article_id) of distinct terms (term, of two characters or more) and titles (article_id, title) that contain
+    them, folded. Titles are filed under those of their runs of three characters (two for terms of two) that some term
+    has; a term meets them on its rarest run and is then looked for itself."""
+    words = terms.select("term").distinct()
+    runs = words.select("term", F.explode(F.when(F.char_length("term") > 2, _grams(F.col("term"), 3)).otherwise(_grams(F.col("term"), 2))).alias("gram"))
+    folded = titles.select("article_id", fold(F.col("title")).alias("folded"))
+    every = folded.select("article_id", F.explode(F.concat(_grams(F.col("folded"), 2), _grams(F.col("folded"), 3))).alias("gram"))
+    filed = cut(every.join(runs.select("gram").distinct(), "gram", "left_semi"))
+    counts = filed.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = runs.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("b"))
+    met = rarest.select("term", F.col("b.gram").alias("gram")).join(filed, "gram").select("term", "article_id")
+    return met.join(folded, "article_id").where(F.contains("folded", F.col("term"))).select("term", "article_id")
+
+
 def title_leg(terms: DataFrame, titles: DataFrame, passages: DataFrame, keyword: DataFrame, most: int = POOL) -> DataFrame:
     """Passages of articles (article_id, title) whose folded title contains a term, after those of the keyword leg."""
-    met = titles.join(terms, F.contains(fold(F.col("title")), F.col("term"))).select("query_id", "article_id").distinct()
+    met = terms.join(titles_with(terms, titles), "term").select("query_id", "article_id").distinct()
     new = met.join(passages.select("article_id", "chunk_id"), "article_id").join(keyword, ["query_id", "chunk_id"], "left_anti")
     found = keyword.groupBy("query_id").agg(F.count("*").alias("_n"))
     ranked = _top(new, most).join(found, "query_id", "left")
@@ -276,18 +299,44 @@ def promoted(ranked: DataFrame, second: DataFrame, vector: DataFrame, lexical: i
     return scored.select("query_id", "chunk_id", lifted.alias("score"), (F.row_number().over(order) - 1).alias("place"))
 
 
-def search(queries: DataFrame, passages: DataFrame, titles: DataFrame, limit: int = 10, vector: DataFrame | None = None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results, gaps): keyword, title, identifier and vector legs fused, reranked, cut at 0.12 and at ``limit``; queries
-    without a result are gaps. results (query_id, chunk_id, score, place)."""
-    terms = asked_terms(queries)
-    index = token_index(passages, terms) if index is None else index
-    keyword = keyword_leg(terms, index)
-    legs = [keyword.unionByName(title_leg(terms, titles, passages, keyword)), identifier_leg(queries, index)]
+def legs(queries: DataFrame, passages: DataFrame, titles: DataFrame, vector: DataFrame | None = None, graph: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """All legs fused: keyword with title, identifier, and if given vector (rank from 1) and graph (rank from 0)."""
+    terms = cut(asked_terms(queries))
+    index = cut(token_index(passages, terms)) if index is None else index
+    keyword = cut(keyword_leg(terms, index))
+    found = [keyword.unionByName(title_leg(terms, titles, passages, keyword)), identifier_leg(queries, index)]
     if vector is not None:
-        legs.append(vector.select("query_id", "chunk_id", (F.col("rank") - 1).alias("rank")))
-    pool = fused(*legs).join(passages.select("chunk_id", "text"), "chunk_id")
+        found.append(vector.select("query_id", "chunk_id", (F.col("rank") - 1).alias("rank")))
+    if graph is not None:
+        found.append(graph.select("query_id", "chunk_id", "rank"))
+    return fused(*found)
+
+
+def search(
+    queries: DataFrame, passages: DataFrame, titles: DataFrame, limit: int | None = 10, vector: DataFrame | None = None, graph: DataFrame | None = None,
+    index: DataFrame | None = None, readers: DataFrame | None = None, vectors: DataFrame | None = None, collapse: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(results, gaps): all legs fused, reranked, cut at 0.12, copies across articles collapsed, what a query's reader may
+    not see left out, and only then cut at ``limit``; queries without a result are gaps.
+
+    results (query_id, chunk_id, score, place, also_in). titles (article_id, title, dept); readers (query_id, dept): the
+    departments a query may read, all if not given. vectors (chunk_id, embedding) let near copies collapse too; equal
+    passage keys always do. A list has at most the legs' pools, some hundreds of rows.
+    """
+    pool = legs(queries, passages, titles, vector, graph, index).join(passages.select("chunk_id", "article_id", "text"), "chunk_id")
+    if readers is not None:
+        # checked before copies collapse, so a hidden copy never stands for a visible one
+        pool = pool.join(titles.select("article_id", "dept"), "article_id").join(readers.select("query_id", "dept").distinct(), ["query_id", "dept"], "left_semi")
+    pool = cut(pool.select("query_id", "chunk_id", "article_id", "rrf", "rank", "text"))
     ranked = rerank(queries, pool, vector).where(F.col("score") >= RELEVANT)
-    results = ranked.where(F.col("place") < limit)
+    if collapse:
+        listed = ranked.join(pool.select("query_id", "chunk_id", "article_id", "text"), ["query_id", "chunk_id"])
+        listed = listed.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left") if vectors is not None else listed.withColumn("embedding", F.lit(None).cast("array<double>"))
+        listed = listed.select("query_id", F.col("place").alias("position"), "chunk_id", "article_id", passage_key(F.col("text")).alias("key"), F.char_length("text").alias("n_chars"), "score", "embedding", F.lit(0.0).alias("updated"))
+        ranked = collapse_copies(listed).select("query_id", "chunk_id", "score", "place", "also_in")
+    else:
+        ranked = ranked.withColumn("also_in", F.array().cast("array<long>"))
+    results = ranked if limit is None else ranked.where(F.col("place") < limit)
     return results, queries.select("query_id").join(results, "query_id", "left_anti")
 
 
@@ -405,6 +454,15 @@ def coverage(hits: DataFrame, least: float = 0.35) -> DataFrame:
     return per.withColumn("covered", F.coalesce(F.col("best") >= least, F.lit(False)))
 
 
+def retried(subs: DataFrame, hits: DataFrame, again: DataFrame, least: float = 0.35) -> DataFrame:
+    """Hits of all sub-questions: those that ``hits`` doesn't cover get what the search without filters found as well, each
+    passage once with its best score. subs (question_id, sub_id); hits, again (question_id, sub_id, chunk_id, score)."""
+    keys = ["question_id", "sub_id"]
+    covered = coverage(hits, least).where("covered").select(*keys)
+    more = again.join(subs.join(covered, keys, "left_anti"), keys, "left_semi")
+    return hits.unionByName(more).groupBy(*keys, "chunk_id").agg(F.max("score").alias("score"))
+
+
 def document_scope(articles: DataFrame, digests: DataFrame, centroid: DataFrame, chunks: DataFrame, most: int = 120) -> DataFrame:
     """Documents by cosine of their digest to a query vector (nulls last), then newest: article_id, has_digest, cosine,
     first_chunk, place. articles (article_id, created_at); digests (article_id, vector); centroid: one row (vector);

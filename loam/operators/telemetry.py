@@ -36,21 +36,59 @@ def in_window(requests: DataFrame, since: Column, until: Column) -> DataFrame:
     return requests.where((F.col("created_at") >= since) & (F.col("created_at") < until) & ~F.coalesce(probe, F.lit(False)))
 
 
-def _rates(duration: str = "duration_ms") -> list[Column]:
+def _rates() -> list[Column]:
     return [
         F.count("*").alias("requests"),
         F.count_if(F.col("status_code") >= 500).alias("server_errors"),
         F.count_if((F.col("status_code") >= 400) & (F.col("status_code") < 500)).alias("client_errors"),
-        *(F.percentile(duration, F.lit(q)).alias(f"p{int(q * 100)}_ms") for q in (0.5, 0.95, 0.99)),
     ]
 
 
+def percentiles(rows: DataFrame, keys: list[str], value: str, places: dict[str, float]) -> DataFrame:
+    """(keys, and a column for each of ``places``): exact percentiles, interpolated between neighbouring ranks.
+
+    Values are counted, first within ranges that grow with the value (some thousands in all), so that no task or buffer ever
+    holds the values of a whole group: ranks are looked up in the ranges' running counts, and then in those ranges only.
+    """
+    named = rows.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("k"), F.col(value).cast("double").alias("v"))
+    ranged = named.withColumn("range", F.floor(F.signum("v") * F.log1p(F.abs("v")) * 64))
+    counts = ranged.groupBy("k", "range", "v").agg(F.count("*").alias("n"))
+    sums = ranged.groupBy("k", "range").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("k").orderBy("range")
+    sums = sums.withColumn("end", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("k")))
+    place = lambda q: (F.col("all") - 1) * F.lit(q)
+    ranks = [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), which(place(q)).cast("long").alias("rank"), place(q).alias("place")) for name, q in places.items() for side, which in (("low", F.floor), ("high", F.ceil))]
+    asked = sums.select("k", "range", "n", "end", F.explode(F.array(*ranks)).alias("r")).where((F.col("r.rank") < F.col("end")) & (F.col("r.rank") >= F.col("end") - F.col("n")))
+    asked = asked.select("k", "range", "r.*", (F.col("r.rank") - F.col("end") + F.col("n")).alias("at"))
+    inside = counts.join(asked.select("k", "range").distinct(), ["k", "range"]).withColumn("end", F.sum("n").over(Window.partitionBy("k", "range").orderBy("v")))
+    found = asked.join(inside, ["k", "range"]).where((F.col("at") < F.col("end")) & (F.col("at") >= F.col("end") - F.col("n")))
+    pick = lambda name, side, c: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col(c)))
+    per = found.groupBy("k").agg(*(pick(n, s, c).alias(f"{n}_{s}_{c}") for n in places for s, c in (("low", "v"), ("high", "v"), ("low", "rank"), ("high", "rank"), ("low", "place"))))
+
+    def between(n: str) -> Column:
+        low, high, at = F.col(f"{n}_low_v"), F.col(f"{n}_high_v"), F.col(f"{n}_low_place")
+        return F.when(low == high, low).otherwise((F.col(f"{n}_high_rank") - at) * low + (at - F.col(f"{n}_low_rank")) * high).alias(n)
+
+    return per.select("k.*", *(between(n) for n in places))
+
+
+def with_percentiles(groups: DataFrame, rows: DataFrame, keys: list[str], value: str, places: dict[str, float]) -> DataFrame:
+    """``groups`` (keys, ...), of ``rows``, with the percentiles of their values."""
+    found = percentiles(rows, keys, value, places)
+    for k in keys:
+        found = found.withColumnRenamed(k, f"_{k}")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return groups.join(found, same, "left").drop(*(f"_{k}" for k in keys))
+
+
 def request_totals(requests: DataFrame, until: Column, hours: int = 24) -> DataFrame:
     """One row: totals of the window and of the equal one before it, deltas, verdict level and reasons. One scan."""
     span = F.expr(f"INTERVAL {min(max(hours, 1), MAX_HOURS)} HOURS")
     rows = in_window(requests, until - span - span, until)
-    side = F.when(F.col("created_at") >= until - span, F.lit("now")).otherwise(F.lit("before"))
-    each = rows.groupBy(side.alias("side")).agg(*_rates()).withColumn("error_rate", percent(F.col("server_errors"), F.col("requests")))
+    rows = rows.withColumn("side", F.when(F.col("created_at") >= until - span, F.lit("now")).otherwise(F.lit("before")))
+    each = with_percentiles(rows.groupBy("side").agg(*_rates()), rows, ["side"], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}).withColumn("error_rate", percent(F.col("server_errors"), F.col("requests")))
     columns = ["requests", "server_errors", "client_errors", "p50_ms", "p95_ms", "p99_ms", "error_rate"]
     one = each.agg(*(F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("now", "before") for c in columns))
     zero = [f"{s}_{c}" for s in ("now", "before") for c in ("requests", "server_errors", "client_errors", "error_rate")]
@@ -79,7 +117,7 @@ def request_series(requests: DataFrame, until: Column, hours: int = 24, approxim
     width, span = bucket_width(hours), F.expr(f"INTERVAL {hours} HOURS")
     index = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / width)
     p95 = F.percentile_approx("duration_ms", F.lit(0.95)) if approximate else F.percentile("duration_ms", F.lit(0.95))
-    counts = in_window(requests, until - span, until).groupBy(index(F.col("created_at")).alias("bucket")).agg(*_rates()[:3], p95.alias("p95_ms"))
+    counts = in_window(requests, until - span, until).groupBy(index(F.col("created_at")).alias("bucket")).agg(*_rates(), p95.alias("p95_ms"))
     spine = requests.sparkSession.range(1).select(F.explode(F.sequence(index(until - span), index(until))).alias("bucket"))
     full = spine.join(counts, "bucket", "left").fillna(0, ["requests", "server_errors", "client_errors"])
     return full.select(F.timestamp_seconds(F.col("bucket") * width).alias("t"), "requests", "server_errors", "client_errors", "p95_ms")
@@ -97,9 +135,9 @@ def failure_groups(requests: DataFrame, since: Column, until: Column, least_stat
 
 def slow_routes(requests: DataFrame, since: Column, until: Column, top: int = TOP) -> DataFrame:
     """Routes of at least 5 requests by p95: requests, p95, average, server error percentage."""
-    groups = in_window(requests, since, until).groupBy("method", "path").agg(
-        F.count("*").alias("requests"), F.percentile("duration_ms", F.lit(0.95)).alias("p95_ms"), F.avg("duration_ms").alias("avg_ms"), F.count_if(F.col("status_code") >= 500).alias("errors")
-    )
+    rows = in_window(requests, since, until)
+    groups = rows.groupBy("method", "path").agg(F.count("*").alias("requests"), F.avg("duration_ms").alias("avg_ms"), F.count_if(F.col("status_code") >= 500).alias("errors"))
+    groups = with_percentiles(groups, rows, ["method", "path"], "duration_ms", {"p95_ms": 0.95})
     kept = groups.where(F.col("requests") >= LEAST_REQUESTS).withColumn("error_rate", percent(F.col("errors"), F.col("requests")))
     return kept.drop("errors").orderBy(F.desc("p95_ms"), "method", "path").limit(top)
 
@@ -109,8 +147,9 @@ def ai_usage(usage: DataFrame, since: Column, until: Column) -> DataFrame:
     rows = usage.where((F.col("created_at") >= since) & (F.col("created_at") < until))
     groups = rows.groupBy("llm_model").agg(
         F.count("*").alias("requests"), F.coalesce(F.sum("tokens_used"), F.lit(0)).alias("tokens"), F.avg("latency_ms").alias("avg_ms"),
-        F.percentile("latency_ms", F.lit(0.95)).alias("p95_ms"), F.count_if("cache_hit").alias("hits"),
+        F.count_if("cache_hit").alias("hits"),
     )
+    groups = with_percentiles(groups, rows, ["llm_model"], "latency_ms", {"p95_ms": 0.95})
     return groups.withColumn("cache_hit_rate", percent(F.col("hits"), F.col("requests"))).drop("hits")
 
 

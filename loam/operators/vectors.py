@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 BLOCK, PART = 512, 50_000
 
 
+def unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack([np.asarray(v, np.float64) for v in vectors])
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
 def nearest(queries: DataFrame, passages: DataFrame, k: int, most: float, blocks: int = 1, parts: int = 1) -> DataFrame:
     """(query_id, chunk_id, distance, rank): for each query the ``k`` nearest passages by cosine, at most ``most`` away.
 
@@ -21,17 +26,13 @@ def nearest(queries: DataFrame, passages: DataFrame, k: int, most: float, blocks
     q = queries.where("vector is not null").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     c = passages.where("vector is not null").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def unit(vectors: pd.Series) -> np.ndarray:
-        m = np.stack([np.asarray(v, np.float32) for v in vectors])
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         a, b, ids = unit(left.vector), unit(right.vector), right.chunk_id.to_numpy()
         found = []
         for at in range(0, len(a), 64):
-            distance = 1.0 - (a[at : at + 64] @ b.T).astype(np.float64)
+            distance = 1.0 - a[at : at + 64] @ b.T
             for query, row in zip(left.query_id.iloc[at : at + 64], distance, strict=True):
                 near = np.flatnonzero(row <= most)
                 best = near[np.lexsort((ids[near], row[near]))[:k]]
@@ -99,14 +100,34 @@ def collapse_copies(ranked: DataFrame, similarity: float = 0.97, least_chars: in
     return ranked.groupBy("query_id").applyInPandas(task, COLLAPSED)
 
 
-def topical_links(vectors: DataFrame, k: int = 5, most: float = 0.45, pool: int = 100, parts: int = 1) -> DataFrame:
-    """(article_id, related array): articles whose best passage lies near an article's centroid, nearest first.
+def topical_links(vectors: DataFrame, k: int = 5, most: float = 0.45, blocks: int = 1, parts: int = 1) -> DataFrame:
+    """(article_id, related, distance, rank): the ``k`` articles whose nearest passage lies nearest to an article's centroid.
 
-    vectors (chunk_id, article_id, embedding). Passages of the article itself don't count.
+    vectors (chunk_id, article_id, embedding). Passages of the article itself don't count. Blocks of centroids meet parts of
+    the passages; an article's passages are in one part unless it is larger than a part, so a task keeps the nearest
+    passage of each other article and of these the k nearest, whatever number of passages they have. Parts merge exactly.
     """
-    means = centroids(vectors, "article_id").select(F.col("article_id").alias("query_id"), "vector")
-    near = nearest(means, vectors.select("chunk_id", F.col("embedding").alias("vector")), 1_000_000 if pool is None else pool * 10, most, 1, parts)
-    named = near.join(vectors.select("chunk_id", "article_id"), "chunk_id").where("article_id <> query_id")
-    best = named.groupBy("query_id", "article_id").agg(F.min("distance").alias("distance"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "article_id"))).where(F.col("rank") <= k)
-    return ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "article_id"))), lambda s: s["article_id"]).alias("related")).withColumnRenamed("query_id", "article_id")
+    means = centroids(vectors, "article_id").withColumnRenamed("article_id", "query_id")
+    q = means.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    c = vectors.where("embedding is not null").select("article_id", F.col("embedding").alias("vector"), F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"))
+    c = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "related": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})]
+        if len(left) and len(right):
+            right = right.sort_values("article_id", kind="stable")
+            ids, starts = np.unique(right.article_id.to_numpy(), return_index=True)
+            a, b = unit(left.vector), unit(right.vector)
+            for query, row in zip(left.query_id, a, strict=True):
+                nearest_ = np.minimum.reduceat(1.0 - b @ row, starts)
+                near = np.flatnonzero((nearest_ <= most) & (ids != query))
+                best = near[np.lexsort((ids[near], nearest_[near]))]
+                # an article may have nearer passages in another part: it is merged there, so all k of a part are enough
+                best = best[:k]
+                found.append(pd.DataFrame({"query_id": query, "related": ids[best], "distance": nearest_[best]}))
+        return pd.concat(found, ignore_index=True)
+
+    met = q.groupBy("block", "part").cogroup(c.groupBy("block", "part")).applyInPandas(task, "query_id long, related long, distance double")
+    best = met.groupBy("query_id", "related").agg(F.min("distance").alias("distance"))
+    order = Window.partitionBy("query_id").orderBy("distance", "related")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("query_id", "article_id")

@@ -120,7 +120,7 @@ def g33_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORDS = lambda x: f"list_distinct(regexp_extract_all(replace(strip_accents(lower({x})), 'đ', 'd'), '[\\p{{L}}\\p{{N}}_''-]+'))"
-CASES = f"""w AS (SELECT conv_id * 100 + turn AS id, {WORDS('text')} AS a, {WORDS("coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')")} AS e, {WORDS("substr(text, 1, 60) || coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '')")} AS c, conv_id, turn FROM conversations),
+CASES = f"""w AS (SELECT conv_id * 100 + turn AS id, {WORDS('text')} AS a, {WORDS("coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')")} AS e, {WORDS("text || coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '')")} AS c, conv_id, turn FROM conversations),
 s AS (SELECT id, CASE WHEN turn = 0 THEN 1.0 ELSE len(list_intersect([conv_id, turn], [turn, turn + 1])) / 2 END AS recall, CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(c, a)) / len(a) END AS faithfulness,
   CASE WHEN len(e) = 0 THEN 1.0 ELSE len(list_intersect(a, e)) / len(e) END AS correctness FROM w)"""
 
@@ -132,7 +132,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = F.when(F.col("turn") == 0, F.array().cast("array<bigint>")).otherwise(F.array("turn", F.col("turn") + 1))
     return table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("answer"), F.coalesce(F.lag("text").over(order), F.lit("")).alias("expected_answer"),
-        F.concat(F.substring("text", 1, 60), F.coalesce(F.lead("text").over(order), F.lit(""))).alias("context"), F.array("conv_id", "turn").alias("retrieved"), expected.alias("expected"),
+        F.concat("text", F.coalesce(F.lead("text").over(order), F.lit(""))).alias("context"), F.array("conv_id", "turn").alias("retrieved"), expected.alias("expected"),
     )
 
 

@@ -33,20 +33,33 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select((F.col("doc_id") * 100000 + F.col("pos")).alias("chunk_id"), F.col("doc_id").alias("article_id"), F.col("line").alias("text"))
 
 
-@query("d2_collapse_exact", f"""
-WITH {LINES}, g AS (SELECT key, arg_max(chunk_id, (round(score, 2), updated, -chunk_id)) AS chunk_id, count(*) AS copies, list_sort(list(DISTINCT article_id)) AS articles FROM passages WHERE n >= 60 GROUP BY key)
-SELECT chunk_id, chunk_id // 100000 AS article_id, copies, list_filter(articles, lambda a: a <> chunk_id // 100000) AS also_in FROM g WHERE len(articles) > 1""".replace("chunk_id // 100000", "CAST(floor(chunk_id / 100000) AS BIGINT)"))
-def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
+COPIES = f"""{LINES}, g AS (SELECT key, arg_max(chunk_id, (round(score, 2), updated, -chunk_id)) AS chunk_id, count(*) AS copies, count(DISTINCT article_id) AS articles FROM passages WHERE n >= 60 GROUP BY key HAVING count(DISTINCT article_id) > 1)"""
+
+
+def copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     each = lines(spark, sf_dir).withColumn("key", passage_key(F.col("text"))).withColumn("n_chars", F.char_length("text"))
     return d.collapse_exact(each.withColumn("score", (F.col("article_id") * 7 % 100) / 100.0).withColumn("updated", F.col("article_id") % 13))
 
 
+@query("d2_collapse_exact", f"WITH {COPIES} SELECT key, chunk_id, CAST(floor(chunk_id / 100000) AS BIGINT) AS article_id, copies, articles FROM g")
+def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(spark, sf_dir)[0]
+
+
+@query("d2_copy_members", f"WITH {COPIES} SELECT DISTINCT key, article_id FROM passages JOIN g USING (key) WHERE n >= 60")
+def d2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies(spark, sf_dir)[1]
+
+
 @query("d3_d4_collapse_near")
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    ranked = vectors.select(
-        (F.col("vec_id") % 10).alias("query_id"), F.col("vec_id").cast("int").alias("position"), F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("article_id"),
-        F.concat(F.lit("k"), (F.col("vec_id") % 97).cast("string")).alias("key"), F.lit(80).alias("n_chars"), ((F.col("vec_id") * 31 % 100) / 100).alias("score"), "embedding", F.lit(0.0).alias("updated"),
+    """The result lists of the vector leg, at most 240 rows each, by distance; vectors of one label are an article."""
+    from loam.plans.retrieval import vector_leg
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("article_id"), "embedding")
+    ranked = vector_leg(spark, sf_dir, most=1.0).join(vectors, "chunk_id").select(
+        "query_id", F.col("rank").alias("position"), "chunk_id", "article_id", F.concat(F.lit("k"), (F.col("chunk_id") % 97).cast("string")).alias("key"), F.lit(80).alias("n_chars"),
+        (1 - F.col("distance")).alias("score"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(0.0).alias("updated"),
     )
     return v.collapse_copies(ranked)
 
@@ -60,16 +73,38 @@ def asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return docs.where("doc_id % 20 = 0"), docs
 
 
+def counts(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    new, docs = asked(spark, sf_dir)
+    return d.set_blocks(new.select("doc_id").count(), docs.select("doc_id").count())
+
+
+def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.set_similarity(*asked(spark, sf_dir), d.MATCH, None, 0, *counts(spark, sf_dir))
+
+
+BEST = f"""{SETS}, u AS (SELECT doc_id, list_filter(s, lambda x: x <> '') AS s FROM t),
+p AS (SELECT q.doc_id AS query_id, d.doc_id AS article_id, len(list_intersect(q.s, d.s)) AS c, len(q.s) AS a, len(d.s) AS b FROM u q JOIN u d ON q.doc_id <> d.doc_id WHERE q.doc_id % 20 = 0),
+j AS (SELECT query_id, article_id, c / greatest(a + b - c, 1) AS jaccard, a, b FROM p),
+k AS (SELECT query_id, article_id, jaccard FROM j WHERE jaccard >= 0.02 OR a < 30 OR b < 30 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY jaccard DESC, article_id) <= 50)"""
+
+
+@query("d5_best_candidates", f"WITH {BEST} SELECT query_id, article_id, round(jaccard, 9) AS jaccard FROM k")
+def d5_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates whose texts are compared."""
+    return d.set_similarity(*asked(spark, sf_dir), d.FLOOR, d.COMPARED, d.FEW_TOKENS, *counts(spark, sf_dir)).withColumn("jaccard", F.round("jaccard", 9))
+
+
 @query("d5_token_jaccard", f"""
 WITH {SETS}, p AS (SELECT q.doc_id AS query_id, d.doc_id AS article_id, len(list_intersect(q.s, d.s)) AS c, len(q.s) AS a, len(d.s) AS b FROM t q JOIN t d ON q.doc_id <> d.doc_id WHERE q.doc_id % 20 = 0)
 SELECT query_id, article_id, round(c / (a + b - c), 9) AS jaccard FROM p WHERE c / (a + b - c) >= 0.25""")
 def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.token_pairs(*asked(spark, sf_dir), d.MATCH).withColumn("jaccard", F.round("jaccard", 9))
+    return similar(spark, sf_dir).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query("d5_d6_similar_documents")
 def d5_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.similar_documents(*asked(spark, sf_dir)).withColumn("level", d.similarity_level(F.col("score")))
+    blocks, parts = counts(spark, sf_dir)
+    return d.similar_documents(*asked(spark, sf_dir), blocks=blocks, parts=parts).withColumn("level", d.similarity_level(F.col("score")))
 
 
 @query("d6_similarity_level", """
@@ -78,10 +113,16 @@ def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", d.similarity_level(F.col("l_discount") * 10).alias("level"))
 
 
-@query("d7_topical_links")
+@query("d7_topical_links", """
+WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings), m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY 1, 2),
+q AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY 1), u AS (SELECT label, [y / sqrt(list_sum([z * z FOR z IN v])) FOR y IN v] AS v FROM q),
+n AS (SELECT label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), c AS (SELECT label, [y / sqrt(list_sum([z * z FOR z IN v])) FOR y IN v] AS v FROM n),
+d AS (SELECT u.label AS article_id, c.label AS related, min(1 - list_dot_product(u.v, c.v)) AS distance FROM u JOIN c ON u.label <> c.label GROUP BY 1, 2)
+SELECT CAST(article_id AS BIGINT) AS article_id, CAST(related AS BIGINT) AS related, CAST(row_number() OVER (PARTITION BY article_id ORDER BY distance, related) AS INTEGER) AS rank FROM d WHERE distance <= 0.9 QUALIFY rank <= 5""")
 def d7(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("article_id"), "embedding")
-    return v.topical_links(vectors, most=0.9)
+    blocks, parts = v.block_counts(vectors.select("article_id").distinct().count(), vectors.count())
+    return v.topical_links(vectors, 5, 0.9, blocks, parts).select("article_id", "related", "rank")
 
 
 @query("d7_centroids", """
@@ -92,15 +133,14 @@ def d7_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("d8_same_topic", r"""
-WITH w AS (SELECT doc_id, source, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(substr(text, 1, 400)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) > 2)) AS s FROM documents),
+WITH w AS (SELECT doc_id, source, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) > 2)) AS s FROM documents),
 p AS (SELECT *, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS other, lead(s) OVER (PARTITION BY source ORDER BY doc_id) AS o FROM w)
 SELECT doc_id, other, CASE WHEN len(list_distinct(list_concat(s, o))) > 0 THEN len(list_intersect(s, o)) / len(list_distinct(list_concat(s, o))) >= 0.34 ELSE false END AS same FROM p WHERE other IS NOT NULL""")
 def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("source").orderBy("doc_id")
-    head = F.substring("text", 1, 400)
-    pairs = table(spark, sf_dir, "documents").select("doc_id", head.alias("a"), F.lead("doc_id").over(order).alias("other"), F.lead(head).over(order).alias("b")).where("other is not null")
+    pairs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.lead("doc_id").over(order).alias("other"), F.lead("text").over(order).alias("b")).where("other is not null")
     return pairs.select("doc_id", "other", d.same_topic(F.col("a"), F.col("b")).alias("same"))
 
 
@@ -109,4 +149,4 @@ WITH {SETS}, p AS (SELECT q.doc_id AS query_id, d.doc_id AS article_id, len(list
 j AS (SELECT query_id, article_id, c / (a + b - c) AS score FROM p WHERE c / (a + b - c) >= 0.25), m AS (SELECT query_id, arg_max(article_id, (score, -article_id)) AS article_id, max(score) AS score FROM j GROUP BY 1)
 SELECT query_id, CASE WHEN score >= 0.6 THEN 'update' ELSE 'add' END AS action, CASE WHEN score >= 0.6 THEN article_id END AS target FROM m""")
 def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.lesson_triage(d.token_pairs(*asked(spark, sf_dir), d.MATCH).withColumnRenamed("jaccard", "score"))
+    return d.lesson_triage(similar(spark, sf_dir).withColumnRenamed("jaccard", "score"))

@@ -1,4 +1,8 @@
-"""Batch retrieval: ``benchmark`` texts as queries, lines of ``documents`` as passages, first words as titles."""
+"""Batch retrieval: ``benchmark`` texts as queries, lines of ``documents`` as passages, first lines as titles.
+
+``embeddings`` are the vectors of the queries and of the first lines of documents of that number. A query's first long word
+names an entity, which every fiftieth document mentions.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from loam.operators import retrieval as r
 from loam.operators import vectors as v
 from loam.plans.dedupe import lines
 from loam.plans.registry import query
-from loam.sources.tables import table
+from loam.sources.tables import cut, table
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +29,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 120).alias("title"), F.col("source").alias("dept"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("source").alias("dept"))
 
 
 FOLD = lambda x: f"replace(strip_accents(lower({x})), 'đ', 'd')"
@@ -41,29 +45,45 @@ TERMS = f"""qt AS (SELECT query_id, unnest({TOKENS('text')}) AS term FROM querie
 NAMES = """names AS (SELECT query_id, unnest(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda w: length(w) > 1 AND w = upper(w) AND regexp_matches(w, '[A-Z]'))) AS w FROM queries)"""
 KEYWORD = f"""{QUERIES}, {PASSAGES}, {TERMS},
 kw AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, chunk_id) - 1 AS rank FROM terms JOIN idx USING (term) GROUP BY 1, 2 QUALIFY rank < 240)"""
-TITLE = f"""{KEYWORD}, tt AS (SELECT DISTINCT query_id, doc_id AS article_id FROM documents JOIN terms ON contains({FOLD('substr(text, 1, 120)')}, term)),
+TITLE = f"""{KEYWORD}, tt AS (SELECT DISTINCT query_id, doc_id AS article_id FROM documents JOIN terms ON contains({FOLD('string_split(text, chr(10))[1]')}, term)),
 tn AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) - 1 AS rank FROM tt JOIN passages USING (article_id) WHERE (query_id, chunk_id) NOT IN (SELECT query_id, chunk_id FROM kw) QUALIFY rank < 240),
 tl AS (SELECT tn.query_id, tn.chunk_id, rank + coalesce(n, 0) AS rank FROM tn LEFT JOIN (SELECT query_id, count(*) AS n FROM kw GROUP BY 1) USING (query_id) WHERE rank + coalesce(n, 0) < 240)"""
 IDENT = f"""{NAMES}, nd AS (SELECT DISTINCT query_id, lower(w) AS term FROM names WHERE lower(w) NOT IN ({STOP})), ns AS (SELECT query_id, ceil(48 / count(*)) AS share FROM nd GROUP BY 1),
 ni AS (SELECT query_id, term, chunk_id, row_number() OVER (PARTITION BY query_id, term ORDER BY tf DESC, chunk_id) AS r FROM nd JOIN idx USING (term) JOIN ns USING (query_id) QUALIFY r <= any_value(share) OVER (PARTITION BY query_id)),
 il AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, min(r), chunk_id) - 1 AS rank FROM ni GROUP BY 1, 2 QUALIFY rank < 48)"""
-FUSED = f"""{TITLE}, {IDENT}, legs AS (SELECT * FROM kw UNION ALL SELECT * FROM tl UNION ALL SELECT * FROM il),
+VECTOR = """vu AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), vn AS (SELECT vec_id, [x / sqrt(list_sum([y * y FOR y IN v])) FOR x IN v] AS v FROM vu),
+vd AS (SELECT q.vec_id AS query_id, c.vec_id * 100000 AS chunk_id, 1 - list_dot_product(q.v, c.v) AS distance FROM vn q JOIN benchmark ON item_id = q.vec_id, vn c WHERE c.vec_id * 100000 IN (SELECT chunk_id FROM passages)),
+vl AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM vd WHERE distance <= 0.45 QUALIFY rank <= 240)"""
+GRAPH = f"""en AS (SELECT item_id AS e, {FOLD('w[1]')} AS name FROM qw WHERE len(w) > 0), gw AS (SELECT query_id, {FOLD('text')} AS q FROM queries), ge AS (SELECT query_id, e FROM gw JOIN en ON list_contains(regexp_split_to_array(q, '[^\\p{{L}}\\p{{N}}_#-]+'), regexp_split_to_array(name, '[^\\p{{L}}\\p{{N}}_#-]+')[1]) AND contains(q, name)),
+gn AS (SELECT query_id, e FROM ge UNION SELECT query_id, e + 1 FROM ge UNION SELECT query_id, e - 1 FROM ge WHERE e > 0),
+ga AS (SELECT query_id, doc_id AS article_id, count(*) AS hits FROM gn JOIN documents ON doc_id % 50 = e % 50 WHERE e IN (SELECT item_id FROM benchmark) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, article_id) <= 30),
+gl AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id % 100000, chunk_id) - 1 AS rank FROM ga JOIN passages USING (article_id) QUALIFY rank < 30)""".replace("\\\\", "\\")
+FUSED = f"""{TITLE}, {IDENT}, {VECTOR}, {GRAPH},
+legs AS (SELECT * FROM kw UNION ALL SELECT * FROM tl UNION ALL SELECT * FROM il UNION ALL SELECT query_id, chunk_id, rank - 1 FROM vl UNION ALL SELECT * FROM gl),
 fu AS (SELECT query_id, chunk_id, sum(CAST(1 AS DOUBLE) / (60 + rank)) AS rrf FROM legs GROUP BY 1, 2),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, chunk_id) - 1 AS rank FROM fu)"""
 RERANK = rf"""{FUSED}, qq AS (SELECT query_id, list_filter({TOKENS('text')}, lambda w: w NOT IN ({STOP}) AND length(w) > 1) AS list FROM queries),
 qd AS (SELECT query_id, array_to_string(list, ' ') AS phrase, list_distinct(list) AS terms FROM qq),
-po AS (SELECT fr.query_id, fr.chunk_id, fr.rank, {TOKENS('text')} AS words, {FOLD('text')} AS passage FROM fr JOIN passages USING (chunk_id)),
+po AS (SELECT fr.query_id, fr.chunk_id, fr.rank, {TOKENS('text')} AS words, {FOLD('text')} AS passage FROM fr JOIN passages USING (chunk_id) WHERE @READ@),
 fo AS (SELECT po.query_id, chunk_id, rank, terms, phrase, passage, array_to_string(words, ' ') AS run, list_intersect(terms, words) AS found FROM po JOIN qd USING (query_id)),
 df AS (SELECT query_id, term, count(*) AS df FROM (SELECT query_id, unnest(found) AS term FROM fo) GROUP BY 1, 2), sz AS (SELECT query_id, count(*) AS size FROM fo GROUP BY 1),
 fi AS (SELECT query_id, list(term) AS findable FROM df GROUP BY 1),
 nx AS (SELECT nd.query_id, nd.term, 11 * CASE WHEN size < 2 THEN 1 ELSE ln(CAST(size AS DOUBLE) / coalesce(df, 1)) / ln(CAST(size AS DOUBLE)) END AS extra FROM nd JOIN sz USING (query_id) JOIN df USING (query_id, term)),
 ag AS (SELECT fo.query_id, chunk_id, rank, phrase, passage, run, list_intersect(coalesce(findable, terms), found) AS hit, coalesce(findable, terms) AS scored,
   coalesce((SELECT sum(extra) FROM nx WHERE nx.query_id = fo.query_id AND list_contains(found, nx.term)), 0) AS hx, coalesce((SELECT sum(extra) FROM nx WHERE nx.query_id = fo.query_id), 0) AS ax FROM fo LEFT JOIN fi USING (query_id)),
-sc AS (SELECT query_id, chunk_id, rank, round((len(hit) + hx) / greatest(len(scored) + ax, 1) + CASE WHEN length(phrase) > 2 AND contains(run, phrase) THEN 0.35 ELSE 0 END
+sv AS (SELECT query_id, chunk_id, rank, round((len(hit) + hx) / greatest(len(scored) + ax, 1) + CASE WHEN length(phrase) > 2 AND contains(run, phrase) THEN 0.35 ELSE 0 END
   + CASE WHEN regexp_matches(passage, '\b(?:is|are|means|refers to|defined as|describes)\b|\b(?:la|duoc goi la|co nghia la|dung de chi|duoc dinh nghia la)\b') THEN 0.75 ELSE 0 END
   - CASE WHEN regexp_matches(passage, 'reference|helpful documents|sources|bibliography|tai lieu tham khao|nguon tham khao|https?://|www\.') THEN 1 ELSE 0 END
   - CASE WHEN len(regexp_extract_all(passage, 'https?://|www\.')) >= 2 THEN 0.5 ELSE 0 END, 9) AS score FROM ag),
+sc AS (SELECT sv.query_id, sv.chunk_id, sv.rank, CASE WHEN vl.rank <= 5 THEN greatest(score, 0.4) ELSE score END AS score FROM sv LEFT JOIN vl ON vl.query_id = sv.query_id AND vl.chunk_id = sv.chunk_id),
 rr AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) - 1 AS place FROM sc)"""
+#: A query reads three of four groups of sources.
+READS = """CAST(coalesce(nullif(regexp_extract((SELECT source FROM documents WHERE doc_id = article_id), '[0-9]+'), ''), '0') AS BIGINT) % 4 <> query_id % 4"""
+#: Copies collapse: of a key's passages those of other articles than the first one's go.
+COLLAPSED = rf"""ck AS (SELECT rr.query_id, chunk_id, article_id, score, place, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS key, length(text) AS n FROM rr JOIN passages USING (chunk_id) WHERE score >= 0.12),
+cf AS (SELECT *, first_value(article_id) OVER (PARTITION BY query_id, key, n >= 60 ORDER BY place) AS lead FROM ck),
+co AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS INTEGER) AS place FROM cf WHERE n < 60 OR article_id = lead)"""
+OPEN, FULL = RERANK.replace("@READ@", "true"), RERANK.replace("@READ@", READS) + ", " + COLLAPSED
 
 
 @query("r1_query_terms", rf"""WITH {QUERIES} SELECT query_id, list_filter({TOKENS('text')}, lambda w: w NOT IN ({STOP}) AND length(w) > 1) AS terms FROM queries""")
@@ -77,10 +97,10 @@ def r2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r3_vocabulary", rf"""
-WITH {PASSAGES}, n AS (SELECT DISTINCT article_id, unnest(regexp_extract_all(text, '\b[A-Z][A-Z0-9_]{{3,15}}\b')) AS name FROM passages WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))
+WITH {PASSAGES}, w AS (SELECT article_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS name FROM passages), n AS (SELECT DISTINCT article_id, name FROM w WHERE regexp_full_match(name, '[A-Z][A-Z0-9_]{{3,15}}'))
 SELECT name, count(*) AS uses FROM n GROUP BY 1""")
 def r3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.vocabulary(passages(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]")))
+    return r.vocabulary(passages(spark, sf_dir))
 
 
 @query("r4_aliases")
@@ -130,10 +150,10 @@ def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.keyword_leg(terms, r.token_index(passages(spark, sf_dir), terms))
 
 
-@query("r8_title_leg", f"WITH {TITLE.replace('WHERE length(term) > 1', 'WHERE length(term) > 6')} SELECT query_id, chunk_id, rank FROM tl")
+@query("r8_title_leg", f"WITH {TITLE} SELECT query_id, chunk_id, rank FROM tl")
 def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms, chunks = r.asked_terms(questions(spark, sf_dir)).where(F.char_length("term") > 6), passages(spark, sf_dir)
-    return r.title_leg(terms, titles(spark, sf_dir), chunks, r.keyword_leg(terms, r.token_index(chunks)))
+    terms, chunks = cut(r.asked_terms(questions(spark, sf_dir))), passages(spark, sf_dir)
+    return r.title_leg(terms, titles(spark, sf_dir), chunks, cut(r.keyword_leg(terms, r.token_index(chunks, terms))))
 
 
 @query("r9_identifier_leg", f"WITH {KEYWORD}, {IDENT} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM il")
@@ -159,38 +179,60 @@ def r10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.graph_leg(asked, entities, relations, mentions, chunks)
 
 
+def near(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
+    """The vector leg of the queries."""
+    vectors, asked = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    mine = vectors.join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    stored = vectors.select((F.col("vec_id") * 100000).alias("chunk_id"), F.col("embedding").alias("vector")).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return v.nearest(mine, stored, r.POOL, 0.45, *v.block_counts(asked.count(), vectors.count()))
+
+
+def graph(spark: SparkSession, sf_dir: str, asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The graph leg of the queries."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.get(F.filter(F.split("text", r"\s+"), lambda w: F.char_length(w) > 6), F.lit(0)).alias("w"))
+    entities = items.where("w is not null").select(F.col("item_id").alias("entity_id"), r.fold(F.col("w")).alias("normalized_name"))
+    relations = items.select(F.col("item_id").alias("source"), (F.col("item_id") + 1).alias("target"))
+    fiftieth = items.select(F.col("item_id").alias("entity_id"), (F.col("item_id") % 50).alias("k"))
+    mentions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), (F.col("doc_id") % 50).alias("k")).join(fiftieth, "k").select("article_id", "entity_id")
+    return r.graph_leg(asked, entities, relations, mentions, chunks.select("chunk_id", "article_id", (F.col("chunk_id") % 100000).alias("chunk_index")))
+
+
 @query("r11_fused", f"WITH {FUSED} SELECT query_id, chunk_id, round(rrf, 12) AS rrf, CAST(rank AS INTEGER) AS rank FROM fr")
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, chunks = questions(spark, sf_dir), passages(spark, sf_dir)
-    terms = r.asked_terms(asked)
-    index = r.token_index(chunks, terms)
-    keyword = r.keyword_leg(terms, index)
-    found = r.fused(keyword, r.title_leg(terms, titles(spark, sf_dir), chunks, keyword), r.identifier_leg(asked, index))
+    found = r.legs(asked, chunks, titles(spark, sf_dir), near(spark, sf_dir, chunks), graph(spark, sf_dir, asked, chunks))
     return found.withColumn("rrf", F.round("rrf", 12))
 
 
-def results(spark: SparkSession, sf_dir: str, limit: int = 10) -> tuple[DataFrame, DataFrame]:
-    return r.search(questions(spark, sf_dir), passages(spark, sf_dir), titles(spark, sf_dir), limit)
+def results(spark: SparkSession, sf_dir: str, limit: int | None = 10, full: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The search of all queries; ``full`` with copies collapsed and for readers of three of four groups of sources."""
+    asked, chunks, named = questions(spark, sf_dir), passages(spark, sf_dir), titles(spark, sf_dir)
+    readers = None
+    if full:
+        number = F.coalesce(F.try_to_number(F.regexp_extract("dept", "[0-9]+", 0), F.lit("999999999")).cast("long"), F.lit(0))
+        named = named.withColumn("dept", (number % 4).cast("string"))
+        groups = asked.select("query_id", F.explode(F.array(*(F.lit(i) for i in range(4)))).alias("g"))
+        readers = groups.where(F.col("g") != F.col("query_id") % 4).select("query_id", F.col("g").cast("string").alias("dept"))
+    vector = near(spark, sf_dir, chunks)
+    return r.search(asked, chunks, named, limit, vector, graph(spark, sf_dir, asked, chunks), readers=readers, collapse=full)
 
 
-@query("r12_rerank", f"WITH {RERANK} SELECT query_id, chunk_id, score, CAST(place AS INTEGER) AS place FROM rr WHERE score >= 0.12")
+@query("r12_rerank", f"WITH {OPEN} SELECT query_id, chunk_id, score, CAST(place AS INTEGER) AS place FROM rr WHERE score >= 0.12")
 def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir, 100_000)[0]
+    return results(spark, sf_dir, None)[0].select("query_id", "chunk_id", "score", "place")
 
 
 @query("r13_vector_assist", f"""
-WITH {RERANK}, vv AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id DESC) AS rank FROM fr)
-SELECT sc.query_id, sc.chunk_id, CASE WHEN vv.rank <= 5 THEN greatest(score, 0.4) ELSE score END AS score FROM sc JOIN vv USING (query_id, chunk_id)""")
+WITH {OPEN}, vv AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id DESC) AS rank FROM fr)
+SELECT sv.query_id, sv.chunk_id, CASE WHEN vv.rank <= 5 THEN greatest(score, 0.4) ELSE score END AS score FROM sv JOIN vv USING (query_id, chunk_id)""")
 def r13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     asked, chunks = questions(spark, sf_dir), passages(spark, sf_dir)
-    terms = r.asked_terms(asked)
-    index = r.token_index(chunks, terms)
-    keyword = r.keyword_leg(terms, index)
-    pool = r.fused(keyword, r.title_leg(terms, titles(spark, sf_dir), chunks, keyword), r.identifier_leg(asked, index)).join(chunks.select("chunk_id", "text"), "chunk_id")
-    near = pool.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("chunk_id"))).alias("rank"))
-    return r.rerank(asked, pool, near).select("query_id", "chunk_id", "score")
+    found = r.legs(asked, chunks, titles(spark, sf_dir), near(spark, sf_dir, chunks), graph(spark, sf_dir, asked, chunks))
+    pool = cut(found.join(chunks.select("chunk_id", "text"), "chunk_id"))
+    latest = pool.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("chunk_id"))).alias("rank"))
+    return r.rerank(asked, pool, latest).select("query_id", "chunk_id", "score")
 
 
 @query("r14_wordings", f"""
@@ -202,7 +244,7 @@ def r14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r15_second_stage", f"""
-WITH {RERANK}, w AS (SELECT * FROM rr WHERE score >= 0.12), v AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS v FROM w QUALIFY v <= 50),
+WITH {OPEN}, w AS (SELECT * FROM rr WHERE score >= 0.12), v AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS v FROM w QUALIFY v <= 50),
 c AS (SELECT w.*, w.place < 10 OR (v IS NOT NULL AND row_number() OVER (PARTITION BY w.query_id ORDER BY v NULLS LAST, place) <= 5) AS c, (w.chunk_id * 37 % 101) / 100.0 AS p FROM w LEFT JOIN v USING (query_id, chunk_id)),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id, c ORDER BY p DESC, place) AS h FROM c)
 SELECT query_id, chunk_id, CASE WHEN c AND h <= 3 AND p >= 0.05 THEN greatest(score, 0.4) ELSE score END AS score,
@@ -210,15 +252,15 @@ SELECT query_id, chunk_id, CASE WHEN c AND h <= 3 AND p >= 0.05 THEN greatest(sc
 def r15(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    ranked = results(spark, sf_dir, 100_000)[0]
-    near = ranked.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")).alias("rank")).where("rank <= 50")
+    ranked = cut(results(spark, sf_dir, None)[0].select("query_id", "chunk_id", "score", "place"))
+    first = ranked.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")).alias("rank")).where("rank <= 50")
     second = ranked.select("query_id", "chunk_id", (F.col("chunk_id") * 37 % 101 / 100).alias("probability"))
-    return r.promoted(ranked, second, near)
+    return r.promoted(ranked, second, first)
 
 
-@query("r16_hybrid_search", f"WITH {RERANK} SELECT query_id, chunk_id, score, CAST(place AS INTEGER) AS place FROM rr WHERE score >= 0.12 AND place < 10")
+@query("r16_hybrid_search", f"WITH {FULL} SELECT query_id, chunk_id, score, place FROM co WHERE place < 10")
 def r16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results(spark, sf_dir)[0]
+    return results(spark, sf_dir, full=True)[0].select("query_id", "chunk_id", "score", "place")
 
 
 @query("r17_parents", f"""
@@ -230,7 +272,7 @@ def r17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r18_select_context")
 def r18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = r.parents(results(spark, sf_dir, 200)[0].withColumn("parent_id", F.floor(F.col("chunk_id") / 100000)))
+    found = r.parents(results(spark, sf_dir, 200)[0].select("query_id", "chunk_id", "score").withColumn("parent_id", F.floor(F.col("chunk_id") / 100000)))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("doc_id").alias("article_id"), "text")
     return r.select_context(found.join(texts, "parent_id"))
 
@@ -267,30 +309,30 @@ def r20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r21_page_evidence", """
-WITH c AS (SELECT o_custkey AS query_id, o_orderkey AS position, o_orderkey % 200 AS article_id, CAST(o_custkey % 7 + 1 AS INTEGER) AS page_number FROM orders),
-e AS (SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_partkey % 200 AS article_id, l_linenumber AS page_number, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS img FROM lineitem WHERE l_suppkey % 10 = 0),
+WITH c AS (SELECT o_custkey AS query_id, o_orderkey AS position, o_orderkey AS article_id, CAST(o_custkey % 7 + 1 AS INTEGER) AS page_number FROM orders),
+e AS (SELECT l_orderkey * 10 + l_linenumber AS evidence_id, l_orderkey AS article_id, l_linenumber AS page_number, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS img FROM lineitem),
 m AS (SELECT *, min(img) OVER (PARTITION BY query_id, position) AS least FROM c JOIN e USING (article_id, page_number)), k AS (SELECT * FROM m WHERE img = least),
 n AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query_id, evidence_id ORDER BY position) = 1),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id, position ORDER BY img, evidence_id) AS r FROM n QUALIFY r <= 2)
 SELECT query_id, position, evidence_id FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position, r) <= 4""")
 def r21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    citations = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("position"), (F.col("o_orderkey") % 200).alias("article_id"), (F.col("o_custkey") % 7 + 1).cast("int").alias("page_number"))
-    evidence = table(spark, sf_dir, "lineitem").where("l_suppkey % 10 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), (F.col("l_partkey") % 200).alias("article_id"), F.col("l_linenumber").alias("page_number"), F.when(F.col("l_quantity") > 25, "page_visual").otherwise("table").alias("kind"))
+    citations = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("position"), F.col("o_orderkey").alias("article_id"), (F.col("o_custkey") % 7 + 1).cast("int").alias("page_number"))
+    evidence = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence_id"), F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").alias("page_number"), F.when(F.col("l_quantity") > 25, "page_visual").otherwise("table").alias("kind"))
     return r.page_evidence(citations, evidence)
 
 
 @query("r22_routing", rf"""
-WITH t AS (SELECT conv_id, turn, substr(text, 1, 30) || CASE turn % 4 WHEN 0 THEN ' vs other one' WHEN 1 THEN '? Really?' WHEN 2 THEN ' So sánh A and B' ELSE '' END AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, text || CASE turn % 4 WHEN 0 THEN ' vs other one' WHEN 1 THEN '? Really?' WHEN 2 THEN ' So sánh A and B' ELSE '' END AS text FROM conversations),
 c AS (SELECT *, regexp_matches({FOLD('text')}, 'so sanh|khac nhau|khac biet|hay la|nen chon|compare|comparison|difference between|differences between|versus') OR regexp_matches(text, '(?i)\bvs\b') AS comparison FROM t)
 SELECT conv_id, turn, comparison, comparison OR length(text) - length(replace(text, '?', '')) >= 2 AS deep FROM c""")
 def r22(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(F.col("turn") % 4 == 0, " vs other one").when(F.col("turn") % 4 == 1, "? Really?").when(F.col("turn") % 4 == 2, " So sánh A and B").otherwise("")
-    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 30), tail).alias("text"))
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", tail).alias("text"))
     return r.routing(asked).select("conv_id", "turn", "comparison", "deep")
 
 
 @query("r22_ambiguous_departments", f"""
-WITH {RERANK}, f AS (SELECT rr.*, source AS dept FROM rr JOIN documents ON doc_id = CAST(floor(chunk_id / 100000) AS BIGINT) WHERE score >= 0.12 AND place < 5),
+WITH {OPEN}, f AS (SELECT rr.*, source AS dept FROM rr JOIN documents ON doc_id = CAST(floor(chunk_id / 100000) AS BIGINT) WHERE score >= 0.12 AND place < 5),
 n AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top, count(*) OVER (PARTITION BY query_id) AS c FROM f), k AS (SELECT * FROM n WHERE c >= 2 AND top > 0 AND score >= top * 0.85),
 d AS (SELECT query_id, dept, min((-score, place)) AS o FROM k GROUP BY 1, 2) SELECT query_id, list(dept ORDER BY o) AS departments FROM d GROUP BY 1 HAVING count(*) > 1""")
 def r22_departments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,6 +371,10 @@ def r25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("r26_coverage", f"""
-WITH {RERANK} SELECT query_id AS question_id, chunk_id % 3 AS sub_id, count(*) AS hits, max(score) AS best, max(score) >= 0.35 AS covered FROM rr WHERE score >= 0.12 AND place < 10 GROUP BY 1, 2""")
+WITH {OPEN}, h AS (SELECT query_id AS question_id, chunk_id % 3 AS sub_id, chunk_id, score FROM rr WHERE score >= 0.12 AND place < 10), f AS (SELECT * FROM h WHERE floor(chunk_id / 100000) % 2 = 0),
+c AS (SELECT question_id, sub_id FROM f GROUP BY 1, 2 HAVING max(score) >= 0.35), a AS (SELECT * FROM f UNION SELECT * FROM h WHERE (question_id, sub_id) NOT IN (SELECT question_id, sub_id FROM c))
+SELECT question_id, sub_id, count(*) AS hits, max(score) AS best, max(score) >= 0.35 AS covered FROM a GROUP BY 1, 2""")
 def r26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.coverage(results(spark, sf_dir)[0].select(F.col("query_id").alias("question_id"), (F.col("chunk_id") % 3).alias("sub_id"), "score"))
+    again = cut(results(spark, sf_dir)[0].select(F.col("query_id").alias("question_id"), (F.col("chunk_id") % 3).alias("sub_id"), "chunk_id", "score"))
+    subs = questions(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.explode(F.array(*(F.lit(i).cast("long") for i in range(3)))).alias("sub_id"))
+    return r.coverage(r.retried(subs, again.where("floor(chunk_id / 100000) % 2 = 0"), again))

@@ -43,9 +43,9 @@ def v3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("v4_distinct_wordings", r"""
-WITH w AS (SELECT conv_id AS query_id, turn AS position, trim(regexp_replace(replace(strip_accents(lower(substr(text, 1, 3))), 'đ', 'd'), '\s+', ' ', 'g')) AS key FROM conversations),
+WITH w AS (SELECT conv_id AS query_id, turn AS position, trim(regexp_replace(replace(strip_accents(lower(text)), 'đ', 'd'), '\s+', ' ', 'g')) AS key FROM conversations),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY position) AS n FROM w)
 SELECT query_id, position, CAST(row_number() OVER (PARTITION BY query_id ORDER BY position) AS INTEGER) AS rank FROM f WHERE n = 1 AND position > 0 AND key <> '' QUALIFY rank <= 2""")
 def v4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wordings = turns(spark, sf_dir).select(F.col("conv_id").alias("query_id"), F.col("turn").alias("position"), F.substring("text", 1, 3).alias("text"))
+    wordings = turns(spark, sf_dir).select(F.col("conv_id").alias("query_id"), F.col("turn").alias("position"), "text")
     return k.distinct_wordings(wordings, 2).select("query_id", "position", "rank")

@@ -45,10 +45,20 @@ def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.boilerplate(pages(spark, sf_dir))
 
 
-@query("t3_strip_noise")
+#: Page labels and rows of dots.
+NOISE = r"""regexp_matches(trim(line), '(?i)^[-–—|(\[]*\s*(?:(?:trang|page|pg|p)\s*\.?\s*)?[0-9]+(?:\s*(?:/|\\|of|tren|trên|-|–|—)\s*[0-9]+)?\s*[-–—|)\]]*$') OR regexp_matches(trim(line), '[.·•…]{4,}\s*[0-9]+\s*$')"""
+
+
+@query("t3_strip_noise", rf"""
+WITH {BOILERPLATE}, dn AS (SELECT DISTINCT doc_id FROM noise),
+kl AS (SELECT l.doc_id, CAST(pos // 3 + 1 AS INTEGER) AS page_number, pos, line FROM lines l JOIN dn ON dn.doc_id = l.doc_id
+  WHERE trim(line) = '' OR NOT ({NOISE} OR EXISTS (SELECT 1 FROM noise n WHERE n.doc_id = l.doc_id AND n.line_key = regexp_replace(lower(trim(regexp_replace(trim(line), '\s+', ' ', 'g'))), '[0-9]+', '#', 'g')))),
+kp AS (SELECT doc_id, page_number, string_agg(line, chr(10) ORDER BY pos) AS t FROM kl GROUP BY 1, 2),
+np AS (SELECT p.doc_id, p.page_number, p.text, CASE WHEN dn.doc_id IS NULL THEN p.text ELSE regexp_replace(regexp_replace(coalesce(t, ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') END AS new
+  FROM pages p LEFT JOIN dn ON dn.doc_id = p.doc_id LEFT JOIN kp ON kp.doc_id = p.doc_id AND kp.page_number = p.page_number)
+SELECT doc_id, page_number, CASE WHEN max(CASE WHEN trim(new) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) = 1 THEN new ELSE text END AS text FROM np""")
 def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = p.strip_noise(pages(spark, sf_dir))
-    return found.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.char_length("text")).alias("chars"))
+    return p.strip_noise(pages(spark, sf_dir)).select("doc_id", "page_number", "text")
 
 
 @query("t4_sections", r"""
@@ -100,7 +110,17 @@ def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.index_build(articles)
 
 
-@query("t10_review_ranges")
+@query("t10_review_ranges", rf"""
+WITH RECURSIVE {PAGES}, b AS (SELECT doc_id, source AS title, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+c AS (SELECT doc_id, 0 AS position, 0 AS a, 0 AS e, 0 AS nxt FROM b WHERE t <> ''
+  UNION ALL SELECT doc_id, position + 1, nxt, stop, stop + length(substr(t, stop + 1)) - length(regexp_replace(substr(t, stop + 1), '^\s+', '')) FROM (
+    SELECT doc_id, position, nxt, t, CASE WHEN nxt + 4000 < length(t) AND contains(h, chr(10)) AND 4000 - position(chr(10) IN reverse(h)) > 2000 THEN nxt + 4000 - position(chr(10) IN reverse(h)) ELSE least(nxt + 4000, length(t)) END AS stop
+    FROM (SELECT c.doc_id, position, nxt, t, substr(t, nxt + 1, 4000) AS h FROM c JOIN b ON b.doc_id = c.doc_id WHERE nxt < length(t)) x) y),
+r AS (SELECT c.doc_id, position, title, a, e, regexp_replace(substr(t, a + 1, e - a), '^\s+|\s+$', '', 'g') AS body FROM c JOIN b ON b.doc_id = c.doc_id WHERE position > 0),
+g AS (SELECT *, nullif(substr(regexp_replace(regexp_extract(body, '(?m)^\s*(#{{1,6}}\s+\S.*?)\s*$', 1), '^#+\s*', ''), 1, 255), '') AS heading FROM r),
+pl AS (SELECT doc_id, page_number, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page_number) AS p1, length(text) AS n FROM pages),
+m AS (SELECT g.doc_id, position, min(page_number) AS page_start, max(page_number) AS page_end FROM g JOIN pl ON pl.doc_id = g.doc_id AND e > p1 - n AND a < p1 GROUP BY 1, 2)
+SELECT g.doc_id, g.position, coalesce(heading, substr(title || ' — part ' || CAST(g.position AS VARCHAR), 1, 255)) AS title, body, a AS source_start, e AS source_end, heading, page_start, page_end FROM g LEFT JOIN m ON m.doc_id = g.doc_id AND m.position = g.position""")
 def t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = spread(docs(spark, sf_dir)).select("doc_id", F.col("source").alias("title"), F.col("text").alias("body"))
     return p.range_pages(p.review_ranges(bodies, 4000), pages(spark, sf_dir))
@@ -148,16 +168,16 @@ def t12_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t13_fidelity", r"""
 WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[A-Za-zÀ-ỹ0-9][A-Za-zÀ-ỹ0-9_-]{3,}')) AS w0,
-  list_distinct(regexp_extract_all(lower(substr(text, 1, 800)), '[A-Za-zÀ-ỹ0-9][A-Za-zÀ-ỹ0-9_-]{3,}')) AS w1 FROM documents)
+  list_distinct(regexp_extract_all(lower(replace(text, 'e', 'é')), '[A-Za-zÀ-ỹ0-9][A-Za-zÀ-ỹ0-9_-]{3,}')) AS w1 FROM documents)
 SELECT doc_id, CASE WHEN len(w0) = 0 THEN 1.0 ELSE len(list_intersect(w0, w1)) / len(w0) END AS token_coverage FROM w""")
 def t13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = docs(spark, sf_dir).select("doc_id", F.col("text").alias("original"), F.substring("text", 1, 800).alias("formatted"))
+    pairs = docs(spark, sf_dir).select("doc_id", F.col("text").alias("original"), F.replace("text", F.lit("e"), F.lit("é")).alias("formatted"))
     return p.fidelity(pairs).select("doc_id", "token_coverage")
 
 
 @query("t13_numeric_fidelity")
 def t13_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = docs(spark, sf_dir).select("doc_id", F.col("text").alias("original"), F.substring("text", 1, 800).alias("formatted"))
+    pairs = docs(spark, sf_dir).select("doc_id", F.col("text").alias("original"), F.replace("text", F.lit("7"), F.lit("8")).alias("formatted"))
     return p.fidelity(pairs).select("doc_id", "numeric_coverage", F.array_join("missing", " ").alias("missing"))
 
 
@@ -233,10 +253,10 @@ def t20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("t21_embedding_text", r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE source || chr(10) || chr(10) || text END AS child,
-  substr(source || chr(10) || substr(text, 1, 300) || chr(10) || 'Topics: ' || lang || ', ' || source, 1, 2000) AS digest FROM documents""")
+  substr(source || chr(10) || text || chr(10) || 'Topics: ' || lang || ', ' || source, 1, 2000) AS digest FROM documents""")
 def t21(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).otherwise(F.col("source"))
-    return docs(spark, sf_dir).select("doc_id", p.embedding_text(header, F.col("text")).alias("child"), p.digest_text(F.col("source"), F.substring("text", 1, 300), F.array("lang", "source")).alias("digest"))
+    return docs(spark, sf_dir).select("doc_id", p.embedding_text(header, F.col("text")).alias("child"), p.digest_text(F.col("source"), F.col("text"), F.array("lang", "source")).alias("digest"))
 
 
 @query("t22_compress", r"""
@@ -320,7 +340,10 @@ def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited(spark, sf_dir).select("conv_id", "turn", tx.citation_numbers(F.col("text")).alias("ids"))
 
 
-@query("f9_known_markers")
+@query("f9_known_markers", rf"""
+WITH m AS (SELECT conv_id, turn, text || ' ' || CASE WHEN turn % 5 + 1 IN (1, 2) THEN '[C' || CAST(turn % 5 + 1 AS VARCHAR) || ': 2026-08-08]' ELSE '' END || ' so ' || CASE WHEN conv_id % 3 + 1 IN (1, 2) THEN '[C' || CAST(conv_id % 3 + 1 AS VARCHAR) || ']' ELSE '' END
+  || ' and [2024] or ' || CASE WHEN turn + 1 IN (1, 2) OR turn + 1 > 99 THEN '[' || CAST(turn + 1 AS VARCHAR) || ']' ELSE '' END || '. Next 15% holds.' AS t FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]{{2,}}', ' ', 'g'), '[ \t]+([.,;:!?])', '\1', 'g'), '^\s+|\s+$', '', 'g') AS text FROM m""")
 def f9_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited(spark, sf_dir).select("conv_id", "turn", tx.keep_known_markers("text", F.array(F.lit(1), F.lit(2))).alias("text"))
 
@@ -379,11 +402,10 @@ def f16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f18_follow_up", rf"""
 SELECT conv_id, turn, len(regexp_split_to_array(trim(f), '\s+')) <= 16 AND regexp_matches(f, '\b(it|its|they|them|this|that|these|those|he|she|no|do|nay|kia|ay)\b|\b(what about|how about|and the|the same|con|the con|vay con|tiep theo)\b') AS follow_up,
-  trim(substr(text, 1, 40), ' ' || chr(10)) AS plain FROM (SELECT *, replace(strip_accents(lower(substr(text, 1, 80))), 'đ', 'd') AS f FROM conversations)""")
+  trim(text, ' ' || chr(10)) AS plain FROM (SELECT *, replace(strip_accents(lower(text)), 'đ', 'd') AS f FROM conversations)""")
 def f18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 80)
-    marked = F.concat(F.substring("text", 1, 40), F.lit(" [C1] [C2: now]"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_follow_up(head).alias("follow_up"), tx.without_markers(marked).alias("plain"))
+    marked = F.concat("text", F.lit(" [C1] [C2: now]"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_follow_up(F.col("text")).alias("follow_up"), tx.without_markers(marked).alias("plain"))
 
 
 @query("f3_clean_tags", """

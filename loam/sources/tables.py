@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder of spark.checkpoint.dir and reads it from there: what is used several times is
+    computed once, and a lost executor costs nothing. A local master may leave the setting out."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "loam-checkpoints"))
+    return df.checkpoint()
+
+
 def jdbc_table(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A relational table read in ``parts`` ranges of a numeric key, each its own task."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)

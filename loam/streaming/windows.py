@@ -65,11 +65,20 @@ def sliding_rate_stream(requests: DataFrame, limit: int, seconds: float = 60.0,
 
 def sliding_rate(requests: DataFrame, limit: int, seconds: float = 60.0) -> DataFrame:
     """Batch twin. A decision depends on those before it, so rows run in order of time within a key; a pause of a whole
-    window starts afresh, so a busy key is dealt to several tasks at its pauses. Rows stream through a task in sorted
-    batches, and only the accepted times of one window are kept."""
-    order = Window.partitionBy("key").orderBy("created_at", "request_id")
-    gap = F.col("created_at").cast("double") - F.lag(F.col("created_at").cast("double")).over(order)
-    stretched = requests.select("key", "request_id", "created_at", F.sum(F.when(gap >= seconds, 1).otherwise(0)).over(order).alias("stretch"))
+    window starts afresh, so a busy key is dealt to several tasks at its pauses. Pauses are found within a key's hours (or
+    windows, if longer) and stitched at their ends by one row an hour. Rows stream through a task in sorted batches, and only
+    the accepted times of one window are kept."""
+    at = F.col("created_at").cast("double")
+    timed = requests.select("key", "request_id", "created_at", at.alias("at"), F.floor(at / max(seconds, 3600.0)).alias("slot"))
+    slots = timed.groupBy("key", "slot").agg(F.max("at").alias("last"))
+    by_slot = Window.partitionBy("key").orderBy("slot")
+    inside = Window.partitionBy("key", "slot").orderBy("created_at", "request_id")
+    joined = timed.join(slots.select("key", "slot", F.lag("last").over(by_slot).alias("earlier")), ["key", "slot"])
+    before = F.coalesce(F.lag("at").over(inside), "earlier")
+    begun = joined.withColumn("begin", F.when(before.isNull() | (F.col("at") - before >= seconds), F.col("at")))
+    latest = begun.groupBy("key", "slot").agg(F.max("begin").alias("begin"))
+    carried = latest.select("key", "slot", F.max("begin").over(by_slot.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    stretched = begun.join(carried, ["key", "slot"]).select("key", "request_id", "created_at", F.coalesce(F.max("begin").over(inside), "carried").alias("stretch"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, own = [], None
