@@ -5,18 +5,18 @@ A company-wide or public rule is never expanded over all its readers but for the
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from loam.functions.matching import matching_characters
 from loam.functions.text import department_key, emails, group_key
 
 
-def entitlements(users: DataFrame, articles: DataFrame, departments: DataFrame, members: DataFrame, shares: DataFrame, permissions: DataFrame) -> DataFrame:
-    """(user_id, article_id) that may be read.
+def entitlements(users: DataFrame, articles: DataFrame, departments: DataFrame, members: DataFrame, shares: DataFrame, permissions: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(user_id, article_id) of ``asked`` that may be read. Without ``asked`` all that the users may read: for the few users of a
+    report only, as public articles are written out for each of them.
 
     users (user_id, company_domain, reviewer), articles (article_id, company_domain, dept, visibility, owner_id, status,
     active, governed), departments (dept, active), members (user_id, dept), shares (article_id, dept) for further
@@ -28,17 +28,27 @@ def entitlements(users: DataFrame, articles: DataFrame, departments: DataFrame,
     person = users.select("user_id", "company_domain", "reviewer")
     mine = live.select("article_id", "dept").union(shares.join(live.select("article_id"), "article_id", "left_semi").select("article_id", "dept"))
     open_ = live.where("visibility <> 'users'")
-    by_dept = members.join(mine, "dept").join(open_.select("article_id"), "article_id", "left_semi").select("user_id", "article_id")
-    public = person.join(open_.where("visibility = 'public'").select("article_id", "company_domain"), "company_domain").select("user_id", "article_id")
+    public = open_.where("visibility = 'public'").select("article_id", "company_domain")
     owned = live.select(F.col("owner_id").alias("user_id"), "article_id")
     allowed = permissions.where("effect = 'allow'").join(live.select("article_id"), "article_id", "left_semi").select("user_id", "article_id")
+    pair = ["user_id", "article_id"]
+    if asked is None:
+        by_dept = members.join(mine, "dept").join(open_.select("article_id"), "article_id", "left_semi").select(*pair)
+        public = person.join(public, "company_domain").select(*pair)
+    else:  # every pair is looked up by its article, its user, or both
+        asked = asked.select(*pair).distinct()
+        by_dept = asked.join(open_.select("article_id"), "article_id", "left_semi").join(mine, "article_id").join(members, ["user_id", "dept"], "left_semi").select(*pair)
+        public = asked.join(public, "article_id").join(person, ["user_id", "company_domain"], "left_semi").select(*pair)
+        owned, allowed = asked.join(owned, pair, "left_semi"), asked.join(allowed, pair, "left_semi")
     paths = by_dept.union(public).union(owned).union(allowed).distinct()
     paths = paths.join(permissions.where("effect = 'deny'").select("user_id", "article_id"), ["user_id", "article_id"], "left_anti")
     facts = live.select("article_id", "company_domain", "owner_id", "status", "governed")
     full = paths.join(facts, "article_id").join(person, ["user_id", "company_domain"])
     full = full.where((F.col("status") == "published") | F.col("reviewer") | (F.col("owner_id") == F.col("user_id")))
-    source = permissions.where("effect = 'allow' and source = 'provider'").select("user_id", "article_id").union(members.join(mine, "dept").select("user_id", "article_id")).distinct()
-    return full.where(~F.col("governed")).select("user_id", "article_id").union(full.where("governed").join(source, ["user_id", "article_id"], "left_semi").select("user_id", "article_id"))
+    governed = full.where("governed").select(*pair)
+    provider = governed.join(permissions.where("effect = 'allow' and source = 'provider'").select(*pair), pair, "left_semi")
+    shared = governed.join(mine, "article_id").join(members, ["user_id", "dept"], "left_semi").select(*pair)
+    return full.where(~F.col("governed")).select(*pair).union(provider.union(shared).distinct())
 
 
 def retrieval_filter(chunks: DataFrame, tags: DataFrame | None = None, tag: str | None = None, since: Column | None = None, until: Column | None = None, **equal: object) -> DataFrame:
@@ -127,29 +137,48 @@ def propagate(chunks: DataFrame, changed: DataFrame, columns: tuple[str, ...] =
     return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).select(*chunks.columns)
 
 
-@F.pandas_udf(DoubleType())
-def name_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Sequence ratio of two names, 0.8 at least if one holds the other; 0 if one is empty."""
-    found = []
-    for a, b in zip(left.fillna(""), right.fillna(""), strict=True):
-        ratio = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
-        found.append(max(ratio, 0.8) if a and b and (a in b or b in a) else ratio)
-    return pd.Series(found, dtype=float)
+#: Group names in a block and departments in a part of ``suggest_departments``.
+NAMES, DEPARTMENTS = 2000, 2000
+SUGGESTED = "key string, dkey string, department_id long, score double"
+
+
+def name_ratio(a: str, b: str) -> float:
+    """Share of matching characters of two names, 0.8 at least if one holds the other."""
+    ratio = 2 * matching_characters(a, b) / (len(a) + len(b))
+    return max(ratio, 0.8) if a in b or b in a else ratio
+
+
+def _letters(names: pd.Series) -> np.ndarray:
+    return np.stack([np.bincount(np.frombuffer(n.encode(), np.uint8), minlength=256) for n in names]).astype(np.int16)
 
 
-def suggest_departments(groups: DataFrame, departments: DataFrame, least: float = 0.62) -> DataFrame:
+def suggest_departments(groups: DataFrame, departments: DataFrame, least: float = 0.62, blocks: int = 1, parts: int = 1) -> DataFrame:
     """(group_id, department_id, score): the closest department by name of distinct group names, from ``least`` on.
 
-    groups (group_id, name), departments (department_id, name). Departments of an organisation are few: every distinct
-    group key meets every distinct department key by blocks of the first letters of either, or both, words.
+    groups (group_id, name), departments (department_id, name). Blocks of distinct group keys meet parts of distinct
+    department keys. The letters two names share bound their ratio from above, and only names within the bound are compared;
+    the best of each group leaves a task.
     """
     g = groups.withColumn("key", group_key(F.col("name"))).where("key <> ''")
-    d = departments.withColumn("dkey", department_key(F.col("name"))).where("dkey <> ''").groupBy("dkey").agg(F.min("department_id").alias("department_id"))
-    letters = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x.rlike("[a-z0-9]")))
-    # two names with a ratio over 0.5 share letters: they meet at least under one, and are compared once
-    met = g.select("key").distinct().select("key", F.explode(letters("key")).alias("l")).join(d.select("dkey", F.explode(letters("dkey")).alias("l")), "l").select("key", "dkey").distinct()
-    scored = met.withColumn("score", name_ratio("key", "dkey")).where(F.col("score") >= least).join(d, "dkey")
-    best = scored.groupBy("key").agg(F.max_by(F.struct("department_id", "score"), F.struct("score", -F.col("department_id"))).alias("b"))
+    d = departments.withColumn("dkey", department_key(F.col("name"))).where("dkey <> ''").groupBy("dkey").agg(F.min("department_id").cast("long").alias("department_id"))
+    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = g.select("key").distinct().withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("part", everywhere(parts))
+    right = d.withColumn("part", F.pmod(F.xxhash64("dkey"), F.lit(parts)).cast("int")).withColumn("block", everywhere(blocks))
+
+    def task(keys: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(keys) and len(names):
+            own, size, dkeys = _letters(names.dkey), names.dkey.map(lambda n: len(n.encode())).to_numpy(), names.dkey.tolist()
+            for key, letters in zip(keys.key, _letters(keys.key), strict=True):
+                bound = 2 * np.minimum(own, letters).sum(axis=1) / (size + letters.sum())
+                found = [(name_ratio(key, dkeys[i]), i) for i in np.flatnonzero((bound >= least) | [key in n or n in key for n in dkeys])]
+                score, i = max(((s, i) for s, i in found if s >= least), key=lambda x: (x[0], -names.department_id.iloc[x[1]]), default=(0.0, None))
+                if i is not None:
+                    rows.append((key, dkeys[i], names.department_id.iloc[i], score))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in SUGGESTED.split(", ")])
+
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(task, SUGGESTED)
+    best = met.groupBy("key").agg(F.max_by(F.struct("department_id", "score"), F.struct("score", -F.col("department_id"))).alias("b"))
     return g.join(best, "key").select("group_id", "b.department_id", F.round("b.score", 6).alias("score"))
 
 
@@ -159,6 +188,6 @@ def visible_citations(cited: DataFrame, chunks: DataFrame, allowed: DataFrame) -
 
 
 def leaks(answers: DataFrame, chunks: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(answer_id, leaked): answers (answer_id, user_id, cited array) with cited chunks their user may not read."""
+    """(answer_id, user_id, leaked): answers (answer_id, user_id, cited array) with cited chunks their user may not read."""
     each = answers.select("answer_id", "user_id", F.explode(F.array_distinct("cited")).alias("chunk_id")).join(chunks, "chunk_id")
-    return each.join(allowed, ["user_id", "article_id"], "left_anti").groupBy("answer_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("leaked"))
+    return each.join(allowed, ["user_id", "article_id"], "left_anti").groupBy("answer_id", "user_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("leaked"))

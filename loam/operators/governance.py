@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions.matching import changed_lines
 from loam.functions.text import NUMBER, readings, tokens
 
 # Fixed values.
@@ -33,21 +33,22 @@ def unverified_numbers(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return stated.select("answer_id", "token").join(quoted.distinct(), ["answer_id", "token"], "left_anti")
 
 
-def fact_conflicts(articles: DataFrame, open_facts: DataFrame) -> DataFrame:
-    """(company_domain, fact, article_ids, values): labelled facts ("Deadline: ...") with different values in two articles
-    at least; an article counts with its first value; facts with an open record (company_domain, fact) are passed over.
+def fact_conflicts(articles: DataFrame, open_facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conflicts, members): labelled facts ("Deadline: ...") with different values in two articles at least; an article counts
+    with its first value; facts with an open record (company_domain, fact) are passed over.
 
-    articles (article_id, company_domain, text). Values are made distinct before they are grouped, so a common label is no
-    large group of rows.
+    articles (article_id, company_domain, text). conflicts: (company_domain, fact, articles, values), counts; members:
+    (company_domain, fact, value, article_id), a row an article. A common label is added up in the tasks and never one array.
     """
     pattern = rf"(?im)^\s*({'|'.join(FACT_LABELS)})\s*:\s*(.+?)\s*$"
     labels = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), F.lower)
     values = F.regexp_extract_all("text", F.lit(pattern), F.lit(2))
     facts = articles.select("company_domain", "article_id", F.posexplode(F.arrays_zip(labels.alias("label"), values.alias("value"))).alias("i", "f"))
     first = facts.groupBy("company_domain", "article_id", F.col("f.label").alias("fact")).agg(F.min_by(F.lower("f.value"), "i").alias("value"))
-    by_value = first.groupBy("company_domain", "fact", "value").agg(F.collect_set("article_id").alias("ids"))
-    grouped = by_value.groupBy("company_domain", "fact").agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("article_ids"), F.array_sort(F.collect_list("value")).alias("values"))
-    return grouped.where("n > 1").join(open_facts, ["company_domain", "fact"], "left_anti").drop("n")
+    by_value = first.groupBy("company_domain", "fact", "value").agg(F.count("*").alias("n"))
+    conflicts = by_value.groupBy("company_domain", "fact").agg(F.sum("n").alias("articles"), F.count("*").alias("values")).where(F.col("values") > 1)
+    conflicts = conflicts.join(open_facts, ["company_domain", "fact"], "left_anti")
+    return conflicts, first.join(conflicts.select("company_domain", "fact"), ["company_domain", "fact"], "left_semi").select("company_domain", "fact", "value", "article_id")
 
 
 def deciding_rule(drafts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -131,9 +132,7 @@ def line_diff(pairs: DataFrame) -> DataFrame:
             return max(len(b) - len(a), 0), max(len(a) - len(b), 0), [], True
         added = removed = 0
         hunks: list[str] = []
-        for kind, i0, i1, j0, j1 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            if kind == "equal":
-                continue
+        for i0, i1, j0, j1 in changed_lines(a, b):
             removed, added = removed + i1 - i0, added + j1 - j0
             lines = [f"-{x[:LINE_CHARS]}" for x in a[i0:i1][:HUNK_LINES]] + [f"+{x[:LINE_CHARS]}" for x in b[j0:j1][:HUNK_LINES]]
             if len(hunks) < HUNKS:

@@ -9,16 +9,18 @@ from loam.operators import access as a
 from loam.plans.registry import query
 from loam.sources.tables import table
 
-TABLES = """users AS (SELECT c_custkey AS user_id, n_regionkey AS company_domain, c_custkey % 50 = 0 AS reviewer, c_nationkey AS dept FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 10 = 0),
+TABLES = """users AS (SELECT c_custkey AS user_id, n_regionkey AS company_domain, c_custkey % 50 = 0 AS reviewer, c_nationkey AS dept FROM customer JOIN nation ON n_nationkey = c_nationkey),
 articles AS (SELECT o_orderkey AS article_id, n_regionkey AS company_domain, n_nationkey AS dept, CASE o_orderkey % 7 WHEN 0 THEN 'users' WHEN 1 THEN 'public' ELSE 'company' END AS visibility, o_custkey AS owner_id,
-  CASE WHEN o_orderstatus = 'P' THEN 'draft' ELSE 'published' END AS status, o_orderkey % 11 <> 0 AS active, o_orderkey % 5 = 0 AS governed FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 3 = 0),
+  CASE WHEN o_orderstatus = 'P' THEN 'draft' ELSE 'published' END AS status, o_orderkey % 11 <> 0 AS active, o_orderkey % 5 = 0 AS governed FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 permissions AS (SELECT l_orderkey AS article_id, l_suppkey * 10 AS user_id, CASE WHEN l_linenumber = 1 THEN 'deny' ELSE 'allow' END AS effect, CASE WHEN l_linenumber > 4 THEN 'provider' ELSE 'internal' END AS source FROM lineitem),
 shares AS (SELECT article_id, (dept + 1) % 25 AS dept FROM articles WHERE article_id % 13 = 0)"""
 ALLOWED = f"""{TABLES}, live AS (SELECT * FROM articles WHERE active AND dept % 9 <> 8),
 mine AS (SELECT article_id, dept FROM live UNION SELECT article_id, dept FROM shares WHERE article_id IN (SELECT article_id FROM live)),
-paths AS (SELECT user_id, m.article_id FROM users JOIN mine m USING (dept) JOIN live ON live.article_id = m.article_id WHERE visibility <> 'users'
-  UNION SELECT user_id, article_id FROM users JOIN live USING (company_domain) WHERE visibility = 'public' UNION SELECT owner_id, article_id FROM live
-  UNION SELECT user_id, article_id FROM permissions WHERE effect = 'allow' AND article_id IN (SELECT article_id FROM live)),
+asked AS (SELECT o_custkey AS user_id, o_orderkey AS article_id FROM orders UNION SELECT o_custkey + o_orderkey % 40, o_orderkey FROM orders UNION SELECT l_suppkey * 10, l_orderkey FROM lineitem),
+paths AS (SELECT q.user_id, q.article_id FROM asked q JOIN users u ON u.user_id = q.user_id JOIN mine m ON m.article_id = q.article_id AND m.dept = u.dept JOIN live ON live.article_id = q.article_id WHERE visibility <> 'users'
+  UNION SELECT q.user_id, q.article_id FROM asked q JOIN users u ON u.user_id = q.user_id JOIN live l ON l.article_id = q.article_id AND l.company_domain = u.company_domain WHERE visibility = 'public'
+  UNION SELECT q.user_id, q.article_id FROM asked q JOIN live l ON l.article_id = q.article_id AND l.owner_id = q.user_id
+  UNION SELECT p.user_id, p.article_id FROM permissions p JOIN live l ON l.article_id = p.article_id JOIN asked q ON q.article_id = p.article_id AND q.user_id = p.user_id WHERE effect = 'allow'),
 src AS (SELECT user_id, article_id FROM permissions WHERE effect = 'allow' AND source = 'provider' UNION SELECT user_id, article_id FROM users JOIN mine USING (dept)),
 allowed AS (SELECT p.user_id, p.article_id FROM paths p JOIN live l ON l.article_id = p.article_id JOIN users u ON u.user_id = p.user_id AND u.company_domain = l.company_domain
   WHERE NOT EXISTS (SELECT 1 FROM permissions d WHERE d.effect = 'deny' AND d.user_id = p.user_id AND d.article_id = p.article_id) AND (status = 'published' OR reviewer OR owner_id = p.user_id)
@@ -26,13 +28,13 @@ allowed AS (SELECT p.user_id, p.article_id FROM paths p JOIN live l ON l.article
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select(F.col("c_custkey").alias("user_id"), F.col("n_regionkey").alias("company_domain"), (F.col("c_custkey") % 50 == 0).alias("reviewer"), F.col("c_nationkey").alias("dept"), F.col("c_name").alias("name"))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    joined = table(spark, sf_dir, "orders").where(key % 3 == 0).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select(
         key.alias("article_id"), F.col("n_regionkey").alias("company_domain"), F.col("n_nationkey").alias("dept"), F.when(key % 7 == 0, "users").when(key % 7 == 1, "public").otherwise("company").alias("visibility"),
         F.col("o_custkey").alias("owner_id"), F.when(F.col("o_orderstatus") == "P", "draft").otherwise("published").alias("status"), (key % 11 != 0).alias("active"), (key % 5 == 0).alias("governed"),
@@ -46,11 +48,19 @@ def permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that are looked up: buyers and their orders, other customers and orders, and whoever has a grant or a denial."""
+    orders = table(spark, sf_dir, "orders")
+    own = orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("article_id"))
+    other = orders.select((F.col("o_custkey") + F.col("o_orderkey") % 40).alias("user_id"), F.col("o_orderkey").alias("article_id"))
+    return own.union(other).union(permissions(spark, sf_dir).select("user_id", "article_id")).distinct()
+
+
 def allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     people, rows = users(spark, sf_dir), articles(spark, sf_dir)
     departments = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("dept"), (F.col("n_nationkey") % 9 != 8).alias("active"))
     shares = rows.where("article_id % 13 = 0").select("article_id", ((F.col("dept") + 1) % 25).alias("dept"))
-    return a.entitlements(people, rows, departments, people.select("user_id", "dept"), shares, permissions(spark, sf_dir))
+    return a.entitlements(people, rows, departments, people.select("user_id", "dept"), shares, permissions(spark, sf_dir), asked(spark, sf_dir))
 
 
 @query("a1_entitlements", f"WITH {ALLOWED} SELECT user_id, article_id FROM allowed")
@@ -140,23 +150,24 @@ def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("group_id"), F.concat("p_type", F.lit(" "), "p_brand", F.lit(" Members")).alias("name"))
     departments = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("name")).agg(F.min("p_partkey").alias("department_id"))
-    return a.suggest_departments(groups, departments)
+    return a.suggest_departments(groups, departments, 0.62, -(-groups.count() // a.NAMES), -(-departments.count() // a.DEPARTMENTS))
 
 
-@query("a9_visible_citations", f"WITH {ALLOWED} SELECT user_id, article_id * 10 AS chunk_id FROM allowed WHERE (user_id + article_id) % 2 = 0")
+@query("a9_visible_citations", f"WITH {ALLOWED} SELECT user_id, article_id * 10 AS chunk_id FROM allowed")
 def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    may, rows = allowed(spark, sf_dir), articles(spark, sf_dir)
-    chunks = rows.select((F.col("article_id") * 10).alias("chunk_id"), "article_id")
-    asked = may.where("(user_id + article_id) % 2 = 0").select("user_id", (F.col("article_id") * 10).alias("chunk_id"))
-    unseen = permissions(spark, sf_dir).where("effect = 'deny'").select("user_id", (F.col("article_id") * 10).alias("chunk_id")).distinct()
-    return a.visible_citations(asked.union(unseen), chunks, may)
+    """All pairs as citations; those that may not be seen go."""
+    chunks = articles(spark, sf_dir).select((F.col("article_id") * 10).alias("chunk_id"), "article_id")
+    cited = asked(spark, sf_dir).select("user_id", (F.col("article_id") * 10).alias("chunk_id"))
+    return a.visible_citations(cited, chunks, allowed(spark, sf_dir))
 
 
 @query("a10_leaks", f"""
-WITH {ALLOWED}, c AS (SELECT o_orderkey AS answer_id, o_custkey - o_custkey % 10 AS user_id, unnest([o_orderkey - o_orderkey % 3, o_orderkey - o_orderkey % 3 + 3]) AS article_id FROM orders),
-x AS (SELECT DISTINCT c.* FROM c JOIN articles USING (article_id)) SELECT answer_id, list_sort(list(article_id * 10)) AS leaked FROM x WHERE (user_id, article_id) NOT IN (SELECT user_id, article_id FROM allowed) GROUP BY 1""")
+WITH {ALLOWED}, c AS (SELECT o_orderkey AS answer_id, o_custkey + o_orderkey % 40 AS user_id, o_orderkey AS article_id FROM orders UNION ALL SELECT l_orderkey, l_suppkey * 10, l_orderkey FROM lineitem WHERE l_linenumber = 1)
+SELECT answer_id, user_id, list_sort(list(DISTINCT article_id * 10)) AS leaked FROM c WHERE (user_id, article_id) NOT IN (SELECT user_id, article_id FROM allowed) GROUP BY 1, 2""")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey") - F.col("o_orderkey") % 3
-    answers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("answer_id"), (F.col("o_custkey") - F.col("o_custkey") % 10).alias("user_id"), F.array(key * 10, key * 10 + 30).alias("cited"))
+    """An answer to a customer about another's order cites it, and so does one to whoever is denied its first line."""
+    orders, denied = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    one = orders.select(F.col("o_orderkey").alias("answer_id"), (F.col("o_custkey") + F.col("o_orderkey") % 40).alias("user_id"), F.array(F.col("o_orderkey") * 10).alias("cited"))
+    two = denied.select(F.col("l_orderkey").alias("answer_id"), (F.col("l_suppkey") * 10).alias("user_id"), F.array(F.col("l_orderkey") * 10).alias("cited"))
     chunks = articles(spark, sf_dir).select((F.col("article_id") * 10).alias("chunk_id"), "article_id")
-    return a.leaks(answers, chunks, allowed(spark, sf_dir))
+    return a.leaks(one.union(two), chunks, allowed(spark, sf_dir))

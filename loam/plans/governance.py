@@ -30,18 +30,28 @@ def g19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.unverified_numbers(answers, orders(spark, sf_dir).select(key.alias("answer_id"), quoted.alias("text")))
 
 
-@query("g20_fact_conflicts", """
-WITH f AS (SELECT o_custkey % 20 AS company_domain, o_orderkey AS article_id, CASE WHEN o_orderkey % 2 = 0 THEN 'deadline' ELSE 'owner' END AS fact, 'day ' || CAST(o_orderkey % 4 AS VARCHAR) AS value FROM orders WHERE o_custkey % 20 <> 3),
-v AS (SELECT company_domain, fact, list_sort(list(DISTINCT value)) AS "values", list_sort(list(DISTINCT article_id)) AS article_ids FROM f GROUP BY 1, 2)
-SELECT * FROM v WHERE len("values") > 1 AND NOT (company_domain = 4 AND fact = 'owner')""")
-def g20(spark: SparkSession, sf_dir: str) -> DataFrame:
+FACTS = """f AS (SELECT o_custkey % 20 AS company_domain, o_orderkey AS article_id, CASE WHEN o_orderkey % 2 = 0 THEN 'deadline' ELSE 'owner' END AS fact, 'day ' || CAST(o_orderkey % 4 AS VARCHAR) AS value FROM orders),
+v AS (SELECT company_domain, fact, count(DISTINCT value) AS "values", count(*) AS articles FROM f GROUP BY 1, 2), c AS (SELECT * FROM v WHERE "values" > 1 AND NOT (company_domain = 4 AND fact = 'owner'))"""
+
+
+def conflicts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     key = F.col("o_orderkey")
     text = F.concat(F.lit("Notes\n"), F.when(key % 2 == 0, "Deadline").otherwise(" OWNER "), F.lit(": Day "), (key % 4).cast("string"), F.lit("\nDeadline"))
-    articles = orders(spark, sf_dir).where("o_custkey % 20 <> 3").select((F.col("o_custkey") % 20).alias("company_domain"), key.alias("article_id"), text.alias("text"))
-    open_facts = spark.range(1).select(F.lit(4).cast("long").alias("company_domain"), F.lit("owner").alias("fact"))
+    articles = orders(spark, sf_dir).select((F.col("o_custkey") % 20).alias("company_domain"), key.alias("article_id"), text.alias("text"))
+    open_facts = orders(spark, sf_dir).where("o_custkey % 20 = 4").select((F.col("o_custkey") % 20).alias("company_domain"), F.lit("owner").alias("fact")).distinct()
     return g.fact_conflicts(articles, open_facts)
 
 
+@query("g20_fact_conflicts", f'WITH {FACTS} SELECT company_domain, fact, articles, "values" FROM c')
+def g20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conflicts(spark, sf_dir)[0]
+
+
+@query("g20_conflict_members", f"WITH {FACTS} SELECT f.company_domain, f.fact, f.value, f.article_id FROM f JOIN c ON c.company_domain = f.company_domain AND c.fact = f.fact")
+def g20_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conflicts(spark, sf_dir)[1]
+
+
 @query("g21_deciding_rule", """
 WITH d AS (SELECT p_partkey AS draft_id, p_brand AS dept, CASE WHEN p_partkey % 3 = 0 THEN 'pdf' ELSE 'txt' END AS extension, CASE WHEN p_partkey % 4 <> 0 THEN p_size / 50.0 END AS similarity, p_type AS tier FROM part),
 r AS (SELECT p_partkey AS rule_id, p_size AS priority, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS dept, CASE WHEN p_partkey % 3 = 1 THEN 'pdf' END AS extension, CASE WHEN p_partkey % 5 = 0 THEN 0.5 END AS most, CASE WHEN p_partkey % 4 = 1 THEN p_type END AS tier FROM part WHERE p_partkey < 100 AND p_partkey % 7 <> 0)
@@ -179,9 +189,9 @@ def g35(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.cached_answers(asked, cache(spark, sf_dir), now())
 
 
-@query("g35_invalidated", f"WITH {CACHE} SELECT cache_id FROM cache WHERE NOT (article_ids[1] % 9 = 0 OR article_ids[2] % 9 = 0)")
+@query("g35_invalidated", f"WITH {CACHE} SELECT cache_id FROM cache WHERE NOT list_has_any(article_ids, (SELECT list(DISTINCT p_partkey % 500) FROM part WHERE p_size = 7))")
 def g35_invalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = spark.range(500).where("id % 9 = 0").select(F.col("id").alias("article_id"))
+    changed = table(spark, sf_dir, "part").where("p_size = 7").select((F.col("p_partkey") % 500).alias("article_id")).distinct()
     return g.invalidated(cache(spark, sf_dir), changed).select("cache_id")
 
 

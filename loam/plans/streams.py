@@ -157,3 +157,42 @@ def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.lit("t").alias("company_domain"), F.sha2("html", 256).alias("source_hash"), F.lit(0).alias("created_at"))
     known = first_files(files).where("file_id % 10 = 0").withColumnRenamed("file_id", "subject_id")
     return first_files(files, known).select(F.col("file_id").alias("page_id"), "source_hash")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    from uuid import uuid4
+
+    from loam.sources.tables import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+@query("s1_tenant_table", "SELECT lang AS company_domain, doc_id, text FROM documents")
+def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written by tenant and read back."""
+    from loam.sources.tables import write_by_tenant
+
+    path = folder(spark, "tenants")
+    write_by_tenant(table(spark, sf_dir, "documents").select(F.col("lang").alias("company_domain"), "doc_id", "text"), path)
+    return spark.read.parquet(path)
+
+
+@query("s3_csv_rows", "SELECT [CAST(c_custkey AS VARCHAR), c_name, c_mktsegment] AS cells FROM customer")
+def s3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as CSV files and read as cells."""
+    from loam.sources.tables import csv_rows
+
+    path = folder(spark, "csv")
+    table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").write.csv(path)
+    return csv_rows(spark, path).select("cells")
+
+
+@query("s5_replace_documents", "SELECT doc_id AS article_id, CASE WHEN doc_id % 7 = 0 THEN 'new ' || text ELSE text END AS text FROM documents")
+def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh document replaced in a bucketed table."""
+    from loam.sources.tables import bucket_of, replace_documents
+
+    path, docs = folder(spark, "replaced"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "text")
+    docs.withColumn("bucket", bucket_of(F.col("article_id"), 16)).write.partitionBy("bucket").parquet(path)
+    replace_documents(spark, path, docs.where("article_id % 7 = 0").withColumn("text", F.concat(F.lit("new "), "text")), buckets=16)
+    return spark.read.parquet(path).select("article_id", "text")

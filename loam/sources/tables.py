@@ -27,15 +27,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, one of this machine's own, which only a local master can use."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "loam-checkpoints")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder of spark.checkpoint.dir and reads it from there: what is used several times is
-    computed once, and a lost executor costs nothing. A local master may leave the setting out."""
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    """Writes ``df`` to the shared folder and reads it from there: what is used several times is computed once, and a lost
+    executor costs nothing."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "loam-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import random
+from difflib import SequenceMatcher
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loam.functions.matching import changed_lines, matching_characters
 from loam.operators import access as a
 from loam.operators import dedupe as d
 from loam.operators import governance as g
 from loam.operators import retrieval as r
+from loam.operators import telemetry as t
 from loam.operators import vectors as v
 
 RANKED = "query_id long, position int, chunk_id long, article_id long, key string, n_chars int, score double, embedding array<double>, updated double"
@@ -50,6 +55,96 @@ def test_no_pair_is_lost(spark, least):
     sets = [set(t.split()) for t in texts]
     want = {(i, j) for i in range(40) for j in range(40) if i != j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least}
     assert {(x.query_id, x.article_id) for x in d.token_pairs(docs, docs, least).collect()} == want
+    for blocks, parts in ((1, 1), (3, 4)):
+        assert {(x.query_id, x.article_id) for x in d.set_similarity(docs, docs, least, blocks=blocks, parts=parts).collect()} == want
+
+
+def test_best_candidates_and_short_sides(spark):
+    texts = ["a b c d e f", "a b c d e g", "x", "y", "", "a b c x", "q r s t u v w"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, body string")
+    sets = [set(t.split()) for t in texts]
+    jaccard = lambda i, j: len(sets[i] & sets[j]) / max(len(sets[i] | sets[j]), 1)
+    for k in (2, 4):
+        want = set()
+        for i in range(7):
+            near = [j for j in range(7) if i != j and (jaccard(i, j) >= 0.3 or min(len(sets[i]), len(sets[j])) < 2)]
+            want |= {(i, j) for j in sorted(near, key=lambda j: (-jaccard(i, j), j))[:k]}
+        for blocks, parts in ((1, 1), (2, 3)):
+            assert {(x.query_id, x.article_id) for x in d.set_similarity(docs, docs, 0.3, k, 2, blocks, parts).collect()} == want
+    pairs = [(1, "abcdefgh"), (2, "abcdefgx")]  # one token each and none shared: near by characters
+    one = spark.createDataFrame(pairs, "doc_id long, body string")
+    assert {(x.query_id, x.article_id, x.score) for x in d.similar_documents(one, one).collect()} == {(1, 2, 0.875), (2, 1, 0.875)}
+
+
+def test_matching_against_the_definition():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcé ") for _ in range(rng.randint(0, 60))) for _ in range(2))
+        blocks = SequenceMatcher(None, a, b, autojunk=False)
+        assert matching_characters(a, b) == sum(x.size for x in blocks.get_matching_blocks())
+        assert changed_lines(list(a), list(b)) == [x[1:] for x in blocks.get_opcodes() if x[0] != "equal"]
+    assert matching_characters("x" * 300, "x" * 299 + "y") == 299
+
+
+def test_topical_links_against_brute_force(spark):
+    """One article holds most of the passages, all of them near: it neither hides the others nor counts more than once."""
+    rng = np.random.default_rng(4)
+    owner = [0] * 120 + [int(x) for x in rng.integers(1, 8, 60)]
+    m = rng.normal(size=(180, 6)) + 1.5
+    rows = [(i, o, x.tolist()) for i, (o, x) in enumerate(zip(owner, m, strict=True))]
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = set()
+    for q in range(8):
+        mean = m[np.array(owner) == q].mean(axis=0)
+        near = 1 - unit @ (mean / np.linalg.norm(mean))
+        best = sorted((near[[i for i, o in enumerate(owner) if o == other]].min(), other) for other in range(8) if other != q)
+        want |= {(q, other, n + 1) for n, (distance, other) in enumerate(best[:3]) if distance <= 0.45}
+    frame = spark.createDataFrame(rows, "chunk_id long, article_id long, embedding array<double>")
+    for blocks, parts in ((1, 1), (2, 5)):
+        assert {(x.article_id, x.related, x["rank"]) for x in v.topical_links(frame, 3, 0.45, blocks, parts).collect()} == want
+
+
+def test_titles_that_contain_a_term(spark):
+    rng = random.Random(6)
+    titles = [(i, "".join(rng.choice("abÉđ x") for _ in range(rng.randint(0, 25)))) for i in range(80)] + [(99, None)]
+    terms = ["ab", "ba", "e", "abe", "xxd", "ab x", "zzz", "dab", "bde ab"]
+    bare = lambda t: (t or "").lower().replace("é", "e").replace("đ", "d")
+    found = r.titles_with(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame(titles, "article_id long, title string"))
+    assert {tuple(x) for x in found.collect()} == {(t, i) for t in terms if len(t) > 1 for i, title in titles if t in bare(title)}
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(7)
+    rows = [("a", float(x)) for x in rng.exponential(50, 501)] + [("b", float(x)) for x in rng.integers(-3, 3, 100)] + [(None, 5.0), ("c", None), ("d", 0.0), ("d", 1e9)]
+    places = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    found = {x.k2: x for x in t.percentiles(spark.createDataFrame(rows, "k2 string, x double"), ["k2"], "x", places).collect()}
+    assert set(found) == {"a", "b", None, "d"}
+    for key, row in found.items():
+        own = [x for k, x in rows if k == key and x is not None]
+        assert all(np.isclose(row[name], np.percentile(own, 100 * q), rtol=1e-12) for name, q in places.items())
+
+
+def test_copies_of_one_line_are_rows(spark):
+    rows = [(i, i % 3, "k", 80, 0.5, i) for i in range(9)] + [(20, 7, "short", 10, 0.5, 0), (21, 8, "short", 10, 0.5, 0), (30, 9, "own", 80, 0.5, 0), (31, 9, "own", 80, 0.5, 0)]
+    groups, members = d.collapse_exact(spark.createDataFrame(rows, "chunk_id long, article_id long, key string, n_chars int, score double, updated int"))
+    assert [tuple(x) for x in groups.collect()] == [("k", 8, 2, 9, 3)]
+    assert {tuple(x) for x in members.collect()} == {("k", 0), ("k", 1), ("k", 2)}
+
+
+def test_search_collapses_copies_and_checks_readers(spark):
+    line = "the flux capacitor needs a steady supply of power from the main rail to work at all"
+    passages = [(10, 1, line), (20, 2, line), (30, 3, "flux capacitor"), (40, 4, "nothing of note"), (50, 5, "hidden flux capacitor notes")]
+    titles = [(1, "one", "x"), (2, "two", "x"), (3, "three", "x"), (4, "capacitors", "x"), (5, "five", "y")]
+    queries = spark.createDataFrame([(1, "flux capacitor"), (2, "unheard words")], "query_id long, text string")
+    readers = spark.createDataFrame([(1, "x"), (2, "x")], "query_id long, dept string")
+    results, gaps = r.search(queries, spark.createDataFrame(passages, "chunk_id long, article_id long, text string"), spark.createDataFrame(titles, "article_id long, title string, dept string"), readers=readers)
+    found = {x.chunk_id: list(x.also_in) for x in results.collect()}
+    assert found.keys() >= {10, 30} and 20 not in found and 50 not in found and found[10] == [2]
+    assert [x.query_id for x in gaps.collect()] == [2]
+    hits = spark.createDataFrame([(1, 0, 5, 0.9), (1, 1, 6, 0.2)], "question_id long, sub_id long, chunk_id long, score double")
+    again = spark.createDataFrame([(1, 0, 7, 0.9), (1, 1, 6, 0.5), (1, 2, 8, 0.4)], "question_id long, sub_id long, chunk_id long, score double")
+    subs = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "question_id long, sub_id long")
+    assert {tuple(x) for x in r.retried(subs, hits, again).collect()} == {(1, 0, 5, 0.9), (1, 1, 6, 0.5), (1, 2, 8, 0.4)}
 
 
 def test_similar_documents(spark):
@@ -106,6 +201,8 @@ def test_denial_beats_every_grant(spark):
     permissions = spark.createDataFrame([(11, 1, "deny", "internal"), (11, 1, "allow", "internal"), (12, 1, "allow", "internal"), (15, 1, "allow", "provider")], "article_id long, user_id long, effect string, source string")
     found = {tuple(x) for x in a.entitlements(users, articles, departments, members, shares, permissions).collect()}
     assert found == {(1, 10), (1, 12), (1, 13), (1, 15), (2, 10), (2, 11), (2, 15), (4, 10), (4, 11), (4, 13), (4, 15)}
+    asked = spark.createDataFrame([(u, x) for u in range(1, 6) for x in range(10, 17)], "user_id long, article_id long")
+    assert {tuple(x) for x in a.entitlements(users, articles, departments, members, shares, permissions, asked).collect()} == found
 
 
 def test_unset_filters_match_and_unknowns_do_not(spark):

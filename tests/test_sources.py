@@ -55,3 +55,12 @@ def test_a_failed_rebuild_changes_nothing(spark, tmp_path):
 def test_tenant_partitions(spark, tmp_path):
     s.write_by_tenant(spark.createDataFrame([("a", 1), ("b", 2)], "company_domain string, x int"), str(tmp_path / "t"))
     assert sorted(x.name for x in (tmp_path / "t").iterdir() if x.is_dir()) == ["company_domain=a", "company_domain=b"]
+
+
+def test_jdbc_ranges(spark):
+    url = "jdbc:derby:memory:loam;create=true"
+    rows = spark.range(1, 101).selectExpr("id", "concat('row ', id) name")
+    rows.write.format("jdbc").option("url", url).option("dbtable", "things").mode("overwrite").save()
+    found = s.jdbc_table(spark, url, "things", "id", 1, 101, 4)
+    assert found.rdd.getNumPartitions() == 4
+    assert sorted((r[0], r[1]) for r in found.collect()) == [(i, f"row {i}") for i in range(1, 101)]
