@@ -171,17 +171,18 @@ def _grams(text: Column, n: int) -> Column:
 
 def titles_with(terms: DataFrame, titles: DataFrame) -> DataFrame:
     """(term, article_id) of distinct terms (term, of two characters or more) and titles (article_id, title) that contain
-    them, folded. Titles are filed under those of their runs of three characters (two for terms of two) that some term
-    has; a term meets them on its rarest run and is then looked for itself."""
-    words = terms.select("term").distinct()
-    runs = words.select("term", F.explode(F.when(F.char_length("term") > 2, _grams(F.col("term"), 3)).otherwise(_grams(F.col("term"), 2))).alias("gram"))
-    folded = titles.select("article_id", fold(F.col("title")).alias("folded"))
-    every = folded.select("article_id", F.explode(F.concat(_grams(F.col("folded"), 2), _grams(F.col("folded"), 3))).alias("gram"))
+    them, folded. A term has no characters but those of words, so it lies inside one word of the title. The titles' distinct
+    words are filed under those of their runs of three characters (two for terms of two) that some term has; a term meets
+    them on its rarest run and is then looked for itself."""
+    asked = terms.select("term").distinct()
+    runs = asked.select("term", F.explode(F.when(F.char_length("term") > 2, _grams(F.col("term"), 3)).otherwise(_grams(F.col("term"), 2))).alias("gram"))
+    worded = cut(titles.select("article_id", F.explode(F.array_distinct(tokens(F.col("title")))).alias("word")))
+    every = worded.select("word").distinct().select("word", F.explode(F.concat(_grams(F.col("word"), 2), _grams(F.col("word"), 3))).alias("gram"))
     filed = cut(every.join(runs.select("gram").distinct(), "gram", "left_semi"))
     counts = filed.groupBy("gram").agg(F.count("*").alias("df"))
     rarest = runs.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("b"))
-    met = rarest.select("term", F.col("b.gram").alias("gram")).join(filed, "gram").select("term", "article_id")
-    return met.join(folded, "article_id").where(F.contains("folded", F.col("term"))).select("term", "article_id")
+    met = rarest.select("term", F.col("b.gram").alias("gram")).join(filed, "gram").where(F.contains("word", F.col("term"))).select("term", "word")
+    return met.join(worded, "word").select("term", "article_id").distinct()
 
 
 def title_leg(terms: DataFrame, titles: DataFrame, passages: DataFrame, keyword: DataFrame, most: int = POOL) -> DataFrame:

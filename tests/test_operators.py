@@ -107,7 +107,7 @@ def test_topical_links_against_brute_force(spark):
 def test_titles_that_contain_a_term(spark):
     rng = random.Random(6)
     titles = [(i, "".join(rng.choice("abÉđ x") for _ in range(rng.randint(0, 25)))) for i in range(80)] + [(99, None)]
-    terms = ["ab", "ba", "e", "abe", "xxd", "ab x", "zzz", "dab", "bde ab"]
+    terms = ["ab", "ba", "e", "abe", "xxd", "abx", "zzz", "dab", "bde"]
     bare = lambda t: (t or "").lower().replace("é", "e").replace("đ", "d")
     found = r.titles_with(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame(titles, "article_id long, title string"))
     assert {tuple(x) for x in found.collect()} == {(t, i) for t in terms if len(t) > 1 for i, title in titles if t in bare(title)}
