@@ -270,7 +270,16 @@ def r17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.parents(keyword.select("query_id", F.floor(F.col("chunk_id") / 100000).alias("parent_id"), "chunk_id", (F.lit(240) - F.col("rank")).alias("score")))
 
 
-@query("r18_select_context")
+@query("r18_select_context", rf"""
+WITH RECURSIVE {OPEN}, best AS (SELECT query_id, CAST(floor(chunk_id / 100000) AS BIGINT) AS parent_id, max(score) AS score FROM rr WHERE score >= 0.35 AND place < 200 GROUP BY 1, 2),
+tr AS (SELECT doc_id AS parent_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 4000) AS h FROM documents WHERE doc_id IN (SELECT parent_id FROM best)),
+la AS (SELECT *, greatest(CASE WHEN contains(h, chr(10)) THEN 4000 - position(chr(10) IN reverse(h)) ELSE -1 END, CASE WHEN contains(h, '. ') THEN 4000 - position(' .' IN reverse(h)) - 1 ELSE -1 END) AS last FROM tr),
+cx AS (SELECT parent_id, CASE WHEN length(t) <= 4000 THEN t ELSE regexp_replace(substr(h, 1, CASE WHEN last > 2000 THEN last + 1 ELSE 4000 END), '\s+$', '') || ' …' END AS text FROM la),
+od AS (SELECT *, length(text) AS n, greatest(1, (length(text) + 3) // 4) AS own, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS r FROM best JOIN cx USING (parent_id) WHERE text <> ''),
+st AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS spent, CAST(0 AS BIGINT) AS taken, false AS fits FROM od
+  UNION ALL SELECT query_id, r, size + CASE WHEN fit THEN n ELSE 0 END, spent + CASE WHEN fit THEN own ELSE 0 END, taken + CASE WHEN fit THEN 1 ELSE 0 END, fit
+  FROM (SELECT st.query_id, od.r, size, spent, taken, n, own, taken < 40 AND (size = 0 OR (size + n <= 70000 AND spent + own <= 17500)) AS fit FROM st JOIN od ON od.query_id = st.query_id AND od.r = st.r + 1))
+SELECT query_id, parent_id, parent_id AS article_id, score, 'C' || taken AS label, text AS context FROM st JOIN od USING (query_id, r) WHERE fits""")
 def r18(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = r.parents(results(spark, sf_dir, 200)[0].select("query_id", "chunk_id", "score").withColumn("parent_id", F.floor(F.col("chunk_id") / 100000)))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("parent_id"), F.col("doc_id").alias("article_id"), "text")
@@ -359,7 +368,16 @@ def r24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.listing(articles, "R", 1, 3, brand="Brand#2").select("article_id", "title", "total")
 
 
-@query("r25_document_scope")
+@query("r25_document_scope", """
+WITH RECURSIVE asked AS (SELECT [CAST(x AS DOUBLE) FOR x IN embedding] AS q FROM embeddings WHERE vec_id = 0),
+near AS (SELECT vec_id AS doc_id, round(list_dot_product(v, q) / sqrt(list_dot_product(v, v) * list_dot_product(q, q)), 9) AS cosine FROM (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), asked),
+lines AS (SELECT doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos FROM documents),
+firsts AS (SELECT doc_id, min(doc_id * 100000 + pos) AS first_chunk FROM lines WHERE (doc_id * 100000 + pos) % 3 <> 0 GROUP BY 1),
+scope AS (SELECT doc_id AS article_id, cosine IS NOT NULL AS has_digest, cosine, first_chunk, n_chars // 4 AS tokens, CAST(row_number() OVER (ORDER BY cosine DESC NULLS LAST, doc_id) AS INTEGER) AS place
+  FROM documents LEFT JOIN near USING (doc_id) LEFT JOIN firsts USING (doc_id) QUALIFY place <= 120),
+fold AS (SELECT place, tokens AS used, 0 AS batch FROM scope WHERE place = 1
+  UNION ALL SELECT s.place, CASE WHEN used > 0 AND used + tokens > 6000 THEN tokens ELSE used + tokens END, batch + CASE WHEN used > 0 AND used + tokens > 6000 THEN 1 ELSE 0 END FROM fold JOIN scope s ON s.place = fold.place + 1)
+SELECT CAST(0 AS BIGINT) AS question_id, article_id, batch, has_digest, cosine, first_chunk, place FROM scope JOIN fold USING (place)""")
 def r25(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     articles = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), (-F.col("doc_id")).alias("created_at"))
@@ -367,7 +385,7 @@ def r25(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = lines(spark, sf_dir).select("article_id", (F.col("chunk_id") % 100000).alias("chunk_index"), "chunk_id", (F.col("chunk_id") % 3 == 0).alias("evidence"))
     scope = r.document_scope(articles, digests, vectors.where("vec_id = 0").select(F.col("embedding").alias("vector")), chunks)
     sized = scope.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.floor(F.col("n_chars") / 4).alias("tokens")), "article_id")
-    return r.token_batches(sized.select(F.lit(0).cast("long").alias("question_id"), "place", "article_id", "tokens")).join(scope, "article_id")
+    return r.token_batches(sized.select(F.lit(0).cast("long").alias("question_id"), "place", "article_id", "tokens")).join(scope.withColumn("cosine", F.round("cosine", 9)), "article_id")
 
 
 @query("r26_coverage", f"""

@@ -175,13 +175,30 @@ def t13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.fidelity(pairs).select("doc_id", "token_coverage")
 
 
-@query("t13_numeric_fidelity")
+#: Without look-around: a percent sign before a digit ends no number.
+CLAIMS = lambda x: rf"""list_transform(list_transform(regexp_extract_all(regexp_replace({x}, '[%％]([0-9])', 'x\1', 'g'), '[0-9]+(?:[.,][0-9]+)*(?:\s?[%％])?'), lambda v: regexp_replace(replace(v, '％', '%'), '\s+', '', 'g')),
+  lambda v: CASE WHEN regexp_matches(v, '^[0-9]{{1,3}}(,[0-9]{{3}})+(\.[0-9]+)?%?$') THEN replace(v, ',', '') ELSE v END)"""
+
+
+@query("t13_numeric_fidelity", f"""
+WITH n AS (SELECT doc_id, {CLAIMS('text')} AS n0, {CLAIMS("replace(text, '7', '8')")} AS n1 FROM documents),
+a AS (SELECT doc_id, unnest(n0) AS v, generate_subscripts(n0, 1) AS pos FROM n), b AS (SELECT doc_id, unnest(n1) AS v FROM n),
+c AS (SELECT doc_id, v, count(*) AS n0, min(pos) AS pos FROM a GROUP BY 1, 2), d AS (SELECT doc_id, v, count(*) AS n1 FROM b GROUP BY 1, 2),
+m AS (SELECT doc_id, v, n0, coalesce(n1, 0) AS n1, pos FROM c LEFT JOIN d USING (doc_id, v))
+SELECT doc_id, coalesce(sum(least(n0, n1)) / sum(n0), 1.0) AS numeric_coverage, coalesce(string_agg(v, ' ' ORDER BY pos) FILTER (n1 = 0), '') AS missing FROM documents LEFT JOIN m USING (doc_id) GROUP BY 1""")
 def t13_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = docs(spark, sf_dir).select("doc_id", F.col("text").alias("original"), F.replace("text", F.lit("7"), F.lit("8")).alias("formatted"))
     return p.fidelity(pairs).select("doc_id", "numeric_coverage", F.array_join("missing", " ").alias("missing"))
 
 
-@query("t14_reading_view")
+@query("t14_reading_view", r"""
+WITH x AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r]') AS lines FROM documents), y AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM x),
+l AS (SELECT doc_id, pos, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM y),
+k AS (SELECT *, starts_with(line, '•') AS bullet, line <> '' AND length(line) <= 90 AND right(line, 1) NOT IN ('.', '!', '?') AND (right(line, 1) = ':' OR (regexp_matches(line, '^\p{Lu}') AND NOT regexp_matches(line, '\s[a-z]{1,2}\s'))) AS label FROM l),
+e AS (SELECT doc_id, pos, lag(CASE WHEN label THEN line END) OVER (PARTITION BY doc_id ORDER BY pos) AS last FROM k WHERE line <> '' AND NOT bullet),
+v AS (SELECT doc_id, pos, CASE WHEN bullet THEN '- ' || regexp_replace(substr(line, 2), '^\s+', '') WHEN label AND line IS DISTINCT FROM last THEN '### ' || line ELSE line END AS line FROM k LEFT JOIN e USING (doc_id, pos)),
+t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS view FROM v GROUP BY 1)
+SELECT doc_id, regexp_replace(regexp_replace(view, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS view FROM t""")
 def t14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.reading_view(spread(docs(spark, sf_dir)).select("doc_id", F.col("text").alias("body")))
 
