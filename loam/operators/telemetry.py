@@ -51,17 +51,16 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, places: dict[str,
     holds the values of a whole group: ranks are looked up in the ranges' running counts, and then in those ranges only.
     """
     named = rows.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("k"), F.col(value).cast("double").alias("v"))
-    ranged = named.withColumn("range", F.floor(F.signum("v") * F.log1p(F.abs("v")) * 64))
-    counts = ranged.groupBy("k", "range", "v").agg(F.count("*").alias("n"))
-    sums = ranged.groupBy("k", "range").agg(F.count("*").alias("n"))
+    counts = named.withColumn("range", F.floor(F.signum("v") * F.log1p(F.abs("v")) * 64)).groupBy("k", "range", "v").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("k").orderBy("range")
+    sums = counts.groupBy("k", "range").agg(F.sum("n").alias("n"))
     sums = sums.withColumn("end", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("k")))
     place = lambda q: (F.col("all") - 1) * F.lit(q)
     ranks = [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), which(place(q)).cast("long").alias("rank"), place(q).alias("place")) for name, q in places.items() for side, which in (("low", F.floor), ("high", F.ceil))]
-    asked = sums.select("k", "range", "n", "end", F.explode(F.array(*ranks)).alias("r")).where((F.col("r.rank") < F.col("end")) & (F.col("r.rank") >= F.col("end") - F.col("n")))
-    asked = asked.select("k", "range", "r.*", (F.col("r.rank") - F.col("end") + F.col("n")).alias("at"))
-    inside = counts.join(asked.select("k", "range").distinct(), ["k", "range"]).withColumn("end", F.sum("n").over(Window.partitionBy("k", "range").orderBy("v")))
-    found = asked.join(inside, ["k", "range"]).where((F.col("at") < F.col("end")) & (F.col("at") >= F.col("end") - F.col("n")))
+    here = F.filter(F.array(*ranks), lambda r: (r["rank"] < F.col("end")) & (r["rank"] >= F.col("end") - F.col("n")))
+    asked = sums.select("k", "range", (F.col("end") - F.col("n")).alias("before"), here.alias("ranks")).where(F.size("ranks") > 0)
+    inside = counts.join(asked, ["k", "range"]).withColumn("end", F.col("before") + F.sum("n").over(Window.partitionBy("k", "range").orderBy("v")))
+    found = inside.select("k", "v", F.explode(F.filter("ranks", lambda r: (r["rank"] < F.col("end")) & (r["rank"] >= F.col("end") - F.col("n")))).alias("r")).select("k", "v", "r.*")
     pick = lambda name, side, c: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col(c)))
     per = found.groupBy("k").agg(*(pick(n, s, c).alias(f"{n}_{s}_{c}") for n in places for s, c in (("low", "v"), ("high", "v"), ("low", "rank"), ("high", "rank"), ("low", "place"))))
 

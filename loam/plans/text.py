@@ -203,7 +203,16 @@ def t14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.reading_view(spread(docs(spark, sf_dir)).select("doc_id", F.col("text").alias("body")))
 
 
-@query("t15_oversized_parts")
+@query("t15_oversized_parts", r"""
+WITH RECURSIVE ps AS (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS p FROM documents),
+st AS (SELECT doc_id, p, 1 AS i, '' AS run, CAST(NULL AS VARCHAR) AS rest, CAST(NULL AS VARCHAR) AS part, 0 AS step FROM ps
+  UNION ALL SELECT doc_id, p, CASE WHEN rest IS NULL THEN i + 1 ELSE i END,
+    CASE WHEN rest IS NOT NULL THEN CASE WHEN length(rest) > 1000 THEN '' ELSE rest END WHEN i <= len(p) AND length(joined) <= 1000 THEN joined ELSE '' END,
+    CASE WHEN rest IS NOT NULL THEN CASE WHEN length(rest) > 1000 THEN regexp_replace(substr(rest, cut + 1), '^\s+', '') END WHEN i <= len(p) AND length(joined) > 1000 THEN p[i] END,
+    CASE WHEN rest IS NOT NULL THEN CASE WHEN length(rest) > 1000 THEN regexp_replace(substr(rest, 1, cut), '^\s+|\s+$', '', 'g') END WHEN i > len(p) OR length(joined) > 1000 THEN run END, step + 1
+  FROM (SELECT *, CASE WHEN run <> '' THEN run || chr(10) || chr(10) || p[i] ELSE p[i] END AS joined,
+    CASE WHEN position(' ' IN reverse(substr(rest, 1, 1000))) BETWEEN 1 AND 500 THEN 1000 - position(' ' IN reverse(substr(rest, 1, 1000))) ELSE 1000 END AS cut FROM st WHERE rest IS NOT NULL OR i <= len(p) + 1))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS part, part AS text FROM st WHERE regexp_matches(part, '\S')""")
 def t15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.oversized_parts(spread(docs(spark, sf_dir)).select("doc_id", F.col("text").alias("body")), 1000)
 
