@@ -51,7 +51,20 @@ def d2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(spark, sf_dir)[1]
 
 
-@query("d3_d4_collapse_near")
+@query("d3_d4_collapse_near", """
+WITH RECURSIVE n AS (SELECT vec_id, CAST(label AS BIGINT) AS article_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), u AS MATERIALIZED (SELECT vec_id, article_id, [x / sqrt(list_sum([y * y FOR y IN v])) FOR x IN v] AS v FROM n),
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.article_id, c.vec_id % 97 AS key, c.v, 1 - list_dot_product(q.v, c.v) AS distance FROM u q, u c WHERE q.vec_id % 20 = 0),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS i FROM d WHERE distance <= 1 QUALIFY i <= 240),
+p AS (SELECT a.query_id, a.i, b.i AS j, a.key = b.key AS same, list_dot_product(a.v, b.v) AS c FROM r a JOIN r b ON a.query_id = b.query_id AND b.i < a.i AND a.article_id <> b.article_id),
+m AS (SELECT query_id, i, list(j ORDER BY j) FILTER (same) AS equal, list(j ORDER BY c DESC, j) FILTER (c >= 0.97) AS close FROM p WHERE same OR c >= 0.97 GROUP BY 1, 2),
+f AS MATERIALIZED (SELECT query_id, i, equal, close FROM r LEFT JOIN m USING (query_id, i)),
+st AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS slot FROM r
+  UNION ALL SELECT query_id, i, CASE WHEN slot IS NULL THEN list_append(kept, i) ELSE kept END, slot
+  FROM (SELECT st.query_id, f.i, kept, coalesce(list_filter(equal, lambda x: list_contains(kept, x))[1], list_filter(close, lambda x: list_contains(kept, x))[1]) AS slot FROM st JOIN f ON f.query_id = st.query_id AND f.i = st.i + 1)),
+a AS (SELECT query_id, slot, article_id, min(i) AS first FROM st JOIN r USING (query_id, i) WHERE slot IS NOT NULL GROUP BY 1, 2, 3),
+l AS (SELECT query_id, slot AS i, list(article_id ORDER BY first) AS also_in FROM a GROUP BY 1, 2)
+SELECT query_id, chunk_id, article_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY i) - 1 AS INTEGER) AS place, round(1 - distance, 4) AS score, coalesce(also_in, []) AS also_in
+FROM r JOIN st USING (query_id, i) LEFT JOIN l USING (query_id, i) WHERE slot IS NULL""")
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result lists of the vector leg, at most 240 rows each, by distance; vectors of one label are an article."""
     from loam.plans.retrieval import vector_leg
@@ -61,7 +74,7 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", F.col("rank").alias("position"), "chunk_id", "article_id", F.concat(F.lit("k"), (F.col("chunk_id") % 97).cast("string")).alias("key"), F.lit(80).alias("n_chars"),
         (1 - F.col("distance")).alias("score"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(0.0).alias("updated"),
     )
-    return v.collapse_copies(ranked)
+    return v.collapse_copies(ranked).withColumn("score", F.round("score", 4))
 
 
 SETS = r"""t AS (SELECT doc_id, list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ')) AS s FROM documents)"""
