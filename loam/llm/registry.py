@@ -19,6 +19,9 @@ MODULES = {
     "op8_sampled_splitters": "sharding",
     "op9_noisy_channel_toxicity": "toxicity",
     "op10_mix_curriculum": "mixing",
+    "op11_fill_in_middle": "middle",
+    "op12_importance_resampling": "resampling",
+    "op13_sentencepiece": "pieces",
 }
 
 
