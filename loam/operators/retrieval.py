@@ -202,21 +202,52 @@ def identifier_leg(queries: DataFrame, index: DataFrame, most: int = IDENTIFIER_
     return _top(own.groupBy("query_id", "chunk_id").agg(F.count("*").alias("names"), F.min("r").alias("r")), most, F.desc("names"), F.col("r"))
 
 
+def names_within(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, entity_id): entities (company_domain, entity_id, normalized_name) whose whole name stands anywhere in a query
+    (query_id, company_domain, q) of their tenant, inside words too. Empty names and rows without a tenant meet nothing.
+
+    A name lies in a query only if each of its runs of three characters (the name itself, if shorter) does. The queries' runs
+    are counted; a name with a run that no query of its tenant has goes at once, the others meet the queries that have
+    their rarest run, and are then looked for themselves. So no name meets a query but over a run that few queries have.
+    """
+    cut_up = lambda c: F.array_union(F.array_union(_grams(c, 1), _grams(c, 2)), _grams(c, 3))
+    asked = queries.where("company_domain is not null and q <> ''")
+    filed = cut(asked.select("query_id", "company_domain", F.explode(cut_up(F.col("q"))).alias("gram")))
+    counts = filed.groupBy("company_domain", "gram").agg(F.count("*").alias("df"))
+    named = entities.where("company_domain is not null and normalized_name <> ''").select("company_domain", F.col("normalized_name").alias("name")).distinct()
+    size = F.char_length("name")
+    own = F.when(size > 2, _grams(F.col("name"), 3)).otherwise(F.array("name"))
+    each = named.select("company_domain", "name", F.size(own).alias("n"), F.explode(own).alias("gram"))
+    known = each.join(counts, ["company_domain", "gram"]).groupBy("company_domain", "name", "n").agg(F.count("*").alias("met"), F.min(F.struct("df", "gram")).alias("b"))
+    rarest = known.where("met = n").select("company_domain", "name", F.col("b.gram").alias("gram"))
+    pairs = rarest.join(filed, ["company_domain", "gram"]).join(asked.select("query_id", "company_domain", "q"), ["query_id", "company_domain"])
+    hits = pairs.where(F.contains("q", F.col("name"))).select("query_id", "company_domain", "name")
+    return hits.join(entities.select("company_domain", F.col("normalized_name").alias("name"), "entity_id"), ["company_domain", "name"]).select("query_id", "entity_id").distinct()
+
+
 def graph_leg(queries: DataFrame, entities: DataFrame, relations: DataFrame, mentions: DataFrame, passages: DataFrame, most: int = GRAPH_POOL) -> DataFrame:
-    """Passages of articles that mention entities named in a query or one hop from them, by mentioned entities.
+    """Passages of articles that mention entities named in a query or one hop from them, by the greatest mention count among
+    those entities, then by their place in the article; each passage once, everything within the query's tenant.
 
-    entities (entity_id, normalized_name), relations (source, target), mentions (article_id, entity_id),
-    passages (chunk_id, article_id, chunk_index). Names of more than one word are looked up by their first.
+    queries (query_id, company_domain, text), entities (company_domain, entity_id, normalized_name, mention_count), relations
+    (company_domain, source, target), mentions (article_id, entity_id), passages (company_domain, chunk_id, article_id,
+    chunk_index). Of an entity only the ``most`` articles whose first passages come first can have a passage among a
+    query's ``most``, so a hub that half the corpus mentions costs no more than another entity.
     """
-    words = queries.select("query_id", fold(F.col("text")).alias("q")).select("query_id", "q", F.explode(F.array_distinct(F.split("q", r"[^\p{L}\p{N}_#-]+"))).alias("word"))
-    keyed = entities.where("normalized_name <> ''").withColumn("word", F.element_at(F.split("normalized_name", r"[^\p{L}\p{N}_#-]+"), 1))
-    seeds = words.join(keyed, "word").where(F.contains("q", F.col("normalized_name"))).select("query_id", "entity_id").distinct()
-    hops = relations.select(F.col("source").alias("entity_id"), F.col("target").alias("other")).union(relations.select("target", "source"))
-    near = seeds.union(seeds.join(hops, "entity_id").select("query_id", F.col("other").alias("entity_id"))).distinct()
-    articles = near.join(mentions.select("article_id", "entity_id").distinct(), "entity_id").groupBy("query_id", "article_id").agg(F.count("*").alias("hits"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("hits"), "article_id")
-    few = articles.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)  # each article has a passage at least
-    return _top(few.join(passages, "article_id"), most, F.desc("hits"), F.col("chunk_index"))
+    asked = queries.select("query_id", "company_domain", fold(F.col("text")).alias("q"))
+    seeds = names_within(asked, entities).join(asked.select("query_id", "company_domain"), "query_id")
+    there = relations.select("company_domain", F.col("source").alias("entity_id"), F.col("target").alias("other"))
+    hops = there.union(relations.select("company_domain", "target", "source"))
+    near = seeds.select("query_id", "company_domain", "entity_id").union(seeds.join(hops, ["company_domain", "entity_id"]).select("query_id", "company_domain", F.col("other").alias("entity_id"))).distinct()
+    near = cut(near.join(entities.select("company_domain", "entity_id", "mention_count"), ["company_domain", "entity_id"]))
+    firsts = passages.groupBy("company_domain", "article_id").agg(F.min(F.struct("chunk_index", "chunk_id")).alias("first"))
+    met = mentions.select("article_id", "entity_id").distinct().join(near.select("company_domain", "entity_id").distinct(), "entity_id").join(firsts, ["company_domain", "article_id"])
+    place = F.row_number().over(Window.partitionBy("company_domain", "entity_id").orderBy("first"))
+    few = met.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
+    articles = near.join(few, ["company_domain", "entity_id"]).groupBy("query_id", "company_domain", "article_id", "first").agg(F.max("mention_count").alias("count"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("count"), "first")
+    best = articles.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select("query_id", "company_domain", "article_id", "count")
+    return _top(best.join(passages, ["company_domain", "article_id"]), most, F.desc("count"), F.col("chunk_index"))
 
 
 def fused(*legs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,12 +112,11 @@ def replace_documents(spark: SparkSession, path: str, new: DataFrame, key: str =
     partition overwrite. If building the new rows fails, nothing has been touched.
     """
     keyed = new.withColumn("bucket", bucket_of(F.col(key), buckets))
-    staged = f"{path}.staged"
+    staged, merged = (f"{path}.{name}-{uuid.uuid4().hex}" for name in ("staged", "merged"))  # two replacements may run at once
     keyed.write.mode("overwrite").partitionBy("bucket").parquet(staged)
     fresh = spark.read.parquet(staged)
     touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
     old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(fresh.select(key).distinct(), key, "left_anti")
-    merged = f"{path}.merged"
     old.unionByName(fresh, allowMissingColumns=True).write.mode("overwrite").partitionBy("bucket").parquet(merged)
     result = spark.read.parquet(merged)
     result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
