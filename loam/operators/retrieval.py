@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from loam.functions.text import TOKEN, compress, fold, passage_key, tokens
+from loam.operators.vector_index import filed, fit_centres, probe
 from loam.operators.vectors import collapse_copies
 from loam.sources.tables import cut
 
@@ -495,18 +497,30 @@ def retried(subs: DataFrame, hits: DataFrame, again: DataFrame, least: float = 0
     return hits.unionByName(more).groupBy(*keys, "chunk_id").agg(F.max("score").alias("score"))
 
 
-def document_scope(articles: DataFrame, digests: DataFrame, centroid: DataFrame, chunks: DataFrame, most: int = 120) -> DataFrame:
-    """Documents by cosine of their digest to a query vector (nulls last), then newest: article_id, has_digest, cosine,
-    first_chunk, place. articles (article_id, created_at); digests (article_id, vector); centroid: one row (vector);
-    chunks (article_id, chunk_index, chunk_id, evidence): the first chunk that is no evidence stands for a document."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    near = digests.join(F.broadcast(centroid.withColumnRenamed("vector", "_q")))  # one row
-    near = near.select("article_id", (dot("vector", "_q") / F.sqrt(dot("vector", "vector") * dot("_q", "_q"))).alias("cosine"))
+def document_scopes(articles: DataFrame, digests: DataFrame, questions: DataFrame, chunks: DataFrame, most: int = 120, centres: np.ndarray | None = None, probes: int | None = None) -> DataFrame:
+    """(question_id, article_id, cosine, first_chunk, place, total, with_digest, without_digest): for each question the ``most``
+    documents with a ready digest that lie nearest to it, digests without a vector last, then the newest first.
+
+    articles (article_id, created_at); digests (article_id, vector, status, summary), of which those with status ready and a
+    summary count; questions (question_id, vector); chunks (article_id, chunk_index, chunk_id, evidence): the first chunk that
+    is no evidence stands for a document. The totals are of all articles. Digests are looked up in the lists of ``centres``,
+    of which ``probes`` are looked through, by default all. Where many tie at the end of a list the smaller ids stay.
+    """
+    ready = digests.where((F.col("status") == "ready") & (F.coalesce(F.trim("summary"), F.lit("")) != "")).join(articles, "article_id").select("article_id", "created_at", F.col("vector").cast("array<double>").alias("vector"))
+    ready = cut(ready)
+    known = ready.select("article_id", F.col("article_id").alias("chunk_id"), "vector")
+    centres = fit_centres(known) if centres is None else centres
+    near = probe(questions.select(F.col("question_id").alias("query_id"), "vector"), filed(known, centres), centres, most, 2.1, probes)
+    near = near.select(F.col("query_id").alias("question_id"), F.col("chunk_id").alias("article_id"), (1 - F.col("distance")).alias("cosine"))
+    # at most ``most`` rows, the same for every question
+    plain = ready.where("vector is null").orderBy(F.desc("created_at"), "article_id").limit(most).select("article_id", F.lit(None).cast("double").alias("cosine"))
+    every = near.unionByName(questions.select("question_id").join(F.broadcast(plain), F.lit(True))).join(articles.select("article_id", "created_at"), "article_id")
+    order = Window.partitionBy("question_id").orderBy(F.col("cosine").desc_nulls_last(), F.desc("created_at"), "article_id")
+    listed = every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     first = chunks.where(~F.col("evidence")).groupBy("article_id").agg(F.min_by("chunk_id", "chunk_index").alias("first_chunk"))
-    full = articles.join(near, "article_id", "left").join(first, "article_id", "left")
-    ordered = full.orderBy(F.col("cosine").desc_nulls_last(), F.desc("created_at"), "article_id").limit(most)
-    place = F.row_number().over(Window.orderBy(F.col("cosine").desc_nulls_last(), F.desc("created_at"), "article_id"))  # at most ``most`` rows
-    return ordered.select("article_id", F.col("cosine").isNotNull().alias("has_digest"), "cosine", "first_chunk", place.alias("place"))
+    totals = articles.agg(F.count("*").alias("total")).join(ready.agg(F.count("*").alias("with_digest")))  # one row
+    full = listed.join(first, "article_id", "left").join(F.broadcast(totals))
+    return full.select("question_id", "article_id", "cosine", "first_chunk", "place", "total", "with_digest", (F.col("total") - F.col("with_digest")).alias("without_digest"))
 
 
 def token_batches(documents: DataFrame, budget: int = 6000) -> DataFrame:

@@ -11,11 +11,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.operators.components import classes
-from loam.operators.vectors import unit
+from loam.operators.vectors import centroids, unit
 from loam.sources.tables import bucket_of, cut, replace_documents, table
 
 #: Rows that centres are fitted on at most, lists at most, rounds of fitting.
@@ -139,6 +139,29 @@ def probes_for(rows: DataFrame, centres: np.ndarray, k: int, most: float, recall
     return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))])
 
 
+def article_links(articles: DataFrame, vectors: DataFrame, now: Column, version: str, k: int = 5, most: float = 0.45, hours: int = 24, centres: np.ndarray | None = None, probes: int | None = None) -> DataFrame:
+    """(article_id, related, added): articles changed in the last ``hours`` whose list of related ones grows.
+
+    articles (article_id, company_domain, status, lifecycle_status, updated_at, related array<long>), vectors (chunk_id, article_id,
+    embedding, embedding_version). Published and active articles count, on both sides, and vectors of ``version``. The mean
+    of a changed article's vectors looks for the ``k`` articles of its tenant whose nearest passage is nearest, at most
+    ``most`` away; these are united with the ids already there, in order of id. ``probes`` lists are looked through, by
+    default all.
+    """
+    live = articles.where((F.col("status") == "published") & (F.col("lifecycle_status") == "active"))
+    current = vectors.where((F.col("embedding_version") == version) & F.col("embedding").isNotNull())
+    changed = live.where(F.col("updated_at") >= now - F.expr(f"INTERVAL {hours} HOURS"))
+    means = centroids(current.join(changed.select("article_id"), "article_id", "left_semi"), "article_id")
+    asked = means.join(changed.select("article_id", F.col("company_domain").alias("scope")), "article_id").select(F.col("article_id").alias("query_id"), "article_id", "scope", "vector")
+    rows = current.join(live.select("article_id", F.col("company_domain").alias("scope")), "article_id").select("scope", "article_id", "chunk_id", F.col("embedding").alias("vector"))
+    centres = fit_centres(rows) if centres is None else centres
+    found = probe(asked, filed(rows, centres), centres, k, most, probes, by_article=True)
+    new = found.groupBy(F.col("query_id").alias("article_id")).agg(F.collect_set(F.col("article_id")).alias("found"))
+    old = F.coalesce("related", F.array().cast("array<long>"))
+    both = changed.join(new, "article_id").select("article_id", F.array_sort(F.array_union(old, "found")).alias("related"), F.array_sort(F.array_except("found", old)).alias("added"))
+    return both.where(F.size("added") > 0)
+
+
 # --- near vectors of a whole table -----------------------------------------------------------------------------------
 def bands_for(rows: int, similarity: float, miss: float, bucket: int) -> tuple[int, int]:
     """(bits of a band, bands): so that a bucket of random rows has about ``bucket`` of them, and two vectors just that similar

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.text import passage_key
 from loam.operators import dedupe as d
+from loam.operators import vector_index as x
 from loam.operators import vectors as v
 from loam.plans.registry import query
 from loam.sources.tables import table
@@ -138,6 +139,42 @@ def d7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.topical_links(vectors, 5, 0.9, blocks, parts).select("article_id", "related", "rank")
 
 
+#: Articles are the vectors of one remainder; a seventh are drafts, an eleventh retired, half changed in the last day.
+@query("d7_article_links", """
+WITH a AS (SELECT DISTINCT vec_id % 90 AS article_id FROM embeddings), b AS (SELECT article_id, article_id % 3 AS tenant, CASE WHEN article_id % 7 = 0 THEN 'draft' ELSE 'published' END AS status, article_id % 11 <> 0 AS active,
+  article_id % 2 = 0 AS changed, CASE WHEN article_id % 5 = 0 THEN [article_id + 1] ELSE CAST([] AS BIGINT[]) END AS related FROM a),
+live AS (SELECT * FROM b WHERE status = 'published' AND active), cur AS (SELECT vec_id, vec_id % 90 AS article_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE vec_id % 9 <> 0),
+e AS (SELECT article_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM cur WHERE article_id IN (SELECT article_id FROM live WHERE changed)), m AS (SELECT article_id, i, avg(x) AS x FROM e GROUP BY 1, 2),
+q AS (SELECT article_id, list(x ORDER BY i) AS v FROM m GROUP BY 1), u AS (SELECT article_id, [y / sqrt(list_sum([z * z FOR z IN v])) FOR y IN v] AS v FROM q), c AS (SELECT article_id, [y / sqrt(list_sum([z * z FOR z IN v])) FOR y IN v] AS v FROM cur),
+d AS (SELECT u.article_id, c.article_id AS other, min(1 - list_dot_product(u.v, c.v)) AS distance FROM u JOIN live lu USING (article_id) JOIN c ON c.article_id <> u.article_id JOIN live lc ON lc.article_id = c.article_id AND lc.tenant = lu.tenant GROUP BY 1, 2),
+k AS (SELECT article_id, other FROM d WHERE distance <= 0.9 QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY distance, other) <= 5), f AS (SELECT article_id, list(other) AS found FROM k GROUP BY 1)
+SELECT article_id, list_sort(list_distinct(list_concat(related, found))) AS related, list_sort(list_filter(found, lambda x: NOT list_contains(related, x))) AS added
+FROM f JOIN b USING (article_id) WHERE len(list_filter(found, lambda x: NOT list_contains(related, x))) > 0""")
+def d7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 90).alias("article_id"), "embedding", F.when(F.col("vec_id") % 9 == 0, "v1").otherwise("v2").alias("embedding_version"))
+    now, own = F.lit("2026-01-02 00:00:00").cast("timestamp"), F.col("article_id")
+    articles = vectors.select("article_id").distinct().select(
+        "article_id", (own % 3).alias("company_domain"), F.when(own % 7 == 0, "draft").otherwise("published").alias("status"), F.when(own % 11 == 0, "retired").otherwise("active").alias("lifecycle_status"),
+        (now - F.when(own % 2 == 0, F.expr("INTERVAL 24 HOURS")).otherwise(F.expr("INTERVAL 25 HOURS"))).alias("updated_at"), F.when(own % 5 == 0, F.array(own + 1)).alias("related"),
+    )
+    return x.article_links(articles, vectors, now, "v2", most=0.9)
+
+
+#: Every vector with two near copies, one of them equal up to scale in all but some places; all rows meet all rows.
+@query("d3_near_classes", """
+WITH RECURSIVE b AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e, unnest([0, 1, 2]) AS j FROM embeddings),
+r AS MATERIALIZED (SELECT vec_id * 10 + j AS id, [CAST(CAST(e[i] * (1 + (CASE WHEN j > 0 THEN (i * 7 + vec_id * 3 + j * 5) % 7 ELSE 3 END - 3) * 0.04 * j) AS FLOAT) AS DOUBLE) FOR i IN generate_series(1, len(e))] AS v FROM b),
+u AS MATERIALIZED (SELECT id, [x / sqrt(list_sum([y * y FOR y IN v])) FOR x IN v] AS v FROM r),
+l AS MATERIALIZED (SELECT p.id AS a, q.id AS b FROM u p JOIN u q ON p.id <> q.id WHERE list_dot_product(p.v, q.v) >= 0.97),
+c AS (SELECT id AS a, id AS b FROM u UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT a AS id, min(b) AS class_id FROM c GROUP BY 1""")
+def d3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    three = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.array(*(F.lit(j) for j in range(3)))).alias("j"))
+    shift = lambda i: F.when(F.col("j") > 0, ((i + 1) * 7 + F.col("vec_id") * 3 + F.col("j") * 5) % 7).otherwise(3) - 3
+    moved = F.transform("embedding", lambda e, i: (e.cast("double") * (1 + shift(i) * F.lit(0.04) * F.col("j"))).cast("float"))
+    return x.near_classes(three.select((F.col("vec_id") * 10 + F.col("j")).alias("id"), moved.alias("vector")))
+
+
 @query("d7_centroids", """
 SELECT label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i, unnest(embedding) AS x FROM embeddings""".join(["WITH e AS (", ") SELECT label, i, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM e GROUP BY 1, 2"]))
 def d7_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
