@@ -5,13 +5,14 @@ Gamma(2, 1) and b from the unit interval, all by hash of the term alone, and tak
 ln a = ln c - r (t - b + 1); of all terms the one with the least a, with its t, is the sample. Two texts get the same
 sample with a chance equal to their generalised Jaccard similarity, the sum of lesser weights over that of greater.
 
-There are ``BINS`` samples. Drawing each over all terms would cost a draw a term and sample, so terms visit the samples in
-turns: every term goes through all of them, one a turn, in an order of its own by hash, and a sample is taken of the terms
-that came first, which in a long text is the first turn already. A short text takes as many turns as fill its samples, a
-text of one word all ``BINS``, so its samples are as many and as independent as a long one's. To keep them even, a term
-heavier than ``CHUNK`` is first split into chunks of that weight and a rest, terms of their own: the sums of lesser and of
-greater weights, and so the similarity, stay. The likeness of two fingerprints is the share of equal samples among those
-that are filled in either; as samples are kept as 8 bits, chance hits are taken off.
+There are ``BINS`` samples. Drawing each over all terms would cost a draw a term and sample, so terms visit the samples, in
+proportion to their weight: of a term of weight S the units 1 to S each go through all samples, one a turn, in an order of
+their own by hash. A term's weight in a sample and turn is the number of its units there, and the sample is drawn over the
+terms that came in the first turn that brought any, which in a long text is the first turn already. As every unit of the
+union of two texts is as likely as any other to come first, and is one of both texts with a chance equal to their
+similarity, the collision rate of each sample stays the generalised Jaccard similarity, whatever the weights. A short
+text takes as many turns as fill its samples, a text of one word all ``BINS``. The likeness of two fingerprints is the share
+of equal samples among those that are filled in either; as samples are kept as 8 bits, chance hits are taken off.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from loam.llm.common import cut, partitions, table, text_of
 
-BINS, CHUNK = 128, 2
-#: Terms that have to visit the samples, over all turns, so that about 2 in 100 stay empty.
+BINS = 128
+#: Units that have to visit the samples, over all turns, so that about 2 in 100 stay empty.
 VISITS = 500
 SPACE = r"[\x20\x09-\x0D]+"
 #: Places after the point that ln a keeps, and how far it is shifted to be positive.
@@ -36,12 +37,12 @@ def _unit(column: Column, shift: int, bits: int) -> Column:
 
 
 def turns(words: Column) -> Column:
-    """How many turns a text of so many words (an array) takes. It has half as many terms or more, as a term weighs at most 2."""
-    return F.least(F.lit(BINS), F.ceil(F.lit(VISITS) / F.greatest(F.floor((F.size(words) - 1) / CHUNK), F.lit(1)))).cast("int")
+    """How many turns a text of so many words (an array, with the empty string at an end that is white space) takes."""
+    return F.least(F.lit(BINS), F.ceil(F.lit(VISITS) / F.greatest(F.size(words) - 1, F.lit(1)))).cast("int")
 
 
 def _sample(weight: Column) -> Column:
-    """Turn and ln a as one ordered integer with 8 bits of (term, t) below, never all 0; null where the weight is zero.
+    """Turn and ln a as one ordered integer with 8 bits of (term, t, turn) below, never all 0; null where the weight is zero.
 
     Two uniforms multiplied make a Gamma(2, 1) draw: minus the logarithm of their product.
     """
@@ -49,26 +50,27 @@ def _sample(weight: Column) -> Column:
     t = F.floor(F.ln(weight.cast("double")) / r + b)
     ln_a = F.ln(c) - r * (t.cast("double") - b + F.lit(1.0))
     place = ((F.greatest(ln_a, F.lit(-100.0)) + F.lit(SHIFT)) * F.lit(SCALE)).cast("long")
-    mark = F.pmod(F.xxhash64("chunk", t), F.lit(255)) + F.lit(1)
+    mark = F.pmod(F.xxhash64("term", t, "turn"), F.lit(255)) + F.lit(1)
     turn = F.shiftleft(F.col("turn").cast("long"), 48)
     return F.when(weight > 0, F.shiftleft(place, 8).bitwiseOR(mark).bitwiseOR(turn))
 
 
 def samples(words: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, bin, one, two) from (keys, turns_one, turns_two, term long, n_one, n_two): the samples of two bags of words at once."""
-    heavy = F.greatest("n_one", "n_two")
-    split = words.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((heavy - 1) / CHUNK))))
-    rest = lambda c: F.least(F.greatest(F.col(c) - F.col("part") * CHUNK, F.lit(0)), F.lit(CHUNK))
-    named = F.when(F.col("part") == 0, F.col("term")).otherwise(F.xxhash64("term", "part"))
-    most = F.greatest(F.when(F.col("n_one") > 0, F.col("turns_one")), F.when(F.col("n_two") > 0, F.col("turns_two")))
-    chunk = split.select(*keys, "turns_one", "turns_two", named.alias("chunk"), rest("n_one").alias("w1"), rest("n_two").alias("w2"), F.explode(F.sequence(F.lit(0), most - 1)).alias("turn"))
-    first, second = F.xxhash64("chunk", F.lit(1), "turn"), F.xxhash64("chunk", F.lit(2), "turn")
-    # the order of a term's visits: a start and an odd step, so that it meets every bin once
-    way = F.xxhash64("chunk", F.lit(3))
-    step = F.shiftrightunsigned(way, 7).bitwiseAND(F.lit(BINS - 1).cast("long")).bitwiseOR(F.lit(1).cast("long"))
-    drawn = chunk.withColumn("g1", first).withColumn("g2", second).select(
-        *keys, "chunk", "turn", F.when(F.col("turn") < F.col("turns_one"), F.col("w1")).otherwise(0).alias("w1"), F.when(F.col("turn") < F.col("turns_two"), F.col("w2")).otherwise(0).alias("w2"),
-        (way + step * F.col("turn")).bitwiseAND(F.lit(BINS - 1).cast("long")).cast("int").alias("bin"),
+    units = words.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("n_one", "n_two") - 1)))
+    in_one, in_two = F.col("unit") < F.col("n_one"), F.col("unit") < F.col("n_two")
+    most = F.greatest(F.when(in_one, F.col("turns_one")), F.when(in_two, F.col("turns_two")))
+    visits = units.select(*keys, "turns_one", "turns_two", "term", in_one.alias("in_one"), in_two.alias("in_two"), F.xxhash64("term", "unit").alias("way"), F.explode(F.sequence(F.lit(0), most - 1)).alias("turn"))
+    # the order of a unit's visits: a start and an odd step, so that it meets every bin once
+    step = F.shiftrightunsigned("way", 7).bitwiseAND(F.lit(BINS - 1).cast("long")).bitwiseOR(F.lit(1).cast("long"))
+    placed = visits.select(
+        *keys, "term", "turn", (F.col("way") + step * F.col("turn")).bitwiseAND(F.lit(BINS - 1).cast("long")).cast("int").alias("bin"),
+        (F.col("in_one") & (F.col("turn") < F.col("turns_one"))).alias("one"), (F.col("in_two") & (F.col("turn") < F.col("turns_two"))).alias("two"),
+    )
+    weights = placed.groupBy(*keys, "bin", "turn", "term").agg(F.count_if("one").alias("w1"), F.count_if("two").alias("w2"))
+    first, second = F.xxhash64("term", F.lit(1), "bin", "turn"), F.xxhash64("term", F.lit(2), "bin", "turn")
+    drawn = weights.withColumn("g1", first).withColumn("g2", second).select(
+        *keys, "term", "turn", "bin", "w1", "w2",
         (-F.ln(_unit(F.col("g1"), 0, 28) * _unit(F.col("g1"), 28, 28))).alias("r"),
         (-F.ln(_unit(F.col("g2"), 0, 21) * _unit(F.col("g2"), 21, 21))).alias("c"),
         _unit(F.col("g2"), 42, 22).alias("b"),
