@@ -29,7 +29,7 @@ VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: What a worker remembers: stretches of text up to a length (twice so many: those met since the last full measure, and
 #: those before it), and pairs of tokens.
-STRETCHES, LENGTH, PAIRS = 200_000, 64, 1_000_000
+STRETCHES, LENGTH, PAIRS = 120_000, 64, 500_000
 #: Stands before the first token and after a character without a piece: nothing that a token could merge with.
 NONE = -1
 #: A prefix that ends with such a character, and the empty one.
