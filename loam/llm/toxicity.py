@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.llm.common import cut, place, spread, table, text_of
-from loam.llm.learning import Logistic, sigmoid
+from loam.llm.learning import Logistic, SparseLogistic, sigmoid
 
 #: Bound on the labelled rows that are fitted on; a model's size; words that a worker remembers.
 SAMPLE, FEATURES, REMEMBERED = 12_000, 600, 300_000
-#: A feature is looked at if it stands in so many of the sample's documents.
-LEAST = 5
+#: A feature is looked at if it stands in so many of the sample's documents; a regression needs so many rows of each class.
+LEAST, FEW = 5, 5
 THRESHOLD = 0.3
 #: Longer words are worked out each time they are met, so that what a worker remembers stays small.
 REMEMBERED_LENGTH = 100
@@ -37,6 +37,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 #: Natural logarithms of the channel: a look-alike, a mark between letters, a letter of three or more in a row or of
 #: two dropped, a look-alike dropped.
 SUBSTITUTED, SEPARATED, REPEATED, DOUBLED, DROPPED = -0.7, -0.3, -1.0, -5.0, -3.0
+#: The other reading of a token that is mostly digits, as a number or code: a digit of ten, a change from digits to letters or back.
+DIGIT, MIXED = -2.3, -2.0
 
 #: Classes of the character model: 0 for what is no letter, 1 to 26 for a to z, 27 for other letters.
 CLASSES = 28
@@ -93,6 +95,22 @@ def _class(c: str) -> int:
 
 def decode(token: str, model: list) -> str:
     """The likeliest letters behind a lower-case token; model: ``char_model`` as nested lists. Linear in its length."""
+    return _decoded(token, model)[0]
+
+
+def as_number(token: str, model: list) -> float:
+    """ln of how likely a token is as the number or code that it looks like."""
+    total, a, b = 0.0, 0, 0
+    for i, c in enumerate(token):
+        k = _class(c)
+        total += DIGIT if c.isdigit() else model[a][b][k]
+        if i and c.isdigit() != token[i - 1].isdigit() and c.isalnum() and token[i - 1].isalnum():
+            total += MIXED
+        a, b = b, k
+    return total
+
+
+def _decoded(token: str, model: list) -> tuple[str, float]:
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # made: (letter, made before it)
     for i, c in enumerate(token):
         if c.isalpha():
@@ -116,7 +134,7 @@ def decode(token: str, model: list) -> str:
         best = new
     ends = [(cost + model[a][b][0], made) for (a, b), (cost, made) in best.items()]
     top = max(cost for cost, _ in ends)
-    return max(_word(made) for cost, made in ends if cost == top)
+    return max(_word(made) for cost, made in ends if cost == top), top
 
 
 def _word(made: tuple | None) -> str:
@@ -128,10 +146,12 @@ def _word(made: tuple | None) -> str:
 
 
 def _hidden(word: str) -> bool:
-    """Whether a token shows traces of hiding; codes of mostly digits don't."""
-    if _TRACE.search(word) or (_LOOKALIKE.search(word) and (_PLAIN.search(word) or _marks_alone(word))):
-        return 3 * sum(map(str.isdigit, word)) <= 2 * len(word)
-    return False
+    """Whether a token shows traces of hiding and isn't mostly digits."""
+    return bool(_TRACE.search(word) or (_LOOKALIKE.search(word) and (_PLAIN.search(word) or _marks_alone(word)))) and not _mostly_digits(word)
+
+
+def _mostly_digits(word: str) -> bool:
+    return 3 * sum(map(str.isdigit, word)) > 2 * len(word)
 
 
 def _marks_alone(word: str) -> bool:
@@ -140,7 +160,8 @@ def _marks_alone(word: str) -> bool:
 
 
 def restored(word: str, model: list) -> str:
-    """A token without marks at its edges, decoded if it shows traces of hiding.
+    """A token without marks at its edges, decoded if it shows traces of hiding; one that is mostly digits, if its letters are
+    likelier than the number or code that it looks like.
 
     Marks at its end that may stand for a letter are left to the decoder.
     """
@@ -154,7 +175,13 @@ def restored(word: str, model: list) -> str:
         return word
     else:
         short = word
-    return decode(short, model) if _hidden(short) else word.rstrip("!+")
+    if _hidden(short):
+        return decode(short, model)
+    if _mostly_digits(short):
+        letters, likely = _decoded(short, model)
+        if likely > as_number(short, model):
+            return letters
+    return word.rstrip("!+")
 
 
 def restore(text: str, model: list) -> str:
@@ -217,13 +244,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, least: int = LEAST) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int | None = FEATURES, least: int = LEAST, few: int = FEW) -> Scorer:
     """Fits on the labelled documents that aren't held out: at most ``sample`` of them, chosen by hash of id and text.
 
     The character model is counted over all documents. Labels of documents that aren't in ``docs`` count for nothing, and
     rows equal in id and text count once. The regression is over the ``features`` words and beginnings of the sample that
-    tell the labels best, each in ``least`` of its documents or more. The driver gets the character model's counts (a fixed
-    number), those features and the sample's rows of them.
+    tell the labels best, each in ``least`` of its documents or more; None takes all of these. The driver gets the character
+    model's counts (a fixed number), those features and the sample's rows of them. With fewer than ``few`` labelled rows of a
+    class there is no regression: every document's score is the share of toxic rows, one added to each class.
     """
     docs = docs.select("doc_id", "text")
     chars = char_model((r.code, r.n) for r in char_counts(docs).collect())
@@ -246,12 +274,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     sums = known.agg(F.count("*").alias("n"), F.sum("y").alias("ones")).first()
     n, ones = sums["n"], sums["ones"] or 0
     prior = float(np.log((ones + 1) / (n - ones + 1)))
-    if min(ones, n - ones) < 5:
+    if min(ones, n - ones) < few:
         return Scorer(chars, [], np.empty(0), prior)
     per = known.mapInArrow(spread, "y int, f long").groupBy("f").agg(F.count("*").alias("df"), F.sum("y").alias("hits")).where(F.col("df") >= least)
     expected = F.col("df") * F.lit(ones / n)
     surprise = F.abs(F.col("hits") - expected) / F.sqrt(expected * F.lit(1 - ones / n))
-    chosen = [r.f for r in per.orderBy(F.desc(surprise), "f").limit(features).collect()]
+    best = per.orderBy(F.desc(surprise), "f")
+    chosen = [r.f for r in (best if features is None else best.limit(features)).select("f").collect()]  # of the sample's rows alone
     index = {f: i for i, f in enumerate(chosen)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,10 +289,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(words.of(t.as_py() or "")) for t in batch.column(1)], pa.list_(pa.int32()))], names=["y", "own"])
 
     found = sorted((r.y, r.own) for r in known.mapInArrow(rows, "y int, own array<int>").collect())
-    x = np.zeros((len(found), len(chosen)))
-    for i, (_, own) in enumerate(found):
-        x[i, own] = 1
-    model = Logistic(x, np.array([y for y, _ in found], float), ridge=4.0)
+    y = np.array([mark for mark, _ in found], float)
+    if len(chosen) > FEATURES:
+        model = SparseLogistic([own for _, own in found], y, len(chosen), ridge=4.0)
+    else:
+        x = np.zeros((len(found), len(chosen)))
+        for i, (_, own) in enumerate(found):
+            x[i, own] = 1
+        model = Logistic(x, y, ridge=4.0)
     weights = model.beta[:-1] / model.scale
     return Scorer(chars, chosen, weights, float(model.beta[-1] - weights @ model.mean))
 
@@ -271,8 +304,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
-    A null text counts as empty; texts without words get the score of their absence. Equal texts get equal scores.
-    A null doc_id isn't held out. An empty table gives an empty table.
+    A null text counts as empty; texts without words get the score of their absence; very long ones count whole. Equal texts
+    get equal scores, all of them one score where no regression was fitted. A null doc_id isn't held out. Other columns
+    are left out whatever their names; an empty table gives an empty table.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

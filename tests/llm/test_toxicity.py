@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from loam.llm import toxicity
-from loam.llm.learning import Logistic, ranked_well
+from loam.llm.learning import Logistic, SparseLogistic, ranked_well
 from tests.llm.data import SCHEMA, awkward, empty
 
 DATA = "/root/testdata/sf0.01"
@@ -184,3 +184,37 @@ def test_scores_against_plain_python(spark, made):
         words = set(lowered.split()) | {toxicity._BETWEEN.sub("", m[0]) for m in toxicity._SPACED.finditer(lowered)}
         own = {f for w in words if (x := toxicity.restored(w, model)) for f in toxicity.word_features(x)}
         assert abs(r.score - 1 / (1 + np.exp(-(scorer.bias + sum(weight.get(f, 0) for f in own))))) < 1e-9
+
+
+def test_mostly_digits_are_read_as_letters_where_these_are_likelier(spark):
+    """Both readings have a likelihood: letters through the channel, or a number."""
+    rows = [(1, "oh shit, this shit is shit and that shit is worse; leet the elite meet, tell them these tales, see all at ease " * 50, "en", "s", 0)]
+    model = toxicity.char_model((r.code, r.n) for r in toxicity.char_counts(spark.createDataFrame(rows, SCHEMA)).collect()).tolist()
+    assert toxicity.restored("5h17", model) == "shit" and toxicity.restored("5h17!", model).startswith("shit")
+    assert "shit" in toxicity.restore("oh 5h17 again", model)
+    for plain in ("1990", "455", "2024", "10:30", "3.14", "555-0199", "0123456789" * 4, "h264", "7b19"):
+        assert toxicity.restored(plain, model) == plain, plain
+
+
+def test_all_features_and_one_solution_both_ways(made):
+    docs, marks, scorer = made
+    full = toxicity.fit(docs, marks, features=None, least=1)
+    assert len(full.features) > len(scorer.features)
+    labels = {r.doc_id: r.toxic for r in marks.collect()}
+    found = [r for r in toxicity.scored(docs, full).collect() if r.doc_id in labels and r.held_out]
+    assert ranked_well(np.array([r.score for r in found]), np.array([labels[r.doc_id] for r in found])) > 0.9
+    rng = np.random.default_rng(2)
+    x = (rng.random((200, 30)) < 0.2).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.random(200) > 0.8).astype(float)
+    one, two = Logistic(x, y, ridge=4.0), SparseLogistic([np.flatnonzero(r).tolist() for r in x], y, 30, ridge=4.0)
+    assert np.allclose(one.beta, two.beta, atol=1e-6) and np.allclose(one.mean, two.mean) and np.allclose(one.scale, two.scale)
+
+
+def test_too_few_labels_give_one_score(made):
+    docs, marks, _ = made
+    few = marks.where("toxic = 0 or doc_id in (0, 4, 8)")
+    n = [r.toxic for r in few.where(~toxicity.held_out(toxicity.F.col("doc_id"))).collect()]
+    assert 0 < sum(n) < toxicity.FEW
+    (score,) = {r.score for r in toxicity.scored(docs, toxicity.fit(docs, few)).collect()}
+    assert abs(score - (sum(n) + 1) / (len(n) + 2)) < 1e-9
+    assert len({r.score for r in toxicity.scored(docs, toxicity.fit(docs, few, few=1)).collect()}) > 1
