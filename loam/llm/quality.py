@@ -1,32 +1,34 @@
 """Quality by co-training: a classifier of the text's content and one of its page metadata teach each other.
 
-Both views are small numeric vectors. Starting from the labelled sample, each view is fitted; in every round each marks
-the unlabelled documents it is surest of, good and bad in the labels' proportion, and these pseudo-labels join the
-other view's training rows. At last both views are calibrated on held-out folds of the labelled rows and combined by a
-logistic regression over the two; every document gets the combined score. The views share no evidence: one sees the text
-alone, the other language, source and stated length alone.
-
-Fitting takes place on the driver over a bounded sample: at most ``SAMPLE`` labelled and as many unlabelled rows' vectors,
-chosen by hash of id and text. Scoring runs over all documents in Arrow batches.
+Both views are small numeric vectors. Starting from the labelled sample, each view is fitted; in every round each looks
+through all unlabelled documents for those it is sure of, and ``TEACH`` of them, good and bad in the labels' proportion,
+join the other view's training rows as pseudo-labels. At last both views are calibrated on held-out folds of the labelled
+rows and combined by a logistic regression over the two; every document gets the combined score. The views share no
+evidence: one sees the text alone, the other language, source and stated length alone.
+
+The classifiers are fitted on the driver, on at most ``SAMPLE`` labelled rows' vectors and on the pseudo-labels. The vectors of
+all unlabelled documents are written once; each round's search for sure ones and the scoring run over all of them in tasks.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.llm.common import cut, place, spread, table, text_of
 from loam.llm.learning import Logistic, folds, sigmoid
 
-#: Bound on the labelled and on the unlabelled rows that the classifiers are fitted on.
-SAMPLE = 12_000
-ROUNDS, SHARE = 5, 0.04
+#: Bound on the labelled rows that the classifiers are fitted on, and on the pseudo-labels that a view gives in a round.
+SAMPLE, TEACH = 12_000, 500
+ROUNDS = 5
+#: Labelled rows without which no classifier is fitted: in all, and of each class.
+LEAST, LEAST_CLASS = 12, 6
 #: Log odds from which a view is sure enough to teach the other.
 SURE = 2.0
 #: A document is kept from this score on.
@@ -70,6 +72,7 @@ def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list
 
 
 N_TEXT = len(text_view(""))
+WIDTH = N_TEXT + len(meta_view(None, None, None))
 
 
 @dataclass
@@ -93,33 +96,97 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(self.both.logit(np.column_stack([a, b])))
 
 
-def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray) -> CoTrained:
-    """x, y: labelled rows; pool: unlabelled rows. Pseudo-labels weigh half a true one."""
+_VIEWS = (slice(0, N_TEXT), slice(N_TEXT, None))
+#: (places, features, marks) that a view is sure of, for each view.
+Sure = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _kept(x: np.ndarray, places: np.ndarray, models: list[Logistic], used: list[np.ndarray], most: list[float]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(view, mark, row numbers): rows that a view is sure of and hasn't taught yet, at most ``most`` of a mark, least places first."""
+    for v in (0, 1):
+        logit = models[v].logit(x[:, _VIEWS[v]])
+        free = ~np.isin(places, used[v])
+        for mark, hit in ((0, logit < -SURE), (1, logit > SURE)):
+            rows = np.flatnonzero(hit & free)
+            rows = rows[np.argsort(places[rows], kind="stable")]
+            yield v, mark, rows if most[mark] == np.inf else rows[: int(most[mark])]
+
+
+def sure_of(pool: np.ndarray) -> Callable[[list[Logistic], list[np.ndarray], list[float]], Sure]:
+    """Sure rows of an array of unlabelled rows' features."""
+    places = np.arange(len(pool), dtype=float)
+
+    def find(models: list[Logistic], used: list[np.ndarray], most: list[float]) -> Sure:
+        found: list = [[], []]
+        for v, mark, rows in _kept(pool, places, models, used, most):
+            found[v].append((places[rows], pool[rows], np.full(len(rows), float(mark))))
+        return [tuple(np.concatenate(part) for part in zip(*own, strict=True)) for own in found]
+
+    return find
+
+
+def sure_in(vectors: DataFrame) -> Callable[[list[Logistic], list[np.ndarray], list[float]], Sure]:
+    """Sure rows of all unlabelled documents (place, features): each task keeps the least places, of which the least of all
+    come to the driver."""
+    kinds = "view int, mark int, place double, features binary"
+
+    def find(models: list[Logistic], used: list[np.ndarray], most: list[float]) -> Sure:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], list] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                places, x = batch.column(0).to_numpy(zero_copy_only=False), _unpacked(batch.column(1))
+                for v, mark, rows in _kept(x, places, models, used, most):
+                    both = held.get((v, mark), []) + [(places[i], x[i].astype(np.float32).tobytes()) for i in rows]
+                    held[v, mark] = both if most[mark] == np.inf else sorted(both)[: int(most[mark])]
+            rows = [(v, mark, place, data) for (v, mark), own in held.items() for place, data in own]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.binary()), strict=True)], names=["view", "mark", "place", "features"])
+
+        place = F.row_number().over(Window.partitionBy("view", "mark").orderBy("place", "features"))
+        bound = F.when(F.col("mark") == 0, F.lit(float(most[0]))).otherwise(F.lit(float(most[1])))
+        rows = vectors.mapInArrow(work, kinds).withColumn("n", place).where(F.col("n") <= bound).orderBy("view", "mark", "n").collect()
+        found = []
+        for v in (0, 1):
+            own = [r for r in rows if r.view == v]
+            x = np.array([np.frombuffer(r.features, np.float32) for r in own], float).reshape(len(own), WIDTH)
+            found.append((np.array([r.place for r in own]), x, np.array([float(r.mark) for r in own])))
+        return found
+
+    return find
+
+
+def co_train(x: np.ndarray, y: np.ndarray, find: Callable | np.ndarray, teach: int | None = TEACH, rounds: int = ROUNDS, least: int = LEAST, least_class: int = LEAST_CLASS) -> CoTrained:
+    """x, y: labelled rows; find: ``sure_in`` a table or ``sure_of`` an array of unlabelled rows, or such an array. In each round a
+    view gives the other at most ``teach`` pseudo-labels, None all that it is sure of; they weigh half a true label.
+
+    With fewer than ``least`` labelled rows, or ``least_class`` of a class, there is no classifier, only the labels' mean.
+    """
     prior = float(y.mean()) if len(y) else 0.5
-    if len(y) < 12 or min(y.sum(), (1 - y).sum()) < 6:
+    if len(y) < least or min(y.sum(), (1 - y).sum()) < least_class:
         return CoTrained(prior)
-    views = (slice(0, N_TEXT), slice(N_TEXT, None))
-    pseudo = [(np.empty(0, int), np.empty(0)), (np.empty(0, int), np.empty(0))]
+    find = sure_of(find) if isinstance(find, np.ndarray) else find
+    pseudo = [(np.empty((0, x.shape[1])), np.empty(0)) for _ in _VIEWS]
+    used = [np.empty(0), np.empty(0)]
+    most = [np.inf, np.inf] if teach is None else [max(1, round(teach * share)) for share in (1 - prior, prior)]
 
     def fit(v: int, rows: np.ndarray | slice = slice(None)) -> Logistic:
-        at, marks = pseudo[v]
-        weight = np.concatenate([np.ones(len(y[rows])), np.full(len(at), 0.5)])
-        return Logistic(np.concatenate([x[rows][:, views[v]], pool[at][:, views[v]]]), np.concatenate([y[rows], marks]), weight)
-
-    for _ in range(ROUNDS if len(pool) else 0):
-        logits = [fit(v).logit(pool[:, views[v]]) for v in (0, 1)]
-        for v in (0, 1):
-            free = np.setdiff1d(np.arange(len(pool)), pseudo[1 - v][0])
-            order = free[np.argsort(logits[v][free], kind="stable")]
-            most = max(1, int(SHARE * len(pool)))
-            bad, good = order[: max(1, round(most * (1 - prior)))], order[::-1][: max(1, round(most * prior))]
-            bad, good = bad[logits[v][bad] < -SURE], good[logits[v][good] > SURE]
-            at, marks = pseudo[1 - v]
-            pseudo[1 - v] = (np.concatenate([at, bad, good]), np.concatenate([marks, np.zeros(len(bad)), np.ones(len(good))]))
+        more, marks = pseudo[v]
+        weight = np.concatenate([np.ones(len(y[rows])), np.full(len(marks), 0.5)])
+        return Logistic(np.concatenate([x[rows][:, _VIEWS[v]], more[:, _VIEWS[v]]]), np.concatenate([y[rows], marks]), weight)
+
+    for _ in range(rounds):
+        for v, (places, more, marks) in enumerate(find([fit(0), fit(1)], used, most)):
+            if len(places):
+                _, first = np.unique(places, return_index=True)  # equal rows teach once
+                used[v] = np.concatenate([used[v], places[first]])
+                rows, old = pseudo[1 - v]
+                pseudo[1 - v] = (np.concatenate([rows, more[first]]), np.concatenate([old, marks[first]]))
     fold, held = folds(len(y)), np.zeros((len(y), 2))
     for k in range(fold.max() + 1):
         for v in (0, 1):
-            held[fold == k, v] = fit(v, fold != k).logit(x[fold == k][:, views[v]])
+            held[fold == k, v] = fit(v, fold != k).logit(x[fold == k][:, _VIEWS[v]])
     fits = [Logistic(held[:, [v]], y) for v in (0, 1)]
     both = Logistic(np.column_stack([f.logit(held[:, [v]]) for v, f in enumerate(fits)]), y)
     return CoTrained(prior, fit(0), fit(1), *fits, both)
@@ -143,47 +210,52 @@ def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
     return np.array(rows, float).reshape(batch.num_rows, -1)
 
 
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Rows of features from their bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).astype(float).reshape(len(column), -1)
+
+
 def _vectors(docs: DataFrame) -> DataFrame:
-    """(y, place, features) of rows that have columns y and _place."""
+    """(y, place, features as 32-bit bytes) of rows that have columns y and _place."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "place", "features"])
+            x = _matrix(batch, 2).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row.tobytes() for row in x], pa.binary())], names=["y", "place", "features"])
 
-    return docs.select(F.col("y").cast("double"), "_place", *_inputs(docs)).mapInArrow(work, "y double, place double, features array<double>")
+    return docs.select(F.col("y").cast("double"), "_place", *_inputs(docs)).mapInArrow(work, "y double, place double, features binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CoTrained:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, teach: int | None = TEACH, least: int = LEAST, least_class: int = LEAST_CLASS) -> CoTrained:
     """Co-trains on ``docs`` with ``labels`` (doc_id, quality 0 or 1; null labels count as none, repeated ones by mean).
 
     Labels of documents that aren't in ``docs`` count for nothing. Rows equal in id and text count once. At most ``sample``
-    labelled and ``sample`` unlabelled rows' vectors come to the driver, whatever the tables hold.
+    labelled rows' vectors, chosen by hash of id and text, and ``teach`` pseudo-labels a view and round come to the driver;
+    all unlabelled documents are looked through in each round. For ``least`` and ``least_class`` see ``co_train``.
     """
     docs = docs.select("doc_id", *(c for c in _COLUMNS if c in docs.columns)).withColumn("_place", place("quality", "doc_id", text_of()))
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).alias("y"))
     marked = docs.select("doc_id").join(marks, "doc_id").count()
-    unmarked = docs.select("doc_id").count() - marked
-    known_share, free_share = (sample / max(n, 1) for n in (marked, unmarked))
-    drawn = docs.where(F.col("_place") < max(known_share, free_share)).dropDuplicates(["doc_id", "_place"])
-    both = drawn.join(marks, "doc_id", "left").where(F.col("_place") < F.when(F.col("y").isNotNull(), known_share).otherwise(free_share))
-    vectors = cut(_vectors(both))
-
-    def lowest(rows: DataFrame) -> list[tuple]:
-        return sorted((r.y or 0.0, *r.features) for r in rows.orderBy("place").limit(sample).collect())
-
-    width = N_TEXT + len(meta_view(None, None, None))
-    known = np.array(lowest(vectors.where("y is not null")), float).reshape(-1, width + 1)
-    pool = np.array(lowest(vectors.where("y is null")), float).reshape(-1, width + 1)
-    return co_train(known[:, 1:], known[:, 0], pool[:, 1:])
+    share = sample / max(marked, 1)
+    drawn = docs.where(F.col("_place") < share).join(marks, "doc_id").dropDuplicates(["doc_id", "_place"])
+    known = cut(_vectors(drawn)).orderBy("place").limit(sample).collect()
+    rows = sorted((r.y, *np.frombuffer(r.features, np.float32).tolist()) for r in known)
+    table_ = np.array(rows, float).reshape(-1, WIDTH + 1)
+    x, y = table_[:, 1:], table_[:, 0]
+    if len(y) < least or min(y.sum(), (1 - y).sum()) < least_class:
+        return co_train(x, y, x[:0], teach, ROUNDS, least, least_class)
+    free = docs.join(marks.select("doc_id"), "doc_id", "left_anti").withColumn("y", F.lit(None).cast("double"))
+    pool = cut(_vectors(free).select("place", "features"))
+    return co_train(x, y, sure_in(pool), teach, ROUNDS, least, least_class)
 
 
 def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
     """(doc_id, text_score, meta_score, score, keep) for every row of ``docs``.
 
     Scores lie between 0 and 1, higher is better; keep is 1 from ``KEEP`` on. A null text counts as empty; null or
-    missing metadata are values of their own. An empty table gives an empty table. Equal rows get equal scores. Where no
-    classifier could be fitted the score is the labels' mean and every row is kept.
+    missing metadata are values of their own; very long texts count whole. Equal rows get equal scores. Other columns are left
+    out whatever their names; an empty table gives an empty table. Where there were fewer labels than ``fit`` asks for, by
+    default 12 and 6 of each class, the score is the labels' mean and every row is kept.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,14 +60,43 @@ def test_awkward_rows_one_class_and_empty_tables(spark):
     assert quality.scored(docs.select("doc_id", "text"), full).count() == docs.count()
 
 
-def test_pool_is_bounded_when_labels_cover_more_than_the_documents(spark, monkeypatch):
-    pools = []
-    monkeypatch.setattr(quality, "co_train", lambda x, y, pool: pools.append((len(x), len(pool))))
-    docs = spark.range(4000).selectExpr("if(id % 4 = 1, null, id) doc_id", "concat('text ', id) text", "'en' lang", "'s' source", "9L n_chars")
-    labels = spark.range(0, 40_000, 2).selectExpr("id doc_id", "cast(id % 4 = 0 as int) quality")  # 20 000, of which 2000 of docs
+class Seen(list):
+    """In place of co-training: notes the labelled rows and how many unlabelled ones can be looked through."""
+
+    def __call__(self, x, y, find, *rest):
+        one = lambda kind: type("Always", (), {"logit": lambda self, x: np.full(len(x), kind)})()
+        found = find([one(9.0), one(-9.0)], [np.empty(0), np.empty(0)], [np.inf, np.inf]) if callable(find) else [((), (), ()), ((), (), ())]
+        self.append((len(x), len(found[0][0]), len(found[1][0])))
+
+
+def test_all_unlabelled_documents_are_looked_through(spark, monkeypatch):
+    """More than any bound on labelled rows: both views see each of 15 000 documents."""
+    seen = Seen()
+    monkeypatch.setattr(quality, "co_train", seen)
+    docs = spark.range(16_000).selectExpr("if(id % 4 = 1, null, id) doc_id", "concat('text ', id) text", "'en' lang", "'s' source", "9L n_chars")
+    labels = spark.range(0, 40_000, 16).selectExpr("id doc_id", "cast(id % 32 = 0 as int) quality")  # 2 500, of which 1 000 of docs
     quality.fit(docs, labels, 200)
-    (known, pool), = pools
-    assert 130 < known < 280 and 130 < pool < 280
+    ((known, good, bad),) = seen
+    assert 130 < known <= 200 and good == bad == 15_000
+
+
+def test_a_view_teaches_no_more_than_it_may(spark):
+    rng = np.random.default_rng(5)
+    width = quality.N_TEXT + len(quality.meta_view(None, None, None))
+    pool = rng.normal(size=(500, width)).astype(np.float32)
+    rows = [(float(i) / 500, bytearray(p.tobytes())) for i, p in enumerate(pool)]
+    table = spark.createDataFrame(rows, "place double, features binary").repartition(5)
+    y = np.arange(60) % 2.0
+    x = rng.normal(size=(60, width))
+    x[:, 0] += 3 * y
+    x[:, quality.N_TEXT] += 3 * y
+    models = [quality.Logistic(x[:, v], y) for v in quality._VIEWS]
+    used = [np.array([3 / 500]), np.empty(0)]
+    for most in ([4, 9], [np.inf, np.inf]):
+        one, two = quality.sure_in(table)(models, used, most), quality.sure_of(pool.astype(float))(models, [u * 500 for u in used], most)
+        for a, b in zip(one, two, strict=True):
+            assert sorted((a[0] * 500).round().tolist()) == sorted(b[0].tolist()) and len(a[0]) <= sum(most)
+            assert 3 not in (a[0] * 500).round() or a is one[1]
 
 
 def test_without_a_classifier_all_rows_stay(spark):
@@ -77,19 +106,27 @@ def test_without_a_classifier_all_rows_stay(spark):
     assert {r.keep for r in quality.scored(awkward(spark), model).collect()} == {1}
 
 
-def test_no_more_rows_than_the_bound_come_to_the_driver(spark, monkeypatch):
+def test_no_more_labelled_rows_than_the_bound_come_to_the_driver(spark, monkeypatch):
     """One labelled id on very many rows, and labels of ids that aren't there."""
-    pools = []
-    monkeypatch.setattr(quality, "co_train", lambda x, y, pool: pools.append((len(x), len(pool))))
-    same = spark.range(3000).selectExpr("7L doc_id", "concat('text ', id) text")
+    seen = Seen()
+    monkeypatch.setattr(quality, "co_train", seen)
+    same = spark.range(3000).selectExpr("if(id % 2 = 0, 7L, 9L) doc_id", "concat('text ', id) text")
     copies = spark.range(3000).selectExpr("8L doc_id", "'one text' text")
     docs = same.union(copies).union(spark.range(2000).selectExpr("id + 100 doc_id", "concat('other ', id) text"))
-    labels = spark.createDataFrame([(7, 1), (8, 0), *((-i, 1) for i in range(1, 9000))], "doc_id long, quality int")
+    labels = spark.createDataFrame([(7, 1), (9, 0), (8, 0), *((-i, 1) for i in range(1, 9000))], "doc_id long, quality int")
     quality.fit(docs, labels, 100)
-    (known, pool), = pools
-    assert 0 < known <= 100 and 50 < pool <= 100
-    quality.fit(docs.where("doc_id < 9"), labels, 10_000)
-    assert pools[1] == (3001, 0)
+    assert 0 < seen[0][0] <= 100 and seen[0][1:] == (2000, 2000)
+    quality.fit(docs.where("doc_id < 10"), labels, 10_000, least_class=1)
+    assert seen[1] == (3001, 0, 0)
+
+
+def test_how_many_labels_a_classifier_needs(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    good, bad = ([r.doc_id for r in labels.where(f"quality = {q}").orderBy("doc_id").limit(6).collect()] for q in (1, 0))
+    few = labels.where(labels.doc_id.isin(good + bad[:5]))
+    assert quality.fit(docs, few).both is None and abs(quality.fit(docs, few).prior - 6 / 11) < 1e-9
+    assert quality.fit(docs, labels.where(labels.doc_id.isin(good + bad))).both is not None
+    assert quality.fit(docs, few, least=4, least_class=2).both is not None
 
 
 def test_scores_against_plain_python(spark):
