@@ -1,15 +1,16 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A text is its words with their counts as weights. For a term of weight S a consistent sample draws r and c from
-Gamma(2, 1) and b from the unit interval, all by hash of the term alone, and takes t = floor(ln S / r + b) and
-ln a = ln c - r (t - b + 1); of all terms the one with the least a, with its t, is the sample. Two texts get the same
-sample with a chance equal to their generalised Jaccard similarity, the sum of lesser weights over that of greater.
-
-There are ``BINS`` samples. Drawing each over all terms would cost a draw a term and sample, so terms visit the samples, in
-proportion to their weight: of a term of weight S the units 1 to S each go through all samples, one a turn, in an order of
-their own by hash. A term's weight in a sample and turn is the number of its units there, and the sample is drawn over the
-terms that came in the first turn that brought any, which in a long text is the first turn already. As every unit of the
-union of two texts is as likely as any other to come first, and is one of both texts with a chance equal to their
+A text is its words with their counts as weights. For a weight of S a consistent sample draws r and c from Gamma(2, 1) and b
+from the unit interval, all by hash, takes t = floor(ln S / r + b) and ln a = ln c - r (t - b + 1), and the least a of all
+terms wins. Two texts get the same sample with a chance equal to their generalised Jaccard similarity, the sum of lesser
+weights over that of greater. As counts are whole, a term of weight S is here S units of weight 1 with draws of their own,
+units 1 to S of the term: a is exponential with rate S, and so is the least of S such of rate 1. A text that has the term less
+often has the first ones of the same units.
+
+There are ``BINS`` samples. Drawing each over all units would cost a draw a unit and sample, so units visit the samples in
+turns: every unit goes through all of them, one a turn, in an order of its own by hash, and a sample is taken of the units
+that came in the first turn that brought any, which in a long text is the first turn already. As every unit of the union of
+two texts is as likely as any other to be among those and to win, and is one of both texts with a chance equal to their
 similarity, the collision rate of each sample stays the generalised Jaccard similarity, whatever the weights. A short
 text takes as many turns as fill its samples, a text of one word all ``BINS``. The likeness of two fingerprints is the share
 of equal samples among those that are filled in either; as samples are kept as 8 bits, chance hits are taken off.
@@ -41,41 +42,34 @@ def turns(words: Column) -> Column:
     return F.least(F.lit(BINS), F.ceil(F.lit(VISITS) / F.greatest(F.size(words) - 1, F.lit(1)))).cast("int")
 
 
-def _sample(weight: Column) -> Column:
-    """Turn and ln a as one ordered integer with 8 bits of (term, t, turn) below, never all 0; null where the weight is zero.
+def _sample(here: Column) -> Column:
+    """Turn and ln a as one ordered integer with 8 bits of the unit's hash below, never all 0; null for a text without the unit.
 
-    Two uniforms multiplied make a Gamma(2, 1) draw: minus the logarithm of their product.
+    Two uniforms multiplied make a Gamma(2, 1) draw: minus the logarithm of their product. At weight 1 t is 0.
     """
-    r, c, b = F.col("r"), F.col("c"), F.col("b")
-    t = F.floor(F.ln(weight.cast("double")) / r + b)
-    ln_a = F.ln(c) - r * (t.cast("double") - b + F.lit(1.0))
+    g1, g2 = F.col("g1"), F.col("g2")
+    r = -F.ln(_unit(g1, 0, 28) * _unit(g1, 28, 28))
+    c = -F.ln(_unit(g2, 0, 21) * _unit(g2, 21, 21))
+    ln_a = F.ln(c) - r * (F.lit(1.0) - _unit(g2, 42, 22))
     place = ((F.greatest(ln_a, F.lit(-100.0)) + F.lit(SHIFT)) * F.lit(SCALE)).cast("long")
-    mark = F.pmod(F.xxhash64("term", t, "turn"), F.lit(255)) + F.lit(1)
-    turn = F.shiftleft(F.col("turn").cast("long"), 48)
-    return F.when(weight > 0, F.shiftleft(place, 8).bitwiseOR(mark).bitwiseOR(turn))
+    mark = F.pmod(F.shiftrightunsigned(g1, 3), F.lit(255)) + F.lit(1)
+    return F.when(here, F.shiftleft(place, 8).bitwiseOR(mark).bitwiseOR(F.shiftleft(F.col("turn").cast("long"), 48)))
 
 
 def samples(words: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, bin, one, two) from (keys, turns_one, turns_two, term long, n_one, n_two): the samples of two bags of words at once."""
     units = words.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("n_one", "n_two") - 1)))
-    in_one, in_two = F.col("unit") < F.col("n_one"), F.col("unit") < F.col("n_two")
-    most = F.greatest(F.when(in_one, F.col("turns_one")), F.when(in_two, F.col("turns_two")))
-    visits = units.select(*keys, "turns_one", "turns_two", "term", in_one.alias("in_one"), in_two.alias("in_two"), F.xxhash64("term", "unit").alias("way"), F.explode(F.sequence(F.lit(0), most - 1)).alias("turn"))
+    own = lambda side: F.when(F.col("unit") < F.col(f"n_{side}"), F.col(f"turns_{side}")).otherwise(0)
+    timed = units.select(*keys, own("one").alias("t1"), own("two").alias("t2"), F.xxhash64("term", "unit").alias("way"))
+    visits = timed.select("*", F.explode(F.sequence(F.lit(0), F.greatest("t1", "t2") - 1)).alias("turn"))
     # the order of a unit's visits: a start and an odd step, so that it meets every bin once
     step = F.shiftrightunsigned("way", 7).bitwiseAND(F.lit(BINS - 1).cast("long")).bitwiseOR(F.lit(1).cast("long"))
-    placed = visits.select(
-        *keys, "term", "turn", (F.col("way") + step * F.col("turn")).bitwiseAND(F.lit(BINS - 1).cast("long")).cast("int").alias("bin"),
-        (F.col("in_one") & (F.col("turn") < F.col("turns_one"))).alias("one"), (F.col("in_two") & (F.col("turn") < F.col("turns_two"))).alias("two"),
+    drawn = visits.select(
+        *keys, "turn", (F.col("way") + step * F.col("turn")).bitwiseAND(F.lit(BINS - 1).cast("long")).cast("int").alias("bin"),
+        (F.col("turn") < F.col("t1")).alias("in_one"), (F.col("turn") < F.col("t2")).alias("in_two"), F.xxhash64("way", "turn").alias("g1"), F.xxhash64("turn", "way").alias("g2"),
     )
-    weights = placed.groupBy(*keys, "bin", "turn", "term").agg(F.count_if("one").alias("w1"), F.count_if("two").alias("w2"))
-    first, second = F.xxhash64("term", F.lit(1), "bin", "turn"), F.xxhash64("term", F.lit(2), "bin", "turn")
-    drawn = weights.withColumn("g1", first).withColumn("g2", second).select(
-        *keys, "term", "turn", "bin", "w1", "w2",
-        (-F.ln(_unit(F.col("g1"), 0, 28) * _unit(F.col("g1"), 28, 28))).alias("r"),
-        (-F.ln(_unit(F.col("g2"), 0, 21) * _unit(F.col("g2"), 21, 21))).alias("c"),
-        _unit(F.col("g2"), 42, 22).alias("b"),
-    )
-    return drawn.groupBy(*keys, "bin").agg(F.min(_sample(F.col("w1"))).alias("one"), F.min(_sample(F.col("w2"))).alias("two"))
+    valued = drawn.select(*keys, "bin", "in_one", "in_two", _sample(F.lit(True)).alias("sample"))
+    return valued.groupBy(*keys, "bin").agg(F.min(F.when(F.col("in_one"), F.col("sample"))).alias("one"), F.min(F.when(F.col("in_two"), F.col("sample"))).alias("two"))
 
 
 def _packed(column: str) -> Column:

@@ -54,9 +54,9 @@ def test_empty_and_single(spark):
 @pytest.mark.parametrize("parts", [1, 7])
 def test_collision_rate_is_the_generalised_jaccard(spark, parts):
     rng = random.Random(4)
-    words = [f"w{i}" for i in range(3000)]
     rows = []
     for i in range(150):
+        words = [f"w{i // 10}.{j}" for j in range(3000)]  # new names for every ten pairs: errors of texts of the same words go together
         base = [rng.choice(words[: rng.choice([20, 300, 3000])]) for _ in range(rng.randint(50, 900))]
         keep = rng.random()
         rows.append((1000 - 2 * i, " ".join(base), "en", "s", 0))
