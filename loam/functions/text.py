@@ -39,20 +39,65 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
 
 
-def passage_key(text: Column) -> Column:
-    """Text with case, punctuation and spacing folded away, in built-in expressions."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+_ASCII = r"^[\x00-\x7F]*$"
+#: What Python's regular expressions and strip() take for white space.
+_SPACES = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 @F.pandas_udf(StringType())
-def passage_key_nfkc(text: pd.Series) -> pd.Series:
-    """As ``passage_key``, with compatibility forms and full case folding, which only Unicode tables give."""
+def _passage_key(text: pd.Series) -> pd.Series:
     other = re.compile(r"[\W_]+")
-    return text.fillna("").map(lambda t: other.sub(" ", unicodedata.normalize("NFKC", t).casefold()).strip())
+    return text.map(lambda t: None if t is None else other.sub(" ", unicodedata.normalize("NFKC", t).casefold()).strip())
+
+
+def passage_key(text: Column) -> Column:
+    """Text in its compatibility form, with case, punctuation and spacing folded away. ASCII texts are keyed by built-in
+    expressions; composing marks and letters needs Unicode's tables, so other texts go through a batched function."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.coalesce(_passage_key(F.when(~text.rlike(_ASCII), text)), plain)
+
+
+@cache
+def _entity_tables() -> tuple[str, str, str, str]:
+    """How characters are keyed: (from, to) for translate(), what isn't answered by ``to`` being dropped; an expression of the
+    characters that become several, and those as entries of str_to_map(). Hangul syllables, which go by a rule, aren't in."""
+    singles, dropped, several = [], [], []
+    for code in range(0x80, 0x110000):
+        letter = chr(code)
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
+            continue
+        key = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c)).casefold()
+        if key != letter:
+            (dropped if not key else singles if len(key) == 1 else several).append((letter, key))
+    to_one = "".join(a for a, _ in singles + dropped), "".join(b for _, b in singles)
+    ranges: list[list[int]] = []
+    for letter, _ in several:
+        if ranges and ranges[-1][1] == ord(letter) - 1:
+            ranges[-1][1] += 1
+        else:
+            ranges.append([ord(letter), ord(letter)])
+    own = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    return *to_one, f"[{own}\\x{{AC00}}-\\x{{D7A3}}]", "\x02".join(f"{a}\x01{b}" for a, b in several)
 
 
 def entity_key(name: Column) -> Column:
-    return F.trim(F.regexp_replace(fold(name), r"\s+", " "))
+    """Name in its compatibility form without marks, with case and spacing folded away: every character by itself, as marks are
+    what would be put in order or composed. Built-in expressions alone."""
+    source, target, several, entries = _entity_tables()
+    jamo = lambda first, n: "".join(chr(first + i) for i in range(n))
+    pick = lambda of, i: F.substring(F.lit(of), i.cast("int") + 1, F.lit(1))
+
+    def spelled(c: Column) -> Column:
+        at = F.ascii(c) - 0xAC00
+        hangul = F.concat(pick(jamo(0x1100, 19), F.floor(at / 588)), pick(jamo(0x1161, 21), F.floor(at / 28) % 21), F.when(at % 28 > 0, pick(jamo(0x11A7, 28), at % 28)).otherwise(""))
+        known = F.coalesce(F.try_element_at(F.str_to_map(F.lit(entries), F.lit("\x02"), F.lit("\x01")), c), c)
+        return F.when((at >= 0) & (at < 11172), hangul).otherwise(F.when(c.rlike(several), known).otherwise(c))
+
+    text = F.coalesce(name, F.lit(""))
+    whole = F.when(text.rlike(several), F.array_join(F.transform(F.split(text, ""), spelled), "")).otherwise(text)
+    keyed = F.when(text.rlike(_ASCII), F.lower(text)).otherwise(F.translate(F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), source, target))
+    return F.regexp_replace(F.regexp_replace(keyed, _SPACES, " "), "^ | $", "")
 
 
 def tokens(text: Column) -> Column:

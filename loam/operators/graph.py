@@ -11,14 +11,26 @@ TYPES = ("person", "team", "system", "policy", "process", "product", "location",
 DEPTH = 3
 
 
+NAME, RELATION, DESCRIPTION = 200, 100, 500
+
+
 def clean_extraction(entities: DataFrame, relations: DataFrame, types: tuple[str, ...] = TYPES) -> tuple[DataFrame, DataFrame]:
     """Entities (article_id, position, name, type, description) of known types, once a key and document; relations
-    (article_id, source, relation, target, description) between them, in snake case, without loops and repeats."""
-    named = entities.withColumn("name", F.substring(F.trim(F.regexp_replace("name", r"\s+", " ")), 1, 200)).withColumn("type", F.lower("type")).withColumn("key", entity_key(F.col("name")))
-    good = named.where(F.col("type").isin(*types) & (F.col("key") != ""))
+    (article_id, source, relation, target, description) between them, in snake case, without loops and repeats.
+
+    A name of more than 200 characters drops its row, on either side of a relation too, as does a relation of more than 100;
+    descriptions are cut at 500.
+    """
+    squeezed = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    fits = lambda c: F.char_length(c).between(1, NAME)
+    described = F.substring(squeezed(F.col("description")), 1, DESCRIPTION)
+    named = entities.withColumns({"name": squeezed(F.col("name")), "type": F.lower(F.trim("type")), "description": described})
+    good = named.where(F.col("type").isin(*types) & fits(F.col("name"))).withColumn("key", entity_key(F.col("name")))
     once = good.withColumn("_n", F.row_number().over(Window.partitionBy("article_id", "key").orderBy("position"))).where("_n = 1").drop("_n")
-    snake = F.regexp_replace(F.regexp_replace(F.lower(F.trim("relation")), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    ends = relations.select("article_id", entity_key(F.col("source")).alias("source"), snake.alias("relation"), entity_key(F.col("target")).alias("target"), "description").where("source <> target and relation <> ''")
+    snake = F.regexp_replace(F.regexp_replace(F.lower(F.trim("relation")), "[^a-z0-9_]+", "_"), "^_+|_+$", "")
+    spelled = relations.withColumns({"source": squeezed(F.col("source")), "target": squeezed(F.col("target")), "relation": snake, "description": described})
+    able = spelled.where(fits(F.col("source")) & fits(F.col("target")) & F.char_length("relation").between(1, RELATION))
+    ends = able.select("article_id", entity_key(F.col("source")).alias("source"), "relation", entity_key(F.col("target")).alias("target"), "description").where("source <> target")
     for end in ("source", "target"):
         ends = ends.join(once.select("article_id", F.col("key").alias(end)), ["article_id", end], "left_semi")
     return once, ends.dropDuplicates(["article_id", "source", "relation", "target"])

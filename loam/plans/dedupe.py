@@ -26,7 +26,7 @@ def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-passages AS (SELECT doc_id * 100000 + pos AS chunk_id, doc_id AS article_id, trim(regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key, length(line) AS n, (doc_id * 7 % 100) / 100.0 AS score, doc_id % 13 AS updated FROM lines)"""
+passages AS (SELECT doc_id * 100000 + pos AS chunk_id, doc_id AS article_id, trim(regexp_replace(replace(lower(line), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS key, length(line) AS n, (doc_id * 7 % 100) / 100.0 AS score, doc_id % 13 AS updated FROM lines)"""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.operators import graph as k
 from loam.plans.registry import query
 from loam.sources.tables import table
 
-#: An order's lines as its extraction: suppliers as systems or an unknown type, a chain of relations between them.
+#: An order's lines as its extraction: suppliers as systems or an unknown type, a chain of relations between them. Names come with
+#: marks, as full-width digits, with sharp s or in capitals and are one key; every seventh name and ninth relation is too long.
 EXTRACTED = """x AS (SELECT l_orderkey AS article_id, l_suppkey, l_linenumber, lag(l_suppkey) OVER w AS prev FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
-e AS (SELECT DISTINCT article_id, 'supplier ' || CAST(l_suppkey AS VARCHAR) AS key FROM x WHERE l_suppkey % 6 <> 0),
-r AS (SELECT DISTINCT article_id, 'supplier ' || CAST(prev AS VARCHAR) AS source, 'depends_on' AS relation, 'supplier ' || CAST(l_suppkey AS VARCHAR) AS target FROM x WHERE prev <> l_suppkey AND prev % 6 <> 0 AND l_suppkey % 6 <> 0)"""
+e AS (SELECT DISTINCT article_id, 'supplier strasse ' || CAST(l_suppkey AS VARCHAR) AS key FROM x WHERE l_suppkey % 6 <> 0 AND l_suppkey % 7 <> 0),
+r AS (SELECT DISTINCT article_id, 'supplier strasse ' || CAST(prev AS VARCHAR) AS source, 'depends_on' AS relation, 'supplier strasse ' || CAST(l_suppkey AS VARCHAR) AS target FROM x
+  WHERE prev <> l_suppkey AND prev % 6 <> 0 AND l_suppkey % 6 <> 0 AND prev % 7 <> 0 AND l_suppkey % 7 <> 0 AND (prev + l_suppkey) % 9 <> 0)"""
 
 
 def extraction(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
-    name = lambda c: F.concat(F.lit(" Supplier  "), F.col(c).cast("string"))
+    def name(c: str) -> Column:
+        number, wide = F.col(c).cast("string"), F.translate(F.col(c).cast("string"), "0123456789", "０１２３４５６７８９")
+        spelled = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" Supplie\u0301r  Straße "), number)).otherwise(F.concat(F.lit("SUPPLIÉR\u00a0STRASSE "), wide))
+        return F.when(F.col(c) % 7 == 0, F.rpad(spelled, 230, "x")).otherwise(spelled)
+
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     line = table(spark, sf_dir, "lineitem").withColumn("prev", F.lag("l_suppkey").over(order)).withColumn("article_id", F.col("l_orderkey"))
     entities = line.select("article_id", F.struct("l_linenumber", "l_partkey").alias("position"), name("l_suppkey").alias("name"), F.when(F.col("l_suppkey") % 6 == 0, "gadget").otherwise("System").alias("type"), F.lit("").alias("description"))
-    relations = line.where("prev is not null").select("article_id", name("prev").alias("source"), F.lit("Depends on!").alias("relation"), name("l_suppkey").alias("target"), F.lit("d").alias("description"))
+    verb = F.when((F.col("prev") + F.col("l_suppkey")) % 9 == 0, F.repeat(F.lit("on"), F.lit(51))).otherwise("Depends on!")
+    relations = line.where("prev is not null").select("article_id", name("prev").alias("source"), verb.alias("relation"), name("l_suppkey").alias("target"), F.lit("d").alias("description"))
     return k.clean_extraction(entities, relations)
 
 

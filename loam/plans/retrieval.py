@@ -84,7 +84,7 @@ rr AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_i
 #: A query reads three of four groups of sources.
 READS = """CAST(coalesce(nullif(regexp_extract((SELECT source FROM documents WHERE doc_id = article_id), '[0-9]+'), ''), '0') AS BIGINT) % 4 <> query_id % 4"""
 #: Copies collapse: of a key's passages those of other articles than the first one's go.
-COLLAPSED = rf"""ck AS (SELECT rr.query_id, chunk_id, article_id, score, place, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS key, length(text) AS n FROM rr JOIN passages USING (chunk_id) WHERE score >= 0.12),
+COLLAPSED = rf"""ck AS (SELECT rr.query_id, chunk_id, article_id, score, place, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS key, length(text) AS n FROM rr JOIN passages USING (chunk_id) WHERE score >= 0.12),
 cf AS (SELECT *, first_value(article_id) OVER (PARTITION BY query_id, key, n >= 60 ORDER BY place) AS lead FROM ck),
 co AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS INTEGER) AS place FROM cf WHERE n < 60 OR article_id = lead)"""
 OPEN, FULL = RERANK.replace("@READ@", "true"), RERANK.replace("@READ@", READS) + ", " + COLLAPSED

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -298,14 +300,21 @@ def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", tx.fold(F.col("text")).alias("folded"))
 
 
-@query("f2_passage_key", r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM documents")
+#: Every third text with its accented letters taken apart and every fifth with full-width a: composed and folded they are as before.
+@query("f2_passage_key", r"SELECT doc_id, trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM documents")
 def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", tx.passage_key(F.col("text")).alias("key"))
+    apart = F.col("text")
+    for letter in "äöüéèàçñ":
+        apart = F.replace(apart, F.lit(letter), F.lit(unicodedata.normalize("NFD", letter)))
+    text = F.when(F.col("doc_id") % 3 == 0, apart).when(F.col("doc_id") % 5 == 0, F.translate("text", "aA", "ａＡ")).otherwise(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", tx.passage_key(text).alias("key"))
 
 
-@query("f3_entity_key", r"SELECT s_suppkey, trim(regexp_replace(lower(s_name), '\s+', ' ', 'g')) AS key FROM supplier")
+#: Names with accents, ligatures, sharp s, capitals and odd spaces, taken apart or not.
+@query("f3_entity_key", r"SELECT s_suppkey, 'office strasse ' || trim(regexp_replace(lower(s_name), '\s+', ' ', 'g')) || ' aeo' AS key FROM supplier")
 def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select("s_suppkey", tx.entity_key(F.col("s_name")).alias("key"))
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Oﬃce\u2003 STRAßE "), F.upper("s_name"), F.lit("  ÁÈÔ "))).otherwise(F.concat(F.lit(" o\u0308ﬀICE Strasse\u00a0"), "s_name", F.lit(" A\u0301e\u0300Ｏ")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", tx.entity_key(name).alias("key"))
 
 
 @query("f4_group_key", r"""
