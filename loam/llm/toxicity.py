@@ -25,7 +25,7 @@ from loam.llm.common import cut, place, spread, table, text_of
 from loam.llm.learning import Logistic, SparseLogistic, sigmoid
 
 #: Bound on the labelled rows that are fitted on; a model's size; words that a worker remembers.
-SAMPLE, FEATURES, REMEMBERED = 12_000, 600, 300_000
+SAMPLE, FEATURES, REMEMBERED = 12_000, 600, 150_000
 #: A feature is looked at if it stands in so many of the sample's documents; a regression needs so many rows of each class.
 LEAST, FEW = 5, 5
 THRESHOLD = 0.3
