@@ -1,14 +1,19 @@
-"""Batch twins of the streaming work on ``events`` and ``lineitem``; tests run the streams against them."""
+"""Streaming work on ``events`` and ``lineitem``: batch twins, and the streams themselves (``..._stream``), which read the tables as
+files in no order of time, one a micro-batch, until all are read. Tests hold streams and twins against each other."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.plans.registry import query
 from loam.plans.telemetry import REQUESTS, requests
-from loam.sources.tables import orphans, table
+from loam.sources.tables import orphans, shared_folder, table
 from loam.streaming import folds as f
+from loam.streaming import keyed as k
+from loam.streaming import runs
 from loam.streaming import windows as w
 
 NOW = "2024-01-31 00:00:00"
@@ -18,6 +23,17 @@ def ntz(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
+#: The files are in no order of time, so a watermark has to wait for all of the month.
+MONTH = "40 days"
+
+
+def streamed(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, str]:
+    """``rows`` as a stream of four files, and a folder for its run."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    runs.as_files(rows, f"{base}/in")
+    return runs.of_files(spark, f"{base}/in"), f"{base}/run"
+
+
 @query("p1_request_windows", f"""
 WITH {REQUESTS} SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS t, count(*) AS requests, count(*) FILTER (status_code >= 500) AS server_errors, count(*) FILTER (status_code BETWEEN 400 AND 499) AS client_errors,
   quantile_disc(duration_ms, 0.95) AS p95_ms FROM requests GROUP BY 1""")
@@ -31,12 +47,40 @@ def p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ntz(w.fixed_rate(keyed, 3, "1 day"), "t")
 
 
-@query("p3_sliding_rate", """
+@query("p1_window_stream", f"""
+WITH {REQUESTS} SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS t, count(*) AS requests, count(*) FILTER (status_code >= 500) AS server_errors, count(*) FILTER (status_code BETWEEN 400 AND 499) AS client_errors,
+  quantile_disc(duration_ms, 0.95) AS p95_ms FROM requests GROUP BY 1""")
+def p1_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream, path = streamed(spark, requests(spark, sf_dir))
+    return ntz(runs.latest(runs.run(w.request_windows(stream, "1 hour", MONTH), path, "update"), "t"), "t")
+
+
+@query("p2_rate_stream", "SELECT user_id AS key, time_bucket(INTERVAL 1 DAY, ts) AS t, count(*) AS seen, greatest(count(*) - 3, 0) AS rejected FROM events GROUP BY 1, 2")
+def p2_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream, path = streamed(spark, requests(spark, sf_dir).withColumnRenamed("user_id", "key"))
+    return ntz(runs.latest(runs.run(w.fixed_rate(stream, 3, "1 day", MONTH), path, "update"), "key", "t"), "t")
+
+
+SLIDING = """
 WITH RECURSIVE o AS (SELECT user_id AS key, event_id AS request_id, ts AS created_at, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 w AS (SELECT key, request_id, created_at, n, true AS allowed, [t] AS kept FROM o WHERE n = 1
   UNION ALL SELECT o.key, o.request_id, o.created_at, o.n, len(list_filter(w.kept, lambda x: x > o.t - 7200)) < 3,
     CASE WHEN len(list_filter(w.kept, lambda x: x > o.t - 7200)) < 3 THEN list_append(list_filter(w.kept, lambda x: x > o.t - 7200), o.t) ELSE list_filter(w.kept, lambda x: x > o.t - 7200) END FROM w JOIN o ON o.key = w.key AND o.n = w.n + 1)
-SELECT key, request_id, created_at, allowed FROM w""")
+SELECT key, request_id, created_at, allowed FROM w"""
+
+
+@query("p3_rate_stream", SLIDING)
+def p3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two later requests of no user move the watermark past all others, as time would."""
+    rows = requests(spark, sf_dir).select(F.col("user_id").cast("long").alias("key"), "request_id", F.col("created_at").cast("timestamp").alias("created_at"))
+    stream, path = streamed(spark, rows)
+    for day in ("2030-01-01", "2030-01-02"):
+        spark.range(1).select(F.lit(-1).cast("long").alias("key"), F.lit(-1).cast("long").alias("request_id"), F.lit(day).cast("timestamp").alias("created_at")).write.mode("append").parquet(path[: -len("run")] + "in")
+    found = runs.run(k.sliding_rate_timed(stream, 3, 7200.0, MONTH), path).where("key >= 0")
+    return ntz(found.select("key", "request_id", "created_at", "allowed"), "created_at")
+
+
+@query("p3_sliding_rate", SLIDING)
 def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = w.sliding_rate(requests(spark, sf_dir).select(F.col("user_id").alias("key"), "request_id", "created_at"), 3, 7200.0)
     return ntz(found, "created_at")
@@ -48,6 +92,14 @@ def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.inbox(notes).select("notification_id")
 
 
+@query("p4_inbox_stream", "SELECT DISTINCT event_type AS provider, user_id % 5 AS subscription_id, sha256(props) AS payload_hash FROM events")
+def p4_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal notifications comes first depends on the files; that each comes once doesn't."""
+    notes = table(spark, sf_dir, "events").select(F.col("event_id").alias("notification_id"), F.col("event_type").alias("provider"), (F.col("user_id") % 5).alias("subscription_id"), F.sha2("props", 256).alias("payload_hash"), F.col("ts").cast("timestamp").alias("received_at"))
+    stream, path = streamed(spark, notes)
+    return runs.run(w.inbox(stream, late=MONTH), path).select("provider", "subscription_id", "payload_hash")
+
+
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("gap_id"), (F.col("user_id") % 4).alias("company_domain"), F.concat(F.lit("about "), "props").alias("query"), F.when(F.col("user_id") % 3 != 0, F.col("event_type")).alias("department"), F.col("ts").alias("created_at"))
 
@@ -64,6 +116,15 @@ def p5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.merge_gaps(first, rows.where("gap_id % 2 = 1"))
 
 
+@query("p5_gap_stream", """
+WITH g AS (SELECT event_id, CAST(user_id % 4 AS VARCHAR) AS company_domain, 'about ' || props AS query, ts FROM events)
+SELECT company_domain, query, count(*) AS count, 'open' AS status, max(ts) AS last_at FROM g GROUP BY 1, 2""")
+def p5_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which department is the first one depends on the files, so it is left out here; tests hold it against the twin."""
+    stream, path = streamed(spark, gaps(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp")))
+    return ntz(runs.latest(runs.run(k.gap_stream(stream), path, "update"), "company_domain", "query").drop("department"), "last_at")
+
+
 CHANGES = """ch AS (SELECT l_suppkey % 10 AS connector_id, CAST(l_linenumber % 2 AS BIGINT) AS corpus_id, l_partkey AS external_id, CASE WHEN l_returnflag = 'R' THEN 'deleted' ELSE 'active' END AS state, 'r' || CAST(l_orderkey % 3 AS VARCHAR) AS revision,
   l_quantity > 40 AS failed, l_shipdate AS received_at, l_orderkey * 10 + l_linenumber AS change_id, l_extendedprice FROM lineitem),
 n AS (SELECT connector_id, corpus_id, external_id, arg_max({'s': state, 'r': revision, 'f': failed}, (received_at, change_id, l_extendedprice)) AS n, count(*) FILTER (failed) AS fails FROM ch GROUP BY 1, 2, 3)"""
@@ -93,6 +154,19 @@ def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.fold_changes(stored(spark, sf_dir), changes(spark, sf_dir)).drop("failures", "failed_revision")
 
 
+@query("p6_change_stream", f"""
+WITH {FOLD} SELECT connector_id, corpus_id, external_id, CASE action WHEN 'deleted' THEN 'deleted' WHEN 'quarantined' THEN 'quarantined' WHEN 'skipped' THEN coalesce(old, 'pending') ELSE 'active' END AS state, CASE WHEN action IN ('imported', 'updated') THEN n.r ELSE rev END AS revision, action FROM fo WHERE action <> 'ignored'""")
+def p6_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes in one micro-batch, folded into the state so far, which is the query's first state; over several batches tests
+    hold it against the twin."""
+    rows = changes(spark, sf_dir).withColumns({"received_at": F.col("received_at").cast("timestamp"), "change_id": F.col("change_id").cast("struct<a:long,b:double>")})
+    ordered = rows.withColumn("change_id", F.format_string("%020d %020.4f", "change_id.a", "change_id.b"))
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    runs.as_files(ordered, f"{base}/in")
+    out = runs.run(k.change_stream(runs.of_files(spark, f"{base}/in", 1000), stored(spark, sf_dir)), f"{base}/run", "update")
+    return out.select("connector_id", "corpus_id", "external_id", "state", "revision", "action")
+
+
 @query("p7_full_walk", f"""
 WITH {CHANGES} SELECT connector_id, corpus_id, external_id, CASE WHEN external_id % 2 = 0 THEN CASE WHEN external_id % 4 = 0 THEN 'deleted' ELSE 'active' END ELSE 'deleted' END AS state FROM n WHERE external_id % 3 = 0""")
 def p7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +183,34 @@ def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.coalesced_requests(rows.where("i % 2 = 0").drop("i"), rows.where("i % 2 = 1").drop("i"))
 
 
+@query("p8_request_stream", """
+WITH r AS (SELECT user_id % 10 AS connector_id, event_type AS scope, event_id % 9 AS priority, ts + INTERVAL 5 MINUTE AS available_at, CASE WHEN event_id % 3 = 0 THEN 'polling' ELSE 'hook' || CAST(event_id % 7 AS VARCHAR) END AS reason, ts AS requested_at FROM events)
+SELECT connector_id, scope, min(priority) AS priority, min(available_at) AS available_at, arg_max(reason, (reason <> 'polling', requested_at, reason)) AS reason, max(requested_at) AS requested_at FROM r GROUP BY 1, 2""")
+def p8_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).cast("long").alias("connector_id"), F.col("event_type").alias("scope"), (key % 9).cast("long").alias("priority"), (F.col("ts") + F.expr("INTERVAL 5 MINUTES")).cast("timestamp").alias("available_at"), F.when(key % 3 == 0, "polling").otherwise(F.concat(F.lit("hook"), (key % 7).cast("string"))).alias("reason"), F.col("ts").cast("timestamp").alias("requested_at"))
+    stream, path = streamed(spark, rows)
+    return ntz(runs.latest(runs.run(k.request_stream(stream), path, "update"), "connector_id", "scope"), "available_at", "requested_at")
+
+
+#: Work told of as new, and every third as failed a minute later; nobody tells of an end, so all is dead after two hours.
+@query("p9_due_stream", """
+WITH n AS (SELECT event_id, ts AS "at" FROM events WHERE event_type <> 'view')
+SELECT event_id, "at", 'send' AS action, CAST(0 AS INTEGER) AS attempts FROM n
+UNION ALL SELECT event_id, "at" + INTERVAL 180 SECOND, 'send', CAST(1 AS INTEGER) FROM n WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, "at" + INTERVAL 2 HOUR, 'dead', CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) FROM n""")
+def p9_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").where("event_type <> 'view'").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    new = events.select("event_id", F.lit("new").alias("kind"), "at")
+    failed = events.where("event_id % 3 = 0").select("event_id", F.lit("failed").alias("kind"), (F.col("at") + F.expr("INTERVAL 60 SECONDS")).alias("at"))
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    runs.as_files(new.unionByName(failed).repartition(4, "event_id"), f"{base}/in", 1)
+    for day in ("2030-01-01", "2030-01-02"):  # moves the watermark past all others, as time would
+        spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("sent").alias("kind"), F.lit(day).cast("timestamp").alias("at")).write.mode("append").parquet(f"{base}/in")
+    out = runs.run(k.due_stream(runs.of_files(spark, f"{base}/in"), 5, 60, 1800, 2, "1 minute"), f"{base}/run")
+    return ntz(out.drop("batch"), "at")
+
+
 @query("p9_due", f"""
 WITH q AS (SELECT event_id, user_id % 7 AS attempts, ts FROM events WHERE event_type <> 'view' AND ts <= TIMESTAMP '{NOW}' ORDER BY ts, event_id LIMIT 100)
 SELECT event_id, CASE WHEN attempts >= 5 OR epoch(TIMESTAMP '{NOW}') - floor(epoch(ts)) > 700 * 3600 THEN 'dead' ELSE 'send' END AS action,
@@ -125,6 +227,15 @@ def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.fan_out(events.union(events.where("event_id % 5 = 0")), {"purchase": ["index", "notify"], "signup": ["index", "digest", "graph"], "error": ["purge"]})
 
 
+@query("p10_fan_out_stream", """
+SELECT event_id, unnest(CASE event_type WHEN 'purchase' THEN ['index', 'notify'] WHEN 'signup' THEN ['index', 'digest', 'graph'] ELSE ['purge'] END) AS work, user_id AS article_id FROM events WHERE event_type IN ('purchase', 'signup', 'error')""")
+def p10_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth event comes twice, in files of any order."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").alias("article_id"), F.col("ts").cast("timestamp").alias("created_at"))
+    stream, path = streamed(spark, events.union(events.where("event_id % 5 = 0")))
+    return runs.run(w.fan_out(stream, {"purchase": ["index", "notify"], "signup": ["index", "digest", "graph"], "error": ["purge"]}, MONTH), path).drop("batch")
+
+
 @query("p11_sync_summary", f"""
 WITH {FOLD} SELECT connector_id, count(*) FILTER (action = 'imported') AS imported, count(*) FILTER (action = 'updated') AS updated, count(*) FILTER (action = 'unchanged') AS unchanged, count(*) FILTER (action = 'deleted') AS deleted,
   count(*) FILTER (action = 'skipped') AS skipped, count(*) FILTER (action = 'quarantined') AS quarantined FROM fo WHERE action <> 'ignored' GROUP BY 1""")
