@@ -226,61 +226,6 @@ def _vectors(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "_place", *_inputs(docs)).mapInArrow(work, "doc_id long, place double, features binary")
 
 
-def fit(v: int, rows: np.ndarray | slice = slice(None)) -> Logistic:
-        more, marks = pseudo[v]
-        weight = np.concatenate([np.ones(len(y[rows])), np.full(len(marks), 0.5)])
-        return Logistic(np.concatenate([x[rows][:, _VIEWS[v]], more[:, _VIEWS[v]]]), np.concatenate([y[rows], marks]), weight)
-
-    for _ in range(rounds):
-        for v, (places, more, marks) in enumerate(find([fit(0), fit(1)], used, most)):
-            if len(places):
-                _, first = np.unique(places, return_index=True)  # equal rows teach once
-                used[v] = np.concatenate([used[v], places[first]])
-                rows, old = pseudo[1 - v]
-                pseudo[1 - v] = (np.concatenate([rows, more[first]]), np.concatenate([old, marks[first]]))
-    fold, held = folds(len(y)), np.zeros((len(y), 2))
-    for k in range(fold.max() + 1):
-        for v in (0, 1):
-            held[fold == k, v] = fit(v, fold != k).logit(x[fold == k][:, _VIEWS[v]])
-    fits = [Logistic(held[:, [v]], y) for v in (0, 1)]
-    both = Logistic(np.column_stack([f.logit(held[:, [v]]) for v, f in enumerate(fits)]), y)
-    return CoTrained(prior, fit(0), fit(1), *fits, both)
-
-
-_COLUMNS = ("text", "lang", "source", "n_chars")
-
-
-def _inputs(docs: DataFrame) -> list:
-    kinds = {"n_chars": "long"}
-    return [(F.col(c) if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(f"_{c}") for c in _COLUMNS]
-
-
-def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
-    """Features of a batch whose columns from ``first`` on are the inputs."""
-    text, lang, source, n = (batch.column(first + i) for i in range(4))
-    rows = []
-    for i in range(batch.num_rows):
-        own = text[i].as_py() or ""
-        rows.append(text_view(own) + meta_view(lang[i].as_py(), source[i].as_py(), n[i].as_py()))
-    return np.array(rows, float).reshape(batch.num_rows, -1)
-
-
-def _unpacked(column: pa.Array) -> np.ndarray:
-    """Rows of features from their bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).astype(float).reshape(len(column), -1)
-
-
-def _vectors(docs: DataFrame) -> DataFrame:
-    """(y, place, features as 32-bit bytes) of rows that have columns y and _place."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch, 2).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([row.tobytes() for row in x], pa.binary())], names=["y", "place", "features"])
-
-    return docs.select(F.col("y").cast("double"), "_place", *_inputs(docs)).mapInArrow(work, "y double, place double, features binary")
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, teach: int | None = TEACH, least: int = LEAST, least_class: int = LEAST_CLASS) -> CoTrained:
     """Co-trains on ``docs`` with ``labels`` (doc_id, quality 0 or 1; null labels count as none, repeated ones by mean).
 
