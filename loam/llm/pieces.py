@@ -29,7 +29,7 @@ VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 #: What a worker remembers: stretches of text up to a length (twice so many: those met since the last full measure, and
 #: those before it), and pairs of tokens.
-STRETCHES, LENGTH, PAIRS = 120_000, 64, 500_000
+STRETCHES, LENGTH, PAIRS = 120_000, 64, 300_000
 #: Stands before the first token and after a character without a piece: nothing that a token could merge with.
 NONE = -1
 #: A prefix that ends with such a character, and the empty one.
@@ -230,6 +230,19 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     return map_texts(docs, row, "doc_id long, n_tokens long, ids binary")
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) for every row: ``decoded(encoded(docs))`` in one pass, so a task has one worker with one
+    vocabulary in memory."""
+    path = path or vocabulary_path(VOCABULARY)
+
+    def row(doc_id: object, text: str) -> list[tuple]:
+        pieces = vocabulary(path)
+        ids = pieces.encode(text)
+        return [(doc_id, len(ids) // 4, ids, pieces.decode(ids))]
+
+    return map_texts(docs, row, "doc_id long, n_tokens long, ids binary, decoded string")
+
+
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of rows as ``encoded`` gives them; null ids give an empty text."""
     path = path or vocabulary_path(VOCABULARY)
@@ -245,5 +258,5 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = decoded(encoded(spread(table(spark, sf_dir, "documents"))))
+    made = round_trip(spread(table(spark, sf_dir, "documents")))
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loam.llm.common import table
-from loam.llm.pieces import NONE, VOCABULARY, Pieces, decoded, encoded, op13_sentencepiece
+from loam.llm.pieces import NONE, VOCABULARY, Pieces, decoded, encoded, op13_sentencepiece, round_trip
 from loam.llm.tokens import vocabulary_path
 from tests.llm.data import awkward, clashing, empty
 
@@ -100,7 +100,8 @@ def test_tables(spark, library):
         ids = made(library, r.text or "")
         wanted.append((r.doc_id, len(ids), array("I", ids).tobytes(), library.decode(ids)))
     assert sorted(((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in found), key=repr) == sorted(wanted, key=repr)
-    assert decoded(encoded(empty(spark))).count() == 0
+    assert sorted(map(str, round_trip(docs).collect())) == sorted(map(str, found))
+    assert decoded(encoded(empty(spark))).count() == round_trip(empty(spark)).count() == 0
 
 
 def test_query(spark, library):
