@@ -17,15 +17,21 @@ from pyspark.sql import functions as F
 from loam.functions.text import tokens
 from loam.sources.tables import bucket_of, cut
 
-#: Passages in a range, folders of a segment, ranges that a query opens first.
-RANGE, BUCKETS, FIRST = 1024, 64, 4
+#: Passages in a range, ranges to a folder of a segment, folders at most, ranges that a query opens first.
+RANGE, PER_FOLDER, BUCKETS, FIRST = 1024, 64, 256, 4
+BLOCKS = "term string, `range` int, top int, entries array<struct<chunk_id: long, article_id: long, tf: int>>, segment int, bucket int"
+CHANGED = "article_id long, segment int"
+
+
+def _folders(ranges: int) -> int:
+    return max(1, min(BUCKETS, ranges // PER_FOLDER))
 
 
 def _write(counted: DataFrame, ranges: int, path: str, segment: int) -> None:
     entry = F.struct("chunk_id", "article_id", "tf")
     blocks = counted.groupBy("term", F.pmod(F.xxhash64("chunk_id"), F.lit(ranges)).cast("int").alias("range")).agg(F.max("tf").alias("top"), F.collect_list(entry).alias("entries"))
-    keyed = blocks.withColumn("bucket", bucket_of(F.col("term"), BUCKETS))
-    keyed.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks/segment={segment}")
+    keyed = blocks.withColumn("bucket", bucket_of(F.col("term"), _folders(ranges)))
+    keyed.repartition("bucket", F.pmod("range", F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks/segment={segment}")
 
 
 def _counted(passages: DataFrame) -> DataFrame:
@@ -35,21 +41,25 @@ def _counted(passages: DataFrame) -> DataFrame:
 def build(passages: DataFrame, path: str, per_range: int = RANGE) -> None:
     """Writes the index of ``passages`` (article_id, chunk_id, text) to ``path``, as its first segment."""
     ranges = max(1, -(-passages.select("chunk_id").count() // per_range))
-    passages.sparkSession.range(1).select(F.lit(ranges).alias("ranges")).write.mode("overwrite").parquet(f"{path}/ranges")
+    passages.sparkSession.range(1).select(F.lit(ranges).cast("long").alias("ranges")).write.mode("overwrite").parquet(f"{path}/ranges")
     _write(_counted(passages), ranges, path, 0)
     passages.limit(0).select("article_id").write.mode("overwrite").parquet(f"{path}/changed/segment=0")
 
 
 def segments(spark: SparkSession, path: str) -> int:
     """Segments of a stored index; their numbers go from 0."""
-    return spark.read.parquet(f"{path}/changed").agg(F.max("segment")).first()[0] or 0
+    return spark.read.schema(CHANGED).parquet(f"{path}/changed").agg(F.max("segment")).first()[0] or 0
+
+
+def _ranges(spark: SparkSession, path: str) -> int:
+    return spark.read.schema("ranges long").parquet(f"{path}/ranges").first()[0]
 
 
 def update(spark: SparkSession, path: str, changed: DataFrame, passages: DataFrame) -> int:
     """Adds a segment: of the articles in ``changed`` (article_id) only ``passages`` (article_id, chunk_id, text) count from now on,
     none for one that is gone. Returns its number. Reads nothing of older segments but their number."""
     segment = segments(spark, path) + 1
-    ranges = spark.read.parquet(f"{path}/ranges").first().ranges
+    ranges = _ranges(spark, path)
     _write(_counted(passages.join(changed.select("article_id").distinct(), "article_id", "left_semi")), ranges, path, segment)
     # the list of ids comes last: a segment counts from then on
     changed.select("article_id").distinct().write.mode("overwrite").parquet(f"{path}/changed/segment={segment}")
@@ -57,14 +67,18 @@ def update(spark: SparkSession, path: str, changed: DataFrame, passages: DataFra
 
 
 def _blocks(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
-    """Blocks in the folders of ``terms`` (term); of a segment whose list of ids isn't there yet none."""
-    folders = [r.b for r in terms.select(bucket_of(F.col("term"), BUCKETS).alias("b")).distinct().collect()]  # at most BUCKETS numbers
-    return spark.read.parquet(f"{path}/blocks").where(F.col("bucket").isin(folders or [-1]) & (F.col("segment") <= segments(spark, path))).drop("bucket")
+    """Blocks in the folders of ``terms`` (term); of a segment whose list of ids isn't there yet none. One look at the driver: the
+    number of segments and the numbers of folders, ``BUCKETS`` at most."""
+    count = _folders(_ranges(spark, path))
+    folders = terms.agg(F.collect_set(bucket_of(F.col("term"), count)).alias("b")).first().b if count > 1 else [0]
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.col("bucket").isin(folders or [-1]) & (F.col("segment") <= segments(spark, path))).drop("bucket")
 
 
 def _live(found: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """Entries (segment, article_id ...) that no later segment replaces."""
-    last = spark.read.parquet(f"{path}/changed").where("segment > 0").groupBy("article_id").agg(F.max("segment").alias("last"))
+    if segments(spark, path) == 0:
+        return found
+    last = spark.read.schema(CHANGED).parquet(f"{path}/changed").where("segment > 0").groupBy("article_id").agg(F.max("segment").alias("last"))
     return found.join(last, "article_id", "left").where(F.col("last").isNull() | (F.col("segment") >= F.col("last"))).drop("last")
 
 
@@ -80,6 +94,11 @@ def keyword_top(spark: SparkSession, path: str, terms: DataFrame, most: int = 24
     term), ties by chunk_id."""
     terms = cut(terms.select("query_id", "term").distinct())
     blocks = _blocks(spark, path, terms)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    if _ranges(spark, path) <= first:  # all of them are opened
+        each = _live(blocks.join(terms.select("term").distinct(), "term", "left_semi").select("segment", "term", F.inline("entries")), spark, path)
+        every = terms.join(each, "term").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("score"))
+        return every.withColumn("place", place).where(F.col("place") <= most).select("query_id", "chunk_id", (F.col("place") - 1).alias("rank"))
     heads = blocks.select("segment", "term", "range", "top").join(terms, "term")
     at = ["query_id", "segment", "range"]
     bounds = heads.groupBy(*at).agg(F.sum("top").alias("bound"))
@@ -92,7 +111,6 @@ def keyword_top(spark: SparkSession, path: str, terms: DataFrame, most: int = 24
         each = _live(held.select("segment", "range", "term", F.inline("entries")), spark, path)
         return asked.join(each, ["segment", "range", "term"]).groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("score"))
 
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     best = cut(scored(bounds.where(F.col("r") <= first)).withColumn("place", place).where(F.col("place") <= most))
     worst = best.where(F.col("place") == most).select("query_id", F.col("score").alias("worst"))
     rest = bounds.where(F.col("r") > first).join(worst, "query_id", "left").where(F.col("worst").isNull() | (F.col("bound") >= F.col("worst")))
@@ -102,8 +120,8 @@ def keyword_top(spark: SparkSession, path: str, terms: DataFrame, most: int = 24
 
 def compacted(spark: SparkSession, path: str, target: str) -> None:
     """Writes the live entries of all segments to ``target`` as one segment."""
-    found = spark.read.parquet(f"{path}/blocks").where(F.col("segment") <= segments(spark, path)).select("segment", "term", F.inline("entries"))
-    ranges = spark.read.parquet(f"{path}/ranges")
-    ranges.write.mode("overwrite").parquet(f"{target}/ranges")
-    _write(_live(found, spark, path).select("term", "chunk_id", "article_id", "tf"), ranges.first().ranges, target, 0)
-    spark.read.parquet(f"{path}/changed").select("article_id").limit(0).write.mode("overwrite").parquet(f"{target}/changed/segment=0")
+    found = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.col("segment") <= segments(spark, path)).select("segment", "term", F.inline("entries"))
+    ranges = _ranges(spark, path)
+    spark.range(1).select(F.lit(ranges).cast("long").alias("ranges")).write.mode("overwrite").parquet(f"{target}/ranges")
+    _write(_live(found, spark, path).select("term", "chunk_id", "article_id", "tf"), ranges, target, 0)
+    spark.read.schema(CHANGED).parquet(f"{path}/changed").select("article_id").limit(0).write.mode("overwrite").parquet(f"{target}/changed/segment=0")

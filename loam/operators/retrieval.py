@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from loam.functions.text import TOKEN, compress, fold, passage_key, tokens
+from loam.operators.postings import entries, keyword_top
 from loam.operators.vector_index import filed, fit_centres, probe
 from loam.operators.vectors import collapse_copies
 from loam.sources.tables import cut
@@ -333,11 +334,18 @@ def promoted(ranked: DataFrame, second: DataFrame, vector: DataFrame, lexical: i
     return scored.select("query_id", "chunk_id", lifted.alias("score"), (F.row_number().over(order) - 1).alias("place"))
 
 
-def legs(queries: DataFrame, passages: DataFrame, titles: DataFrame, vector: DataFrame | None = None, graph: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
-    """All legs fused: keyword with title, identifier, and if given vector (rank from 1) and graph (rank from 0)."""
+def legs(queries: DataFrame, passages: DataFrame, titles: DataFrame, vector: DataFrame | None = None, graph: DataFrame | None = None, index: DataFrame | None = None, postings: str | None = None) -> DataFrame:
+    """All legs fused: keyword with title, identifier, and if given vector (rank from 1) and graph (rank from 0). Words are looked up
+    in the stored index at ``postings``, in ``index`` (term, chunk_id, tf), or counted for this batch."""
     terms = cut(asked_terms(queries))
-    index = cut(token_index(passages, terms)) if index is None else index
-    keyword = cut(keyword_leg(terms, index))
+    if postings is not None:
+        spark = queries.sparkSession
+        keyword = cut(keyword_top(spark, postings, terms))
+        named = queries.select(F.explode(identifiers(F.col("text"))).alias("term"))
+        index = entries(spark, postings, cut(named))
+    else:
+        index = cut(token_index(passages, terms)) if index is None else index
+        keyword = cut(keyword_leg(terms, index))
     found = [keyword.unionByName(title_leg(terms, titles, passages, keyword)), identifier_leg(queries, index)]
     if vector is not None:
         found.append(vector.select("query_id", "chunk_id", (F.col("rank") - 1).alias("rank")))
@@ -348,7 +356,7 @@ def legs(queries: DataFrame, passages: DataFrame, titles: DataFrame, vector: Dat
 
 def search(
     queries: DataFrame, passages: DataFrame, titles: DataFrame, limit: int | None = 10, vector: DataFrame | None = None, graph: DataFrame | None = None,
-    index: DataFrame | None = None, readers: DataFrame | None = None, vectors: DataFrame | None = None, collapse: bool = True,
+    index: DataFrame | None = None, readers: DataFrame | None = None, vectors: DataFrame | None = None, collapse: bool = True, postings: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(results, gaps): all legs fused, reranked, cut at 0.12, copies across articles collapsed, what a query's reader may
     not see left out, and only then cut at ``limit``; queries without a result are gaps.
@@ -357,7 +365,7 @@ def search(
     departments a query may read, all if not given. vectors (chunk_id, embedding) let near copies collapse too; equal
     passage keys always do. A list has at most the legs' pools, some hundreds of rows.
     """
-    pool = legs(queries, passages, titles, vector, graph, index).join(passages.select("chunk_id", "article_id", "text"), "chunk_id")
+    pool = legs(queries, passages, titles, vector, graph, index, postings).join(passages.select("chunk_id", "article_id", "text"), "chunk_id")
     if readers is not None:
         # checked before copies collapse, so a hidden copy never stands for a visible one
         pool = pool.join(titles.select("article_id", "dept"), "article_id").join(readers.select("query_id", "dept").distinct(), ["query_id", "dept"], "left_semi")

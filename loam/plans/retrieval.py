@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.operators import postings
 from loam.operators import retrieval as r
 from loam.operators import vector_index as x
 from loam.operators import vectors as v
@@ -31,6 +32,21 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).where(F.trim("text") != "")
 
 
+#: Stored passages and keyword index of a session's tables, by application and folder: built by the first query that asks.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, anew: bool = False) -> tuple[DataFrame, str]:
+    """Passages as a stored table (chunk_id, article_id, text), and the folder of their keyword index."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if anew or key not in _STORED:
+        path = f"{shared_folder(spark)}/passages-{uuid.uuid4().hex}"
+        passages(spark, sf_dir).write.parquet(f"{path}/passages")
+        postings.build(spark.read.parquet(f"{path}/passages"), f"{path}/index")
+        _STORED[key] = path
+    return spark.read.parquet(f"{_STORED[key]}/passages"), f"{_STORED[key]}/index"
+
+
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("source").alias("dept"))
 
@@ -162,20 +178,35 @@ def r6_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r7_keyword_leg", f"WITH {KEYWORD} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM kw")
 def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.keyword_top(spark, stored(spark, sf_dir)[1], r.asked_terms(questions(spark, sf_dir)), r.POOL)
+
+
+@query("r7_index_build", f"""WITH {PASSAGES} SELECT term, count(*) AS passages, CAST(sum(tf) AS BIGINT) AS occurrences FROM idx GROUP BY 1""")
+def r7_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds passages and index anew; what the index holds of every term."""
+    blocks = spark.read.parquet(f"{stored(spark, sf_dir, anew=True)[1]}/blocks")
+    each = blocks.select("term", F.size("entries").cast("long").alias("n"), F.aggregate("entries", F.lit(0).cast("long"), lambda t, e: t + e["tf"]).alias("tf"))
+    return each.groupBy("term").agg(F.sum("n").alias("passages"), F.sum("tf").alias("occurrences"))
+
+
+@query("r7_counted_leg", f"WITH {KEYWORD} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM kw")
+def r7_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows without a stored index: the batch's words are counted in all passages."""
     terms = r.asked_terms(questions(spark, sf_dir))
     return r.keyword_leg(terms, r.token_index(passages(spark, sf_dir), terms))
 
 
 @query("r8_title_leg", f"WITH {TITLE} SELECT query_id, chunk_id, rank FROM tl")
 def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms, chunks = cut(r.asked_terms(questions(spark, sf_dir))), passages(spark, sf_dir)
-    return r.title_leg(terms, titles(spark, sf_dir), chunks, cut(r.keyword_leg(terms, r.token_index(chunks, terms))))
+    terms, (chunks, index) = cut(r.asked_terms(questions(spark, sf_dir))), stored(spark, sf_dir)
+    return r.title_leg(terms, titles(spark, sf_dir), chunks, cut(postings.keyword_top(spark, index, terms, r.POOL)))
 
 
 @query("r9_identifier_leg", f"WITH {KEYWORD}, {IDENT} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM il")
 def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir)
-    return r.identifier_leg(asked, r.token_index(passages(spark, sf_dir), r.asked_terms(asked)))
+    named = asked.select(F.explode(r.identifiers(F.col("text"))).alias("term"))
+    return r.identifier_leg(asked, postings.entries(spark, stored(spark, sf_dir)[1], named))
 
 
 #: Names inside words: every third supplier goes by its number alone, the queries run the whole name into other letters.
@@ -227,14 +258,14 @@ def graph(spark: SparkSession, sf_dir: str, asked: DataFrame, chunks: DataFrame)
 
 @query("r11_fused", f"WITH {FUSED} SELECT query_id, chunk_id, round(rrf, 12) AS rrf, CAST(rank AS INTEGER) AS rank FROM fr")
 def r11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, chunks = questions(spark, sf_dir), passages(spark, sf_dir)
-    found = r.legs(asked, chunks, titles(spark, sf_dir), near(spark, sf_dir, chunks), graph(spark, sf_dir, asked, chunks))
+    asked, (chunks, index) = questions(spark, sf_dir), stored(spark, sf_dir)
+    found = r.legs(asked, chunks, titles(spark, sf_dir), near(spark, sf_dir, chunks), graph(spark, sf_dir, asked, chunks), postings=index)
     return found.withColumn("rrf", F.round("rrf", 12))
 
 
 def results(spark: SparkSession, sf_dir: str, limit: int | None = 10, full: bool = False) -> tuple[DataFrame, DataFrame]:
     """The search of all queries; ``full`` with copies collapsed and for readers of three of four groups of sources."""
-    asked, chunks, named = questions(spark, sf_dir), passages(spark, sf_dir), titles(spark, sf_dir)
+    asked, (chunks, index), named = questions(spark, sf_dir), stored(spark, sf_dir), titles(spark, sf_dir)
     readers = None
     if full:
         number = F.coalesce(F.try_to_number(F.regexp_extract("dept", "[0-9]+", 0), F.lit("999999999")).cast("long"), F.lit(0))
@@ -242,7 +273,7 @@ def results(spark: SparkSession, sf_dir: str, limit: int | None = 10, full: bool
         groups = asked.select("query_id", F.explode(F.array(*(F.lit(i) for i in range(4)))).alias("g"))
         readers = groups.where(F.col("g") != F.col("query_id") % 4).select("query_id", F.col("g").cast("string").alias("dept"))
     vector = near(spark, sf_dir, chunks)
-    return r.search(asked, chunks, named, limit, vector, graph(spark, sf_dir, asked, chunks), readers=readers, collapse=full)
+    return r.search(asked, chunks, named, limit, vector, graph(spark, sf_dir, asked, chunks), readers=readers, collapse=full, postings=index)
 
 
 @query("r12_rerank", f"WITH {OPEN} SELECT query_id, chunk_id, score, CAST(place AS INTEGER) AS place FROM rr WHERE score >= 0.12")

@@ -31,6 +31,10 @@ def _plain(value: Any) -> Any:
     return None if value is None or value is pd.NaT or value != value else value
 
 
+def _moment(seconds: float) -> Any:
+    return pd.Timestamp(round(seconds * 1_000_000), unit="us").to_pydatetime()
+
+
 class _OneValue(StatefulProcessor):
     """A processor whose state of a key is one row; ``step`` gives the new one, or None, and what is put out."""
 
@@ -206,11 +210,11 @@ class Due(StatefulProcessor):
             return None
         tries, due, dies, out = work
         if not out and due <= moment and not 0 <= dies <= due:
-            put.append((key[0], pd.Timestamp(due, unit="s").to_pydatetime(), "send", tries))
+            put.append((key[0], _moment(due), "send", tries))
             work = (tries, due, dies, True)
             self.work.update(work)
         if 0 <= dies <= moment:
-            put.append((key[0], pd.Timestamp(dies, unit="s").to_pydatetime(), "dead", tries))
+            put.append((key[0], _moment(dies), "dead", tries))
             self._end(work)
             return None
         return work
