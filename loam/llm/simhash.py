@@ -153,16 +153,33 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.join(classes.join(lowest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _shingles(docs: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """(sid, shingles) of the texts that stand for the signatures of ``wanted`` (sid, key)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [resemblance.shingled(words_of(t.as_py())).tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["sid", "shingles"])
+
+    texts = docs.select(key.alias("key"), F.col("text").cast("string").alias("text")).join(wanted, "key").select("sid", "text")
+    return texts.groupBy("sid").agg(F.first("text").alias("text")).mapInArrow(work, "sid long, shingles binary")
+
+
 def first_rows(docs: DataFrame, key: Column, words: int = WORDS) -> DataFrame:
     """(doc_id, key) of exactly one row of each component: the smallest doc_id, rows without one last, then the
     smallest ``key``, a long that tells the rows of one doc_id apart.
 
-    Components are those of ``near_duplicates``, joined where texts are alike by ``resemblance`` (five-word shingles, 0.8):
-    fingerprints within 3 bits are few among texts that are less than all but equal.
+    Components are those of ``near_duplicates``, joined where texts are alike by ``resemblance`` (five-word shingles, 0.8; where the
+    estimate is a little less, by their exact similarity): fingerprints within 3 bits are few among texts that are less
+    than all but equal.
     """
     rows = cut(fingerprints(docs, words, key).withColumn("sid", F.xxhash64("sig")))
-    signed = cut(rows.groupBy("sid").agg(F.first("sig").alias("sig"), F.min("fp").alias("u"), F.max("fp").alias("v")))
-    alike = cut(resemblance.links(signed.select("sid", "sig")))
+    signed = cut(rows.groupBy("sid").agg(F.first("sig").alias("sig"), F.min("fp").alias("u"), F.max("fp").alias("v"), F.min("key").alias("key")))
+    judged = cut(resemblance.judged(signed.select("sid", "sig")))
+    alike, doubts = judged.where("alike").select("u", "v"), cut(judged.where("not alike").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    if not doubts.isEmpty():
+        ends = doubts.select(F.col("u").alias("sid")).union(doubts.select("v")).distinct()
+        alike = cut(alike.union(resemblance.confirmed(doubts, _shingles(docs, key, signed.join(ends, "sid").select("sid", "key")))))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     distinct = cut(rows.groupBy("fp").agg(F.min(rank).alias("low")))
     # a signature ties its texts' fingerprints together where it has several of them or is alike to another

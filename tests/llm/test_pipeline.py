@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loam.llm import mixing, quality
+from loam.llm import mixing, quality, resemblance
 from tests.llm.data import CLASHING, SCHEMA, awkward, clashing
 from tests.llm.test_mixing import WORD, place, shared
 from tests.llm.test_resemblance import all_pairs, roots, signed
@@ -43,12 +43,27 @@ def test_quality_drops_what_it_rejects(spark, stages):
     assert 0 < len(stages[1]) < len(stages[0])
 
 
+def alike_though_estimated_less(rows, signatures):
+    """Pairs whose estimate lies a little below the threshold and whose sets of five-word shingles are alike."""
+    words = [WORD.findall(r.text or "") for r in rows]
+    words = [[x.translate({i: i + 32 for i in range(65, 91)}) for x in own] for own in words]
+    sets = [{tuple(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else set() for own in words]
+    size = resemblance.SAMPLES // resemblance.BANDS
+    for i in range(len(rows)):
+        same = signatures[:i] == signatures[i]
+        band = same.reshape(i, resemblance.BANDS, size).all(axis=2).any(axis=1)
+        guess = resemblance.likeness(signatures[:i], signatures[i])
+        for j in np.flatnonzero(band & (guess >= resemblance.DOUBT) & (guess < resemblance.LEAST)).tolist():
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                yield i, j
+
+
 def test_one_of_each_component_stays(stages):
     rows = stages[1]
     prints, signatures = [plain(r.text) for r in rows], np.stack([signed(r.text) for r in rows])
     ids = np.array(prints, np.uint64)
     pairs = [(i, int(j)) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(ids[:i] ^ ids[i]) <= 3)]
-    of = roots(len(rows), [*pairs, *all_pairs(signatures)])
+    of = roots(len(rows), [*pairs, *all_pairs(signatures), *alike_though_estimated_less(rows, signatures)])
     least: dict = {}
     for r, c in zip(rows, of, strict=True):
         least[c] = min(least.get(c, r.doc_id), r.doc_id)

@@ -89,3 +89,31 @@ def test_links_have_the_components_of_all_pairs(spark, monkeypatch, block):
     mine, want = roots(len(signatures), found), roots(len(signatures), all_pairs(signatures))
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
     assert len({r.label for r in components(resemblance.links(frame)).collect()}) == len({m for m in mine if mine.count(m) > 1})
+
+
+def test_recall_by_similarity(spark):
+    """Pairs of texts at every similarity from 0.7 on: from 0.8 at least nine of ten are in one component, below it hardly any
+    but by the estimate's error, and none below 0.7."""
+    from pyspark.sql import functions as F
+
+    from loam.llm.simhash import first_rows
+
+    rng = random.Random(12)
+    rows, exact = [], {}
+    for i in range(900):
+        n = rng.randrange(120, 500)
+        one = [f"p{i}w{j}" for j in range(n)]
+        two = one.copy()
+        for at in rng.sample(range(n), max(1, round(n * rng.uniform(0.003, 0.046)))):
+            two[at] = f"p{i}x{at}"
+        a, b = ({tuple(t[k : k + 5]) for k in range(n - 4)} for t in (one, two))
+        exact[i] = len(a & b) / len(a | b)
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in first_rows(docs, F.col("doc_id")).collect()}
+    share = {}
+    for low, high in ((0.6, 0.7), (0.7, 0.78), (0.8, 0.82), (0.82, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        own = [2 * i + 1 not in kept for i, x in exact.items() if low <= x < high]
+        assert len(own) > 20, (low, len(own))
+        share[low] = sum(own) / len(own)
+    assert all(share[low] >= 0.97 for low in (0.8, 0.82, 0.85, 0.9)) and share[0.7] < 0.15 and share[0.6] == 0, share
