@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import text as tx
+from loam.operators import indexing as ix
 from loam.operators import prepare as p
 from loam.plans.registry import query
-from loam.sources.tables import spread, table
+from loam.sources.tables import shared_folder, spread, table
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +108,32 @@ def t8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.reuse_vectors(children, stored, "v1").select("doc_id", "child_index", "content_hash", "to_embed")
 
 
+def articles(spark: SparkSession, sf_dir: str, body: Column | None = None) -> DataFrame:
+    """Documents as articles: every tenth a draft, every thirteenth retired."""
+    key, text = F.col("doc_id"), F.col("text") if body is None else body
+    return spread(docs(spark, sf_dir)).select("doc_id", text.alias("body"), F.when(key % 10 == 0, "draft").otherwise("published").alias("status"), F.when(key % 13 == 0, "retired").otherwise("active").alias("lifecycle_status"), F.col("source").alias("dept"), F.lit("internal").alias("sensitivity"), F.lit("company").alias("visibility"))
+
+
+SHOWN = ("doc_id", "section", "parent_index", "child_index", "chunk_type", "heading", "page_number", "content_hash", "to_embed", "dept", "sensitivity", "visibility")
+
+
 @query("t9_index_build")
 def t9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    articles = spread(docs(spark, sf_dir)).select("doc_id", F.col("text").alias("body"), F.lit("published").alias("status"), F.col("source").alias("dept"), F.lit("internal").alias("sensitivity"), F.lit("company").alias("visibility"))
-    return p.index_build(articles)
+    return ix.index_build(articles(spark, sf_dir), pages(spark, sf_dir)).select(*SHOWN)
+
+
+@query("t9_index_upkeep", """
+WITH a AS (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 13 <> 0 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '')
+SELECT doc_id, doc_id % 7 = 0 AS changed FROM a WHERE doc_id % 11 <> 0""")
+def t9_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index brought up to changes: every seventh article has a new first line, every eleventh is retired. Which articles it holds,
+    and which of them have a passage of the new line."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    ix.index_upkeep(spark, path, articles(spark, sf_dir), pages(spark, sf_dir))
+    key = F.col("doc_id")
+    later = articles(spark, sf_dir, F.when(key % 7 == 0, F.concat(F.lit("a line that is new\n\n"), "text")).otherwise(F.col("text"))).withColumn("lifecycle_status", F.when(key % 11 == 0, "retired").otherwise(F.col("lifecycle_status")))
+    ix.index_upkeep(spark, path, later, pages(spark, sf_dir))
+    return spark.read.parquet(path).groupBy("doc_id").agg(F.bool_or(F.contains("child_text", F.lit("a line that is new"))).alias("changed"))
 
 
 @query("t10_review_ranges", rf"""

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: File extensions that a scan keeps.
 EXTENSIONS = ("pdf", "docx", "xlsx", "pptx", "txt", "md", "csv", "html", "png", "jpg", "jpeg")
@@ -105,24 +106,53 @@ def bucket_of(key: Column, buckets: int = 256) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def replace_documents(spark: SparkSession, path: str, new: DataFrame, key: str = "article_id", buckets: int = 256) -> int:
+def replace_documents(spark: SparkSession, path: str, new: DataFrame, key: str = "article_id", buckets: int = 256, changed: DataFrame | None = None) -> int:
     """Replaces all rows of the documents in ``new`` in a table partitioned by hash bucket; returns buckets rewritten.
 
-    Only buckets with changed documents are read and written, through a staged folder, and put in place by one dynamic
-    partition overwrite. If building the new rows fails, nothing has been touched.
+    ``changed`` (key) names the documents to replace, where some of them have no new rows and go; without a table at ``path``
+    it is made. Only buckets with changed documents are read and written, through a staged folder, and put in place by
+    one dynamic partition overwrite. If building the new rows fails, nothing has been touched.
     """
-    keyed = new.withColumn("bucket", bucket_of(F.col(key), buckets))
     staged, merged = (f"{path}.{name}-{uuid.uuid4().hex}" for name in ("staged", "merged"))  # two replacements may run at once
-    keyed.write.mode("overwrite").partitionBy("bucket").parquet(staged)
-    fresh = spark.read.parquet(staged)
-    touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-    old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(fresh.select(key).distinct(), key, "left_anti")
-    old.unionByName(fresh, allowMissingColumns=True).write.mode("overwrite").partitionBy("bucket").parquet(merged)
-    result = spark.read.parquet(merged)
+    new.withColumn("bucket", bucket_of(F.col(key), buckets)).write.partitionBy("bucket").parquet(staged)
+    fresh = spark.read.schema(_with_bucket(new)).parquet(staged)
+    gone = (fresh if changed is None else changed).select(key).distinct()
+    touched = [r.b for r in gone.select(bucket_of(F.col(key), buckets).alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+    if not touched:
+        return 0
+    if exists(spark, path):
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(gone, key, "left_anti")
+        fresh = old.unionByName(fresh, allowMissingColumns=True)
+    fresh.write.partitionBy("bucket").parquet(merged)
+    result = spark.read.schema(_with_bucket(fresh)).parquet(merged)
+    left = {r.bucket for r in result.select("bucket").distinct().collect()}
     result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for empty in set(touched) - left:  # a bucket whose last document went
+        _remove(spark, f"{path}/bucket={empty}")
     return len(touched)
 
 
+def _with_bucket(df: DataFrame) -> StructType:
+    fields = [f for f in df.schema.fields if f.name != "bucket"]
+    return StructType([*fields, StructField("bucket", IntegerType())])
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place  # noqa: SLF001
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder or file at ``path``, on whichever file system."""
+    system, place = _place(spark, path)
+    return system.exists(place)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    system, place = _place(spark, path)
+    system.delete(place, True)
+
+
 def orphans(objects: DataFrame, references: list[DataFrame], now: Column, grace_hours: int = 24) -> DataFrame:
     """Objects (key, modified, ...) older than the grace period that none of the tables ``references`` (key) names."""
     used = references[0].select("key")
