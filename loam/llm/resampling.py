@@ -175,3 +175,24 @@ def resample(docs: DataFrame, target: DataFrame, grams: int = GRAMS, buckets: in
 
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: crc32 by its table, made from its rule, over the bytes of each distinct word.
+ORACLE_SQL = r"""
+WITH bits AS (SELECT i, list_reduce(list_prepend(i, [CAST(0 AS BIGINT) FOR _ IN range(8)]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))),
+tab AS (SELECT list(v ORDER BY i) AS t FROM bits),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+dw AS (SELECT r, unnest(words) AS word FROM d),
+bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+v AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+y AS (SELECT word, [CAST(instr('0123456789ABCDEF', h[2 * i - 1]) * 16 + instr('0123456789ABCDEF', h[2 * i]) - 17 AS BIGINT) FOR i IN generate_series(1, length(h) // 2)] AS bytes FROM v),
+k AS (SELECT word, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket FROM y, tab),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN k USING (word) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bw JOIN k USING (word) GROUP BY 1),
+sums AS (SELECT CAST((SELECT count(*) FROM dw) AS DOUBLE) AS all_s, CAST((SELECT count(*) FROM bw) AS DOUBLE) AS all_t),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + CAST(1 AS DOUBLE)) * (all_s + 10000) / ((coalesce(s, 0) + CAST(1 AS DOUBLE)) * (all_t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), sums),
+w AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS g FROM dw JOIN k USING (word) JOIN g USING (bucket) GROUP BY 1),
+x AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (g - (((g % n) + n) % n)) // n ELSE 0 END AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (r)),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score FROM x),
+o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place, (SELECT count(*) FROM z WHERE n_features >= 20) * 10 // 100 AS most FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank FROM o
+"""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loam.llm import resampling
 from loam.llm.resampling import op12_importance_resampling, resample
 from tests.llm.data import awkward, clashing, empty
+from tests.oracle import compare
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -93,3 +94,4 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{base}/documents.parquet").collect()]
     target = [r.text for r in spark.read.parquet(f"{base}/benchmark.parquet").collect()]
     assert rows(op12_importance_resampling(spark, base)) == by_hand(docs, target)
+    assert compare(spark, "op12", op12_importance_resampling, resampling.ORACLE_SQL, base) == ""
