@@ -178,6 +178,11 @@ def first_rows(docs: DataFrame, key: Column, words: int = WORDS) -> DataFrame:
     judged = cut(resemblance.judged(signed.select("sid", "sig")))
     alike, doubts = judged.where("alike").select("u", "v"), cut(judged.where("not alike").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     if not doubts.isEmpty():
+        # within a component of sure links a doubt changes nothing: of a large family hardly any are left
+        of = cut(components(alike))
+        label = lambda c: of.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        placed = doubts.join(label("u"), "u", "left").join(label("v"), "v", "left")
+        doubts = cut(placed.where(F.coalesce("u_label", F.xxhash64("u")) != F.coalesce("v_label", F.xxhash64("v"))).select("u", "v"))
         ends = doubts.select(F.col("u").alias("sid")).union(doubts.select("v")).distinct()
         alike = cut(alike.union(resemblance.confirmed(doubts, _shingles(docs, key, signed.join(ends, "sid").select("sid", "key")))))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
