@@ -1,4 +1,4 @@
-"""Training-data operators: ten methods over documents, each with a registered query.
+"""Training-data operators: thirteen methods over documents, each with a registered query.
 
 Nothing outside this package imports it. ``queries()`` and ``oracle_sql()`` are what the entry module adds.
 """

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.sources.tables import spread
+from loam.sources.tables import cut, shared_folder, spread
 
 __all__ = ["WORD", "cut", "partitions", "place", "shared_folder", "spread", "table", "text_of"]
 
@@ -25,24 +22,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, one of this machine's own, which only a local master can use."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return os.path.join(tempfile.gettempdir(), "loam-checkpoints")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the folder of spark.checkpoint.dir and reads it from there, so a lost executor costs nothing."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def place(salt: str, *columns: Column | str) -> Column:
     """A number from 0 to 1 by hash of the columns: rows below a share of 1 are a sample of that share, at every run the same."""
     return F.xxhash64(*columns, F.lit(salt)).cast("double") / F.lit(2.0**64) + F.lit(0.5)

@@ -166,7 +166,8 @@ def features(docs: DataFrame) -> DataFrame:
 
     doc_id, n_bytes (of the text), payload_bytes, payload_sha256 and tail_crc32 (of the samples read back; the crc of
     the last 64), media_bytes and media_sha256 (of the PNG), feature. Writing and reading share a task, so no image
-    is shuffled; ``stored`` has the images themselves.
+    is shuffled; ``stored`` has the images themselves. A null text counts as empty, very long ones are stored whole, equal
+    texts have equal values. Other columns are left out whatever their names; an empty table gives an empty table.
     """
 
     def row(doc_id: object, text: str) -> list[tuple]:

@@ -50,7 +50,8 @@ def pack(docs: DataFrame, context: int = CONTEXT, path: str | None = None, with_
     """``pieces`` with sequence_id and offset (0: one piece a sequence).
 
     The top bits of sequence_id are the bucket, longest sequences first, the others are unique within it, so an order
-    by sequence_id goes bucket by bucket. Nothing is shuffled. An empty table gives an empty table.
+    by sequence_id goes bucket by bucket. Nothing is shuffled. Very long texts are cut whole; other columns are left
+    out whatever their names; an empty table gives an empty table.
     """
     bucket = F.lit(context.bit_length() - 1) - F.log2("length").cast("long")
     number = F.shiftleft(bucket, 58).bitwiseOR(F.monotonically_increasing_id())

@@ -139,7 +139,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, h, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
 
     spans lists kind:start:end of all spans by start and then kind (code points, end exclusive); n_linked counts
-    the weak ones among them. Null and empty texts have none. An empty table gives an empty table.
+    the weak ones among them. Null and empty texts have none; very long ones are read whole. Other columns
+    are left out whatever their names; an empty table gives an empty table.
     """
     found = cut(parts(docs))
     rank = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))

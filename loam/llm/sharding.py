@@ -89,7 +89,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges: int = RANGES) -> DataFr
 
     size: UTF-8 bytes of the text plus 1, a null text counting as none. A shard is the cut of the total that the middle
     of the record falls in; slot numbers a shard's records from 0 in key order. Repeated rows are records of their own.
-    Equal texts share a shard but where a cut falls between them. An empty table gives an empty table.
+    Equal texts share a shard but where a cut falls between them; very long ones are one record. Other
+    columns are left out whatever their names; an empty table gives an empty table.
     """
     ranged = cut(divided(cut(records(docs)), ranges))
     inside = Window.partitionBy("range").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -85,7 +85,8 @@ def map_texts(docs: DataFrame, row: Callable[[object, str], list[tuple]], schema
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) for every row; null and empty texts have 0 tokens."""
+    """(doc_id, n_tokens) for every row; null and empty texts have 0 tokens, very long ones are counted whole. Other columns are left out
+    whatever their names; an empty table gives an empty table."""
     path = path or vocabulary_path()
     return map_texts(docs, lambda i, text: [(i, len(encoder(path).document(text)) // 4)], "doc_id long, n_tokens long")
 

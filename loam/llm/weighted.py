@@ -157,7 +157,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty; a text without words has a fingerprint of zeros, and two such are alike (1). Repeated
     rows (same doc_id and text) count once in the order of documents and come out as often as they go in. A single
-    document is its own next one. An empty table gives an empty table.
+    document is its own next one. Very long texts count whole; other columns are left out whatever their names; an empty
+    table gives an empty table.
     """
     keys = ["d", "h"]
     texts = edited(docs)
