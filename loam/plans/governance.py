@@ -24,9 +24,10 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey AS answer_id, CAST(o_orderkey + 100000 AS VARCHAR) || '%' AS token FROM orders WHERE o_orderkey % 3 = 0
 UNION ALL SELECT o_orderkey, CAST(o_orderkey + 2000000 AS VARCHAR) FROM orders WHERE o_orderkey % 5 = 0""")
 def g19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figure that all sources quote has three decimals, so no key's percentage is that figure as a share."""
     key = F.col("o_orderkey")
-    answers = orders(spark, sf_dir).select(key.alias("answer_id"), F.format_string("1. In 1999 it was %s%% and %s, see [C7] or 42 of 1,250.5", (key + 100000).cast("string"), (key + 2000000).cast("string")).alias("text"))
-    quoted = F.concat(F.lit("about 1250.5 "), F.when(key % 3 != 0, F.concat((key + 100000).cast("string"), F.lit("% "))).otherwise(""), F.when(key % 5 != 0, (key + 2000000).cast("string")).otherwise(""))
+    answers = orders(spark, sf_dir).select(key.alias("answer_id"), F.format_string("1. In 1999 it was %s%% and %s, see [C7] or 42 of 1,250.505", (key + 100000).cast("string"), (key + 2000000).cast("string")).alias("text"))
+    quoted = F.concat(F.lit("about 1250.505 "), F.when(key % 3 != 0, F.concat((key + 100000).cast("string"), F.lit("% "))).otherwise(""), F.when(key % 5 != 0, (key + 2000000).cast("string")).otherwise(""))
     return g.unverified_numbers(answers, orders(spark, sf_dir).select(key.alias("answer_id"), quoted.alias("text")))
 
 
