@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,18 +46,22 @@ def _rates() -> list[Column]:
     ]
 
 
-def percentiles(rows: DataFrame, keys: list[str], value: str, places: dict[str, float]) -> DataFrame:
-    """(keys, and a column for each of ``places``): exact percentiles, interpolated between neighbouring ranks.
+def percentiles(rows: DataFrame, keys: list[str], value: str, places: dict[str, float], discrete: bool = False, times: str | None = None) -> DataFrame:
+    """(keys, and a column for each of ``places``): exact percentiles, interpolated between neighbouring ranks or, if
+    ``discrete``, the least value that so large a part of all doesn't exceed. ``times``: how often a row's value counts.
 
     Values are counted, first within ranges that grow with the value (some thousands in all), so that no task or buffer ever
     holds the values of a whole group: ranks are looked up in the ranges' running counts, and then in those ranges only.
     """
-    named = rows.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("k"), F.col(value).cast("double").alias("v"))
-    counts = named.withColumn("range", F.floor(F.signum("v") * F.log1p(F.abs("v")) * 64)).groupBy("k", "range", "v").agg(F.count("*").alias("n"))
+    n = F.count("*") if times is None else F.sum("n")
+    named = rows.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("k"), F.col(value).cast("double").alias("v"), *([] if times is None else [F.col(times).alias("n")]))
+    counts = named.withColumn("range", F.floor(F.signum("v") * F.log1p(F.abs("v")) * 64)).groupBy("k", "range", "v").agg(n.alias("n"))
     upto = Window.partitionBy("k").orderBy("range")
     sums = counts.groupBy("k", "range").agg(F.sum("n").alias("n"))
     sums = sums.withColumn("end", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("k")))
-    place = lambda q: (F.col("all") - 1) * F.lit(q)
+    # a share is taken as the decimal it is written as: 0.95 of 20 is 19, whatever the next double is
+    at = lambda q: F.greatest(F.ceil(F.col("all") * F.lit(Decimal(str(q)))).cast("long") - 1, F.lit(0))
+    place = at if discrete else lambda q: (F.col("all") - 1) * F.lit(q)
     ranks = [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), which(place(q)).cast("long").alias("rank"), place(q).alias("place")) for name, q in places.items() for side, which in (("low", F.floor), ("high", F.ceil))]
     here = F.filter(F.array(*ranks), lambda r: (r["rank"] < F.col("end")) & (r["rank"] >= F.col("end") - F.col("n")))
     asked = sums.select("k", "range", (F.col("end") - F.col("n")).alias("before"), here.alias("ranks")).where(F.size("ranks") > 0)
@@ -71,9 +77,9 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, places: dict[str,
     return per.select("k.*", *(between(n) for n in places))
 
 
-def with_percentiles(groups: DataFrame, rows: DataFrame, keys: list[str], value: str, places: dict[str, float]) -> DataFrame:
+def with_percentiles(groups: DataFrame, rows: DataFrame, keys: list[str], value: str, places: dict[str, float], discrete: bool = False, times: str | None = None) -> DataFrame:
     """``groups`` (keys, ...), of ``rows``, with the percentiles of their values."""
-    found = percentiles(rows, keys, value, places)
+    found = percentiles(rows, keys, value, places, discrete, times)
     for k in keys:
         found = found.withColumnRenamed(k, f"_{k}")
     same = F.lit(True)

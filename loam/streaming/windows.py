@@ -7,18 +7,41 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loam.operators.telemetry import with_percentiles
+
 
 def request_windows(requests: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """(t, requests, server_errors, client_errors, p95_ms): tumbling windows; the percentile is a sketch."""
+    """(t, requests, server_errors, client_errors, p95_ms): tumbling windows; the percentile is the exact discrete one.
+
+    On a stream the state of a window is one row with how often each duration came; where a window has too many different
+    ones for that, stream ``duration_counts`` and finish them by ``of_counts``."""
+    if not requests.isStreaming:
+        return of_counts(duration_counts(requests, width))
+    return requests.withWatermark("created_at", late).groupBy(F.window("created_at", width)).agg(*_statuses(), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").alias("p95_ms")).select(F.col("window.start").alias("t"), *REQUESTS, "p95_ms")
+
+
+REQUESTS = ("requests", "server_errors", "client_errors")
+
+
+def _statuses() -> list[Column]:
+    status = F.col("status_code")
+    return [F.count("*").alias("requests"), F.count_if(status >= 500).alias("server_errors"), F.count_if((status >= 400) & (status < 500)).alias("client_errors")]
+
+
+def duration_counts(requests: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """(t, duration_ms, requests, server_errors, client_errors): a row for each duration of a window."""
     rows = requests.withWatermark("created_at", late) if requests.isStreaming else requests
-    return rows.groupBy(F.window("created_at", width)).agg(
-        F.count("*").alias("requests"), F.count_if(F.col("status_code") >= 500).alias("server_errors"),
-        F.count_if((F.col("status_code") >= 400) & (F.col("status_code") < 500)).alias("client_errors"), F.percentile_approx("duration_ms", F.lit(0.95), F.lit(10_000)).alias("p95_ms"),
-    ).select(F.col("window.start").alias("t"), "requests", "server_errors", "client_errors", "p95_ms")
+    return rows.groupBy(F.window("created_at", width), "duration_ms").agg(*_statuses()).select(F.col("window.start").alias("t"), "duration_ms", *REQUESTS)
+
+
+def of_counts(counts: DataFrame) -> DataFrame:
+    """The rows of ``request_windows``, of its ``duration_counts``."""
+    groups = counts.groupBy("t").agg(*(F.sum(c).alias(c) for c in REQUESTS))
+    return with_percentiles(groups, counts, ["t"], "duration_ms", {"p95_ms": 0.95}, discrete=True, times="requests")
 
 
 def fixed_rate(requests: DataFrame, limit: int, width: str = "1 minute", late: str = "5 minutes") -> DataFrame:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from loam import plans
+from loam.streaming import windows as w
+
+START = datetime(2024, 1, 1)
+
 
 def test_a_percentage_isnt_verified_by_the_figure_all_sources_quote(spark, tmp_path):
     orders = spark.range(25_040, 25_060).select(F.col("id").alias("o_orderkey"))
@@ -12,3 +19,22 @@ def test_a_percentage_isnt_verified_by_the_figure_all_sources_quote(spark, tmp_p
     found = {(r.answer_id, r.token) for r in plans.queries()["g19_unverified_numbers"](spark, str(tmp_path)).collect()}
     keys = range(25_040, 25_060)
     assert found == {(k, f"{k + 100_000}%") for k in keys if k % 3 == 0} | {(k, str(k + 2_000_000)) for k in keys if k % 5 == 0}
+
+
+def busy(spark):
+    """Two hours with 40 000 and 20 requests of different durations, and one with no duration."""
+    hour = F.when(F.col("id") < 40_000, 0).otherwise(1)
+    rows = spark.range(40_020).select((F.lit(START).cast("timestamp") + F.make_dt_interval(hours=hour)).alias("created_at"), F.lit(200).alias("status_code"), (F.col("id") * 7919 % 40_009 / 100.0).alias("duration_ms"))
+    return rows.union(spark.createDataFrame([(START + timedelta(hours=2), 500, None)], rows.schema))
+
+
+def exact(spark):
+    out = {}
+    for r in busy(spark).collect():
+        out.setdefault(r.created_at, []).append(r.duration_ms)
+    ranked = {t: sorted(d for d in durations if d is not None) for t, durations in out.items()}
+    return {(t, len(out[t]), d[math.ceil(len(d) * 95 / 100) - 1] if d else None) for t, d in ranked.items()}
+
+
+def test_percentiles_of_busy_windows_are_exact(spark):
+    assert {(r.t, r.requests, r.p95_ms) for r in w.request_windows(busy(spark), "1 hour").collect()} == exact(spark)
