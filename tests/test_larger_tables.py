@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from loam import plans
+from loam.operators import dedupe as d
 from loam.streaming import runs
 from loam.streaming import windows as w
 
@@ -47,3 +49,22 @@ def test_percentiles_of_busy_windows_are_exact_in_a_stream(spark, tmp_path):
     assert {(r.t, r.requests, r.p95_ms) for r in w.of_counts(runs.latest(counts, "t", "duration_ms")).collect()} == exact(spark)
     whole = runs.run(w.request_windows(runs.of_files(spark, f"{tmp_path}/in"), "1 hour", "40 days"), f"{tmp_path}/b", "update")
     assert {(r.t, r.requests, r.p95_ms) for r in runs.latest(whole, "t").collect()} == exact(spark)
+
+
+def shuffled(spark) -> int:
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)  # noqa: SLF001
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_what_is_shuffled_for_set_similarity_doesnt_grow_with_the_blocks(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(900)).cast("string"))), " ").alias("body")).localCheckpoint()
+
+    def bytes_of(n: int) -> tuple[int, set]:
+        before = shuffled(spark)
+        rows = {tuple(r) for r in d.set_similarity(docs, docs, 0.15, blocks=n, parts=n).collect()}
+        time.sleep(1)  # metrics come a moment after the rows
+        return shuffled(spark) - before, rows
+
+    (one, rows), (many, same) = bytes_of(1), bytes_of(8)
+    assert rows == same and rows
+    assert many < 2 * one
