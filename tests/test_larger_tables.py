@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import time
 from datetime import datetime, timedelta, timezone
 from unittest.mock import MagicMock
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loam import plans
 from loam.operators import dedupe as d
+from loam.operators import retrieval as r
 from loam.streaming import keyed as k
 from loam.streaming import runs
 from loam.streaming import windows as w
@@ -112,3 +114,25 @@ def test_a_change_is_folded_without_frames():
     row = Row("state", "revision", "failed", "received_at", "change_id")
     put = list(changes.handleInputRows((1, 0, 5), iter([row("active", "r2", False, START, 2), row("active", "r1", False, START, 1)]), None))
     assert [tuple(r) for r in put] == [(1, 0, 5, "active", "r2", 0, None, "imported")]
+
+
+def test_aliases_meet_no_name_that_does_not_fit(spark):
+    """All pairs by the rule itself; no pairs of windows and names are made on the way (16 million of one letter here)."""
+    rng = random.Random(5)
+    word = lambda: "t" + "".join(rng.choice("aeihrnst") for _ in range(rng.randrange(1, 9)))
+    windows = [[word() for _ in range(rng.choice((2, 2, 3)))] for _ in range(400)]
+    cores = sorted({word()[:1] + "".join(rng.choice("aehrnst") for _ in range(rng.randrange(4, 8))) for _ in range(600)} | {(w[0][:3] + w[1][:2] + w[-1][:1])[:16] for w in windows})
+    cores = [c for c in cores if len(c) >= 5]
+    want = {(tuple(w), c) for w in windows for c in cores if r.abbreviates(c, w)}
+    assert len({c for _, c in want}) > 50
+    assert {(tuple(w), c) for w in windows for c in r.abbreviations(w, r._tree(cores))} == want
+    assert all(c[:3] in r.beginnings(list(w)) for w, c in want)
+    asked = spark.createDataFrame([(w,) for w in sorted(map(tuple, windows))], "window array<string>").distinct()
+    found = [(tuple(x.window), x.core) for x in r._matched(asked, spark.createDataFrame([(c,) for c in cores], "core string")).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    many = lambda n, seed: [word() + word()[1:] for _ in range(n)]
+    names = spark.createDataFrame([(n.upper()[:16], 1) for n in set(many(4000, 1))], "name string, uses long")
+    texts = spark.createDataFrame(list(enumerate(f"{word()} {word()}" for _ in range(4000))), "query_id long, text string")
+    began = time.time()
+    r.aliases(texts, names).collect()
+    assert time.time() - began < 60
