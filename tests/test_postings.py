@@ -74,3 +74,29 @@ def test_of_equal_counts_the_first_ids_stay(spark, tmp_path):
     terms = spark.createDataFrame([(1, "w1")], "query_id long, term string")
     found = [x.chunk_id for x in p.keyword_top(spark, path, terms, 30, first=1).orderBy("rank").collect()]
     assert found == [*range(380, 400), *range(10)]
+
+
+def test_a_build_shuffles_the_passages_once(spark, tmp_path, monkeypatch):
+    """Counting, blocks and files are made where a range's passages lie; tasks become more, not larger."""
+    plans = []
+    monkeypatch.setattr(p, "_folders", lambda ranges: 4)
+    write = p._write
+
+    def watched(counted, ranges, path, segment):
+        plans.append((counted._jdf.queryExecution().executedPlan().toString(), counted.rdd.getNumPartitions()))
+        write(counted, ranges, path, segment)
+
+    monkeypatch.setattr(p, "_write", watched)
+    rows = corpus(6)
+    p.build(frame(spark, rows), str(tmp_path / "i"), per_range=2)
+    plan, parts = plans[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and parts == -(-150 // p.PER_TASK)
+    same(spark, str(tmp_path / "i"), rows, 20)
+
+
+def test_a_batch_moves_only_the_blocks_of_its_terms(spark, tmp_path, monkeypatch):
+    rows, path = corpus(7), str(tmp_path / "i")
+    p.build(frame(spark, rows), path, per_range=20)
+    plan = p._blocks(spark, path, p.written(asked(spark).select("term").distinct()))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    same(spark, path, rows, 20)
