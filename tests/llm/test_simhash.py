@@ -84,3 +84,28 @@ def test_links_have_the_components_of_all_pairs(spark, monkeypatch, block):
         else:
             assert want.count(low) == 1
     assert len(set(classes.values())) == len(classes)
+
+
+def test_rounds_on_few_edges_write_few_files(spark, monkeypatch):
+    """A round's tasks go by its edges, not by the session's partitions: files of next to nothing filled the disk."""
+    from loam.llm import components as c
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    parts, cut = [], c.cut
+
+    def watched(df):
+        parts.append((done := cut(df)).rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(c, "cut", watched)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.range(60).selectExpr("id as u", "id + 1 as v").union(spark.range(100, 120).selectExpr("id as u", "100L as v"))
+        found = {r.node: r.label for r in c.components(edges).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(set(found.values())) == 2 and len({found[i] for i in range(61)}) == 1 and len({found[i] for i in range(100, 120)}) == 1
+    assert max(parts) <= c.TASKS
+    assert c._tasks(40_960_000) == 10_000
