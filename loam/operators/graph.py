@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions.text import entity_key
+from loam.functions.text import entity_key_column
 
 TYPES = ("person", "team", "system", "policy", "process", "product", "location", "organization", "concept")
 DEPTH = 3
@@ -25,12 +25,12 @@ def clean_extraction(entities: DataFrame, relations: DataFrame, types: tuple[str
     fits = lambda c: F.char_length(c).between(1, NAME)
     described = F.substring(squeezed(F.col("description")), 1, DESCRIPTION)
     named = entities.withColumns({"name": squeezed(F.col("name")), "type": F.lower(F.trim("type")), "description": described})
-    good = named.where(F.col("type").isin(*types) & fits(F.col("name"))).withColumn("key", entity_key(F.col("name")))
+    good = named.where(F.col("type").isin(*types) & fits(F.col("name"))).withColumn("key", entity_key_column(F.col("name")))
     once = good.withColumn("_n", F.row_number().over(Window.partitionBy("article_id", "key").orderBy("position"))).where("_n = 1").drop("_n")
     snake = F.regexp_replace(F.regexp_replace(F.lower(F.trim("relation")), "[^a-z0-9_]+", "_"), "^_+|_+$", "")
     spelled = relations.withColumns({"source": squeezed(F.col("source")), "target": squeezed(F.col("target")), "relation": snake, "description": described})
     able = spelled.where(fits(F.col("source")) & fits(F.col("target")) & F.char_length("relation").between(1, RELATION))
-    ends = able.select("article_id", entity_key(F.col("source")).alias("source"), "relation", entity_key(F.col("target")).alias("target"), "description").where("source <> target")
+    ends = able.select("article_id", entity_key_column(F.col("source")).alias("source"), "relation", entity_key_column(F.col("target")).alias("target"), "description").where("source <> target")
     for end in ("source", "target"):
         ends = ends.join(once.select("article_id", F.col("key").alias(end)), ["article_id", end], "left_semi")
     return once, ends.dropDuplicates(["article_id", "source", "relation", "target"])
