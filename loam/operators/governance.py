@@ -14,6 +14,8 @@ from loam.functions.text import NUMBER, readings, tokens
 # Fixed values.
 FACT_LABELS = ("deadline", "effective date", "owner", "contact", "version", "limit", "budget")
 HUNKS, HUNK_LINES, LINE_CHARS, MOST_LINES = 30, 12, 300, 20_000
+#: Rules in a bundle, about: a draft meets a bundle at once.
+RULES = 256
 
 
 def unverified_numbers(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -58,17 +60,22 @@ def deciding_rule(drafts: DataFrame, rules: DataFrame) -> DataFrame:
     dept, extension, connector_id, similarity, risk_tier), rules (rule_id, active, priority, dept, extensions array, connector_id,
     max_similarity, risk_tiers array).
     """
-    r = rules.where("active").select("rule_id", "priority", F.col("dept").alias("_dept"), F.col("extensions"), F.col("connector_id").alias("_connector"), "max_similarity", "risk_tiers")
-    fits = (
-        (F.col("extensions").isNull() | F.coalesce(F.array_contains("extensions", F.col("extension")), F.lit(False)))
-        & (F.col("_connector").isNull() | F.coalesce(F.col("_connector") == F.col("connector_id"), F.lit(False)))
-        & (F.col("max_similarity").isNull() | F.coalesce(F.col("similarity") <= F.col("max_similarity"), F.lit(False)))
-        & (F.col("risk_tiers").isNull() | F.coalesce(F.array_contains("risk_tiers", F.col("risk_tier")), F.lit(False)))
+    r = rules.where("active").select(F.coalesce("dept", F.lit("*any*")).alias("_key"), F.struct("priority", "rule_id", "extensions", "connector_id", "max_similarity", "risk_tiers").alias("rule"))
+    fits = lambda x: (
+        (x["extensions"].isNull() | F.coalesce(F.array_contains(x["extensions"], F.col("extension")), F.lit(False)))
+        & (x["connector_id"].isNull() | F.coalesce(x["connector_id"] == F.col("connector_id"), F.lit(False)))
+        & (x["max_similarity"].isNull() | F.coalesce(F.col("similarity") <= x["max_similarity"], F.lit(False)))
+        & (x["risk_tiers"].isNull() | F.coalesce(F.array_contains(x["risk_tiers"], F.col("risk_tier")), F.lit(False)))
     )
-    # a draft is looked up under its department and under "any": one equal join, and only the least match is kept
-    keyed = r.withColumn("_key", F.coalesce("_dept", F.lit("*any*")))
-    asked = drafts.withColumn("_key", F.explode(F.array_compact(F.array(F.col("dept"), F.lit("*any*")))))
-    return asked.join(keyed, "_key").where(fits).groupBy("draft_id").agg(F.min(F.struct("priority", "rule_id")).alias("b")).select("draft_id", "b.rule_id")
+    # a draft is looked up under its department and under "any"; it meets rules in bundles and leaves each with its first, so that no
+    # pairs are sorted. The drafts of a key are dealt over as many groups as there are tasks, and its rules go to each.
+    groups, bundles = int(drafts.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-r.count() // RULES))
+    bundled = r.groupBy("_key", F.pmod(F.xxhash64("rule.rule_id"), F.lit(bundles)).alias("_bundle")).agg(F.array_sort(F.collect_list("rule")).alias("rules"))
+    keyed = bundled.select("_key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"), "rules")
+    asked = drafts.withColumn("_group", F.pmod(F.xxhash64("draft_id"), F.lit(groups)).cast("int")).withColumn("_key", F.explode(F.array_compact(F.array(F.col("dept"), F.lit("*any*")))))
+    met = asked.join(keyed.hint("shuffle_hash"), ["_key", "_group"]).select("draft_id", F.get(F.filter("rules", fits), F.lit(0)).alias("b"))
+    first = met.where("b is not null").select("draft_id", F.struct("b.priority", "b.rule_id").alias("b"))
+    return first.groupBy("draft_id").agg(F.min("b").alias("b")).select("draft_id", "b.rule_id")
 
 
 def suggest_owner(sections: DataFrame, departments: DataFrame, top: int = 3) -> DataFrame:

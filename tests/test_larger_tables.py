@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loam import plans
 from loam.operators import dedupe as d
+from loam.operators import governance as g
 from loam.operators import retrieval as r
 from loam.operators import vector_index as x
 from loam.streaming import keyed as k
@@ -157,3 +158,28 @@ def test_what_is_shuffled_for_a_probe_doesnt_grow_with_the_lists(spark):
     (one, rows), (many, same), (most, _) = bytes_of(1, None), bytes_of(60, None), bytes_of(60, 59)
     assert rows == same and len(rows) == 600 * 20
     assert many < 2 * one and most < 2 * one
+
+
+def joined(node) -> int:
+    """Rows that the joins of an executed plan gave."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return joined(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return joined(node.plan())
+    own = node.metrics().get("numOutputRows").get().value() if "Join" in kind else 0
+    return own + sum(joined(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_a_draft_meets_bundles_of_rules(spark):
+    """600 rules fit each draft; pairs of them were all sorted for the first."""
+    drafts = spark.range(1000).select(F.col("id").alias("draft_id"), F.lit("d").alias("dept"), F.lit("pdf").alias("extension"), F.lit(None).cast("string").alias("connector_id"), F.lit(0.2).alias("similarity"), F.lit("low").alias("risk_tier"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rules = spark.range(600).select(
+        F.col("id").alias("rule_id"), F.lit(True).alias("active"), ((F.col("id") * 7) % 50 + F.when(F.col("id") % 3 == 0, 0).otherwise(100)).cast("int").alias("priority"), F.when(F.col("id") % 2 == 0, "d").alias("dept"),
+        F.when(F.col("id") % 3 == 0, F.array(F.lit("txt"))).alias("extensions"), none("string").alias("connector_id"), none("double").alias("max_similarity"), none("array<string>").alias("risk_tiers"),
+    )
+    first = min(((i * 7) % 50, i) for i in range(600) if i % 3)[1]
+    found = g.deciding_rule(drafts, rules)
+    assert {tuple(x) for x in found.collect()} == {(i, first) for i in range(1000)}
+    assert joined(found._jdf.queryExecution().executedPlan()) <= 2 * 3 * 1000  # noqa: SLF001
