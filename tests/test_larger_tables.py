@@ -15,6 +15,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loam import plans
+from loam.functions import text as tx
 from loam.operators import dedupe as d
 from loam.operators import governance as g
 from loam.operators import prepare as p
@@ -197,3 +198,11 @@ def test_passages_leave_a_task_in_small_batches(spark):
     made = list(work(iter([batch])))
     assert sum(b.num_rows for b in made) > 20_000 and {x for b in made for x in b["doc_id"].to_pylist()} == set(range(100))
     assert max(b.nbytes for b in made) < 3_000_000
+
+
+def test_plain_decimals_are_read_as_all_others(spark):
+    rng = random.Random(7)
+    cells = ["", "-", "12\n", "1,2.5", ".5", "5.", "1,234.50", "1.234,50", "1,5", "1,234", "=1", "12 %", "$1,200.00", "not reported", "9" * 40, "0" * 40 + "1.5", "-7", "--7"]
+    cells += ["".join(rng.choice("0123456789.,- $") for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    each = spark.createDataFrame([(c,) for c in cells], "c string").select("c", tx.parse_decimal(F.col("c")).alias("a"), tx._any_decimal(F.trim("c")).alias("b"))  # noqa: SLF001
+    assert not each.where(~F.col("a").eqNullSafe(F.col("b"))).collect() and each.where("a is not null").count() > 500
