@@ -108,6 +108,21 @@ def test_scopes_and_articles(spark):
         assert got[q] == sorted(best, key=lambda a: (best[a], a))[:3]
 
 
+def test_cosines_equal_to_the_places_asked_for_are_ties(spark):
+    """The farther vector of the smaller id comes first where the ninth place is the same, at the end of a list too."""
+    near = [[1.0, 0.5], [1.0, 0.5 + 1e-7], [1.0, 0.0]]
+    vectors = spark.createDataFrame([(3, [1.0, 0.5 - 1e-11]), (5, near[0]), (4, [1.0, 0.5 + 1e-11]), (9, near[1]), (1, near[2])], "chunk_id long, vector array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 1.0])], "query_id long, vector array<double>")
+    rows, centres = vectors.withColumn("list_id", F.lit(0)), np.array([[1.0, 0.0]])
+    ids = lambda k, places: [q.chunk_id for q in x.probe(asked, rows, centres, k, 2.0, None, places=places).orderBy("rank").collect()]
+    assert ids(3, None) == [9, 4, 5] and ids(3, 9) == [9, 3, 4] and ids(5, 9) == [9, 3, 4, 5, 1]
+    days = spark.createDataFrame([(i, -i) for i in (1, 3, 4, 5, 9)], "article_id long, created_at long")
+    digests = vectors.select(F.col("chunk_id").alias("article_id"), "vector", F.lit("ready").alias("status"), F.lit("about").alias("summary"))
+    chunks = days.select("article_id", F.lit(0).alias("chunk_index"), F.col("article_id").alias("chunk_id"), F.lit(False).alias("evidence"))
+    scope = r.document_scopes(days, digests, asked.withColumnRenamed("query_id", "question_id"), chunks, 3, places=9)
+    assert [s.article_id for s in scope.orderBy("place").collect()] == [9, 3, 4]
+
+
 @pytest.mark.parametrize("block", [1024, 3])
 def test_near_classes_equal_all_pairs(spark, block):
     rng = np.random.default_rng(8)
