@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import math
 import random
 import time
@@ -15,6 +16,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loam import plans
+from loam.functions import matching
 from loam.functions import text as tx
 from loam.operators import dedupe as d
 from loam.operators import governance as g
@@ -206,3 +208,19 @@ def test_plain_decimals_are_read_as_all_others(spark):
     cells += ["".join(rng.choice("0123456789.,- $") for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
     each = spark.createDataFrame([(c,) for c in cells], "c string").select("c", tx.parse_decimal(F.col("c")).alias("a"), tx._any_decimal(F.trim("c")).alias("b"))  # noqa: SLF001
     assert not each.where(~F.col("a").eqNullSafe(F.col("b"))).collect() and each.where("a is not null").count() > 500
+
+
+def test_not_all_diagonals_of_two_texts_are_looked_at(monkeypatch):
+    """A pair of texts of 2000 characters took 20 to 40 ms, nearly all on diagonals and short runs."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(320)) for _ in range(6)]
+    texts += [texts[0][:900] + texts[1][:300] + texts[0][900:], "".join(chr(200 + i) for i in range(1500)), "\ud800 \U0001f600" + texts[2][:700]]
+    pairs = [(a, b) for a in texts for b in texts]
+    wanted = [sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) for a, b in pairs]
+    seen = []
+    diagonals = matching.common_runs
+    monkeypatch.setattr(matching, "common_runs", lambda a, b: seen.append((a, b)) or diagonals(a, b))
+    assert [matching.matching_characters(a, b) for a, b in pairs] == wanted
+    assert len(seen) <= 17  # those with 1500 values
+    assert matching.matching_characters("ab" * 600, "ba" * 500) == 1000 and len(seen) <= 18
