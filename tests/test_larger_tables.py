@@ -12,6 +12,7 @@ from unittest.mock import MagicMock
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -243,3 +244,36 @@ def test_not_all_diagonals_of_two_texts_are_looked_at(monkeypatch):
     assert [matching.matching_characters(a, b) for a, b in pairs] == wanted
     assert len(seen) <= 17  # those with 1500 values
     assert matching.matching_characters("ab" * 600, "ba" * 500) == 1000 and len(seen) <= 18
+
+
+def test_shared_tokens_are_counted_from_a_part_filed_once():
+    """Every block of queries sorted the tokens of every part anew, in rows of a million tokens."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(np.minimum(rng.zipf(1.3, rng.integers(0, 300)), 4000)).astype(np.int64) for _ in range(400)]
+    column = lambda x: pa.array([s.tolist() for s in x], pa.list_(pa.int64()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 50)), pa.array([0.0] * 50), column(sets[i : i + 50])], ["id", "floor", "tokens"]) for i in range(0, 400, 50)]
+    rows = [[np.frombuffer(x[0].as_py(), kind) for x, kind in zip(r.columns, (np.int64, np.int64, np.int64, np.int32, np.int32), strict=True)] for r in d._filed(iter(batches))]  # noqa: SLF001
+    assert len(rows) == 1
+    part = d._Sets(*rows[0])  # noqa: SLF001
+    assert sorted(part.ids) == list(range(400)) and (np.diff(part.sizes) >= 0).all()
+    for one in sets[::20]:
+        at = part.places(np.append(one, 10**6))
+        at = at[at >= 0]
+        want = [len(np.intersect1d(one, sets[i])) for i in part.ids]
+        assert (part.rare(at) + part.commonest(at, np.arange(400))).tolist() == want
+        assert (part.common <= part.sizes).all() and part.rare(at).sum() <= sum(want) / 2
+
+
+@pytest.mark.parametrize(("least", "few"), [(0.0, 0), (0.05, 12), (0.3, 0), (0.3, 12)])
+def test_the_best_of_a_share_bound_the_best_of_all(spark, monkeypatch, least, few):
+    monkeypatch.setattr(d, "SHARE", 3)
+    rng = random.Random(9)
+    sets = [set(rng.choices([f"w{i}" for i in range(60)], weights=[60 / (i + 1) for i in range(60)], k=rng.randrange(60))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)] + [(None, "w1 w2")], "doc_id long, body string")
+    jaccard = lambda a, b: len(a & b) / max(len(a | b), 1)
+    want = set()
+    for i in range(0, 120, 4):
+        each = [(-jaccard(sets[i], s), j) for j, s in enumerate(sets) if j != i and (jaccard(sets[i], s) >= least or min(len(s), len(sets[i])) < few)]
+        want |= {(i, j, -near) for near, j in sorted(each)[:5]}
+    found = d.set_similarity(docs.where("doc_id % 4 = 0"), docs, least, 5, few, 2, 6).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
